@@ -91,7 +91,7 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     rarest = Window.partitionBy("item_id", "w").orderBy(F.coalesce("n", F.lit(0)), "t", "offset")
     prefix = each.join(counts, ["t", "size"], "left").withColumn("r", F.row_number().over(rarest)).filter(F.col("r") == 1)
     # a window none of whose rarest shingle occurs at all occurs nowhere
-    prefix = write_table(prefix.filter(F.col("n").isNotNull()).select("t", "size", "offset", "width", "w", "item_id"), "bench-prefix")
+    prefix = write_table(prefix.filter(F.col("n").isNotNull()).select("t", "size", "offset", "width", "w", F.array_join("w", " ").alias("line"), "item_id"), "bench-prefix")
     found = None
     for size in sizes:
         own = prefix.filter(F.col("size") == size).drop("size").withColumnRenamed("width", "wide")
@@ -99,7 +99,9 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
         inside = (start >= 0) & (start + F.col("wide") <= F.col("n_words"))
         if few:
             rows = _positions(tokenised, size, "d", "h").withColumn("n_words", F.size("ws")).join(F.broadcast(own), "t").filter(inside)
-            hits = rows.filter(lowered(F.slice("ws", start + 1, F.col("wide"))) == F.col("w"))
+            # no lambda here: one would take the join out of generated code, and every
+            # position's row would then carry a copy of its document's words
+            hits = rows.filter(ascii_lower(F.array_join(F.slice("ws", start + 1, F.col("wide")), " ")) == F.col("line"))
             hits = hits.select("d", "h", "item_id", start.alias("start"), F.col("wide").alias("width"))
         else:  # candidates travel without text and meet it again, one row per document
             rows = _positions(tokenised.withColumn("n_words", F.size("ws")), size, "d", "h", "n_words").drop("ws").join(own, "t").filter(inside)

@@ -62,7 +62,7 @@ WITH src AS (SELECT source, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes FROM
 w AS (SELECT source, bytes, pow(bytes::DOUBLE, 0.7::DOUBLE) AS weight FROM src WHERE bytes > 0),
 rate AS (SELECT source, CASE WHEN bytes > 0 THEN weight / (SELECT sum(weight) FROM w) * (SELECT sum(bytes) FROM w) / bytes ELSE 1 END AS rate FROM w),
 blocks AS (SELECT source, greatest(1, ceil(rate / 8))::INT AS m, rate / greatest(1, ceil(rate / 8)) AS lam FROM rate),
-cdf AS (SELECT source, m, list_sum(list_transform(range(0, k + 1), i -> exp(-lam + i * ln(lam) - lgamma(i + 1)))) AS c
+cdf AS (SELECT source, m, list_sum(list_transform(range(0, k + 1), lambda i: exp(-lam + i * ln(lam) - lgamma(i + 1)))) AS c
         FROM (SELECT source, m, lam, unnest(range(0, 48)) AS k FROM blocks)),
 u AS (SELECT r, doc_id, d.source, text, ('0x' || substr(md5('20:' || coalesce(doc_id::VARCHAR, 'null') || ':' || b), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
       FROM (SELECT row_number() OVER () AS r, * FROM documents) d JOIN blocks ON d.source IS NOT DISTINCT FROM blocks.source, unnest(range(1, m + 1)) AS t(b)),
