@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import decontam, line_dedup, mixing, sharding
+from wayfare.llm import decontam, jaccard_join, line_dedup, mixing, sharding
 from wayfare.session import table
 
 
@@ -29,6 +29,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.join_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
     return placed.select(
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_shard": op9_shard,
 }
 
