@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wayfare.llm.textwords import Words, chunks
 
@@ -198,7 +199,7 @@ def with_scores(docs: DataFrame, model: dict | None, text: str, name: str) -> Da
                 got = np.concatenate([predict(shared.value, features(w)) for w in chunks(batch.column(text))])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*batch.schema.names, name])
 
-    schema = docs.schema.add(name, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

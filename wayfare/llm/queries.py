@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import decontam, jaccard_join, line_dedup, mixing, sharding
+from wayfare.llm import decontam, jaccard_join, line_dedup, mixing, pu_quality, sharding
 from wayfare.session import table
 
 
@@ -17,6 +17,18 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def learnable(labels: DataFrame) -> DataFrame:
+    """Label rows outside the held-out fifth."""
+    return labels.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = pu_quality.fit(docs, learnable(table(spark, sf_dir, "labels")))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return pu_quality.score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources at the 0.7th power of their bytes; replicas in global random order."""
     docs = table(spark, sf_dir, "documents")
@@ -43,6 +55,7 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_quality": op2_quality,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
