@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import decontam, jaccard_join, line_dedup, mixing, pu_quality, sharding
+from wayfare.llm import decontam, jaccard_join, line_dedup, mixing, pu_quality, sharding, token_counts
 from wayfare.session import table
 
 
@@ -53,6 +53,13 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as flat token files, then counted from the files."""
+    blocks, order = token_counts.write_token_files(table(spark, sf_dir, "documents"), *token_counts.vocabulary())
+    counted = token_counts.count_tokens(blocks).withColumnRenamed("ordinal", "number")
+    return order.join(counted, ["file", "number"]).select("doc_id", "n_tokens")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -60,6 +67,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_shard": op9_shard,
+    "op10_token_counts": op10_token_counts,
 }
 
 _OP1 = r"""

@@ -113,9 +113,7 @@ def count_tokens(blocks: DataFrame, end: int = END, dtype: str = "<u2") -> DataF
     found = write_table(blocks.mapInArrow(_scan(end, dtype), "file long, number long, size long, ends array<long>"), "separators")
     # one narrow row per block is all the prefix scan sorts
     before = Window.partitionBy("file").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    summary = found.select("file", "number", "size", F.size("ends").alias("n"), F.element_at("ends", -1).alias("last")) if False else found.select(
-        "file", "number", "size", F.size("ends").cast("long").alias("n"), F.array_max("ends").alias("last")
-    )
+    summary = found.select("file", "number", "size", F.size("ends").cast("long").alias("n"), F.array_max("ends").alias("last"))
     base = summary.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
     base = base.withColumn("ordinal", F.coalesce(F.sum("n").over(before), F.lit(0)))
     base = base.withColumn("open", F.coalesce(F.max(F.col("start") + F.col("last")).over(before), F.lit(-1)))
