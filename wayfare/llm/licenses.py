@@ -18,7 +18,6 @@ part. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +100,3 @@ def _in_order(ids: Column, order: list[str]) -> Column:
     """Whether the identifiers stand in ids in this order."""
     step = lambda at, x: F.when(x == F.get(F.array(*map(F.lit, order)), at), at + 1).otherwise(at)
     return F.aggregate(ids, F.lit(0), step) == len(order)
-
-
-__all__ = ["RULES", "SENTENCES", "normal", "recognise", "reduce"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import decontam, jaccard_join, line_dedup, mixing, pu_quality, sharding, token_counts
+from wayfare.llm import ann, decontam, jaccard_join, licenses, line_dedup, mixing, pu_quality, sharding, token_counts
 from wayfare.session import table
 
 
@@ -41,6 +41,18 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, books = ann.build_index(table(spark, sf_dir, "embeddings"))
+    return ann.search(index, books, index.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.recognise(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("_ids").cast("long").alias("n_sentences"), F.array_join("_ids", ",").alias("sentence_ids"), F.array_join("_licenses", ",").alias("licenses")
+    )
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.join_components(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -65,6 +77,8 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op4_mix_sources": op4_mix_sources,
     "op5_line_dedup": op5_line_dedup,
+    "op6_nearest": op6_nearest,
+    "op7_licenses": op7_licenses,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_shard": op9_shard,
     "op10_token_counts": op10_token_counts,
