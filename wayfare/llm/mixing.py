@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import free_name
+from wayfare.scratch import write_table
 
 #: Largest mean drawn at once, and the counts that its inversion looks at: the
 #: chance of more is below 1e-13 at this mean, less than one step of the uniform.
@@ -63,7 +63,8 @@ def _distribution(mean: Column) -> Column:
 
 def copies(docs: DataFrame, weights: DataFrame, seed: int, source: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with `_copies`, the number drawn for each row."""
-    table = rates(docs, weights, source, text)
+    # written, so that the planner knows how few rows these are before it deals out docs
+    table = write_table(rates(docs, weights, source, text), "mix-rates")
     table = table.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("rate") / BLOCK)).cast("int"))
     table = table.withColumn("_cdf", _distribution(F.col("rate") / F.col("_blocks"))).withColumnRenamed("source", "_s").drop("rate")
     drawn = F.aggregate(
