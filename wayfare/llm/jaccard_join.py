@@ -8,10 +8,12 @@ tokens found in many documents last; that keeps tiles small and nothing rests on
 
 Pairs are judged from outside in: sizes and positions in the tile, then hashed bitmap
 signatures (the bits in which two maps differ bound the overlap from above), then the
-exact intersection of the sorted arrays.
+exact intersection of the sorted arrays. With SHARED more tokens in each prefix, similar
+sets share SHARED + 1 of them (or all they must share, if that is less), so a set with
+fewer tokens in common with sets of its size is out at once, and its text is never moved.
 
 A group of k mutual near copies must not cost k * k pairs. So a first round links each
-node with the leader of its size band in its first tile only, and takes components;
+node with one leader, that of its size band in most of its tiles, and takes components;
 the second round looks in every tile at pairs that are not yet connected.
 Tiles over TILE rows are dealt into blocks, one task per pair of blocks.
 
@@ -41,6 +43,7 @@ from wayfare.scratch import write_table
 #: which such a chunk reports one, and the most reports that tasks are told of (8 bytes
 #: each). These shape the order of tokens alone.
 COUNT_CHUNK, REPORT, FREQUENT = 2_000_000, 8, 100_000
+SHARED = 4
 TILE = 2_000
 BITS = 1024
 
@@ -108,7 +111,7 @@ def _prefixes(k: int, num: int, den: int, frequent):
                 if not (n := len(tokens)) or (sid := _sid(tokens)) in seen:
                     continue
                 seen.add(sid)
-                rows.append((sid, n, _ordered(tokens, late)[: n - _ceil(n, num, den) + 1]))
+                rows.append((sid, n, _ordered(tokens, late)[: n - _ceil(n, num, den) + 1 + SHARED]))
             if rows:
                 size = np.array([len(t) for _, _, t in rows])
                 yield pa.RecordBatch.from_arrays(
@@ -146,17 +149,19 @@ def _live(num: int, den: int):
             band = np.floor(np.log(n) / width + 1e-9).astype(np.int64)
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
-            alive = ~new
-            alive[:-1] |= ~new[1:]
+            # of the rows of a token, sorted by size, the adjacent ones are nearest in size
+            near = ~new[1:] & (n[:-1].astype(np.int64) * den >= n[1:].astype(np.int64) * num)
+            alive = np.r_[False, near]
+            alive[:-1] |= near
             fresh = new.copy()
             fresh[1:] |= band[1:] != band[:-1]
             lead = sid[np.maximum.accumulate(np.where(fresh, np.arange(len(token)), 0))]
             if last is not None and last[0] == token[0]:
-                alive[0] = True
+                alive[0] |= last[2] * den >= int(n[0]) * num
                 if last[1] == band[0]:
                     run_end = int(np.argmax(fresh[1:])) + 1 if fresh[1:].any() else len(token)
                     lead[:run_end] = leader
-            last, leader = (token[end - 1], band[end - 1]), lead[end - 1]
+            last, leader = (token[end - 1], band[end - 1], int(n[end - 1])), lead[end - 1]
             ok = alive[:end]
             return pa.RecordBatch.from_arrays([pa.array(x[:end][ok]) for x in (token, sid, n, pos, lead)], ["token", "sid", "n", "pos", "leader"])
 
@@ -310,12 +315,17 @@ def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     dealt = prefix.repartition("token").sortWithinPartitions("token", "n", "sid")
     live = write_table(dealt.mapInArrow(_live(num, den), "token long, sid long, n int, pos int, leader long"), "live-prefixes")
 
-    nodes = live.select("sid").distinct()
+    # a partner may be as small as ceil(n * num / den), and must share so much of that
+    least = lambda n: F.ceil(F.ceil(n * num / F.lit(den)) * num / F.lit(den))
+    nodes = live.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("m"))
+    nodes = write_table(nodes.filter(F.col("c") >= F.least(F.lit(SHARED + 1), least(F.col("m")))).select("sid"), "live-sets")
+    live = live.join(nodes, "sid", "left_semi")
     chosen = of_doc.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep")).join(nodes, "sid")
     texts = keyed.join(chosen.withColumnRenamed("sid", "want"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text")
     arrays = write_table(texts.mapInArrow(_arrays(k), "sid long, n long, bits binary, tokens binary"), "shingle-arrays", "none")
 
-    first = live.filter(F.col("sid") != F.col("leader")).groupBy("sid").agg(F.min_by("leader", "pos").alias("b"))
+    votes = live.filter(F.col("sid") != F.col("leader")).groupBy("sid", "leader").agg(F.count("*").alias("c"))
+    first = votes.groupBy("sid").agg(F.max_by("leader", F.struct("c", "leader")).alias("b"))
     edges = write_table(_verified(first.select(F.col("sid").alias("a"), "b"), arrays, num, den), "near-pairs")
     known = connected_components(edges)
 
