@@ -1,0 +1,321 @@
+"""Each operator against a plain Python version, and on the odd cases its docstring defines."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wayfare.llm import ann, decontam, jaccard_join, licenses, line_dedup, mixing, pu_quality, secrets, sharding, token_counts
+
+DOC = "doc_id long, text string, source string, n long, key string, shard int"
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def docs(spark, rows):
+    """rows: (doc_id, text[, source]); the other columns clash with names the operators use."""
+    return spark.createDataFrame([(r[0], r[1], r[2] if len(r) > 2 else "a", 1, "k", 9) for r in rows], DOC)
+
+
+def words(n, seed=0, vocabulary=40):
+    rng = random.Random(seed)
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def odd_rows():
+    base = words(60, 1)
+    return [
+        (1, base), (2, base), (3, base + " Éx"), (4, None), (5, ""), (6, "  \n\t "), (7, "one two"), (8, "ONE two"), (9, words(20000, 2, 3000)),
+        (10, words(50, 3)), (10, words(50, 4)), (None, base), (None, None), (1, base), (12, "Ünïcode ärger " * 5),
+    ]
+
+
+# --- op5
+def plain_dedup(rows, least=3, chars=20):
+    strip = " \t\n\x0b\x0c\r"
+    key = lambda s: s.strip(strip).translate(LOW)
+    held = collections.defaultdict(set)
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            if len(key(line)) >= chars:
+                held[key(line)].add(i)
+    keep = {k: max([x for x in v if x is not None], default=None) for k, v in held.items() if len(v) >= least}
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        left = [x for x in lines if not (key(x) in keep and keep[key(x)] != i)]
+        out.append((i, len(lines), len(lines) - len(left), "\n".join(left)))
+    return sorted(out, key=repr)
+
+
+def test_line_dedup(spark):
+    common, short = "  This line stands in MANY documents ", "short"
+    rows = [(i, f"{common}\nown {i} line of some length\n{short}") for i in range(5)]
+    rows += [(5, common.lower() + "\n\n" + common), (None, common), (7, None), (8, ""), (3, common), (9, "É" * 20), (10, "É" * 20), (11, "É" * 20), (12, "é" * 20)]
+    got = line_dedup.dedup_lines(docs(spark, rows)).select("doc_id", "_lines.n_lines", "_lines.n_dropped", "text").collect()
+    assert sorted(map(tuple, got), key=repr) == plain_dedup(rows)
+    assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+# --- op9
+def feasible(sizes, capacity, shards):
+    used, room = 1, capacity
+    for s in sizes:
+        if s > capacity:
+            return False
+        if s > room:
+            used, room = used + 1, capacity
+        room -= s
+    return used <= shards
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_sharding_is_minimax(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, "x" * rng.randrange(1, 400)) for i in range(300)] + [(1000 + i, "hot") for i in range(200)] + [(None, None), (7, ""), (7, "")]
+    got = sharding.shard(docs(spark, rows), 16, rows_per_bucket=50).collect()
+    assert len(got) == len(rows)
+    groups = collections.Counter()
+    for r in got:
+        groups[r["h"]] += r["size"]
+    order = [groups[h] for h in sorted(groups)]
+    best = next(c for c in range(max(order), sum(order) + 1) if feasible(order, c, 16))
+    load = collections.Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) == best
+    assert len({(r["h"], r["shard"]) for r in got}) == len(groups)
+    for s in load:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_sharding_small(spark):
+    assert sharding.shard(docs(spark, [])).count() == 0
+    assert [r["shard"] for r in sharding.shard(docs(spark, [(1, None)])).collect()] == [0]
+    out = sharding.with_shards(docs(spark, odd_rows()), 4)
+    assert out.columns[-1] == "shard_" and out.count() == len(odd_rows())
+
+
+# --- op4
+def test_mixing(spark):
+    rows = [(i, "x" * 100, "big") for i in range(3000)] + [(10000 + i, "x" * 100, None) for i in range(1000)] + [(i, None, "void") for i in range(5)]
+    d = docs(spark, rows)
+    weights = spark.createDataFrame([("big", 1.0), (None, 1.0), ("void", 1.0), ("absent", 5.0), ("big", -3.0)], "source string, weight double")
+    out = mixing.mix(d, weights, seed=4)
+    share = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    # shares are equal but for the sourceless weight of "void", which has no bytes to give
+    assert abs(share["big"] / share[None] - 1) < 0.1
+    again = mixing.mix(d, weights, seed=4)
+    assert sorted(map(tuple, again.select("doc_id", "_replica").collect()), key=repr) == sorted(map(tuple, out.select("doc_id", "_replica").collect()), key=repr)
+    counts = mixing.copies(d, spark.createDataFrame([("big", 1.0)], "source string, weight double"), 1).filter("source = 'big'").agg(F.avg("_copies"), F.variance("_copies")).first()
+    assert abs(counts[0] - 1) < 0.1 and abs(counts[1] - 1) < 0.15
+    assert mixing.mix(docs(spark, []), weights, 1).count() == 0
+
+
+# --- op1
+def plain_judge(rows, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    wins = collections.defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        if i is not None and w:
+            for s in range(max(1, len(w) - 12)):
+                wins[tuple(w[s : s + 13])].add(i)
+    out = []
+    for i, t in rows:
+        w, hit, its = split(t), set(), set()
+        for k, own in wins.items():
+            for s in range(len(w) - len(k) + 1):
+                if tuple(w[s : s + len(k)]) == k:
+                    hit |= set(range(s, s + len(k)))
+                    its |= own
+        out.append((i, len(w), len(hit), sorted(its), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("bound", [200_000, 0])
+def test_decontamination(spark, monkeypatch, bound):
+    monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", bound)
+    long, other = words(30, 7), words(20, 8)
+    items = [(1, long), (2, other), (2, other), (3, "Straße einzig"), (4, "solo"), (5, None), (6, ""), (None, words(15, 9)), (7, long)]
+    rows = odd_rows() + [(20, "pre " + long.upper() + " post"), (21, words(400, 5) + " " + other), (22, "a straße EINZIG b"), (23, "STRASSE einzig"), (24, "solo; solo"), (25, " ".join(long.split()[3:18])), (26, words(15, 9))]
+    d = docs(spark, rows)
+    b = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
+    got = [(r["doc_id"], r["n_words"], r["n_hit"], sorted(r["items"]), r["contaminated"]) for r in decontam.judge(d, b).collect()]
+    assert sorted(got, key=repr) == plain_judge(rows, items)
+    left = decontam.remove_contaminated(d, b)
+    assert left.columns == d.columns and left.count() == sum(not r[4] for r in plain_judge(rows, items))
+    assert not decontam.judge(d, b.limit(0)).filter("contaminated").count()
+    assert decontam.judge(d.limit(0), b).count() == 0
+
+
+# --- op8
+def plain_components(rows, k, num, den):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
+        sets.append(frozenset(tuple(w[j : j + k]) for j in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    ids = collections.defaultdict(list)
+    for a, (i, _) in enumerate(rows):
+        ids[find(a)].append(i)
+    least = {r: min((x for x in v if x is not None), default=None) for r, v in ids.items()}
+    return sorted([(i, len(sets[a]), least[find(a)]) for a, (i, _) in enumerate(rows)], key=repr)
+
+
+def edited(base, n, rng):
+    w = base.split()
+    for _ in range(n):
+        w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("tile", [2000, 7])
+def test_jaccard_join(spark, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    rng = random.Random(3)
+    bases = [words(n, 100 + n, 500) for n in (30, 80, 200, 400)]
+    rows = odd_rows() + [(100 + j, edited(bases[j % 4], rng.randrange(0, 8), rng)) for j in range(90)] + [(300 + j, "two words") for j in range(4)]
+    shared = words(40, 11, 300)
+    rows += [(400 + j, shared + " " + words(60, 500 + j, 3000)) for j in range(30)]
+    got = jaccard_join.join_components(docs(spark, rows), 4, 85, 100).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=repr) == plain_components(rows, 4, 85, 100)
+
+
+def test_jaccard_keep_one(spark):
+    base = words(100, 5, 300)
+    d = docs(spark, [(3, base), (1, base + " tail"), (2, words(100, 6, 300)), (4, None), (5, "")])
+    kept = jaccard_join.keep_one(d)
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4, 5]
+    assert jaccard_join.keep_one(d.limit(0)).count() == 0
+
+
+# --- op2
+def test_quality(spark):
+    rng = random.Random(1)
+    good = [(i, " ".join(f"{rng.choice(['the', 'and', 'of'])} word{rng.randrange(900)}" for _ in range(60)) + ".") for i in range(600)]
+    bad = [(1000 + i, " ".join(f"JUNK{rng.randrange(5)}!!" for _ in range(60))) for i in range(150)]
+    d = docs(spark, good + bad + [(5000, None), (5001, ""), (None, "x")])
+    lab = spark.createDataFrame([(i, 1, "z") for i in range(0, 600, 3)] + [(1000 + i, 0, "z") for i in range(0, 150, 3)] + [(9999, 1, "z"), (1, None, "z"), (None, 1, "z")], "doc_id long, quality int, text string")
+    got = {r["doc_id"]: r["score"] for r in pu_quality.score(d, pu_quality.fit(d, lab)).collect()}
+    assert all(0 <= s <= 1 for s in got.values()) and len(got) == 753
+    assert np.mean([got[i] >= 0.3 for i, _ in good]) > 0.97 and np.mean([got[i] < 0.3 for i, _ in bad]) > 0.9
+    assert pu_quality.fit(d, lab.filter("quality = 0")) is None
+    assert {r["score"] for r in pu_quality.score(d, None).collect()} == {0.5}
+    assert pu_quality.score(d.limit(0), None).count() == 0
+
+
+# --- op3
+def test_secrets(spark):
+    rng = random.Random(2)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"some words password={hexa(16)} and more") for i in range(60)] + [(100 + i, f"call {rng.randrange(10**15, 10**16)} now release-notes-{i}") for i in range(60)]
+    rows += [(300 + i, "key AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ23456789") for _ in range(16)) + " end") for i in range(30)]
+    rows += [(500, "key AKIA" + "QZ7XK2M9PLWB4TRD end"), (501, None), (502, ""), (503, "token = " + hexa(40)), (504, "x" * 50000), (505, "password=changeme1")]
+    found = secrets.findings(docs(spark, rows))
+    out = {(r["doc_id"], r["rule"]): r for r in secrets.scored(found, secrets.fit(found)).collect()}
+    assert out[(500, "aws-access-key")]["start"] == 4 and out[(500, "aws-access-key")]["score"] > 0.5
+    assert out[(503, "assigned")]["score"] > 0.5 and out[(505, "assigned")]["score"] < 0.5
+    assert np.mean([out[(i, "assigned")]["score"] > 0.5 for i in range(60)]) > 0.9
+    assert not any(i in (501, 502, 504) for i, _ in out)
+    assert secrets.fit(found.filter("label = 1")) is None
+    assert secrets.findings(docs(spark, [])).count() == 0
+
+
+# --- op6
+def test_ann(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 16)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [None] * 16), (5080, [1.0, 2.0]), (5100, [float("inf")] * 16), (None, x[0].tolist()), (4000, x[7].tolist()), (4020, x[7].tolist())]
+    v = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, rank int, score int")
+    index, books = ann.build_index(v)
+    out = ann.search(index, books, index.filter("vec_id % 20 = 0"), 20, chunk=40).collect()
+    ids = np.array([*range(3000), 4000, 4020])
+    full = np.concatenate([x, x[7:8], x[7:8]]).astype(float)
+    found = collections.defaultdict(list)
+    for r in sorted(out, key=lambda r: (r["query_id"], r["rank"])):
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(found) == {*range(0, 3000, 20), 4000, 4020}
+    hit = 0
+    for q, got in found.items():
+        s = full @ full[list(ids).index(q)]
+        s[ids == q] = -np.inf
+        best = [int(ids[i]) for i in np.lexsort((ids, -s))[:20]]
+        hit += len(set(best) & {i for i, _ in got})
+        assert [g[1] for g in got] == sorted((g[1] for g in got), reverse=True) and len(got) == 20
+        assert all(abs(sc - s[list(ids).index(i)]) < 1e-9 for i, sc in got)
+    assert hit / (20 * len(found)) > 0.9
+    few, b = ann.build_index(v.filter("vec_id < 5 OR vec_id >= 5000"))
+    assert ann.search(few, b, few.filter("vec_id = 0"), 20).count() == 4
+    none, b = ann.build_index(v.limit(0))
+    assert ann.search(none, b, none, 20).count() == 0
+
+
+# --- op7
+def test_licenses(spark):
+    s = licenses.SENTENCES
+    rows = [
+        (1, "Words here.\nReleased under the MIT License.\nMore."), (2, f"Intro. {s['bsd-redistribution']}\n* {s['bsd-source']} Then.\n{s['bsd-endorse']}"), (3, f"{s['bsd-source']}\n{s['bsd-redistribution']}"),
+        (4, None), (5, ""), (6, "not released under the mit license"), (7, "LICENSED under the Apache license,   version 2.0!\nlicensed under cc by-nc 4.0."), (8, f"{s['mit-grant']}\n\n{s['mit-condition']}"),
+    ]
+    got = {r["doc_id"]: (r["_ids"], r["_licenses"]) for r in licenses.recognise(docs(spark, rows)).collect()}
+    assert got[1] == (["mit-notice"], ["MIT"]) and got[2][1] == ["BSD-3-Clause", "BSD-2-Clause"] and got[3][1] == []
+    assert got[4] == ([], []) and got[5] == ([], []) and got[6] == ([], [])
+    assert got[7][1] == ["Apache-2.0", "CC-BY-NC-4.0"] and got[8][1] == ["MIT"]
+
+
+# --- op10
+def test_token_counts(spark):
+    path, pattern = token_counts.vocabulary()
+    rows = odd_rows()
+    blocks, order = token_counts.write_token_files(docs(spark, rows).repartition(3), path, pattern, block=64)
+    counted = token_counts.count_tokens(blocks).withColumnRenamed("ordinal", "number")
+    got = sorted(((r["doc_id"], r["n_tokens"]) for r in order.join(counted, ["file", "number"]).collect()), key=repr)
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    assert got == sorted(((i, len(coder.encode_ordinary(t or ""))) for i, t in rows), key=repr)
+
+
+def test_flat_files(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    for name, n, ended in (("a", 1000, True), ("b", 5, False), ("c", 0, True), ("d", 4096, False)):
+        ids = rng.integers(0, 20, n).astype("<u2")
+        if n and ended:
+            ids[-1] = 9
+        ids.tofile(tmp_path / f"{name}.bin")
+    blocks = token_counts.read_token_files(spark, f"file://{tmp_path}", 128)
+    got = [(r["file"], r["ordinal"], r["n_tokens"], r["ended"]) for r in token_counts.count_tokens(blocks, end=9).collect()]
+    names = {r["h"]: r["path"] for r in spark.read.format("binaryFile").load(f"file://{tmp_path}").select(F.xxhash64("path").alias("h"), "path").collect()}
+    want = []
+    for h, p in names.items():
+        ids = np.fromfile(p.removeprefix("file:"), "<u2")
+        ends = np.flatnonzero(ids == 9)
+        edge = np.r_[-1, ends]
+        want += [(h, i, int(b - a - 1), True) for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
+        if len(ids) - 1 > edge[-1]:
+            want.append((h, len(ends), int(len(ids) - 1 - edge[-1]), False))
+    assert sorted(got) == sorted(want)
+
+
+def test_digest_of_nothing():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
