@@ -13,8 +13,8 @@ sets share SHARED + 1 of them (or all they must share, if that is less), so a se
 fewer tokens in common with sets of its size is out at once, and its text is never moved.
 
 A group of k mutual near copies must not cost k * k pairs. So a first round links each
-node with one leader, that of its size band in most of its tiles, and takes components;
-the second round looks in every tile at pairs that are not yet connected.
+node with the LINKS sets that stand next below it in size in most of its tiles, and takes
+components; the second round looks in every tile at pairs that are not yet connected.
 Tiles over TILE rows are dealt into blocks, one task per pair of blocks.
 
 Defined cases. Null text, or one of blanks: no shingles, linked with nothing,
@@ -34,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayfare.llm.textwords import chunks, shingle_sets
 from wayfare.operators.graph import connected_components
@@ -44,6 +45,7 @@ from wayfare.scratch import write_table
 #: each). These shape the order of tokens alone.
 COUNT_CHUNK, REPORT, FREQUENT = 2_000_000, 8, 100_000
 SHARED = 4
+LINKS = 2
 TILE = 2_000
 BITS = 1024
 
@@ -128,15 +130,14 @@ def _prefixes(k: int, num: int, den: int, frequent):
 
 
 def _live(num: int, den: int):
-    """Of rows sorted by (token, n, sid): those whose token has another set, with the leader of their band."""
+    """Of rows sorted by (token, n, sid): those whose token has another set of a near size, with the next smaller one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, whose neighbour is still to come
-        last = leader = None  # the row before it, and the leader of its band
-        width = np.log(den / num)
+        last = None  # the row before it
 
         def tile(rows: list[np.ndarray], final: bool):
-            nonlocal held, last, leader
+            nonlocal held, last
             token, sid, n, pos = rows
             same = np.zeros(len(token), bool)
             same[1:] = (token[1:] == token[:-1]) & (sid[1:] == sid[:-1])
@@ -146,24 +147,18 @@ def _live(num: int, den: int):
             end = len(token) if final else len(token) - 1
             if not end:
                 return None
-            band = np.floor(np.log(n) / width + 1e-9).astype(np.int64)
-            new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
             # of the rows of a token, sorted by size, the adjacent ones are nearest in size
-            near = ~new[1:] & (n[:-1].astype(np.int64) * den >= n[1:].astype(np.int64) * num)
-            alive = np.r_[False, near]
-            alive[:-1] |= near
-            fresh = new.copy()
-            fresh[1:] |= band[1:] != band[:-1]
-            lead = sid[np.maximum.accumulate(np.where(fresh, np.arange(len(token)), 0))]
-            if last is not None and last[0] == token[0]:
-                alive[0] |= last[2] * den >= int(n[0]) * num
-                if last[1] == band[0]:
-                    run_end = int(np.argmax(fresh[1:])) + 1 if fresh[1:].any() else len(token)
-                    lead[:run_end] = leader
-            last, leader = (token[end - 1], band[end - 1], int(n[end - 1])), lead[end - 1]
+            near = np.zeros(len(token), bool)
+            near[1:] = (token[1:] == token[:-1]) & (n[:-1].astype(np.int64) * den >= n[1:].astype(np.int64) * num)
+            below = np.r_[sid[:1], sid[:-1]]
+            if last is not None and last[0] == token[0] and last[2] * den >= int(n[0]) * num:
+                near[0], below[0] = True, last[1]
+            alive = near.copy()
+            alive[:-1] |= near[1:]
+            last = (token[end - 1], sid[end - 1], int(n[end - 1]))
             ok = alive[:end]
-            return pa.RecordBatch.from_arrays([pa.array(x[:end][ok]) for x in (token, sid, n, pos, lead)], ["token", "sid", "n", "pos", "leader"])
+            below = np.where(near, below, sid)
+            return pa.RecordBatch.from_arrays([pa.array(x[:end][ok]) for x in (token, sid, n, pos, below)], ["token", "sid", "n", "pos", "below"])
 
         for batch in batches:
             if batch.num_rows:
@@ -181,7 +176,7 @@ def _live(num: int, den: int):
 def _pairs(num: int, den: int):
     """Of rows sorted by (tile, n): pairs of sets in different components that may be similar."""
 
-    def pairs_of(sid, n, pos, comp, block, mixed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs_of(sid, n, pos, comp, block, mixed) -> Iterator[tuple[np.ndarray, ...]]:
         for i in range(0, len(sid), 512):
             i2 = min(i + 512, len(sid))
             top = int(np.searchsorted(n, n[i2 - 1] * den // num, "right"))  # no larger set fits
@@ -190,14 +185,15 @@ def _pairs(num: int, den: int):
                 a, b = slice(i, i2), slice(j, j2)
                 na, nb = n[a, None].astype(np.int64), n[None, b].astype(np.int64)
                 ok = (np.arange(i, i2)[:, None] < np.arange(j, j2)[None, :]) & (comp[a, None] != comp[None, b]) & (na * den >= nb * num)
-                # overlap is at most this token and what follows in the shorter rest
-                rest = 1 + np.minimum(na - pos[a, None] - 1, nb - pos[None, b] - 1)
+                # overlap is at most this token, what follows in the shorter rest, and SHARED before
+                # it: so all of a similar pair's first SHARED + 1 common tokens let it through
+                rest = SHARED + 1 + np.minimum(na - pos[a, None] - 1, nb - pos[None, b] - 1)
                 ok &= rest * (num + den) >= num * (na + nb)
                 if mixed:
                     ok &= block[a, None] != block[None, b]
                 x, y = np.nonzero(ok)
                 if len(x):
-                    yield sid[i + x], sid[j + y]
+                    yield sid[i + x], sid[j + y], n[i + x]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -206,22 +202,21 @@ def _pairs(num: int, den: int):
             token, tile, sid, n, pos, comp, block = rows
             edge = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (tile[1:] != tile[:-1])])
             many = np.flatnonzero(np.minimum.reduceat(comp, edge) != np.maximum.reduceat(comp, edge))
-            edge, left, right, size = np.r_[edge, len(token)], [], [], 0
+            edge, found, size = np.r_[edge, len(token)], [], 0
             for e in many:
                 s = slice(edge[e], edge[e + 1])
-                for x, y in pairs_of(sid[s], n[s], pos[s], comp[s], block[s], tile[edge[e]] % 2 == 1):
-                    left.append(np.minimum(x, y))
-                    right.append(np.maximum(x, y))
+                for x, y, m in pairs_of(sid[s], n[s], pos[s], comp[s], block[s], tile[edge[e]] % 2 == 1):
+                    found.append((np.minimum(x, y), np.maximum(x, y), m))
                     size += len(x)
                     if size > 500_000:
-                        yield out(left, right)
-                        left, right, size = [], [], 0
-            if left:
-                yield out(left, right)
+                        yield out(found)
+                        found, size = [], 0
+            if found:
+                yield out(found)
 
-        def out(left, right) -> pa.RecordBatch:
-            both = np.unique(np.stack([np.concatenate(left), np.concatenate(right)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+        def out(found) -> pa.RecordBatch:
+            rows, count = np.unique(np.stack([np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)]), axis=1, return_counts=True)
+            return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(count)], ["a", "b", "m", "c"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -313,7 +308,7 @@ def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
 
     prefix = keyed.mapInArrow(_prefixes(k, num, den, order), "token long, sid long, n int, pos int")
     dealt = prefix.repartition("token").sortWithinPartitions("token", "n", "sid")
-    live = write_table(dealt.mapInArrow(_live(num, den), "token long, sid long, n int, pos int, leader long"), "live-prefixes")
+    live = write_table(dealt.mapInArrow(_live(num, den), "token long, sid long, n int, pos int, below long"), "live-prefixes")
 
     # a partner may be as small as ceil(n * num / den), and must share so much of that
     least = lambda n: F.ceil(F.ceil(n * num / F.lit(den)) * num / F.lit(den))
@@ -324,12 +319,13 @@ def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     texts = keyed.join(chosen.withColumnRenamed("sid", "want"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text")
     arrays = write_table(texts.mapInArrow(_arrays(k), "sid long, n long, bits binary, tokens binary"), "shingle-arrays", "none")
 
-    votes = live.filter(F.col("sid") != F.col("leader")).groupBy("sid", "leader").agg(F.count("*").alias("c"))
-    first = votes.groupBy("sid").agg(F.max_by("leader", F.struct("c", "leader")).alias("b"))
-    edges = write_table(_verified(first.select(F.col("sid").alias("a"), "b"), arrays, num, den), "near-pairs")
+    votes = live.filter(F.col("sid") != F.col("below")).groupBy("sid", "below").agg(F.count("*").alias("c"))
+    best = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("c"), "below"))
+    first = votes.withColumn("r", best).filter(F.col("r") <= LINKS)
+    edges = write_table(_verified(first.select(F.col("sid").alias("a"), F.col("below").alias("b")), arrays, num, den), "near-pairs")
     known = connected_components(edges)
 
-    labelled = live.drop("leader").join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    labelled = live.drop("below").join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     # of a tile only what lies in more than one component is of use
     hot = labelled.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2")
     blocks = hot.select("token", F.ceil(F.col("rows") / TILE).cast("int").alias("g"))
@@ -341,8 +337,17 @@ def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     number = ((low * F.col("g") + high) * 2 + F.when(low != high, 1).otherwise(0)).cast("long")
     row = row.select("token", number.alias("tile"), "sid", "n", "pos", "comp", "block")
     tiles = row.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sid")
-    more = tiles.mapInArrow(_pairs(num, den), "a long, b long").distinct()
-    rest = _verified(more, arrays, num, den)
+    more = tiles.mapInArrow(_pairs(num, den), "a long, b long, m long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("m").alias("m"))
+    needed = F.least(F.lit(SHARED + 1), F.ceil(F.col("m") * num / F.lit(den)))
+    more = write_table(more.filter(F.col("c") >= needed).select("a", "b", "c"), "candidate-pairs")
+    # the likeliest pairs first: what they connect spares most of the rest
+    likely = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
+    some = more.withColumn("r", likely).filter(F.col("r") <= LINKS).select("a", "b")
+    edges = write_table(edges.union(_verified(some, arrays, num, den)), "near-pairs")
+    known = connected_components(edges)
+    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    apart = more.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    rest = _verified(apart.select("a", "b"), arrays, num, den)
     last = connected_components(write_table(edges.union(rest), "near-pairs"))
 
     member = of_doc.join(last.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("component", "sid"))
