@@ -13,8 +13,8 @@ sets share SHARED + 1 of them (or all they must share, if that is less), so a se
 fewer tokens in common with sets of its size is out at once, and its text is never moved.
 
 A group of k mutual near copies must not cost k * k pairs. So a first round links each
-node with the LINKS sets that stand next below it in size in most of its tiles, and takes
-components; the second round looks in every tile at pairs that are not yet connected.
+node with the set that leads most of its tiles and the one that stands next below it in size
+in most, and takes components; the second round looks in every tile at pairs that are not yet connected.
 Tiles over TILE rows are dealt into blocks, one task per pair of blocks.
 
 Defined cases. Null text, or one of blanks: no shingles, linked with nothing,
@@ -296,6 +296,19 @@ def _verified(pairs: DataFrame, arrays: DataFrame, num: int, den: int) -> DataFr
     return met.mapInArrow(_does(num, den), "a long, b long")
 
 
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) of known components and further links: only components are linked anew."""
+    links = write_table(links, "near-pairs")
+    if links.isEmpty():
+        return known
+    side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    over = links.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    over = over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
+    new = connected_components(over).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    nodes = known.unionByName(over.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(known.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    return write_table(nodes.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "near-components")
+
+
 def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, sid, component_id): one row per row of docs."""
     spark = docs.sparkSession
@@ -313,16 +326,21 @@ def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     # a partner may be as small as ceil(n * num / den), and must share so much of that
     least = lambda n: F.ceil(F.ceil(n * num / F.lit(den)) * num / F.lit(den))
     nodes = live.groupBy("sid").agg(F.count("*").alias("c"), F.first("n").alias("m"))
-    nodes = write_table(nodes.filter(F.col("c") >= F.least(F.lit(SHARED + 1), least(F.col("m")))).select("sid"), "live-sets")
-    live = live.join(nodes, "sid", "left_semi")
+    nodes = write_table(nodes.filter(F.col("c") >= F.least(F.lit(SHARED + 1), least(F.col("m")))).select("sid", (F.col("c") / F.col("m")).alias("share")), "live-sets")
+    live = live.join(nodes.select("sid"), "sid")
     chosen = of_doc.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep")).join(nodes, "sid")
     texts = keyed.join(chosen.withColumnRenamed("sid", "want"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("want", "text")
     arrays = write_table(texts.mapInArrow(_arrays(k), "sid long, n long, bits binary, tokens binary"), "shingle-arrays", "none")
 
-    votes = live.filter(F.col("sid") != F.col("below")).groupBy("sid", "below").agg(F.count("*").alias("c"))
-    best = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("c"), "below"))
-    first = votes.withColumn("r", best).filter(F.col("r") <= LINKS)
-    edges = write_table(_verified(first.select(F.col("sid").alias("a"), F.col("below").alias("b")), arrays, num, den), "near-pairs")
+    # near copies of one text resemble it more than each other, and it alone shares nearly all
+    # its tokens: the set with the largest share of live tokens leads each tile
+    lead = live.join(nodes, "sid").groupBy("token").agg(F.max(F.struct("share", "sid")).alias("l")).select("token", F.col("l.sid").alias("lead"))
+    led = live.join(lead, "token").select("sid", "below", "lead")
+    choice = F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("below").alias("to")), F.struct(F.lit(1).alias("w"), F.col("lead").alias("to"))))
+    votes = led.select("sid", choice.alias("v")).filter("sid <> v.to").groupBy("sid", "v.w", "v.to").agg(F.count("*").alias("c"))
+    top = F.row_number().over(Window.partitionBy("sid", "w").orderBy(F.desc("c"), "to"))
+    first = votes.withColumn("r", top).filter("r = 1").select(F.col("sid").alias("a"), F.col("to").alias("b")).distinct()
+    edges = write_table(_verified(first, arrays, num, den), "near-pairs")
     known = connected_components(edges)
 
     labelled = live.drop("below").join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
@@ -343,12 +361,10 @@ def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     # the likeliest pairs first: what they connect spares most of the rest
     likely = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("c"), "b"))
     some = more.withColumn("r", likely).filter(F.col("r") <= LINKS).select("a", "b")
-    edges = write_table(edges.union(_verified(some, arrays, num, den)), "near-pairs")
-    known = connected_components(edges)
+    known = _merged(known, _verified(some, arrays, num, den))
     side = lambda c: known.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     apart = more.join(side("a"), "a", "left").join(side("b"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    rest = _verified(apart.select("a", "b"), arrays, num, den)
-    last = connected_components(write_table(edges.union(rest), "near-pairs"))
+    last = _merged(known, _verified(apart.select("a", "b"), arrays, num, den))
 
     member = of_doc.join(last.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("component", "sid"))
     member = write_table(member.select("doc_id", "n", "sid", "root"), "near-members")
