@@ -30,8 +30,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     at most. Null ends and loops carry no link.
     """
 
+    few = 2 * edges.sparkSession.sparkContext.defaultParallelism  # two narrow tasks a core are enough
+
     def tidy(df: DataFrame) -> DataFrame:
-        return write_table(df.filter(F.col("u") != F.col("v")).distinct(), "components")
+        return write_table(df.filter(F.col("u") != F.col("v")).distinct().coalesce(few), "components")
 
     def mark(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

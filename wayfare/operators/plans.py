@@ -127,12 +127,13 @@ def superseded(blocks: DataFrame) -> DataFrame:
     small: two newest dates suffice, and a window picks them without a self-join.
     """
     live = blocks.filter("NOT rejected AND target IS NOT NULL")
-    newest = live.groupBy("target", "sig").agg(F.max_by("key", F.struct("dated", F.col("ord") * -1)).alias("k"), F.max("dated").alias("t"), F.min_by("ord", F.struct(F.col("dated") * -1, "ord")).alias("o"))
-    ranked = newest.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("t"), "o"))).filter("r <= 2")
+    day = F.unix_date("dated")
+    newest = live.groupBy("target", "sig").agg(F.max(F.struct(day.alias("t"), (-F.col("ord")).alias("o"), F.col("key").alias("k"))).alias("x")).select("target", "sig", "x.*")
+    ranked = newest.withColumn("r", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("t"), F.desc("o")))).filter("r <= 2")
     two = ranked.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("r", "sig", "k", "t"))).alias("two"))
     mine = blocks.filter("target IS NOT NULL").join(two, "target")
     other = F.get(F.filter("two", lambda x: ~x["sig"].eqNullSafe(F.col("sig"))), F.lit(0))
-    return mine.withColumn("o", other).filter(F.col("o.t") > F.col("dated")).select("key", F.col("o.k").alias("newer"))
+    return mine.withColumn("o", other).filter(F.col("o.t") > day).select("key", F.col("o.k").alias("newer"))
 
 
 def plan_status(blocks: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def validation(spark, sf_dir):
 def search_ranked(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     roads = F.array("p_brand", "p_type")
-    r = p.withColumn("rank", text.search_rank(F.col("p_name"), roads, F.lit("Part 1")).cast("int")).filter("rank IS NOT NULL")
+    r = p.withColumn("rank", text.search_rank(F.col("p_name"), roads, F.lit("Gear")).cast("int")).filter("rank IS NOT NULL")
     return r.withColumn("total", F.count("*").over(Window.partitionBy())).orderBy("rank", "p_name", "p_partkey").limit(8).select("p_partkey", "p_name", "rank", "total")
 
 
@@ -134,7 +134,7 @@ SELECT event_id AS seq, ok FROM f""",
     "validation": r"""SELECT conv_id, turn, CASE WHEN conv_id % 13 = 0 THEN 'honeypot' WHEN role NOT IN ('user', 'assistant') THEN 'kind' WHEN conv_id % 11 = 0 THEN 'photo' WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 2000 THEN 'length'
 WHEN regexp_matches(text, '(?:\+?[0-9][\s\-.()]*){10,}') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}') THEN 'contact'
 WHEN NOT (77.3::DOUBLE + (conv_id % 60) / 100.0::DOUBLE BETWEEN 77.38::DOUBLE AND 77.82::DOUBLE AND 12.7::DOUBLE + (turn % 50) / 100.0::DOUBLE BETWEEN 12.78::DOUBLE AND 13.18::DOUBLE) THEN 'place' ELSE 'ok' END AS verdict FROM conversations""",
-    "search_ranked": """SELECT p_partkey, p_name, rank::INT AS rank, count(*) OVER () AS total FROM (SELECT *, CASE WHEN lower(p_name) = 'part 1' THEN 0 WHEN starts_with(lower(p_name), 'part 1') THEN 1 WHEN contains(lower(p_name), 'part 1') THEN 2 WHEN contains(lower(p_brand), 'part 1') OR contains(lower(p_type), 'part 1') THEN 3 END AS rank FROM part) WHERE rank IS NOT NULL ORDER BY rank, p_name, p_partkey LIMIT 8""",
+    "search_ranked": """SELECT p_partkey, p_name, rank::INT AS rank, count(*) OVER () AS total FROM (SELECT *, CASE WHEN lower(p_name) = 'gear' THEN 0 WHEN starts_with(lower(p_name), 'gear') THEN 1 WHEN contains(lower(p_name), 'gear') THEN 2 WHEN contains(lower(p_brand), 'gear') OR contains(lower(p_type), 'gear') THEN 3 END AS rank FROM part) WHERE rank IS NOT NULL ORDER BY rank, p_name, p_partkey LIMIT 8""",
     "snapshot_diff": """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 THEN 'inserted' WHEN o_orderkey % 10 = 2 THEN 'removed' WHEN o_orderkey % 7 = 0 THEN 'updated' ELSE 'unchanged' END AS change FROM orders""",
     "latest_wins": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "contact_filter": r"SELECT doc_id, regexp_matches(text, '(?:\+?[0-9][\s\-.()]*){10,}') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}') AS has_contact FROM documents",
