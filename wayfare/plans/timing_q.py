@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfare.functions import clock
-from wayfare.operators import plans, stats
+from wayfare.operators import models, plans, stats
 from wayfare.session import table
 
 #: junction kind (junction % 3), plan_ord, day_type, win_ord, start, end, mode, phases, cycle, ped
@@ -116,6 +116,27 @@ def autocorrelation(spark, sf_dir):
     return stats.autocorrelation(e, ["junction"], "h", "y", 2, 48).select("junction", "lag", F.round("r", 9).alias("r"))
 
 
+def green_start_fits(spark, sf_dir):
+    """Cycle and offset of stops at each junction, as seconds of the day."""
+    e = encounters(spark, sf_dir).filter("stopped").withColumn("t", F.pmod(clock.epoch(F.col("ts")), F.lit(86400.0)))
+    return models.start_fits(e.withColumn("junction", F.col("journey") % 50), "junction", "t")
+
+
+def cycle_scan(spark, sf_dir):
+    """Periodic stop model of each junction against a constant."""
+    e = encounters(spark, sf_dir).withColumn("t", F.pmod(clock.epoch(F.col("ts")), F.lit(86400.0))).withColumn("y", F.col("stopped").cast("double"))
+    return models.cycles(e, "junction", "t", "y", "journey")
+
+
+def predictions(spark, sf_dir):
+    """Level and confidence of each encounter's prior, by plan and kind of junction."""
+    got = plans.active_windows(encounters(spark, sf_dir), windows(spark))
+    control = F.when(F.col("junction") % 3 == 0, "fixed").otherwise("vehicle_actuated")
+    c = models.prior_confidence(control, F.col("assumed"), F.coalesce(F.size("phases") > 1, F.lit(False)), F.col("junction") % 2 == 0, F.lit("aging"), F.col("junction") == 5)
+    lev = models.level(F.lit(False), F.lit(0.0), F.col("mode"))
+    return got.select("event_id", lev.alias("level"), F.round(F.when(lev == "P", c), 9).alias("confidence"))
+
+
 def clock_features(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     c = clock.cyclic(F.col("ts"))
@@ -148,9 +169,12 @@ c AS (SELECT qid, delay, sum(sum(w)) OVER (PARTITION BY qid ORDER BY delay) / su
 SELECT qid, n, round(mean_delay, 6) AS mean_delay, round(p_stop, 6) AS p_stop, round(n_eff, 6) AS n_eff, round(mean_stop, 6) AS mean_stop, min(delay) FILTER (c >= 0.1) AS p10, min(delay) FILTER (c >= 0.5) AS p50, min(delay) FILTER (c >= 0.9) AS p90
 FROM b JOIN c USING (qid) WHERE n_eff >= 8 GROUP BY ALL"""
 
-QUERIES = {f.__name__: f for f in (interval_join, plan_prior, hourly_summary, weighted_quantile, kernel_estimate, scores, recent_residual, offset_fit, autocorrelation, clock_features, document_currency)}
+QUERIES = {f.__name__: f for f in (interval_join, plan_prior, hourly_summary, weighted_quantile, kernel_estimate, scores, recent_residual, offset_fit, autocorrelation, green_start_fits, cycle_scan, predictions, clock_features, document_currency)}
 ORACLES = {
     "interval_join": _ACTIVE + " SELECT event_id, day_type, assumed, mode, win_ord, cycle_s FROM act",
+    "predictions": _ACTIVE + """ SELECT event_id, CASE WHEN mode = 'timed' THEN 'P' ELSE 'E' END AS level, CASE WHEN mode = 'timed' THEN round(
+(CASE WHEN junction % 2 = 0 THEN least(0.6::DOUBLE, b + 0.1::DOUBLE) ELSE b END) * 0.85::DOUBLE * CASE WHEN junction = 5 THEN 0.7::DOUBLE ELSE 1 END, 9) END AS confidence
+FROM (SELECT *, CASE WHEN junction % 3 = 0 THEN 0.45::DOUBLE ELSE 0.3::DOUBLE END * CASE WHEN assumed THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN len(phases) > 1 THEN 0.8::DOUBLE ELSE 1 END AS b FROM act)""",
     "plan_prior": _ACTIVE + """, g0 AS (SELECT event_id, cycle_s::DOUBLE AS c, phases, ped, list_filter(list_transform(range(1, len(phases) + 1), lambda i: {'p': phases[i], 'i': i - 1}), lambda x: x.p > 0) AS pos FROM act WHERE mode = 'timed' AND cycle_s > 0),
 g1 AS (SELECT *, list_min(pos) AS m FROM g0), g2 AS (SELECT *, coalesce(ped, CASE WHEN len(pos) >= 3 AND m.p <= 15 AND m.p <= 0.12 * c THEN m.i END, -1) AS skip FROM g1),
 g AS (SELECT event_id, c, unnest(list_filter(pos, lambda x: x.i <> skip AND x.p < c)) AS x FROM g2),

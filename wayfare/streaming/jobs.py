@@ -54,16 +54,19 @@ def _admit(per_hour: int, per_day: int):
             if ok:
                 passed.append(int(ms))
         state.update((passed,))
-        state.setTimeoutDuration(2 * 86_400_000)
+        state.setTimeoutTimestamp(max(int(rows["ms"].max()) + 2 * 86_400_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["id", "ok"])
 
     return run
 
 
 def admission_stream(posts: DataFrame, post_id: str, client: str = "client", per_hour: int = CLIENT_HOUR, per_day: int = CLIENT_DAY) -> DataFrame:
-    """(id, ok): posting limits with feedback, state per client and UTC day, at most per_day times each."""
-    rows = posts.select(F.col(client).alias("c"), F.date_format("ts", "yyyy-MM-dd").alias("d"), F.unix_millis("ts").alias("ms"), F.col(post_id).alias("id"))
-    return rows.groupBy("c", "d").applyInPandasWithState(_admit(per_hour, per_day), "id long, ok boolean", "passed array<long>", "append", "ProcessingTimeTimeout")
+    """(id, ok): posting limits with feedback, state per client and UTC day, at most per_day times each.
+
+    A day's state goes once the watermark is two days past its last post.
+    """
+    rows = posts.withWatermark("ts", "1 day").select("ts", F.col(client).alias("c"), F.date_format("ts", "yyyy-MM-dd").alias("d"), F.unix_millis("ts").alias("ms"), F.col(post_id).alias("id"))
+    return rows.groupBy("c", "d").applyInPandasWithState(_admit(per_hour, per_day), "id long, ok boolean", "passed array<long>", "append", "EventTimeTimeout")
 
 
 def upsert_snapshots(stream: DataFrame, target: str, checkpoint: str, key: str = "id"):
