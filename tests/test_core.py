@@ -157,3 +157,40 @@ def test_streams_equal_batches(spark, tmp_path):
     jobs.upsert_snapshots(stream.withColumnRenamed("user_id", "id"), f"file://{tmp_path}/out", f"file://{tmp_path}/ck").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/out/v=0").count() == events.select("user_id").distinct().count()
     shutil.rmtree(tmp_path / "ck")
+
+
+def test_junctions(spark):
+    from wayfare.operators import junctions
+
+    nodes = spark.createDataFrame([(1, 12.9, 77.6), (2, 12.9002, 77.6), (3, 12.95, 77.6)], "id long, lat double, lon double")
+    line = lambda pts: [{"lat": y, "lon": x} for y, x in pts]
+    ways = spark.createDataFrame(
+        [(10, line([(12.898, 77.6), (12.9, 77.6), (12.9002, 77.6), (12.902, 77.6)]), {"name": "A", "highway": "primary"}), (11, line([(12.9, 77.598), (12.9, 77.6)]), {"name": "B", "oneway": "yes"}), (12, line([(12.9, 77.6), (12.9, 77.602)]), {"highway": "footway"})],
+        "id long, geometry array<struct<lat:double,lon:double>>, tags map<string,string>",
+    )
+    a = junctions.approaches(nodes, ways)
+    got = sorted((r["node"], r["way"], round(r["bearing"])) for r in a.collect())
+    assert got == [(1, 10, 0), (1, 10, 180), (1, 11, 90), (2, 10, 0), (2, 10, 180)]
+    e = junctions.links(nodes, junctions.at_nodes(nodes, ways), 13.0)
+    assert [tuple(r) for r in e.collect()] == [(1, 2)]
+    merged = junctions.merge_approaches(a.withColumn("junction", F.lit("j")))
+    assert [(r["k"], r["name"], round(r["bearing"]), r["nodes"]) for r in merged.orderBy("k").collect()] == [(1, "A", 0, [1, 2]), (2, "B", 90, [1]), (3, "A", 180, [1, 2])]
+    listed = spark.createDataFrame([(1, 12.9, 77.6), (2, 12.901, 77.6), (8, 12.9501, 77.6), (9, 12.8, 77.5)], "id long, lat double, lon double")
+    out = junctions.reconcile(listed, nodes.withColumnRenamed("id", "junction"), nodes, 13.0)
+    assert {r["id"]: (r["outcome"], r["to"]) for r in out.collect()} == {1: ("present", "1"), 2: ("moved", "2"), 8: ("attached", "3"), 9: ("added", None)}
+
+
+def test_models():
+    import numpy as np
+
+    from wayfare.operators import models
+
+    rng = np.random.default_rng(3)
+    g = np.sort(17 + 120 * rng.integers(0, 200, 40) + rng.normal(0, 1, 40))
+    c, o, _, inliers = models.green_starts(g)
+    assert abs(c - 120) < 1 and min((o - 17) % c, (17 - o) % c) < 4 and inliers > 0.7
+    assert models.green_starts(g[:3]) is None
+    t = np.sort(rng.uniform(0, 20000, 400))
+    y = ((t - 17) % 90 < 40).astype(float)
+    c, _, better = models.scan_cycle(t, y, rng.random(400) < 0.3, low=80, high=100)
+    assert abs(c - 90) < 1 and better > 0.2
