@@ -133,4 +133,23 @@ SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER
 FROM (SELECT kk.r, kk.doc_id, p, line, common.k IS NOT NULL AND kk.doc_id IS DISTINCT FROM keeper AS gone FROM kk LEFT JOIN common ON kk.k = common.k)
 GROUP BY r"""
 
-ORACLES = {"op1_decontaminate": _OP1, "op4_mix_sources": _OP4, "op5_line_dedup": _OP5}
+
+
+def _op7_sql() -> str:
+    """Sentences and rules as tables; a rule is met when its identifiers follow one another."""
+    q = lambda v: "'" + v.replace("'", "''") + "'"
+    low = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    normal = "trim(regexp_replace(" + low + r", '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'), ' ')"
+    known = ", ".join(f"({q(s)}, {q(n)})" for n, s in licenses.SENTENCES.items())
+    rules = "[" + ", ".join(f"{{'l': {q(n)}, 'p': {q('.*,'.join(',' + x for x in o).replace(',.*', '.*') + ',')}}}" for n, o in licenses.RULES) + "]"
+    return rf"""
+WITH k AS (SELECT {normal.format(c="s")} AS key, id FROM (VALUES {known}) v(s, id)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT r, unnest(p) AS s, unnest(range(1, len(p) + 1)) AS i FROM (SELECT r, string_split(regexp_replace(t, '([.!?;])[ 	]+', '' || chr(10), 'g'), chr(10)) AS p FROM d)),
+m AS (SELECT r, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n FROM x JOIN k ON k.key = {normal.format(c="s")} GROUP BY r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids,
+       array_to_string(list_transform(list_filter(list_transform({rules}, lambda z, i: {{'i': i, 'l': z.l, 'ok': regexp_matches(',' || coalesce(replace(ids, ',', ',,'), '') || ',', z.p)}}), lambda z: z.ok AND z.i = list_position(list_transform({rules}, lambda y: y.l || regexp_matches(',' || coalesce(replace(ids, ',', ',,'), '') || ',', y.p)), z.l || TRUE)), lambda z: z.l), ',') AS licenses
+FROM d LEFT JOIN m USING (r)"""
+
+
+ORACLES = {"op7_licenses": _op7_sql(), "op1_decontaminate": _OP1, "op4_mix_sources": _OP4, "op5_line_dedup": _OP5}
