@@ -194,3 +194,25 @@ def test_models():
     y = ((t - 17) % 90 < 40).astype(float)
     c, _, better = models.scan_cycle(t, y, rng.random(400) < 0.3, low=80, high=100)
     assert abs(c - 90) < 1 and better > 0.2
+
+
+def test_review_and_mentions(spark):
+    from wayfare.functions import similarity
+    from wayfare.operators import review
+
+    w = lambda mode="timed", ok=True, flags=(), c=120: {"mode": mode, "consistent": ok, "flags": list(flags), "cycle_s": c}
+    day = lambda *ws, t="weekday_default", o=True: {"day_type": t, "windows_ordered": o, "windows": list(ws)}
+    rows = [
+        (1, "FIXED", 4, "strong", [day(w(), w("blinking"))], [], 5), (2, "FIXED", 4, "strong", [day(w())], ["duplicate"], 1), (3, "ATCS", 1, "moderate", [], [], 1),
+        (4, "VAC", 2, "strong", [day(w(flags=["incomplete_row"]), w(ok=False))], [], 1),
+    ]
+    schema = "id int, control_label string, phase_count int, tier string, day_plans array<struct<day_type:string,windows_ordered:boolean,windows:array<struct<mode:string,consistent:boolean,flags:array<string>,cycle_s:int>>>>, quality_flags array<string>, importance int"
+    got = {r["id"]: r for r in review.prevalidate(spark.createDataFrame(rows, schema)).collect()}
+    assert [got[i]["review"] for i in (1, 2, 3, 4)] == ["pre_validated", "pending_review", "pending_review", "pending_review"]
+    assert abs(got[1]["score"] - 1) < 1e-9 and got[2]["blocking"] == ["duplicate"] and abs(got[3]["score"] - 0.15) < 1e-9
+    assert abs(got[4]["score"] - 0.6) < 1e-9 and abs(got[1]["priority"] - 1) < 1e-9
+    pages = spark.createDataFrame([("s", 1, "Silk Board Junction should be widened. The Two Way Silk Board junction again. Two Way junction. Delay at Hebbal Circle was observed.")], "source string, page int, body string")
+    assert sorted((r["name"], r["kind"], r["claim"]) for r in text.place_mentions(pages).collect()) == [("Hebbal", "circle", "observation"), ("Silk Board", "junction", "qualitative_recommendation")]
+    v = lambda x: F.lit(x).cast("double")
+    assert one(spark, similarity.match_tier(v(0.8), v(0.5)), similarity.match_tier(v(0.8), v(0.7)), similarity.match_tier(v(0.1), v(None))) == ("strong", "moderate", "none")
+    assert one(spark, similarity.junction_tier(v(0.8), v(0.1), v(0.5), v(50), v(0.9), v(0.2)), similarity.junction_tier(v(0.1), v(0.1), v(0.1), v(None), v(0.35), v(0.2))) == ("strong", "weak")

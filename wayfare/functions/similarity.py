@@ -49,5 +49,22 @@ def best_matches(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
 
 
 def match_tier(best, second):
-    """strong, moderate, weak or none, by the best score and its lead."""
-    return F.when(best.isNull() | (best <= 0), "none").when((best >= 0.6) & (best - second >= 0.15), "strong").when(best >= 0.4, "moderate").otherwise("weak")
+    """Tier of a match by name alone: the best score, and its lead on the second."""
+    lead = best - F.coalesce(second, F.lit(0.0))
+    return F.when((best >= 0.75) & (lead >= 0.2), "strong").when(best >= 0.5, "moderate").when(best >= 0.3, "weak").otherwise("none")
+
+
+def combined_score(score, distance_m):
+    """A candidate's score with its distance to a trusted place, up to 300 m, as further evidence."""
+    near = F.greatest(F.lit(0.0), 1 - distance_m / 300)
+    return F.when(distance_m.isNull(), score).when(score > 0, F.least(F.lit(1.0), score + 0.5 * near)).otherwise(0.45 * near)
+
+
+def junction_tier(name, road, score, distance_m, combined, second):
+    """Tier of the best candidate by name and road similarity, place and lead."""
+    strong_name = (road >= 0.6) | (name >= 0.75)
+    within = lambda m: F.coalesce(distance_m <= m, F.lit(False))
+    lead = combined - F.coalesce(second, F.lit(0.0))
+    strong = (strong_name & within(90)) | ((road >= 0.8) & (lead >= 0.15)) | (within(40) & (name >= 0.5) & (lead >= 0.2))
+    moderate = strong_name | (within(90) & (score >= 0.25)) | (combined >= 0.6)
+    return F.when(combined.isNull(), "none").when(strong, "strong").when(moderate, "moderate").when(combined >= 0.3, "weak").otherwise("none")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say nothing about which place is meant.
@@ -66,13 +66,41 @@ def undoubled(s: Column) -> Column:
 
 
 def sentences(body: Column) -> Column:
+    """Parts that end before a capital or a bullet."""
     flat = F.trim(F.regexp_replace(body, r"\s+", " "))
-    return F.filter(F.split(flat, r"(?<=[.!?])\s+(?=[A-Z•])"), lambda x: x != "")
+    return F.filter(F.split(flat, r"(?<=[.!?])\s+(?=[A-Z➢✓•])|(?=[➢✓•])"), lambda x: F.trim(x) != "")
+
+
+#: Fixed patterns: what makes a sentence a recommendation, and what an observation.
+RECOMMENDS = r"(?i)recommend|need to be|needs to be|should|optimi[sz]|propos|suggest"
+OBSERVES = r"(?i)kmph|km/h|speed|delay|queue|congestion|observed|survey"
+#: Words before a name that are no part of it, and kinds of place that follow one.
+LEADS = ["junction", "signal", "circle", "the", "two", "one", "way", "from", "towards", "near", "at"]
+PLACE = r"((?:[A-Z][A-Za-z.'-]*\s+){1,4})(?i:(junction|circle|signal))\b"
 
 
 def claim_kind(s: Column) -> Column:
     """Recommendation before observation before mere mention."""
-    return F.when(s.rlike(r"(?i)\b(?:should|needs? to|recommend|propos|optimi[sz])"), "qualitative_recommendation").when(s.rlike(r"(?i)\b(?:observed|survey|count|delay|queue|cycle)"), "survey_observation").otherwise("mention")
+    return F.when(s.rlike(RECOMMENDS), "qualitative_recommendation").when(s.rlike(OBSERVES), "observation").otherwise("mention")
+
+
+def clean_place(raw: Column) -> Column:
+    """A name without stray single letters and leading words; null when under three characters."""
+    words = F.filter(F.split(F.trim(raw), r"\s+"), lambda w: w != "")
+    plain = F.transform(words, lambda w: ~(F.lower(w).isin(*LEADS) | (F.length(w) == 1)))
+    first = F.array_position(plain, True).cast("int")
+    name = F.when(first > 0, F.array_join(F.slice(words, first, F.size(words)), " "))
+    return F.when(F.length(name) >= 3, name)
+
+
+def place_mentions(pages: DataFrame) -> DataFrame:
+    """(source, page, name, kind, claim, pos) of places named in page texts, the first of each name on a page."""
+    sent = pages.select("source", "page", F.posexplode(sentences(F.col("body"))).alias("pos", "sentence"))
+    found = F.explode(F.arrays_zip(F.regexp_extract_all("sentence", F.lit(PLACE), 1).alias("raw"), F.regexp_extract_all("sentence", F.lit(PLACE), 2).alias("kind")))
+    rows = sent.select("source", "page", "pos", claim_kind(F.col("sentence")).alias("claim"), found.alias("m"))
+    rows = rows.select("source", "page", "pos", "claim", clean_place(F.col("m.raw")).alias("name"), F.lower("m.kind").alias("kind")).filter("name IS NOT NULL")
+    first = rows.groupBy("source", "page", F.lower("name").alias("low"), "kind").agg(F.min(F.struct("pos", "name", "claim")).alias("f"))
+    return first.select("source", "page", "f.name", "kind", "f.claim", "f.pos")
 
 
 def search_rank(name: Column, roads: Column, asked: Column) -> Column:

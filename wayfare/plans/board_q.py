@@ -85,7 +85,7 @@ def fuzzy_match(spark, sf_dir):
 def mentions(spark, sf_dir):
     """Sentences of documents by what they claim."""
     s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.count_if(text.claim_kind(F.col("sentence")) == k).alias(k) for k in ("qualitative_recommendation", "survey_observation", "mention")])
+    return s.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.count_if(text.claim_kind(F.col("sentence")) == k).alias(k) for k in ("qualitative_recommendation", "observation", "mention")])
 
 
 def _blocks(spark, sf_dir):
