@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wayfare.llm.common import digest
 from wayfare.llm.textwords import chunks, shingle_sets
 from wayfare.operators.graph import connected_components
 from wayfare.scratch import write_table
@@ -64,8 +65,8 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _features(k: int):
-    """(kind 0: doc_id, sid, n), (kind 1: a frequent token and its count)."""
-    names = ["kind", "doc_id", "sid", "n"]
+    """(kind 0: doc_id, digest of the text, sid, n), (kind 1: a frequent token and its count)."""
+    names = ["kind", "doc_id", "h", "sid", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -73,7 +74,7 @@ def _features(k: int):
         def flush() -> pa.RecordBatch:
             token, count = np.unique(np.concatenate(held), return_counts=True)
             token, count = token[count >= REPORT].view(np.int64), count[count >= REPORT]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.array(token), pa.array(count)], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.binary()), pa.array(token), pa.array(count)], names)
 
         for batch in batches:
             sid, n = [], []
@@ -87,7 +88,7 @@ def _features(k: int):
                     if size >= COUNT_CHUNK:
                         yield flush()
                         held, size, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id").cast(pa.int64()), pa.array(sid, pa.int64()), pa.array(n, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), batch.column("doc_id").cast(pa.int64()), batch.column("h"), pa.array(sid, pa.int64()), pa.array(n, pa.int64())], names)
         if held:
             yield flush()
 
@@ -310,11 +311,16 @@ def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, sid, component_id): one row per row of docs."""
+    """(doc_id, h, n_shingles, root, component_id): one row per row of docs.
+
+    h: the text's digest, by which rows that share a doc_id differ. root: one of the
+    component's set ids, null without shingles.
+    """
     spark = docs.sparkSession
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    features = write_table(keyed.mapInArrow(_features(k), "kind int, doc_id long, sid long, n long"), "shingle-sets")
-    of_doc = features.filter("kind = 0").select("doc_id", "sid", "n")
+    hashed = keyed.withColumn("h", digest(F.coalesce("text", F.lit(""))))
+    features = write_table(hashed.mapInArrow(_features(k), "kind int, doc_id long, h binary, sid long, n long"), "shingle-sets")
+    of_doc = features.filter("kind = 0").select("doc_id", "h", "sid", "n")
     frequent = features.filter("kind = 1").groupBy(F.col("sid").alias("token")).agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "token").limit(FREQUENT)
     late = np.array([r["token"] for r in frequent.collect()], np.int64).view(np.uint64)
     order = spark.sparkContext.broadcast(np.sort(late))
@@ -367,19 +373,22 @@ def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     last = _merged(known, _verified(apart.select("a", "b"), arrays, num, den))
 
     member = of_doc.join(last.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("component", "sid"))
-    member = write_table(member.select("doc_id", "n", "sid", "root"), "near-members")
+    member = write_table(member.select("doc_id", "h", "n", "sid", "root"), "near-members")
     least = member.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return member.join(least, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), "sid", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return member.join(least, "root", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id.
+    """docs with one document of each component: that of the smallest doc_id.
 
-    Of several rows with that doc_id the one whose text comes first stays. Rows without
-    shingles have no near copies and all stay.
+    Of texts that share that doc_id the one of the smallest digest stays; rows with equal
+    doc_id and text are one document and all stay, as do rows without shingles, which have
+    no near copies. A component without any doc_id keeps one text likewise.
     """
-    from wayfare.llm.common import digest
-
-    found = join_components(docs, k, num, den, doc_id, text)
-    lost = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(lost, F.col(doc_id) == F.col("_gone"), "left_anti")
+    found = join_components(docs, k, num, den, doc_id, text).filter("root IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
+    best = found.groupBy("root").agg(F.min(order).alias("w"))
+    same = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("h") == F.col("w.h"))
+    lost = found.join(best, "root").filter(~same).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_text")).distinct()
+    # a row is lost if its own text is, whatever else bears its doc_id
+    return docs.join(lost, F.col(doc_id).eqNullSafe(F.col("_gone")) & (digest(F.coalesce(F.col(text), F.lit(""))) == F.col("_text")), "left_anti")
