@@ -13,8 +13,8 @@ sets share SHARED + 1 of them (or all they must share, if that is less), so a se
 fewer tokens in common with sets of its size is out at once, and its text is never moved.
 
 A group of k mutual near copies must not cost k * k pairs. So a first round links each
-node with the set that leads most of its tiles and the one that stands next below it in size
-in most, and takes components; the second round looks in every tile at pairs that are not yet connected.
+node with the LINKS sets that lead most of its tiles and the LINKS that stand next below it in size
+most often, and takes components; the second round looks in every tile at pairs that are not yet connected.
 Tiles over TILE rows are dealt into blocks, one task per pair of blocks.
 
 Defined cases. Null text, or one of blanks: no shingles, linked with nothing,
@@ -46,9 +46,9 @@ from wayfare.scratch import write_table
 #: each). These shape the order of tokens alone.
 COUNT_CHUNK, REPORT, FREQUENT = 2_000_000, 8, 100_000
 SHARED = 4
-LINKS = 2
+LINKS = 3
 TILE = 2_000
-BITS = 1024
+BITS = 4096
 
 
 def _ceil(n, num: int, den: int):
@@ -345,7 +345,7 @@ def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     choice = F.explode(F.array(F.struct(F.lit(0).alias("w"), F.col("below").alias("to")), F.struct(F.lit(1).alias("w"), F.col("lead").alias("to"))))
     votes = led.select("sid", choice.alias("v")).filter("sid <> v.to").groupBy("sid", "v.w", "v.to").agg(F.count("*").alias("c"))
     top = F.row_number().over(Window.partitionBy("sid", "w").orderBy(F.desc("c"), "to"))
-    first = votes.withColumn("r", top).filter("r = 1").select(F.col("sid").alias("a"), F.col("to").alias("b")).distinct()
+    first = votes.withColumn("r", top).filter(F.col("r") <= LINKS).select(F.col("sid").alias("a"), F.col("to").alias("b")).distinct()
     edges = write_table(_verified(first, arrays, num, den), "near-pairs")
     known = connected_components(edges)
 
