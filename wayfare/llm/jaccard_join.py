@@ -360,7 +360,9 @@ def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
     # tiles of two blocks have odd numbers
     number = ((low * F.col("g") + high) * 2 + F.when(low != high, 1).otherwise(0)).cast("long")
     row = row.select("token", number.alias("tile"), "sid", "n", "pos", "comp", "block")
-    tiles = row.repartition("token", "tile").sortWithinPartitions("token", "tile", "n", "sid")
+    # tasks pool a pair's tiles before they pass it on: a few tasks a core pool more than many
+    few = 4 * spark.sparkContext.defaultParallelism
+    tiles = row.repartition("token", "tile").coalesce(few).sortWithinPartitions("token", "tile", "n", "sid")
     more = tiles.mapInArrow(_pairs(num, den), "a long, b long, m long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("m").alias("m"))
     needed = F.least(F.lit(SHARED + 1), F.ceil(F.col("m") * num / F.lit(den)))
     more = write_table(more.filter(F.col("c") >= needed).select("a", "b", "c"), "candidate-pairs")
