@@ -8,7 +8,9 @@ Labelled findings here: a finding whose form settles the matter is labelled by
 `settled`, the rest are left to the forest. Any other table of (finding, label) serves
 as well. Training takes at most `sample` findings of each label (lowest hashes), the
 documented bound; the forest itself is trained by Spark. Dictionary and findings cover
-all texts.
+all texts: a word is in the dictionary when all texts together hold it REPORT times,
+however they are dealt out, and the dictionary stays a table, joined with the words of
+the candidates.
 
 Defined cases. Null and empty texts have no candidates. Candidates of one rule never
 overlap; of two rules' candidates at one place the first rule's stays. Positions are in
@@ -25,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayfare.llm.textwords import chunks
+from wayfare.llm.textwords import CHUNK
 from wayfare.scratch import write_table
 
 #: Rules in order; group v is the candidate. Fixed formats are those the issuers publish.
@@ -46,8 +49,9 @@ RULES = [
 #: Stand-ins that documentation uses.
 STAND_INS = ["example", "changeme", "xxxx", "your", "dummy", "sample", "placeholder", "redacted", "123456"]
 CUES = ["password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer", "credential"]
-DICTIONARY, REPORT = 50_000, 16
+REPORT = 16  # occurrences in the corpus that make a word of the dictionary
 _KINDS = 6  # lower, upper, digit, + / _ -, other, end
+COVERED = 4  # place of the dictionary's share in the features
 WIDTH = 10 + _KINDS * _KINDS + 4 + len(RULES)
 
 
@@ -66,15 +70,15 @@ def settled(rule: str, value: str) -> int | None:
     return None
 
 
-def _words_of(value: str) -> list[str]:
-    return re.findall(r"[a-z]{3,}|[A-Z][a-z]{2,}", value)
+_WORD = "[a-z]{3,}|[A-Z][a-z]{2,}"
 
 
 def _shape(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if c.isdigit() else 3 if c in "+/_-=" else 4
 
 
-def features(rule: int, value: str, before: str, after: str, path: str, known: set[str]) -> list[float]:
+def features(rule: int, value: str, before: str, after: str, path: str) -> list[float]:
+    """All features but the one at COVERED, which is 0 until the dictionary is joined."""
     n = len(value)
     counts = np.bincount(np.frombuffer(value.encode("utf-32-le"), np.uint32) % 256, minlength=1)
     p = counts[counts > 0] / n
@@ -82,12 +86,11 @@ def features(rule: int, value: str, before: str, after: str, path: str, known: s
     moves = np.zeros((_KINDS, _KINDS))
     for a, b in zip(shapes[:-1], shapes[1:], strict=True):
         moves[a, b] += 1
-    covered = sum(len(w) for w in _words_of(value) if w.lower() in known)
     beside = before.lower()
     one = [0.0] * len(RULES)
     one[rule] = 1.0
     return [
-        float(n), math.log(n), float(-(p * np.log2(p)).sum()), len(set(value)) / n, covered / n,
+        float(n), math.log(n), float(-(p * np.log2(p)).sum()), len(set(value)) / n, 0.0,
         sum(s == 2 for s in shapes) / n, sum(s == 0 for s in shapes) / n, sum(s == 1 for s in shapes) / n,
         float(bool(re.fullmatch("[0-9a-f]+", value))), float(any(s in value.lower() for s in STAND_INS)),
         *(moves / n).ravel().tolist(),
@@ -96,30 +99,24 @@ def features(rule: int, value: str, before: str, after: str, path: str, known: s
     ]
 
 
-def _frequent_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words that a chunk of about two megabytes holds REPORT times."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of each piece of about CHUNK bytes; a word may come from many pieces."""
     for batch in batches:
-        for words in chunks(batch.column("text")):
-            h, first, c = np.unique(words.hashes, return_index=True, return_counts=True)
-            often = c >= REPORT
-            if not often.any():
-                continue
-            raw = bytes(words.data)
-            # positions of the words are not kept: take the text's own split for the few frequent ones
-            row = np.searchsorted(words.first, first[often], "right") - 1
-            out = []
-            for r, f in zip(row, first[often], strict=True):
-                text = raw[words.offsets[r] : words.offsets[r + 1]]
-                out.append(text.split()[f - words.first[r]].decode(errors="ignore").lower())
-            yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(c[often], pa.int64())], ["word", "n"])
-
-
-def dictionary(docs: DataFrame, text: str = "text") -> list[str]:
-    """The corpus's most frequent words, at most DICTIONARY."""
-    found = docs.select(F.col(text).alias("text")).mapInArrow(_frequent_words, "word string, n long")
-    word = F.regexp_extract("word", "^[a-z]{3,}$", 0).alias("word")
-    top = found.select(word, "n").filter("word <> ''").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(DICTIONARY)
-    return [r["word"] for r in top.collect()]
+        texts = batch.column("text").fill_null("").cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+            found = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(at, to - at))).flatten().value_counts()
+            found = found.filter(pc.match_substring_regex(found.field("values"), "^[a-z]{3,}$"))
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["word", "n"])
+            at = to
+
+
+def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n): words that stand REPORT times or more in all texts together."""
+    found = docs.select(F.col(text).alias("text")).mapInArrow(_count_words, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= REPORT)
 
 
 _FOUND = T.StructType(
@@ -131,34 +128,37 @@ _FOUND = T.StructType(
 )
 
 
-def _finder(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules, known = [(n, re.compile(p)) for n, p in RULES], shared.value
-        for batch in batches:
-            rows = []
-            for i, text, path in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("path").to_pylist(), strict=True):
-                text = text.as_py() or ""
-                taken: list[tuple[int, int]] = []
-                for r, (name, pattern) in enumerate(rules):
-                    for m in pattern.finditer(text):
-                        a, b = m.span("v")
-                        if any(a < d and c < b for c, d in taken):
-                            continue
-                        taken.append((a, b))
-                        value = m["v"]
-                        before = text[max(0, a - 40) : a]
-                        rows.append({"doc_id": i, "start": a, "end": b, "rule": name, "value": value, "label": settled(name, value), "x": features(r, value, before, text[b : b + 10], path or "", known)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("rule", pa.string()), ("value", pa.string()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))]))
-
-    return run
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rules = [(n, re.compile(p)) for n, p in RULES]
+    for batch in batches:
+        rows = []
+        for i, text, path in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("path").to_pylist(), strict=True):
+            text = text.as_py() or ""
+            taken: list[tuple[int, int]] = []
+            for r, (name, pattern) in enumerate(rules):
+                for m in pattern.finditer(text):
+                    a, b = m.span("v")
+                    if any(a < d and c < b for c, d in taken):
+                        continue
+                    taken.append((a, b))
+                    value = m["v"]
+                    before = text[max(0, a - 40) : a]
+                    rows.append({"doc_id": i, "start": a, "end": b, "rule": name, "value": value, "label": settled(name, value), "x": features(r, value, before, text[b : b + 10], path or "")})
+        yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("rule", pa.string()), ("value", pa.string()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))]))
 
 
 def findings(docs: DataFrame, path: str | None = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Candidates with their features and settled labels."""
-    known = docs.sparkSession.sparkContext.broadcast(set(dictionary(docs, text)))
     where = F.col(path).cast("string") if path in docs.columns else F.lit("")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), where.alias("path"))
-    return write_table(rows.mapInArrow(_finder(known), _FOUND), "findings")
+    found = write_table(rows.mapInArrow(_find, _FOUND), "candidates")
+    # what a value's words cover hangs on the value alone, so each value is looked up once
+    word = F.explode(F.regexp_extract_all("value", F.lit(_WORD), F.lit(0)))
+    words = found.select("value").distinct().select("value", word.alias("word")).withColumn("word", F.lower("word"))
+    covered = words.join(dictionary(docs, text), "word").groupBy("value").agg(F.sum(F.char_length("word")).alias("covered"))
+    share = F.coalesce(F.col("covered"), F.lit(0)) / (F.col("end") - F.col("start"))
+    x = F.concat(F.slice("x", 1, COVERED), F.array(share), F.slice("x", COVERED + 2, WIDTH - COVERED - 1))
+    return write_table(found.join(covered, "value", "left").withColumn("x", x).select(*_FOUND.names), "findings")
 
 
 def fit(labelled: DataFrame, sample: int = 20_000, trees: int = 24, depth: int = 6, seed: int = 3):
