@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -297,6 +298,23 @@ def test_licenses(spark):
     assert got[7][1] == ["Apache-2.0", "CC-BY-NC-4.0"] and got[8][1] == ["MIT"]
 
 
+def test_licenses_in_wrapped_texts(spark):
+    s = licenses.SENTENCES
+    mit = ["MIT License", "Copyright (c) 2020 Someone", s["mit-grant"], s["mit-condition"], 'THE SOFTWARE IS PROVIDED "AS IS".']
+    bsd = ["Copyright 2020 Someone. All rights reserved.", s["bsd-redistribution"], "1. " + s["bsd-source"], "2. Redistributions in binary form.", "3. " + s["bsd-endorse"]]
+    gpl = [s["gpl-free"], s["gpl-warranty"] + "; without even the implied warranty of FITNESS.", "You should have received a copy."]
+    apache = [s["apache-file"] + "; " + s["apache-use"] + " You may obtain a copy of the License at"]
+    want = [(mit, ["MIT"]), (bsd, ["BSD-3-Clause", "BSD-2-Clause"]), (bsd[:4], ["BSD-2-Clause"]), (gpl, ["GPL-3.0-or-later"]), (apache, ["Apache-2.0"])]
+    wrapped = lambda parts, lead, width, end: end.join(lead + x for part in parts for x in [*textwrap.wrap(part, width), ""])
+    cases = [(w, wrapped(parts, lead, width, end)) for parts, w in want for lead in ("", "# ", " * ", "// ", "dnl ", "REM\t", ";; ") for width, end in ((38, "\n"), (76, "\r\n"), (2000, "\n"))]
+    cases += [(["MIT"], "\n".join(mit[2:4])), (["MIT"], "Released under the" + " " * 5000 + "MIT License."), (["MIT"], "See below: Released under\nthe MIT License. End")]
+    cases += [([], "Released under\n\nthe MIT License."), ([], "Released under\n * \n * the MIT License."), ([], "a not released under the\nMIT license."), (["MIT"], "Released under the MIT|License."), ([], "not|Released under the MIT License."), ([], "\n | . " * 50000)]
+    got = {r["doc_id"]: r["_licenses"] for r in licenses.recognise(docs(spark, [(i, t) for i, (_, t) in enumerate(cases)])).collect()}
+    assert [(i, got[i]) for i in range(len(cases))] == [(i, w) for i, (w, _) in enumerate(cases)]
+    ids = {r["doc_id"]: r["_ids"] for r in licenses.recognise(docs(spark, [(1, 'Licensed under the Apache License, Version 2.0\n(the "License")'), (2, "Licensed under CC BY 4.0. Licensed under\nCC BY 4.0.")])).collect()}
+    assert ids == {1: ["apache-notice", "apache-file"], 2: ["ccby4-notice"] * 2}
+
+
 # --- op10
 def test_token_counts(spark):
     path, pattern = token_counts.vocabulary()

@@ -1,17 +1,22 @@
 """License scans (native): sentence rules.
 
-Each sentence of a text is normalised and mapped to the identifier of a known licence
-sentence, if it is one; the sequence of identifiers of a text is then matched against
-licence rules, each an ordered list of identifiers that must stand in that order
-(others may lie between). The known sentences are a small fixed table, sent along as a
-map literal, so the scan shuffles nothing.
-
-Sentences end at a line feed, or at . ! ? ; followed by a blank. Normalised: A-Z
+The normalised text is cut at every place where a sentence may end, and each stretch
+from one such place to another that reads as a known licence sentence is mapped to its
+identifier; the sequence of identifiers of a text is then matched against licence rules,
+each an ordered list of identifiers that must stand in that order (others may lie
+between). The known sentences are a small fixed table, sent along as a pattern and a map
+literal, so the scan shuffles nothing.
+
+Sentences may end at a line feed, or at . ! ? ; : followed by a blank. A known sentence
+may run over several lines and over such places within itself, but not over a blank line
+(one that holds nothing but marks and blanks, as in a comment). Normalised: A-Z
 lower-cased, everything but a-z, 0-9 and bytes above ASCII taken as a blank, blanks
-collapsed.
+collapsed, the words dnl, rem and c left out at the start of a line, where they are
+comment leaders; leaders made of marks are blanks already.
 
 Defined cases. Null and empty texts hold no sentence and match no rule. A sentence that
-occurs twice is in the sequence twice. When several rules match, all are named, in the
+occurs twice is in the sequence twice; identifiers stand by where their sentences start,
+shorter ones first. A sentence of any length, with any blanks in it, is looked at. When several rules match, all are named, in the
 order of RULES. Rows with equal ids are scanned each on its own; other columns play no
 part. An empty table gives an empty result.
 """
@@ -22,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import ascii_lower
+from wayfare.llm.common import UPPER
 
 #: Sentences of public licences, by identifier. Version numbers and names
 #: stand as they do in the licence texts; normalisation takes their points for blanks.
@@ -58,12 +63,25 @@ RULES = [
     ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-endorse"]),
     ("BSD-2-Clause", ["bsd-redistribution", "bsd-source"]),
 ]
-_END = r"\n|(?<=[.!?;])[ \t\x0B\f\r]+"
-_FILL = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
+_WORD = r"a-z0-9\x{80}-\x{10FFFF}"
+#: Marks in the cut text: | where a sentence may end, # at blank lines.
+_STEPS = [
+    (r"(?<=[.!?;:])[ \t\x0B\f\r]+", "|"),
+    (rf"(?md)^[^{_WORD}\n]*(?:dnl|rem|c)(?![^ \t\r\n])", ""),
+    (rf"[^{_WORD}|\n]+", " "),
+    (r" ?\|[ |]*", "|"),
+    (r"[ |]?\n[ |]?", "\n"),
+    (r"\n{2,}", "#"),
+]
 
 
-def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(sentence), _FILL, " "))
+def cut(text: Column) -> Column:
+    """The normalised text with its marks; each step is linear in the text."""
+    # a bar of the text itself is no mark
+    out = F.translate(F.coalesce(text, F.lit("")), UPPER + "|", UPPER.lower() + "_")
+    for pattern, mark in _STEPS:
+        out = F.regexp_replace(out, pattern, mark)
+    return F.concat(F.lit("|"), F.trim(F.translate(out, "\n", "|")), F.lit("|"))
 
 
 def _normal(sentence: str) -> str:
@@ -74,24 +92,17 @@ def _normal(sentence: str) -> str:
 
 
 def recognise(docs: DataFrame, sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None, text: str = "text") -> DataFrame:
-    """docs with `_ids` (array of identifiers in order) and `_licenses` (array of licences).
-
-    Only sentences whose first word and length fit a known one are normalised: the text is
-    split once, and a sentence too long or too short for any is passed over.
-    """
+    """docs with `_ids` (array of identifiers in order) and `_licenses` (array of licences)."""
     sentences, rules = sentences or SENTENCES, rules or RULES
-    # the pieces of a known sentence are looked up as the text's own pieces are
     known: dict[str, str] = {}
     for name, sentence in sentences.items():
         known.setdefault(_normal(sentence), name)
-    longest = max(map(len, sentences.values())) * 2
-    shortest = min(map(len, known))
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    pieces = F.filter(
-        F.split(F.coalesce(F.col(text), F.lit("")), _END, -1),
-        lambda s: F.char_length(s).between(shortest, longest),
-    )
-    ids = F.array_compact(F.transform(pieces, lambda s: F.try_element_at(table, normal(s))))
+    # the longest known sentence from each mark; a shorter one from there is a part of it that ends at a mark
+    longest = "|".join(k.replace(" ", "[ |]") for k in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(cut(F.col(text)), F.lit(f"[|#](?=({longest})[|#])"), F.lit(1))
+    starts = lambda m: F.transform(F.sequence(F.lit(1), F.size(F.split(m, r"\|"))), lambda n: F.array_join(F.slice(F.split(m, r"\|"), 1, n), " "))
+    ids = F.array_compact(F.flatten(F.transform(found, lambda m: F.transform(starts(m), lambda k: F.try_element_at(table, k)))))
     out = docs.withColumn("_ids", ids)
     return out.withColumn("_licenses", F.array_distinct(F.array_compact(F.array(*[F.when(_in_order(F.col("_ids"), order), F.lit(name)) for name, order in rules]))))
 
