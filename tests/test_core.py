@@ -1,11 +1,12 @@
 import json
+import random
 import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from wayfare.functions import clock, geo, text
+from wayfare.functions import clock, geo, similarity, text
 from wayfare.functions.similarity import soft_jaccard
 from wayfare.operators import board, facets, plans, snapshot, spatial
 from wayfare.operators.graph import connected_components
@@ -216,3 +217,24 @@ def test_review_and_mentions(spark):
     v = lambda x: F.lit(x).cast("double")
     assert one(spark, similarity.match_tier(v(0.8), v(0.5)), similarity.match_tier(v(0.8), v(0.7)), similarity.match_tier(v(0.1), v(None))) == ("strong", "moderate", "none")
     assert one(spark, similarity.junction_tier(v(0.8), v(0.1), v(0.5), v(50), v(0.9), v(0.2)), similarity.junction_tier(v(0.1), v(0.1), v(0.1), v(None), v(0.35), v(0.2))) == ("strong", "weak")
+
+
+def test_best_matches_against_brute_force(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12)))
+    base = [word() for _ in range(40)] + ["yemalur", "yamalur", "koramangala", "horamangala", "ab", "a", "日本橋駅前通り", "月本橋駅前通り"]
+
+    def bent(w):
+        i = rng.randrange(len(w))
+        return rng.choice([w, w[:i] + rng.choice("abcd") + w[i + 1 :], w[:i] + w[i + 1 :] or w, w[:i] + "d" + w[i:]])
+
+    names = lambda n: [(i, [bent(rng.choice(base)) for _ in range(rng.randrange(0, 4))]) for i in range(n)]
+    left, right = [*names(60), (900, ["yemalur"]), (901, ["koramangala"])], [*names(60), (900, ["yamalur"]), (901, ["horamangala"]), (902, ["yamalur"])]
+    make = lambda rows, c: spark.createDataFrame(rows, f"{c} long, tokens array<string>")
+    got = sorted(map(tuple, similarity.best_matches(make(left, "l"), make(right, "r"), 5).collect()))
+    want = []
+    for i, a in left:
+        scored = sorted((-similarity.soft_jaccard(a, b), j) for j, b in right)
+        want += [(i, j, -s, n + 1) for n, (s, j) in enumerate([x for x in scored if x[0] < 0][:5])]
+    assert got == sorted(want)
+    assert (900, 900) in {r[:2] for r in got} and (901, 901) in {r[:2] for r in got}

@@ -30,22 +30,42 @@ def token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else soft_jaccard(list(x), list(y)) for x, y in zip(a, b, strict=True)])
 
 
+@F.pandas_udf(T.BooleanType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([x == y or difflib.SequenceMatcher(None, x, y).ratio() >= ALIKE for x, y in zip(a, b, strict=True)], dtype=bool)
+
+
+def alike_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(t, u): every token of left(t) with the tokens of right(u) nearly spelt alike; both distinct.
+
+    Exact: of M letters matched in n single stretches, at least M - 1 others lie between, so
+    a ratio of ALIKE without two letters in a row means M = 1 and equal tokens. Unequal ones
+    hence share two letters in a row, and their lengths lie within the ratio.
+    """
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(c) - 1), lambda i: F.substring(c, i, 2)))
+    grams = lambda df, c: df.filter(F.char_length(c) > 1).select(c, F.explode(pairs(F.col(c))).alias("g"))
+    m, n = F.char_length("t"), F.char_length("u")
+    near = grams(left, "t").join(grams(right, "u"), "g").filter((F.col("t") != F.col("u")) & (2 * F.least(m, n) >= ALIKE * (m + n) - 1e-6))
+    near = near.select("t", "u").distinct().filter(_alike("t", "u"))
+    return near.union(left.join(right, F.col("t") == F.col("u")).select("t", "u"))
+
+
 def best_matches(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
     """(l, r, score, rank): left(l, tokens) against right(r, tokens), the k best.
 
-    Candidates share a three-letter start of some token, an equi-join; tokens nearly alike
-    but for their start are not compared. Only distinct token sets are compared.
+    Candidates are all that score above 0: sets that hold tokens nearly alike. Only distinct
+    token sets are compared, and each distinct set of left is ranked once.
     """
-    start = lambda df: F.explode(F.array_distinct(F.transform(df["tokens"], lambda t: F.substring(t, 1, 3))))
-    a = left.select("l", F.col("tokens").alias("ta"), start(left).alias("s"))
-    b = right.select("r", F.col("tokens").alias("tb"), start(right).alias("s"))
-    sets = a.select("s", "ta").distinct().join(b.select("s", "tb").distinct(), "s").select("ta", "tb").distinct()
-    sets = sets.withColumn("score", token_similarity("ta", "tb")).filter("score > 0")
+    token = lambda df, name: df.select(F.col("tokens").alias(f"{name}s")).distinct().select(f"{name}s", F.explode(F.array_distinct(f"{name}s")).alias(name))
+    a, b = token(left, "t"), token(right, "u")
+    alike = alike_tokens(a.select("t").distinct(), b.select("u").distinct())
+    sets = a.join(alike, "t").join(b, "u").select("ts", "us").distinct()
+    sets = sets.withColumn("score", token_similarity("ts", "us")).filter("score > 0")
     from pyspark.sql.window import Window
 
-    pairs = left.withColumnRenamed("tokens", "ta").join(sets, "ta").join(right.withColumnRenamed("tokens", "tb"), "tb")
-    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("score"), "r"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select("l", "r", "score", "rank")
+    rank = F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("score"), "r"))
+    best = sets.join(right.withColumnRenamed("tokens", "us"), "us").withColumn("rank", rank).filter(F.col("rank") <= k)
+    return left.withColumnRenamed("tokens", "ts").join(best, "ts").select("l", "r", "score", "rank")
 
 
 def match_tier(best, second):

@@ -75,9 +75,9 @@ def clean_names(spark, sf_dir):
 
 
 def fuzzy_match(spark, sf_dir):
-    """Brands and types of parts, matched by soft token similarity."""
+    """Every part, by name and type, against the types and brands, matched by soft token similarity."""
     p = table(spark, sf_dir, "part")
-    left = p.groupBy(F.col("p_type").alias("l")).count().select("l", text.tokens(F.col("l")).alias("tokens"))
+    left = p.select(F.col("p_partkey").alias("l"), text.tokens(F.concat_ws(" ", "p_type", "p_name")).alias("tokens"))
     right = p.select(F.concat_ws(" ", "p_type", "p_brand").alias("r")).distinct().select("r", text.tokens(F.col("r")).alias("tokens"))
     return similarity.best_matches(left, right).select("l", "r", F.round("score", 9).alias("score"), "rank")
 
