@@ -285,6 +285,34 @@ def test_ann(spark):
     assert ann.search(none, b, none, 20).count() == 0
 
 
+@pytest.mark.parametrize("copied", [0, 3000])
+def test_ann_on_full_blocks(spark, copied):
+    rng = np.random.default_rng(4)
+    n, dim = 9000, 16
+    x = rng.normal(size=(n, dim)).astype(np.float32).astype(float)
+    own = rng.permutation(n)  # ids in no order
+    x[rng.choice(n, copied, replace=False)] = x[0]
+    rows = [(int(i), v.tolist()) for i, v in zip(own, x, strict=True)] + [(20_000, x[0].tolist())] * 50
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    index, books = ann.build_index(v, sample=4000)
+    assert index.rdd.getNumPartitions() == 1
+    queries = {int(own[0]), 20_000, *(int(i) for i in range(0, n, 60))}
+    queries |= {int(i) for i in own[(x == x[0]).all(1)][:20]}
+    got = collections.defaultdict(list)
+    for r in ann.search(index, books, index.filter(F.col("vec_id").isin(*queries)).dropDuplicates(["vec_id"]), 20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    ids, full = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    hit, of_group = [], []
+    for q in queries:
+        at = int(np.flatnonzero(ids == q)[0])
+        s = (full * full[at]).sum(1)
+        s[ids == q] = -np.inf
+        best = collections.Counter(ids[np.lexsort((ids, -s))[:20]].tolist())
+        (of_group if (full[at] == x[0]).all() else hit).append((best & collections.Counter(got[q])).total() / 20)
+    print("recall", copied, len(hit), np.mean(hit), len(of_group), np.mean(of_group))
+    assert np.mean(hit) > 0.9 and np.mean(of_group) > 0.95
+
+
 # --- op7
 def test_licenses(spark):
     s = licenses.SENTENCES

@@ -4,7 +4,7 @@ A vector's direction is coded as a sum of one full-dimensional codeword from eac
 several codebooks, found by beam search over the residuals; its norm is stored beside.
 A query's inner products with all codewords make a lookup table, by which every coded
 vector is scored (the stored norm times the sum of its entries); the best of each block
-of the index are then scored exactly on the original vectors, and the exact best kept.
+of the index, and any level with them, are then scored exactly on the original vectors, and the exact best kept.
 
 Codebooks are trained on at most `sample` vectors (lowest hashes of vec_id), which is the
 documented bound; every vector is coded. Queries are taken in rounds of at most `chunk`
@@ -113,6 +113,28 @@ def build_index(vectors: DataFrame, sample: int = 20_000, **kw) -> tuple[DataFra
     return write_table(rows.mapInArrow(_encoder(shared), "vec_id long, embedding array<double>, norm double, codes binary"), "ann-index"), books
 
 
+def _reduced(vid: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Rows of a block without those that cannot be among any query's k best.
+
+    Of equal vectors the smaller ids come first. A query passes over the rows of its own id,
+    so of rows equal in both k are enough, and then 2k of a vector.
+    """
+    same = np.unique(np.ascontiguousarray(x + 0.0).view(f"V{x.shape[1] * x.itemsize}")[:, 0], return_inverse=True)[1]
+    if len(vid) <= k or np.bincount(same).max() <= k:
+        return np.arange(len(vid))
+
+    def place(new: np.ndarray) -> np.ndarray:
+        """The number of each row within its run; new: where runs begin."""
+        at = np.arange(len(new))
+        return at - np.maximum.accumulate(np.where(new, at, 0))
+
+    o = np.lexsort((vid, same))
+    s, v = same[o], vid[o]
+    o = o[place(np.r_[True, (s[1:] != s[:-1]) | (v[1:] != v[:-1])]) < k]
+    s = same[o]
+    return np.sort(o[place(np.r_[True, s[1:] != s[:-1]]) < 2 * k])
+
+
 def _searcher(shared, k: int, rerank: int, rows_at_once: int = 4096, queries_at_once: int = 256):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q, tables = shared.value  # tables: (books, words, queries)
@@ -124,6 +146,8 @@ def _searcher(shared, k: int, rerank: int, rows_at_once: int = 4096, queries_at_
             x = _matrix(part["embedding"].combine_chunks())
             norm = part["norm"].to_numpy().astype(np.float32)
             codes = np.frombuffer(b"".join(part["codes"].to_pylist()), np.uint8).reshape(len(vid), -1)
+            part = _reduced(vid, x, k)
+            vid, x, norm, codes = vid[part], x[part], norm[part], codes[part]
             top = min(len(vid), rerank)
             for a in range(0, len(qid), queries_at_once):
                 lut = tables[:, :, a : a + queries_at_once]
@@ -131,10 +155,12 @@ def _searcher(shared, k: int, rerank: int, rows_at_once: int = 4096, queries_at_
                 for m in range(1, len(lut)):
                     approx += lut[m][codes[:, m]]
                 approx *= norm[:, None]
-                some = np.argpartition(-approx, top - 1, axis=0)[:top] if top < len(vid) else np.repeat(np.arange(len(vid))[:, None], approx.shape[1], 1)
+                approx[vid[:, None] == qid[None, a : a + queries_at_once]] = -np.inf
+                # the best `top` and all that are level with the last of them
+                last = -np.partition(-approx, top - 1, axis=0)[top - 1]
+                near = ((approx >= last) & (approx > -np.inf)).T
                 for j in range(approx.shape[1]):
-                    i = some[:, j]
-                    i = i[vid[i] != qid[a + j]]
+                    i = np.flatnonzero(near[j])
                     exact = (x[i] * q[a + j]).sum(1)
                     s, v = np.concatenate([best[a + j][0], exact]), np.concatenate([best[a + j][1], vid[i]])
                     o = np.lexsort((v, -s))[:k]
@@ -160,7 +186,9 @@ def _searcher(shared, k: int, rerank: int, rows_at_once: int = 4096, queries_at_
 def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: int = 20, rerank: int = 256, chunk: int = 8192) -> DataFrame:
     """(query_id, rank, vec_id, score). queries: rows of the index (vec_id, embedding).
 
-    rerank: exact scores taken in each block of 4,096, a sixteenth of it.
+    rerank: exact scores taken in each block of 4,096, a sixteenth of it, and of all rows
+    level with the last of these. Of equal vectors only those count that can be among the
+    k best, the smallest ids.
     """
     spark = index.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
