@@ -118,6 +118,17 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, []), weights, 1).count() == 0
 
 
+def test_mixing_keeps_sources_without_bytes(spark):
+    rows = [(i, "x" * 100, "big") for i in range(300)] + [(1000 + i, "x" * 100, None) for i in range(100)]
+    void = [(2000 + i, None if i % 2 else "", "void") for i in range(400)] + [(3000 + i, None, "nulls") for i in range(400)]
+    rates = lambda d: {r["source"]: r["rate"] for r in mixing.rates(d, mixing.smoothed_weights(d, 0.7)).collect()}
+    without, d = rates(docs(spark, rows)), docs(spark, rows + void)
+    assert rates(d) == without | {"void": 1.0, "nulls": 1.0}
+    kept = {r["source"]: r["count"] for r in mixing.mix(d, mixing.smoothed_weights(d, 0.7), seed=20).groupBy("source").count().collect()}
+    assert abs(kept["void"] - 400) < 80 and abs(kept["nulls"] - 400) < 80
+    assert rates(docs(spark, void)) == {"void": 1.0, "nulls": 1.0}
+
+
 # --- op1
 def plain_judge(rows, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))

@@ -11,7 +11,7 @@ same law and never underflows.
 Defined cases. A null source is a source of its own. A source without a target
 weight gets none and is left out; a weighted source that is absent gives its share
 to the rest. Weights must be above zero or are ignored. Null texts count no bytes;
-a source with no bytes at all keeps rate 1. Rows with equal ids in one source draw
+a weighted source with no bytes at all keeps rate 1 and takes no share of the others. Rows with equal ids in one source draw
 the same number. Other columns pass through. An empty table gives an empty table.
 """
 
@@ -34,9 +34,13 @@ def uniform(*parts: Column) -> Column:
 
 
 def smoothed_weights(docs: DataFrame, power: float, source: str = "source", text: str = "text") -> DataFrame:
-    """(source, weight): each source's bytes to a power, as temperature sampling has it."""
+    """(source, weight): each source's bytes to a power, as temperature sampling has it.
+
+    A source without bytes has weight 1, by which it is kept; it takes no share.
+    """
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.octet_length(text)).alias("bytes"))
-    return sizes.select("source", F.pow(F.col("bytes").cast("double"), F.lit(power)).alias("weight"))
+    weight = F.when(F.col("bytes") > 0, F.pow(F.col("bytes").cast("double"), F.lit(power))).otherwise(F.lit(1.0))
+    return sizes.select("source", weight.alias("weight"))
 
 
 def rates(docs: DataFrame, weights: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
@@ -44,7 +48,7 @@ def rates(docs: DataFrame, weights: DataFrame, source: str = "source", text: str
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"))
     wanted = weights.filter(F.col("weight") > 0).groupBy("source").agg(F.sum("weight").alias("weight"))
     both = sizes.join(wanted, sizes["source"].eqNullSafe(wanted["source"])).drop(wanted["source"])
-    total = both.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
+    total = both.filter("bytes > 0").agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
     rate = F.col("weight") / F.col("all_weight") * F.col("all_bytes") / F.col("bytes")
     # one row beside the few rows of `both`
     return both.crossJoin(F.broadcast(total)).select("source", F.when(F.col("bytes") > 0, rate).otherwise(F.lit(1.0)).alias("rate"))
