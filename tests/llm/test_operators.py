@@ -95,6 +95,31 @@ def test_sharding_is_minimax(spark, seed):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
 
 
+@pytest.mark.parametrize(("share", "n", "runs", "opened"), [(0.1, 400, 64, 8), (0.3, 400, 64, 8), (0.6, 400, 64, 8), (0.1, 20_000, 8192, 256), (0.6, 20_000, 8192, 256)])
+def test_sharding_with_a_heavy_text(spark, monkeypatch, share, n, runs, opened):
+    monkeypatch.setattr(sharding, "RUNS", runs)
+    monkeypatch.setattr(sharding, "OPEN", opened)
+    rng = random.Random(n)
+    rows = [(i, f"{i} " + "x" * rng.randrange(1, 60)) for i in range(n)]
+    rest = sum(len(t) + 1 for _, t in rows)
+    heavy = "heavy " * 20
+    rows += [(n + i, heavy) for i in range(int(share / (1 - share) * rest / (len(heavy) + 1)) + 1)]
+    sizes = spark.createDataFrame(rows, "doc_id long, text string").select(F.xxhash64("text").alias("h"), (F.octet_length("text") + 1).cast("long").alias("size"))
+    order = [r["s"] for r in sizes.groupBy("h").agg(F.sum("size").alias("s")).orderBy("h").collect()]
+    low, high = max(order) - 1, sum(order)
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (low, mid) if feasible(order, mid, 16) else (mid, high)
+    capacity, first = sharding.shard_bounds(sizes, 16)
+    assert capacity == high
+    bounds = [x for x in first if x is not None]
+    assert bounds == sorted(bounds)
+    load = collections.Counter()
+    for r in sizes.collect():
+        load[sum(r["h"] >= x for x in bounds)] += r["size"]
+    assert max(load.values()) == high
+
+
 def test_sharding_small(spark):
     assert sharding.shard(docs(spark, [])).count() == 0
     assert [r["shard"] for r in sharding.shard(docs(spark, [(1, None)])).collect()] == [0]

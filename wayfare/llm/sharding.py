@@ -8,8 +8,10 @@ greedily, and the cuts of that capacity are taken.
 The order is never sorted and no list of groups is gathered. The driver holds the
 byte sums of at most RUNS hash ranges. Known sums bound where each greedy cut can
 fall, and so the capacity from both sides; only ranges in which a cut may fall are
-divided further, until the capacity is exact. That takes one narrow aggregation a
-round, and each round narrows by about RUNS / (shards squared).
+divided further, the heaviest first, until the capacity is exact. That takes one narrow
+aggregation a round and level: at most OPEN ranges are divided at once, each into RUNS / OPEN
+parts or more, so every round goes deeper. A text heavier than a shard is soon a range of
+its own, and then bounds the capacity exactly.
 
 Defined cases. Null text: no bytes, grouped with the empty text. Size is bytes plus
 one, so no group is empty. Rows with equal text stay together whatever their ids.
@@ -32,6 +34,8 @@ from wayfare.scratch import write_table
 
 #: Most hash ranges whose sums the driver holds from one round.
 RUNS = 8192
+#: Most ranges divided in one round.
+OPEN = 256
 
 
 class _Run(NamedTuple):
@@ -101,9 +105,9 @@ class _Runs:
         return found
 
 
-def _divide(sizes: DataFrame, level: int, prefixes: list[int]) -> list[_Run]:
-    """The runs of the next level within the given ones; all of them if level is 0."""
-    deeper = min(64, level + (RUNS // max(1, len(prefixes))).bit_length() - 1)
+def _divide(sizes: DataFrame, level: int, prefixes: list[int], bits: int) -> list[_Run]:
+    """The runs, `bits` levels deeper, within the given ones; all of them if level is 0."""
+    deeper = min(64, level + bits)
     inside = sizes.filter(F.shiftright("h", 64 - level).isin(prefixes)) if level else sizes
     got = (
         inside.groupBy(F.shiftright("h", 64 - deeper).alias("prefix"))
@@ -118,11 +122,13 @@ def shard_bounds(sizes: DataFrame, shards: int) -> tuple[int, list[int]]:
 
     sizes: columns h (long) and size (long).
     """
-    known = _Runs(sorted(_divide(sizes, 0, [])))
+    known = _Runs(sorted(_divide(sizes, 0, [], RUNS.bit_length() - 1)))
     while known.total and (todo := known.open_runs(shards)):
+        todo = set(sorted(todo, key=lambda i: -known.runs[i].size)[:OPEN])
+        bits = (RUNS // len(todo)).bit_length() - 1
         finer = [r for i, r in enumerate(known.runs) if i not in todo]
         for level in {known.runs[i].level for i in todo}:
-            finer += _divide(sizes, level, [known.runs[i].prefix for i in todo if known.runs[i].level == level])
+            finer += _divide(sizes, level, [known.runs[i].prefix for i in todo if known.runs[i].level == level], bits)
         known = _Runs(sorted(finer))
     if not known.total:
         return 0, []
