@@ -1,30 +1,37 @@
-"""Fits per group: periodic logistic models, cycles of green starts, and the choice among predictions.
+"""Fits per group over histograms: periodic logistic models and cycles of green starts.
 
-The fits are iterative, so each group is one pandas task; groups are what is distributed.
+Events are pooled into bins of the cycle by Spark, so what a fit's task holds is bounded by
+the number of bins, whatever the number of events; each (group, cycle) is its own fit.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Factors on confidence by a document's standing, and search bounds in seconds.
-STANDING = {"live": 1.0, "current": 1.0, "aging": 0.85, "stale": 0.6, "undated": 0.5, "historical": 0.0, "superseded": 0.4}
-LOW, HIGH, DELTA = 30, 240, 4.0
+from wayfare.operators import stats
 
+#: Search bounds in seconds, the Huber bound, and the penalty of the periodic fits.
+LOW, HIGH, DELTA, RIDGE = 30, 240, 4.0, 1e-2
+#: A tenth of a second is the finest step of the fits, and of the bins.
+TENTH = 10
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> np.ndarray:
-    """Weighted logistic regression by Newton steps; the intercept (column 0) is free of the penalty."""
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
+    """Weighted logistic regression by Newton steps; the intercept (column 0) is free of the penalty.
+
+    y may be a share of successes and w the number of trials.
+    """
     beta = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (w * (y - p)) - penalty * beta)
+        step = np.linalg.solve((x * (w * p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-12), x.T @ (w * (y - p)) - penalty * beta)
         beta += step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
     return beta
 
@@ -34,100 +41,128 @@ def _design(t: np.ndarray, cycle: float, k: int) -> np.ndarray:
     return np.column_stack([np.ones(len(t)), *[f(i * phase) for i in range(1, k + 1) for f in (np.cos, np.sin)]])
 
 
-def _loss(p: np.ndarray, y: np.ndarray) -> float:
-    p = np.clip(p, 1e-6, 1 - 1e-6)
-    return float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-
-
-def scan_cycle(t: np.ndarray, y: np.ndarray, held: np.ndarray, k: int = 2, low: int = LOW, high: int = HIGH) -> tuple[float, float, float] | None:
-    """(cycle, held-out loss, improvement on a constant): whole seconds first, then tenths beside the best."""
-    if len(t) < 60 or held.sum() < 10:
-        return None
-    null = _loss(np.full(held.sum(), y[~held].mean()), y[held])
-
-    def at(c: float) -> float:
-        beta = fit_logistic(_design(t[~held], c, k), y[~held], np.ones((~held).sum()))
-        return _loss(1 / (1 + np.exp(-np.clip(_design(t[held], c, k) @ beta, -30, 30))), y[held])
-
-    best = min((at(c), c) for c in range(low, high + 1))
-    best = min([best, *((at(c), c) for c in np.round(np.arange(best[1] - 1, best[1] + 1.05, 0.1), 1))])
-    return float(best[1]), best[0], (null - best[0]) / null if null > 0 else 0.0
-
-
-def green_starts(g: np.ndarray, low: int = LOW, high: int = HIGH, delta: float = DELTA) -> tuple[float, float, float, float] | None:
-    """(cycle, offset, cost, share of inliers): the longest cycle within a tenth of the least Huber cost."""
-    if len(g) < 12:
-        return None
-    t0, g = g.min(), g - g.min()
-
-    def costs(c: float, o: np.ndarray) -> np.ndarray:
-        d = np.mod(g[:, None] - o[None, :], c)
-        r = np.minimum(d, c - d)
-        return np.where(r <= delta, 0.5 * r * r, delta * (r - 0.5 * delta)).sum(0)
-
-    coarse = [(c, *min(zip(costs(c, np.arange(c)), np.arange(c), strict=True))) for c in range(low, high + 1)]
-    least = min(x[1] for x in coarse)
-    c, cost, o = max(x for x in coarse if x[1] <= least + max(0.1 * least, 1e-9))
-    o0 = o
-    for c2 in np.round(np.arange(c - 1, c + 1.05, 0.1), 1):
-        grid = np.mod(np.arange(o0 - 1, o0 + 1.05, 0.1), c2)
-        found = costs(c2, grid)
-        if found.min() < cost:
-            c, o, cost = float(c2), float(grid[found.argmin()]), float(found.min())
-    d = np.mod(g - o, c)
-    return float(c), round(float(np.mod(o + t0, c)), 1), float(cost), float((np.minimum(d, c - d) <= delta).mean())
-
-
-def cycles(df: DataFrame, group: str, t: str, y: str, journey: str) -> DataFrame:
-    """(group, cycle, loss, improvement): a scan per group; a third of the journeys is held out by hash."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = scan_cycle(pdf["t"].to_numpy(), pdf["y"].to_numpy(float), pdf["held"].to_numpy(bool))
-        return pd.DataFrame([(pdf["g"].iloc[0], *got)] if got else [], columns=["g", "cycle", "loss", "improvement"])
-
-    rows = df.select(F.col(group).alias("g"), F.col(t).cast("double").alias("t"), F.col(y).cast("double").alias("y"), (F.pmod(F.xxhash64(journey), F.lit(1000)) < 300).alias("held"))
-    return rows.groupBy("g").applyInPandas(run, "g long, cycle double, loss double, improvement double")
-
-
-def start_fits(df: DataFrame, group: str, t: str) -> DataFrame:
-    """(group, cycle, offset, cost, inliers) of green starts."""
+def _losses(df: DataFrame, k: int) -> DataFrame:
+    """(g, c, loss) of each (g, c): rows c, bin (tenths), held, n, hits; held-out log loss of the fit."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = green_starts(pdf["t"].to_numpy())
-        return pd.DataFrame([(pdf["g"].iloc[0], *got)] if got else [], columns=["g", "cycle", "offset", "cost", "inliers"])
-
-    return df.select(F.col(group).alias("g"), F.col(t).cast("double").alias("t")).groupBy("g").applyInPandas(run, "g long, cycle double, offset double, cost double, inliers double")
+        c = pdf["c"].iloc[0] / TENTH
+        x, n, hits, held = _design(pdf["bin"].to_numpy() / TENTH, c, k), pdf["n"].to_numpy(float), pdf["hits"].to_numpy(float), pdf["held"].to_numpy(bool)
+        beta = fit_logistic(x[~held], hits[~held] / n[~held], n[~held])
+        p = np.clip(1 / (1 + np.exp(-np.clip(x[held] @ beta, -30, 30))), 1e-6, 1 - 1e-6)
+        loss = -(hits[held] * np.log(p) + (n[held] - hits[held]) * np.log(1 - p)).sum() / n[held].sum()
+        return pd.DataFrame([(pdf["g"].iloc[0], pdf["c"].iloc[0], loss)], columns=["g", "c", "loss"])
+
+    return df.groupBy("g", "c").applyInPandas(run, "g long, c int, loss double")
+
+
+def cycles(df: DataFrame, group: str, t: str, y: str, journey: str, k: int = 2, low: int = LOW, high: int = HIGH, least: int = 60, least_held: int = 10) -> DataFrame:
+    """(group, cycle, loss, improvement): the cycle whose periodic model loses least on held-out journeys.
+
+    Whole seconds first, then tenths beside the best; improvement is on a constant. Times are
+    taken in tenths of a second. Three tenths of the journeys are held out by name.
+    """
+    rows = df.select(F.col(group).cast("long").alias("g"), F.floor(F.col(t) * TENTH).cast("long").alias("t"), F.col(y).cast("double").alias("y"), stats.held_out(F.col(journey)).alias("held"))
+    pooled = rows.groupBy("g", "t", "held").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
+    held = lambda c: F.sum(F.when(F.col("held"), F.col(c)).otherwise(0))
+    total = pooled.groupBy("g").agg(F.sum("n").alias("n"), held("n").alias("nh"), F.sum("hits").alias("h"), held("hits").alias("hh"))
+    total = total.filter((F.col("n") >= least) & (F.col("nh") >= least_held) & (F.col("n") > F.col("nh")))
+    p = stats.clip((F.col("h") - F.col("hh")) / (F.col("n") - F.col("nh")), 1e-6, 1 - 1e-6)
+    null = total.select("g", (-(F.col("hh") * F.ln(p) + (F.col("nh") - F.col("hh")) * F.ln(1 - p)) / F.col("nh")).alias("null"))
+    usable = pooled.join(null.select("g"), "g")
+
+    def losses(at: DataFrame) -> DataFrame:
+        binned = at.withColumn("bin", F.pmod("t", F.col("c"))).groupBy("g", "c", "bin", "held").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+        return _losses(binned, k)
+
+    best = lambda x: x.groupBy("g").agg(F.min(F.struct("loss", "c")).alias("b")).select("g", "b.*")
+    whole = F.explode(F.transform(F.sequence(F.lit(low), F.lit(high)), lambda c: (c * TENTH).cast("int")))
+    coarse = best(losses(usable.withColumn("c", whole)))
+    beside = F.explode(F.sequence(F.col("c0") - TENTH, F.col("c0") + TENTH)).alias("c")
+    fine = losses(usable.join(coarse.select("g", F.col("c").alias("c0")), "g").select("g", "t", "held", "n", "hits", beside))
+    got = best(coarse.select("g", "c", "loss").unionByName(fine)).join(null, "g")
+    better = F.when(F.col("null") > 0, (F.col("null") - F.col("loss")) / F.col("null")).otherwise(0.0)
+    return got.select(F.col("g").alias(group), (F.col("c") / TENTH).alias("cycle"), "loss", better.alias("improvement"))
+
+
+def _cost(tenths: np.ndarray, delta: float) -> np.ndarray:
+    """Huber cost of residuals in tenths of a second, in units of 1/200: whole numbers."""
+    d = int(delta * TENTH)
+    return np.where(tenths <= d, tenths * tenths, d * (2 * tenths - d))
+
+
+def _coarse(hist: pd.DataFrame, delta: float, low: int, high: int) -> pd.DataFrame:
+    """(g, c, o, cost) of the longest cycle within a tenth of the least cost; hist: c, bin, n."""
+    found = []
+    for c, own in hist.groupby("c"):
+        c10, bins = int(c) * TENTH, own["bin"].to_numpy()
+        n = np.bincount(bins, own["n"].to_numpy(), minlength=c10)
+        d = np.arange(c10)
+        kernel = _cost(np.minimum(d, c10 - d), delta)
+        # cost of offset o: the histogram against the kernel moved by o
+        filled = np.flatnonzero(n)
+        costs = np.array([n[filled] @ kernel[(filled - o) % c10] for o in range(0, c10, TENTH)])
+        found.append((int(c), int(costs.argmin()), float(costs.min())))
+    least = min(x[2] for x in found)
+    c, o, cost = max(x for x in found if x[2] <= least + max(0.1 * least, 1e-9 * 200))
+    return pd.DataFrame([(hist["g"].iloc[0], c, o, cost)], columns=["g", "c", "o", "cost"])
+
+
+def start_fits(df: DataFrame, group: str, t: str, low: int | str = LOW, high: int | str = HIGH, delta: float = DELTA, least: int = 12) -> DataFrame:
+    """(group, cycle, offset, cost, inliers) of green starts, times taken in tenths of a second.
+
+    A grid of whole seconds over cycle and offset, the longest cycle within a tenth of the
+    least Huber cost, then tenths beside it. low, high: numbers, or columns equal within a group.
+    """
+    number = lambda x: F.col(x) if isinstance(x, str) else F.lit(x)
+    rows = df.select(F.col(group).cast("long").alias("g"), F.floor(F.col(t) * TENTH + 0.5).cast("long").alias("t"), number(low).cast("int").alias("lo"), number(high).cast("int").alias("hi"))
+    pooled = rows.groupBy("g", "t", "lo", "hi").agg(F.count("*").alias("n"))
+    first = pooled.groupBy("g").agg(F.min("t").alias("t0"), F.sum("n").alias("all")).filter(F.col("all") >= least)
+    from_first = pooled.join(first, "g").withColumn("t", F.col("t") - F.col("t0"))
+    each = from_first.withColumn("c", F.explode(F.sequence("lo", "hi")))
+    hist = each.groupBy("g", "c", F.pmod("t", F.col("c") * TENTH).alias("bin")).agg(F.sum("n").alias("n"))
+    # at most 240 bins of a second times ten for each cycle, whatever the number of events
+    coarse = hist.groupBy("g").applyInPandas(lambda pdf: _coarse(pdf, delta, LOW, HIGH), "g long, c int, o int, cost double")
+    beside = lambda c: F.sequence((F.col(c) * TENTH - TENTH).cast("int"), (F.col(c) * TENTH + TENTH).cast("int"))
+    fine = from_first.join(coarse.withColumnRenamed("c", "c0"), "g").withColumn("c", F.explode(beside("c0")))
+    fine = fine.groupBy("g", "c0", "o", "cost", "t0", "all", "c", F.pmod("t", F.col("c")).alias("bin")).agg(F.sum("n").alias("n"))
+    fine = fine.withColumn("p", F.explode(beside("o"))).withColumn("p", F.pmod("p", F.col("c")))
+    d = F.pmod(F.col("bin") - F.col("p"), F.col("c"))
+    r = F.least(d, F.col("c") - d)
+    bound = int(delta * TENTH)
+    unit = F.when(r <= bound, r * r).otherwise(bound * (2 * r - bound))
+    scored = fine.groupBy("g", "c0", "o", "cost", "t0", "all", "c", "p").agg(F.sum(F.col("n") * unit).cast("double").alias("fine"), F.sum(F.when(r <= bound, F.col("n")).otherwise(0)).alias("inside"))
+    # the coarse fit stands unless a finer one costs less
+    whole = (F.col("c") == F.col("c0") * TENTH) & (F.col("p") == F.pmod(F.col("o") * TENTH, F.col("c")))
+    best = scored.groupBy("g", "t0", "all").agg(F.min(F.struct(F.col("fine").alias("cost"), (~whole).alias("moved"), "c", "p", "inside")).alias("b"))
+    return best.select(
+        F.col("g").alias(group), (F.col("b.c") / TENTH).alias("cycle"), (F.pmod(F.col("b.p") + F.col("t0"), F.col("b.c")) / TENTH).alias("offset"),
+        (F.col("b.cost") / 200).alias("cost"), (F.col("b.inside") / F.col("all")).alias("inliers"),
+    )
 
 
 def bootstrap(df: DataFrame, group: str, t: str, journey: str, rounds: int = 40, seed: int = 1) -> DataFrame:
-    """(group, cycle_low, cycle_mid, cycle_high): journeys drawn anew; each replicate is its own task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        base, names = green_starts(pdf["t"].to_numpy()), pdf["j"].unique()
-        if base is None or len(names) < 5:
-            return pd.DataFrame([], columns=["g", "cycle"])
-        rng = np.random.default_rng([seed, int(pdf["b"].iloc[0])])
-        own = pdf.groupby("j")["t"].apply(np.array)
-        drawn = np.concatenate([own[names[i]] for i in rng.integers(0, len(names), len(names))])
-        got = green_starts(drawn, max(LOW, int(base[0]) - 5), min(HIGH, int(base[0]) + 5))
-        return pd.DataFrame([(pdf["g"].iloc[0], got[0])] if got else [], columns=["g", "cycle"])
-
-    rows = df.select(F.col(group).alias("g"), F.col(t).cast("double").alias("t"), F.col(journey).alias("j"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"))
-    each = rows.groupBy("g", "b").applyInPandas(run, "g long, cycle double")
-    sorted_ = each.groupBy("g").agg(F.array_sort(F.collect_list("cycle")).alias("c")).filter(F.size("c") >= 10)
-    at = lambda q: F.get("c", F.least(F.size("c") - 1, F.floor(F.size("c") * q).cast("int")))
-    return sorted_.select(F.col("g").alias(group), at(0.025).alias("cycle_low"), at(0.5).alias("cycle_mid"), at(0.975).alias("cycle_high"))
-
-
-def level(sync: Column, n_eff: Column, mode: Column) -> Column:
-    """Which prediction stands: A with a synchronised fit, B to D by kernel weight, P by plan, else E."""
-    return F.when(sync, "A").when(n_eff >= 300, "B").when(n_eff >= 60, "C").when(n_eff >= 10, "D").when(mode == "timed", "P").otherwise("E")
-
-
-def prior_confidence(control: Column, assumed: Column, several: Column, assigned: Column, standing: Column, conflict: Column) -> Column:
-    """Confidence in a plan's prior, lowered for each thing that is not known."""
-    table = F.create_map(*[F.lit(x) for kv in STANDING.items() for x in kv])
-    base = F.when(control.isin("fixed", "fixed_coordinated"), 0.45).otherwise(0.30)
-    base = base * F.when(assumed, 0.85).otherwise(1.0) * F.when(several, 0.8).otherwise(1.0)
-    base = F.when(assigned, F.least(F.lit(0.6), base + 0.1)).otherwise(base)
-    return base * F.coalesce(F.try_element_at(table, standing), F.lit(0.5)) * F.when(conflict, 0.7).otherwise(1.0)
+    """(group, cycle_low, cycle_mid, cycle_high, offset, half_width): journeys drawn anew.
+
+    Each replicate draws as many journeys as the group has, by a seeded number for each
+    draw; it is fitted like any group, beside the whole group's cycle. Groups of fewer than
+    five journeys, or with fewer than ten fits, have none.
+    """
+    base = start_fits(df, group, t).select(F.col(group).alias("g"), F.col("cycle").alias("c0"), F.col("offset").alias("o0"))
+    rows = df.select(F.col(group).cast("long").alias("g"), F.col(t).cast("double").alias("t"), F.col(journey).cast("string").alias("j"))
+    names = rows.select("g", "j").distinct()
+    # numbering a group's journeys takes one narrow row for each
+    from pyspark.sql.window import Window
+
+    names = names.withColumn("i", F.row_number().over(Window.partitionBy("g").orderBy("j")) - 1)
+    many = names.groupBy("g").agg(F.count("*").alias("m")).filter("m >= 5").join(base, "g")
+    draw = many.select("g", "m", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("b"), "c0").select("g", "m", "b", "c0", F.explode(F.sequence(F.lit(1), "m")).alias("k"))
+    draw = draw.withColumn("i", F.floor(stats.uniform32(F.lit(seed) + F.col("g") * rounds + F.col("b"), F.col("k")) * F.col("m")).cast("int"))
+    taken = draw.join(names, ["g", "i"]).join(rows, ["g", "j"])
+    low, high = F.greatest(F.lit(LOW), F.floor(F.col("c0") - 5).cast("int")), F.least(F.lit(HIGH), F.ceil(F.col("c0") + 5).cast("int"))
+    fits = start_fits(taken.select((F.col("g") * rounds + F.col("b") - 1).alias("gb"), "t", low.alias("lo"), high.alias("hi")), "gb", "t", "lo", "hi")
+    fits = fits.withColumn("g", F.floor(F.col("gb") / rounds)).join(base, "g")
+    d = F.pmod(F.col("offset") - F.col("o0"), F.col("c0"))
+    apart = F.least(d, F.col("c0") - d)
+    got = fits.groupBy("g", "o0").agg(F.array_sort(F.collect_list("cycle")).alias("c"), F.array_sort(F.collect_list(apart)).alias("w")).filter(F.size("c") >= 10)
+    at = lambda a, q: F.get(a, F.least(F.size(a) - 1, F.floor(F.size(a) * q).cast("int")))
+    return got.select(F.col("g").alias(group), at("c", 0.025).alias("cycle_low"), at("c", 0.5).alias("cycle_mid"), at("c", 0.975).alias("cycle_high"), F.col("o0").alias("offset"), at("w", 0.95).alias("half_width"))

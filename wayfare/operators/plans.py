@@ -17,7 +17,7 @@ _SERVES = {"sun": ["sunday", "weekend", "all_days", "holiday"], "sat": ["saturda
 
 
 def active_windows(events: DataFrame, windows: DataFrame, key: str = "junction", ts: str = "ts") -> DataFrame:
-    """events with day_type, assumed, mode, win_ord, cycle_s, phases and ped of the window that holds.
+    """events with day_type, assumed, mode, plan_ord, win_ord, cycle_s, phases and ped of the window that holds.
 
     mode is "none" without a plan for the day and "outside_windows" without a window for
     the minute. The day's plan is chosen once for each (junction, kind of day), a small
@@ -36,7 +36,7 @@ def active_windows(events: DataFrame, windows: DataFrame, key: str = "junction",
         key, "plan_ord", "win_ord", "mode", "cycle_s", "phases", "ped", clock.minutes(F.col("start")).alias("_s"), clock.minutes(F.col("end")).alias("_e")
     )
     day = spans.join(chosen, [key, "plan_ord"]).groupBy(key, "kind", "day_type", "assumed").agg(
-        F.array_sort(F.collect_list(F.struct("win_ord", "_s", "_e", "mode", "cycle_s", "phases", "ped"))).alias("_w")
+        F.array_sort(F.collect_list(F.struct("win_ord", "plan_ord", "_s", "_e", "mode", "cycle_s", "phases", "ped"))).alias("_w")
     )
     kind = F.when(clock.weekday(F.col(ts)) == 6, "sun").when(clock.weekday(F.col(ts)) == 5, "sat").otherwise("week")
     asked = events.withColumn("kind", kind).withColumn("_m", clock.minute_of_day(F.col(ts)))
@@ -44,7 +44,7 @@ def active_windows(events: DataFrame, windows: DataFrame, key: str = "junction",
     out = asked.join(day, [key, "kind"], "left").withColumn("_hit", hit)
     mode = F.when(F.col("_w").isNull(), "none").when(F.col("_hit").isNull(), "outside_windows").otherwise(F.col("_hit.mode"))
     return out.select(
-        *events.columns, F.coalesce("day_type", F.lit("none")).alias("day_type"), F.coalesce("assumed", F.lit(False)).alias("assumed"), mode.alias("mode"), "_hit.win_ord", "_hit.cycle_s", "_hit.phases", "_hit.ped"
+        *events.columns, F.coalesce("day_type", F.lit("none")).alias("day_type"), F.coalesce("assumed", F.lit(False)).alias("assumed"), mode.alias("mode"), "_hit.plan_ord", "_hit.win_ord", "_hit.cycle_s", "_hit.phases", "_hit.ped"
     )
 
 
@@ -69,6 +69,12 @@ def uniform_delay(cycle: Column, green: Column) -> Column:
     return F.struct(part(r * r / (2.0 * cycle)).alias("mean"), part(r / cycle).alias("p_stop"), part(F.greatest(F.lit(0.0), 0.5 * cycle - g)).alias("p50"))
 
 
+def assigned_green(phases: Column, at: Column, cycle: Column) -> Column:
+    """The green of a phase column a reviewer has assigned; null where it cannot be one."""
+    g = F.get(phases, at)
+    return F.when((g > 0) & (g < cycle), g)
+
+
 def mixture(cycle: Column, greens: Column) -> Column:
     """struct(mean, p_stop, low, high): delays of several greens, weighted by the green."""
     total = F.aggregate(greens, F.lit(0.0), lambda a, g: a + g)
@@ -82,14 +88,27 @@ def mixture(cycle: Column, greens: Column) -> Column:
 
 
 def mixture_quantile(cycle: Column, greens: Column, q: float, step: float = 0.5) -> Column:
-    """First delay on a grid at which the weighted distribution of delays reaches q."""
+    """First delay on a grid at which the weighted distribution of delays reaches q, the longest red at most."""
     total = F.aggregate(greens, F.lit(0.0), lambda a, g: a + g)
 
     def below(d: Column) -> Column:
-        return F.aggregate(greens, F.lit(0.0), lambda a, g: a + g * F.least(F.lit(1.0), (g + d) / cycle)) / total
+        return F.aggregate(greens, F.lit(0.0), lambda a, g: a + g * F.least(F.lit(1.0), g / cycle + d / cycle)) / total
+
+    most = cycle - F.array_min(greens)
+    grid = F.transform(F.sequence(F.lit(0), F.floor(most / step).cast("int")), lambda i: i * step)
+    return F.coalesce(F.array_min(F.filter(grid, lambda d: below(d) >= q)), most)
+
+
+def window_priors(windows: DataFrame, key: str = "junction") -> DataFrame:
+    """windows that can carry a prior, with greens and mean, p_stop, low, high, p10 to p90.
 
-    grid = F.transform(F.sequence(F.lit(0), F.ceil(cycle / step).cast("int")), lambda i: i * step)
-    return F.array_min(F.filter(grid, lambda d: below(d) >= q))
+    Windows are few beside events: their priors are worked out once and joined.
+    """
+    c = F.col("cycle_s").cast("double")
+    rows = windows.withColumn("greens", vehicle_phases(F.col("phases"), F.col("cycle_s"), F.col("ped"), F.col("mode"))).filter("greens IS NOT NULL")
+    m = mixture(c, F.col("greens"))
+    qs = [mixture_quantile(c, F.col("greens"), q / 100).alias(f"p{q}") for q in (10, 25, 50, 75, 90)]
+    return rows.select(key, "plan_ord", "win_ord", "greens", m["mean"].alias("mean"), m["p_stop"].alias("p_stop"), m["low"].alias("low"), m["high"].alias("high"), *qs)
 
 
 def signatures(windows: DataFrame, key: str = "junction") -> DataFrame:
@@ -105,19 +124,20 @@ def duplicates(blocks: DataFrame, name_key: str = "name_key", key: str = "key",
 
 
 def conflicts(blocks: DataFrame, both_names: bool = False) -> DataFrame:
-    """Targets whose blocks disagree: (target, blocks, signatures, among_verified).
+    """Targets whose blocks disagree: (target, blocks, signatures, among_verified), blocks and signatures counted.
 
     blocks: key, name, name_key, sig, target, verified, rejected. The stricter rule of the
     ingest (both_names) also asks for two names.
     """
     dup = duplicates(blocks).select("key")
     live = blocks.join(dup, "key", "left_anti").filter("NOT rejected AND sig IS NOT NULL AND sig <> '' AND target IS NOT NULL")
-    got = live.groupBy("target").agg(
-        F.array_sort(F.collect_list("key")).alias("blocks"), F.count_distinct("sig").alias("signatures"), F.count_distinct("name").alias("names"),
-        (F.count_distinct(F.when(F.col("verified"), F.col("sig"))) > 1).alias("among_verified"),
-    )
-    got = got.filter("signatures >= 2")
-    return (got.filter("names >= 2") if both_names else got).select("target", "blocks", "signatures", "among_verified")
+    # one row for each of a target's blocks' distinct traits, then counts: no list of blocks is gathered
+    each = live.groupBy("target", "sig").agg(F.count("*").alias("n"), F.max("verified").alias("v"))
+    got = each.groupBy("target").agg(F.sum("n").alias("blocks"), F.count("*").alias("signatures"), (F.count_if("v") > 1).alias("among_verified")).filter("signatures >= 2")
+    if not both_names:
+        return got
+    names = live.select("target", "name").distinct().groupBy("target").agg(F.count("name").alias("names"))
+    return got.join(names.filter("names >= 2").select("target"), "target")
 
 
 def superseded(blocks: DataFrame) -> DataFrame:
@@ -134,16 +154,3 @@ def superseded(blocks: DataFrame) -> DataFrame:
     mine = blocks.filter("target IS NOT NULL").join(two, "target")
     other = F.get(F.filter("two", lambda x: ~x["sig"].eqNullSafe(F.col("sig"))), F.lit(0))
     return mine.withColumn("o", other).filter(F.col("o.t") > day).select("key", F.col("o.k").alias("newer"))
-
-
-def plan_status(blocks: DataFrame, decisions: DataFrame) -> DataFrame:
-    """blocks with status (verified, candidate or the decision's own) and effective target."""
-    d = decisions.select(F.col("junction_key").alias("key"), "decision", F.col("intersection_id").alias("_to"))
-    status = F.when(F.col("decision") == "accepted", "verified").otherwise(F.coalesce("decision", F.lit("candidate")))
-    strong = F.when(F.col("tier").isin("strong", "moderate"), F.col("best"))
-    return blocks.join(d, "key", "left").withColumn("status", status).withColumn("target", F.when(F.col("status") == "verified", F.coalesce("_to", "best")).otherwise(strong)).drop("decision", "_to")
-
-
-def coverage(live: Column, verified: Column, candidate: Column, control_known: Column, unknown: Column) -> Column:
-    """One of six categories, by priority."""
-    return F.when(live, "live").when(verified, "verified").when(candidate, "candidate").when(control_known, "control_known").when(unknown, "unknown").otherwise("location_only")

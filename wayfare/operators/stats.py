@@ -17,51 +17,158 @@ def effective_n(w: Column) -> Column:
     return F.coalesce(F.pow(F.sum(w), 2) / F.nullif(F.sum(w * w), F.lit(0.0)), F.lit(0.0))
 
 
+#: Equal ranges into which a group's values fall before the one that holds a quantile is ordered.
+RANGES = 512
+
+
 def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, qs: dict[str, float]) -> DataFrame:
     """(by..., names of qs): the first value whose share of weight up to it reaches q.
 
-    Values are pooled before they are ordered, so a group's window sees distinct values.
+    Weights are summed by ranges of values first, and only the ranges in which a quantile
+    falls are ordered by value; so no task orders a whole group, whatever its size.
+    """
+    v, w = F.col(value).cast("double"), F.col(weight).cast("double")
+    rows = df.filter(v.isNotNull() & w.isNotNull()).select(*by, v.alias("_v"), w.alias("_w"))
+    ends = rows.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_w").alias("_t")).filter("_t > 0")
+    width = F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))
+    part = F.coalesce(F.least(F.lit(RANGES - 1), F.floor((F.col("_v") - F.col("_a")) / width * RANGES)), F.lit(0)).cast("int")
+    placed = rows.join(ends, by) if by else rows.crossJoin(F.broadcast(ends))  # then `ends` is one row
+    placed = placed.withColumn("_p", part)
+    sums = placed.groupBy(*by, "_p").agg(F.sum("_w").alias("_s"), F.first("_t").alias("_t"))
+    order = Window.partitionBy(*by).orderBy("_p")
+    upto = F.coalesce(F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = sums.withColumn("_before", upto).withColumn("_last", F.max("_p").over(Window.partitionBy(*by)) == F.col("_p"))
+    slack = F.col("_t") * 1e-9  # sums in another order differ by less
+    holds = [(F.col("_before") - slack < q * F.col("_t")) & (F.col("_before") + F.col("_s") + slack >= q * F.col("_t")) for q in qs.values()]
+    keep = F.col("_last")
+    for h in holds:
+        keep = keep | h
+    chosen = sums.filter(keep).select(*by, "_p", "_before")
+    near = placed.join(chosen, [*by, "_p"]).groupBy(*by, "_p", "_v").agg(F.sum("_w").alias("_w"), F.first("_before").alias("_before"), F.first("_t").alias("_t"))
+    run = F.sum("_w").over(Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("_c", (F.col("_before") + run) / F.col("_t"))
+    return near.groupBy(*by).agg(*[F.coalesce(F.min(F.when(F.col("_c") >= q, F.col("_v"))), F.max("_v")).alias(n) for n, q in qs.items()])
+
+
+def median(c: Column) -> Column:
+    """The middle value, or the mean of the two middle ones."""
+    return F.median(c)
+
+
+def deviation(c: Column) -> Column:
+    """Of a sample; 0 for fewer than two values."""
+    return F.coalesce(F.stddev_samp(c), F.lit(0.0))
+
+
+def upper_median(c: Column) -> Column:
+    """The value at place n / 2, rounded down, from zero; 0 without any. For few values a group."""
+    found = F.array_sort(F.collect_list(c))
+    return F.coalesce(F.get(found, F.floor(F.size(found) / 2).cast("int")), F.lit(0.0))
+
+
+def clip(x: Column, low: Column | float, high: Column | float) -> Column:
+    as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
+    return F.greatest(as_col(low), F.least(as_col(high), x))
+
+
+def normal_cdf(z: Column) -> Column:
+    """The polynomial form of 1964, good to 1e-7; fixed values are its published coefficients."""
+    t = 1 / (1 + 0.2316419 * F.abs(z))
+    d = 0.3989423 * F.exp(-z * z / 2)
+    p = d * t * (0.3193815 + t * (-0.3565638 + t * (1.781478 + t * (-1.821256 + t * 1.330274))))
+    return F.when(z > 0, 1 - p).otherwise(p)
+
+
+def _low32(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _times32(a: Column, b: Column) -> Column:
+    """The low 32 bits of a product of two 32-bit numbers, without overflow."""
+    high = (F.shiftrightunsigned(a, 16) * b).bitwiseAND(F.lit(0xFFFF))
+    return _low32(F.shiftleft(high, 16) + a.bitwiseAND(F.lit(0xFFFF)) * b)
+
+
+def uniform32(seed: Column, place: Column) -> Column:
+    """The number at `place` (from 1) of the 32-bit generator that starts at seed, in [0, 1).
+
+    Fixed values: the generator's increment and shifts. Its state is a plain counter, so any
+    place is reached at once.
     """
-    pooled = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))
-    upto = F.sum("_w").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_w").over(Window.partitionBy(*by))
-    share = pooled.withColumn("_t", total).withColumn("_c", upto / F.col("_t")).filter("_t > 0")
-    return share.groupBy(*by).agg(*[F.coalesce(F.min(F.when(F.col("_c") >= q, F.col(value))), F.max(value)).alias(n) for n, q in qs.items()])
+    a = _low32(seed.cast("long") + _times32(place.cast("long"), F.lit(0x6D2B79F5)))
+    mix = lambda x, n: x.bitwiseXOR(F.shiftrightunsigned(x, n))
+    t = _times32(mix(a, 15), a.bitwiseOR(F.lit(1)))
+    t = _low32(t.bitwiseXOR(_low32(t + _times32(mix(t, 7), t.bitwiseOR(F.lit(61))))))
+    return mix(t, 14) / F.lit(4294967296.0)
+
+
+def normal32(seed: Column, place: Column) -> Column:
+    """A standard normal number from two places of the generator."""
+    a, b = uniform32(seed, place), uniform32(seed, place + 1)
+    return F.sqrt(-2 * F.ln(F.when(a > 0, a).otherwise(F.lit(2.0**-32)))) * F.cos(2 * F.pi() * b)
+
+
+def name_hash(s: Column) -> Column:
+    """32-bit FNV-1a over the characters; fixed values are its published offset and prime."""
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    return F.aggregate(chars, F.lit(2166136261).cast("long"), lambda h, c: _times32(h.bitwiseXOR(F.ascii(c).cast("long")), F.lit(16777619).cast("long")))
 
 
-def kernel_weight(t: Column, s: Column, now: Column, quality: Column, h_day: float = 900.0, h_week: float = 259200.0, tau: float = 3888000.0) -> Column:
-    """Weight of a sample at s for a query at t: near in the day, in the week, and recent."""
+def held_out(journey: Column, share: float = 0.3) -> Column:
+    """Whether a journey is kept for testing: by its name alone."""
+    return F.pmod(name_hash(journey.cast("string")), F.lit(1000)) < int(share * 1000)
+
+
+def kernel_weight(t: Column, s: Column, now: Column, quality: Column, h_day: float = 900.0, h_week: float = 259200.0, tau: float = 3888000.0, congestion: tuple[Column, Column] | None = None, h_congestion: float = 0.25) -> Column:
+    """Weight of a sample at s for a query at t: near in the day, in the week, and recent.
+
+    congestion: that asked for and that of the sample, 0 to 1; where either is null it plays no part.
+    """
     day = clock.circular_distance(clock.second_of_day(t), clock.second_of_day(s), float(clock.DAY_S))
     week = clock.circular_distance(clock.second_of_week(t), clock.second_of_week(s), float(clock.WEEK_S))
     age = F.greatest(F.lit(0.0), clock.epoch(now) - clock.epoch(s))
-    return F.exp(-(day * day) / (2 * h_day * h_day)) * F.exp(-(week * week) / (2 * h_week * h_week)) * F.exp(-age / tau) * quality
+    w = F.exp(-(day * day) / (2 * h_day * h_day)) * F.exp(-(week * week) / (2 * h_week * h_week)) * F.exp(-age / tau) * quality
+    if congestion is None:
+        return w
+    apart = clip(congestion[0], 0, 1) - clip(congestion[1], 0, 1)
+    known = congestion[0].isNotNull() & congestion[1].isNotNull()
+    return w * F.when(known, F.exp(-(apart * apart) / (2 * h_congestion * h_congestion))).otherwise(1.0)
 
 
-def kernel_estimates(samples: DataFrame, queries: DataFrame, now: Column, least_n: float = 8.0) -> DataFrame:
+def kernel_estimates(samples: DataFrame, queries: DataFrame, now: Column, least_n: float | Column = 8.0, quantiles: tuple[int, ...] = (10, 25, 50, 75, 90), **kernel) -> DataFrame:
     """One row per query (qid, t) of the same junction with enough effective samples.
 
-    samples: junction, ts, delay, stopped, quality. The join is on junction; queries per
-    junction are few beside its samples.
+    samples: junction, ts, delay, stopped, quality, and congestion if they have it; queries
+    may have congestion too. The join is on junction; queries per junction are few beside its samples.
     """
-    w = kernel_weight(F.col("t"), F.col("ts"), now, F.col("quality"))
-    pairs = samples.join(queries, "junction").withColumn("w", w)
+    covered = "congestion" in samples.columns and "congestion" in queries.columns
+    asked = queries.withColumnRenamed("congestion", "_congestion")
+    pair = (F.col("_congestion"), F.col("congestion")) if covered else None
+    w = kernel_weight(F.col("t"), F.col("ts"), now, F.col("quality"), congestion=pair, **kernel)
+    pairs = samples.join(asked, "junction").withColumn("w", w)
+    least = least_n if isinstance(least_n, Column) else F.lit(float(least_n))
     base = pairs.groupBy("qid").agg(
         weighted_mean(F.col("delay"), F.col("w")).alias("mean_delay"), weighted_mean(F.col("stopped").cast("double"), F.col("w")).alias("p_stop"),
-        effective_n(F.col("w")).alias("n_eff"), F.count("*").alias("n"),
+        effective_n(F.col("w")).alias("n_eff"), F.count("*").alias("n"), F.max(least).alias("_least"),
         weighted_mean(F.when(F.col("stopped"), F.col("delay")), F.when(F.col("stopped"), F.col("quality"))).alias("mean_stop"),
-    ).filter(F.col("n_eff") >= least_n)
-    qs = weighted_quantiles(pairs, ["qid"], "delay", "w", {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9})
+    ).filter(F.col("n_eff") >= F.col("_least")).drop("_least")
+    if not quantiles:
+        return base
+    qs = weighted_quantiles(pairs.select("qid", "delay", "w"), ["qid"], "delay", "w", {f"p{q}": q / 100 for q in quantiles})
     return base.join(qs, "qid")
 
 
 def hourly(samples: DataFrame, least: int = 5) -> DataFrame:
-    """(weekend, hour, n, p50, p90, p_stop): 48 rows; figures only from `least` samples on."""
-    rows = samples.withColumn("hour", F.floor(clock.second_of_day(F.col("ts")) / 3600).cast("int")).withColumn("weekend", clock.weekday(F.col("ts")) >= 5)
-    base = rows.groupBy("weekend", "hour").agg(F.count("*").alias("n"), weighted_mean(F.col("stopped").cast("double"), F.col("quality")).alias("p_stop"))
-    qs = weighted_quantiles(rows, ["weekend", "hour"], "delay", "quality", {"p50": 0.5, "p90": 0.9})
-    frame = samples.sparkSession.range(24).select(F.col("id").cast("int").alias("hour")).withColumn("weekend", F.explode(F.array(F.lit(False), F.lit(True))))
+    """(day_type, hour, n, p10, p50, p90, p_stop): 72 rows, for all days, weekdays and weekends; figures only from `least` samples on."""
+    weekend = clock.weekday(F.col("ts")) >= 5
+    kind = F.explode(F.array(F.lit("all"), F.when(weekend, "weekend").otherwise("weekday")))
+    rows = samples.withColumn("hour", F.floor(clock.second_of_day(F.col("ts")) / 3600).cast("int")).withColumn("day_type", kind)
+    base = rows.groupBy("day_type", "hour").agg(F.count("*").alias("n"), weighted_mean(F.col("stopped").cast("double"), F.col("quality")).alias("p_stop"))
+    qs = weighted_quantiles(rows, ["day_type", "hour"], "delay", "quality", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    kinds = F.explode(F.array(F.lit("all"), F.lit("weekday"), F.lit("weekend")))
+    frame = samples.sparkSession.range(24).select(F.col("id").cast("int").alias("hour")).withColumn("day_type", kinds)
     enough = lambda c: F.when(F.col("n") >= least, F.col(c)).alias(c)
-    return frame.join(base, ["weekend", "hour"], "left").join(qs, ["weekend", "hour"], "left").select("weekend", "hour", F.coalesce("n", F.lit(0)).alias("n"), enough("p50"), enough("p90"), enough("p_stop"))
+    return frame.join(base, ["day_type", "hour"], "left").join(qs, ["day_type", "hour"], "left").select("day_type", "hour", F.coalesce("n", F.lit(0)).alias("n"), enough("p10"), enough("p50"), enough("p90"), enough("p_stop"))
 
 
 def brier(p: Column, y: Column) -> Column:
@@ -89,19 +196,31 @@ def calibration_error(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFram
     return got.agg((F.sum(F.col("n") * F.abs(F.col("p") - F.col("y"))) / F.sum("n")).alias("ece"))
 
 
-def recent_residual(df: DataFrame, now: Column, tau: float = 1800.0) -> Column:
-    """Decayed mean of residuals younger than three tau; use inside agg. df columns: ts, residual, quality."""
+def recent_residuals(rows: DataFrame, by: list[str], now: Column, tau: float = 1800.0, share: float = 0.5) -> DataFrame:
+    """(by..., adjustment, recent_n) of residuals younger than three tau.
+
+    rows: ts, residual (null where there is no baseline), quality. Residuals are held to the
+    99th percentile of their sizes (the value at place 0.99 n, rounded down); fewer than three give 0.
+    """
     age = clock.epoch(now) - clock.epoch(F.col("ts"))
-    w = F.when((age >= 0) & (age < 3 * tau), F.exp(-age / tau) * F.col("quality"))
-    return F.sum(w * F.col("residual")) / F.nullif(F.sum(w), F.lit(0.0))
+    recent = rows.filter(F.col("residual").isNotNull() & (age < 3 * tau)).select(*by, "residual", (F.exp(-age / tau) * F.col("quality")).alias("w"))
+    place = Window.partitionBy(*by).orderBy(F.abs("residual"))
+    ranked = recent.withColumn("_i", F.row_number().over(place) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    bound = F.max(F.when(F.col("_i") == F.least(F.col("_n") - 1, F.floor(0.99 * F.col("_n"))), F.abs("residual"))).over(Window.partitionBy(*by))
+    held = ranked.withColumn("_p", bound).withColumn("_r", clip(F.col("residual"), -F.col("_p"), F.col("_p")))
+    mean = F.coalesce(F.sum(F.col("w") * F.col("_r")) / F.nullif(F.sum("w"), F.lit(0.0)), F.lit(0.0))
+    return held.groupBy(*by).agg(F.when(F.count("*") >= 3, share * mean).otherwise(0.0).alias("adjustment"), F.count("*").alias("recent_n"))
 
 
-def autocorrelation(df: DataFrame, by: list[str], second: str, y: str, low: int = 30, high: int = 240, top: int = 5) -> DataFrame:
+def autocorrelation(df: DataFrame, by: list[str], second: str, y: str, low: int = 30, high: int = 240, top: int = 5, least: int = 50, longest: int = 200_000) -> DataFrame:
     """(by..., lag, r): the strongest lags of a 0/1 series in one-second bins, empty bins skipped.
 
-    An equi-join of bins with bins shifted by each lag; only filled bins are joined.
+    Groups of fewer than `least` rows, or over more than `longest` seconds, have none. An
+    equi-join of bins with bins shifted by each lag; only filled bins are joined.
     """
-    bins = df.groupBy(*by, F.floor(second).cast("long").alias("s")).agg(F.avg(y).alias("x"))
+    span = df.groupBy(*by).agg(F.count("*").alias("_n"), F.min(second).alias("_t0"), F.max(second).alias("_t1"))
+    span = span.filter((F.col("_n") >= least) & (F.ceil(F.col("_t1") - F.col("_t0")) + 1 <= longest)).select(*by, "_t0")
+    bins = df.join(span, by).groupBy(*by, F.floor(F.col(second) - F.col("_t0")).cast("long").alias("s")).agg(F.avg(y).alias("x"))
     mean = bins.groupBy(*by).agg(F.avg("x").alias("m"))
     x = bins.join(mean, by).withColumn("x", F.col("x") - F.col("m")).drop("m")
     ahead = x.select(*by, F.col("x").alias("x2"), F.explode(F.sequence(F.lit(low), F.lit(high))).alias("lag"), "s").withColumn("s", F.col("s") - F.col("lag"))
@@ -110,11 +229,18 @@ def autocorrelation(df: DataFrame, by: list[str], second: str, y: str, low: int
     return r.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("r"), "lag"))).filter(F.col("k") <= top).drop("k")
 
 
-def offset_fit(df: DataFrame, by: list[str], g: str, cycle: float, delta: float = 4.0, step: float = 0.5, least: int = 12) -> DataFrame:
-    """(by..., offset, cost, n, inliers): the offset on a grid with the least Huber cost of circular residuals."""
-    grid = F.explode(F.sequence(F.lit(0), F.lit(int(cycle / step) - 1)))
-    d = F.pmod(F.col(g) - F.col("offset"), F.lit(cycle))
-    res = F.least(d, F.lit(cycle) - d)
-    cost = df.select(*by, g, grid.alias("i")).withColumn("offset", F.col("i") * step).groupBy(*by, "offset").agg(F.sum(huber(res, delta)).alias("cost"), F.count("*").alias("n"), F.avg((res <= delta).cast("double")).alias("inliers"))
+def offset_fit(df: DataFrame, by: list[str], g: str, cycle: Column | float, delta: float = 4.0, step: float = 0.5, least: int = 12, inlying: float = 0.7) -> DataFrame:
+    """(by..., offset, cost, n, inliers): the offset on a grid with the least Huber cost of circular residuals.
+
+    cycle: one number, or a column that is equal within a group. Equal positions in the cycle
+    are pooled first. Groups of too few rows, or with a smaller share of inliers, have no fit.
+    """
+    c = cycle if isinstance(cycle, Column) else F.lit(float(cycle))
+    pooled = df.select(*by, c.cast("double").alias("_c"), F.pmod(F.col(g).cast("double"), c.cast("double")).alias("_g")).groupBy(*by, "_c", "_g").agg(F.count("*").alias("_n"))
+    grid = F.explode(F.sequence(F.lit(0), F.ceil(F.col("_c") / step).cast("int") - 1))
+    each = pooled.withColumn("_i", grid).withColumn("offset", F.col("_i") * step)
+    d = F.pmod(F.col("_g") - F.col("offset"), F.col("_c"))
+    res = F.least(d, F.col("_c") - d)
+    cost = each.groupBy(*by, "offset").agg(F.sum(F.col("_n") * huber(res, delta)).alias("cost"), F.sum("_n").alias("n"), (F.sum(F.when(res <= delta, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("inliers"))
     best = cost.filter(F.col("n") >= least).groupBy(*by).agg(F.min(F.struct("cost", "offset", "n", "inliers")).alias("b"))
-    return best.select(*by, "b.offset", "b.cost", "b.n", "b.inliers")
+    return best.filter(F.col("b.inliers") >= inlying).select(*by, "b.offset", "b.cost", "b.n", "b.inliers")

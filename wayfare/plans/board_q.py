@@ -101,7 +101,7 @@ def duplicates(spark, sf_dir):
 
 def conflicts(spark, sf_dir):
     c = plans.conflicts(_blocks(spark, sf_dir))
-    return c.select("target", F.size("blocks").cast("long").alias("n"), "signatures", "among_verified")
+    return c.select("target", F.col("blocks").alias("n"), "signatures", "among_verified")
 
 
 def superseded(spark, sf_dir):
