@@ -4,10 +4,11 @@ Lines are exploded, normalised and hashed; documents are counted per hash; hashe
 in enough documents are dropped everywhere but in the largest doc_id that holds
 them; what stays is put together again by position.
 
-Defined cases. Null text: one empty line. Rows that share a doc_id count as one
-document and each is cut on its own; rows without doc_id count together as one
-document that ranks below all others. Repeated rows give repeated results. Other
-columns, whatever their names, pass through. An empty table gives an empty table.
+Defined cases. Null text: one empty line. Texts of any length are cut whole. Rows that
+share a doc_id count as one document and each is cut on its own; rows without doc_id
+count together as one document that ranks below all others. Repeated rows give repeated
+results. Other columns, whatever their names, pass through; where docs has a column
+`_lines`, the new one gets underscores more. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -15,7 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayfare.llm.common import BLANKS, ascii_lower, digest
+from wayfare.llm.common import BLANKS, ascii_lower, digest, free_name
+from wayfare.scratch import write_table
+
+#: Least documents of a hot key, and most keys that count as hot.
+HOT_DOCS, HOT_KEYS = 10_000, 50_000
 
 
 def _keys(text: Column, min_chars: int) -> Column:
@@ -33,14 +38,16 @@ def dedup_lines(
 ) -> DataFrame:
     """docs with `text` cut, plus n_lines and n_dropped (structs named _lines).
 
-    The text is shuffled once, to meet its own few dropped keys; all that is
-    counted is (key, doc_id). A key in very many documents is counted from
-    per-task distinct pairs, dealt by key and document, and adaptive execution
-    splits it where the dropped keys are joined back.
+    The text is shuffled once, to meet its own few dropped keys; all that is counted is
+    (key, doc_id). Keys of more documents than a HOT_KEYS-th of all counted pairs are at
+    most HOT_KEYS by arithmetic: these are broadcast, and their pairs are spread by
+    document, so no key's pairs meet in one task.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # rows without an id are told apart by their text
+    row = F.when(F.col(f"`{doc_id}`").isNull(), digest(body))
     pairs = docs.select(
-        F.col(doc_id).alias("d"), F.explode(F.array_distinct(F.array_compact(_keys(body, min_chars)))).alias("k")
+        F.col(f"`{doc_id}`").alias("d"), row.alias("r"), F.explode(F.array_distinct(F.array_compact(_keys(body, min_chars)))).alias("k")
     )
     common = (
         pairs.groupBy("k")
@@ -49,26 +56,37 @@ def dedup_lines(
             F.max("d").alias("keeper"),
         )
         .filter(F.col("n") >= min_docs)
-        .select("k", "keeper")
     )
+    common = write_table(common, "common-lines")
+    counted = common.agg(F.sum("n")).first()[0] or 0
+    least = max(HOT_DOCS, counted // HOT_KEYS)
+    hot = common.filter(F.col("n") > least).select("k", F.struct("keeper").alias("hot"))
+    rest = common.filter(F.col("n") <= least).select(F.col("k").alias("j"), F.struct("keeper").alias("rest"))
+    met = pairs.join(F.broadcast(hot), "k", "left")
+    # a hot pair's key here is its document's: it meets no key of `rest` and is spread
+    spread = F.unhex(F.sha1(F.concat_ws(":", F.coalesce(F.col("d").cast("string"), F.hex("r")), F.hex("k"))))
+    met = met.withColumn("j", F.when(F.col("hot").isNull(), F.col("k")).otherwise(spread)).join(rest, "j", "left")
+    of = F.coalesce("hot", "rest")
     drops = (
-        pairs.join(common, "k")
-        .filter(~F.col("d").eqNullSafe(F.col("keeper")))
-        .groupBy("d")
-        .agg(F.collect_set("k").alias("_drop"))
+        met.filter(of.isNotNull() & ~F.col("d").eqNullSafe(of["keeper"]))
+        .groupBy("d", "r")
+        .agg(F.collect_set("k").alias("keys"))
     )
-    hit = docs.join(drops, docs[doc_id].eqNullSafe(drops["d"]), "left").drop(drops["d"])
+    drop, gone, at, cut_, name = (free_name(docs, x) for x in ("_drop", "_d", "_r", "_cut", "_lines"))
+    drops = drops.select(F.col("d").alias(gone), F.col("r").alias(at), F.col("keys").alias(drop))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col(gone)) & row.eqNullSafe(F.col(at))
+    hit = docs.join(drops, same, "left")
     lines = F.split(body, "\n", -1)
     marked = F.arrays_zip(lines.alias("line"), _keys(body, min_chars).alias("key"))
     kept = F.transform(
-        F.filter(marked, lambda x: ~F.coalesce(F.array_contains(F.col("_drop"), x["key"]), F.lit(False))),
+        F.filter(marked, lambda x: ~F.coalesce(F.array_contains(F.col(drop), x["key"]), F.lit(False))),
         lambda x: x["line"],
     )
-    cut = F.when(
-        F.col("_drop").isNotNull(), F.struct(F.concat_ws("\n", kept).alias("text"), F.size(kept).alias("n"))
-    ).otherwise(F.struct(body.alias("text"), F.size(lines).alias("n")))
-    out = hit.withColumn("_cut", cut).withColumn("_n", F.size(lines).cast("long"))
+    n = F.size(lines).cast("long")
+    whole = F.struct(body.alias("text"), n.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"))
+    less = F.struct(F.concat_ws("\n", kept).alias("text"), n.alias("n_lines"), (n - F.size(kept)).alias("n_dropped"))
+    out = hit.withColumn(cut_, F.when(F.col(drop).isNotNull(), less).otherwise(whole))
     return out.select(
-        *[F.col("_cut.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        F.struct(F.col("_n").alias("n_lines"), (F.col("_n") - F.col("_cut.n")).alias("n_dropped")).alias("_lines"),
+        *[F.col(f"`{cut_}`.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns],
+        F.struct(f"`{cut_}`.n_lines", f"`{cut_}`.n_dropped").alias(name),
     )
