@@ -7,16 +7,18 @@ vector is scored (the stored norm times the sum of its entries); the best of eac
 of the index, and any level with them, are then scored exactly on the original vectors, and the exact best kept.
 
 Codebooks are trained on at most `sample` vectors (lowest hashes of vec_id), which is the
-documented bound; every vector is coded. Queries are taken in rounds of at most `chunk`
-(their vectors are the only thing sent to all tasks, so its size is fixed), and each
-round scans the index in blocks, each task keeping its k best for each query.
+documented bound; every vector is coded. The index is dealt into parts of at most about
+PART rows, and each query goes to every part: a task holds one part and takes the queries
+as they come, QUERIES at a time, so nothing but the codebooks is sent to all tasks and
+neither the driver nor a task holds all queries. Each part keeps its k best for each query.
 
 Defined cases. Null vectors, vectors of another dimension than most of the sample has,
 zero vectors and vectors with null or non-finite components take no part, as query or
-candidate. Rows with null vec_id are left out. Rows that share a vec_id are candidates
-each, but never for a query of that id. Ties go to the smaller vec_id. With fewer
-candidates than k, all are returned. Other columns play no part. An empty table gives an
-empty result.
+candidate. Rows with null vec_id are left out; vec_id must be whole numbers (it is cast to
+long). Rows that share a vec_id are candidates each, but never for a query of that id; of
+query rows that share one, the least vector is the query, so a query_id has one list. Ties
+go to the smaller vec_id. With fewer candidates than k, all are returned. Other columns,
+whatever their names, play no part. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql.window import Window
 from wayfare.scratch import write_table
 
 BOOKS, WORDS, BEAM = 8, 256, 8
+#: Rows of a part of the index, rows of a block (from which `rerank` are scored exactly), queries at once.
+PART, BLOCK, QUERIES = 8192, 4096, 256
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -135,79 +139,87 @@ def _reduced(vid: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
     return np.sort(o[place(np.r_[True, s[1:] != s[:-1]]) < 2 * k])
 
 
-def _searcher(shared, k: int, rerank: int, rows_at_once: int = 4096, queries_at_once: int = 256):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q, tables = shared.value  # tables: (books, words, queries)
-        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(qid)
-        held, size = [], 0
-
-        def scan(part: pa.Table) -> None:
-            vid = part["vec_id"].to_numpy()
-            x = _matrix(part["embedding"].combine_chunks())
-            norm = part["norm"].to_numpy().astype(np.float32)
-            codes = np.frombuffer(b"".join(part["codes"].to_pylist()), np.uint8).reshape(len(vid), -1)
-            part = _reduced(vid, x, k)
-            vid, x, norm, codes = vid[part], x[part], norm[part], codes[part]
+def _searcher(shared, k: int, rerank: int):
+    """(query_id, vec_id, score) from rows sorted by part, the index rows of each before the queries."""
+
+    def nearest(blocks, best, books, qid, q) -> None:
+        tables = np.ascontiguousarray(books @ q.T.astype(np.float32))  # (books, words, queries)
+        for vid, x, norm, codes in blocks:
             top = min(len(vid), rerank)
-            for a in range(0, len(qid), queries_at_once):
-                lut = tables[:, :, a : a + queries_at_once]
-                approx = lut[0][codes[:, 0]]
-                for m in range(1, len(lut)):
-                    approx += lut[m][codes[:, m]]
-                approx *= norm[:, None]
-                approx[vid[:, None] == qid[None, a : a + queries_at_once]] = -np.inf
-                # the best `top` and all that are level with the last of them
-                last = -np.partition(-approx, top - 1, axis=0)[top - 1]
-                near = ((approx >= last) & (approx > -np.inf)).T
-                for j in range(approx.shape[1]):
-                    i = np.flatnonzero(near[j])
-                    exact = (x[i] * q[a + j]).sum(1)
-                    s, v = np.concatenate([best[a + j][0], exact]), np.concatenate([best[a + j][1], vid[i]])
-                    o = np.lexsort((v, -s))[:k]
-                    best[a + j] = s[o], v[o]
+            approx = tables[0][codes[:, 0]]
+            for m in range(1, len(tables)):
+                approx += tables[m][codes[:, m]]
+            approx *= norm[:, None]
+            approx[vid[:, None] == qid[None, :]] = -np.inf
+            # the best `top` and all that are level with the last of them
+            last = -np.partition(-approx, top - 1, axis=0)[top - 1]
+            near = ((approx >= last) & (approx > -np.inf)).T
+            for j in range(len(qid)):
+                i = np.flatnonzero(near[j])
+                exact = (x[i] * q[j]).sum(1)
+                s, v = np.concatenate([best[j][0], exact]), np.concatenate([best[j][1], vid[i]])
+                o = np.lexsort((v, -s))[:k]
+                best[j] = s[o], v[o]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, blocks = None, [], []
+
+        def answer(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for at in range(0, rows.num_rows, QUERIES):
+                some = rows.slice(at, QUERIES)
+                qid, q = some.column("vec_id").to_numpy(), _matrix(some.column("embedding"))
+                best = [(np.zeros(0), np.zeros(0, np.int64))] * len(qid)
+                nearest(blocks, best, shared.value, qid, q)
+                n = [len(s) for s, _ in best]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(np.concatenate([v for _, v in best])), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "vec_id", "score"])
+
+        def indexed(rows: pa.Table) -> None:
+            for at in range(0, rows.num_rows, BLOCK):
+                some = rows.slice(at, BLOCK)
+                vid, x = some["vec_id"].to_numpy(), _matrix(some["embedding"].combine_chunks())
+                norm = some["norm"].to_numpy().astype(np.float32)
+                codes = np.frombuffer(b"".join(some["codes"].to_pylist()), np.uint8).reshape(len(vid), -1)
+                keep = _reduced(vid, x, k)
+                blocks.append((vid[keep], x[keep], norm[keep], codes[keep]))
 
         for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= rows_at_once:
-                whole = pa.Table.from_batches(held)
-                for at in range(0, size - rows_at_once + 1, rows_at_once):
-                    scan(whole.slice(at, rows_at_once))
-                held, size = whole.slice(size - size % rows_at_once).to_batches(), size % rows_at_once
-        if size:
-            scan(pa.Table.from_batches(held))
-        if any(len(s) for s, _ in best):
-            n = [len(s) for s, _ in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(np.concatenate([v for _, v in best])), pa.array(np.concatenate([s for s, _ in best]))], ["query_id", "vec_id", "score"])
+            parts, query = batch.column("part").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (query[1:] != query[:-1])]) if len(parts) else []
+            for a, b in zip(edge, np.r_[edge[1:], len(parts)], strict=True) if len(parts) else ():
+                some = batch.slice(a, b - a)
+                if parts[a] != part:
+                    part, held, blocks = parts[a], [], []
+                if not query[a]:
+                    held.append(some)
+                    continue
+                if held:
+                    indexed(pa.Table.from_batches(held))
+                    held = []
+                if blocks:
+                    yield from answer(some)
 
     return run
 
 
-def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: int = 20, rerank: int = 256, chunk: int = 8192) -> DataFrame:
+def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: int = 20, rerank: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score). queries: rows of the index (vec_id, embedding).
 
     rerank: exact scores taken in each block of 4,096, a sixteenth of it, and of all rows
     level with the last of these. Of equal vectors only those count that can be among the
-    k best, the smallest ids.
+    k best, the smallest ids. Queries are repeated once for each part of the index, which is
+    what scoring every coded vector for every query asks for; a part's task streams them.
     """
     spark = index.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if books is None:
-        return empty
-    total, out = queries.count(), None
-    rounds = max(1, -(-total // chunk))
-    for r in range(rounds):
-        # a hash deals queries to rounds; twice the mean is far beyond what it strays
-        own = queries.filter(F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(rounds)) == r) if rounds > 1 else queries
-        got = own.select("vec_id", "embedding").toArrow()
-        if not got.num_rows:
-            continue
-        q = _matrix(got["embedding"].combine_chunks())
-        tables = np.ascontiguousarray(books @ q.T.astype(np.float32))
-        shared = spark.sparkContext.broadcast((got["vec_id"].to_numpy(), q, tables))
-        found = index.select("vec_id", "embedding", "norm", "codes").mapInArrow(_searcher(shared, k, rerank), "query_id long, vec_id long, score double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shared = spark.sparkContext.broadcast(books)
+    parts = max(1, -(-index.count() // PART))
+    # by row, so that rows of one id or one vector are spread like any others
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    rows = index.select(part.alias("part"), F.lit(False).alias("query"), "vec_id", "embedding", "norm", "codes")
+    asked = queries.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    each = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("query"), "vec_id", "embedding", F.lit(None).cast("double").alias("norm"), F.lit(None).cast("binary").alias("codes"))
+    dealt = rows.union(each).repartition(parts, "part").sortWithinPartitions("part", "query")
+    found = dealt.mapInArrow(_searcher(shared, k, rerank), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
