@@ -1,28 +1,32 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 The forest sees each candidate's length, its character transitions, how much of it a
-dictionary of the corpus covers, the path it stands in, and the words beside it. It is
-trained on labelled findings.
-
-Labelled findings here: a finding whose form settles the matter is labelled by
-`settled`, the rest are left to the forest. Any other table of (finding, label) serves
-as well. Training takes at most `sample` findings of each label (lowest hashes), the
-documented bound; the forest itself is trained by Spark. Dictionary and findings cover
-all texts: a word is in the dictionary when all texts together hold it REPORT times,
-however they are dealt out, and the dictionary stays a table, joined with the words of
-the candidates.
-
-Defined cases. Null and empty texts have no candidates. Candidates of one rule never
-overlap; of two rules' candidates at one place the first rule's stays. Positions are in
-characters. Without findings of both labels, a finding's score is its settled label, or
-0.5. Repeated rows give repeated findings. An absent path column counts as empty. An
-empty table gives an empty result.
+dictionary of the corpus covers, the words of the path it stands in, and the words beside
+it; words are hashed into a few counters. It is trained on labelled findings.
+
+Labelled findings come as a table of (doc_id, start, label) of any origin. By default they
+are the findings that `settled` labels by what the forest does not see: the rule that
+found them (issuers' own formats are secrets) and stand-in values of documentation. The
+forest carries those labels over to the findings that no format settles. Training takes at
+most `sample` findings of each label (lowest hashes), the documented bound; the forest
+itself is trained by Spark. Dictionary and findings cover all texts: a word is in the
+dictionary when all texts together hold it REPORT times, however they are dealt out, and
+the dictionary stays a table, joined with the words of the candidates.
+
+Defined cases. Null and empty texts have no candidates; texts of any length are scanned
+whole. Candidates never overlap: of two at one place the first rule's stays. Positions are
+in characters. Without findings of both labels, a finding's score is its own label, or
+0.5. Repeated rows give repeated findings. doc_id must be whole numbers (it is cast to
+long). An absent path column counts as empty; other columns play no part. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,11 +52,12 @@ RULES = [
 ]
 #: Stand-ins that documentation uses.
 STAND_INS = ["example", "changeme", "xxxx", "your", "dummy", "sample", "placeholder", "redacted", "123456"]
-CUES = ["password", "passwd", "pwd", "secret", "token", "key", "auth", "bearer", "credential"]
 REPORT = 16  # occurrences in the corpus that make a word of the dictionary
 _KINDS = 6  # lower, upper, digit, + / _ -, other, end
-COVERED = 4  # place of the dictionary's share in the features
-WIDTH = 10 + _KINDS * _KINDS + 4 + len(RULES)
+COVERED = 2  # place of the dictionary's share in the features
+#: Counters for words before, after, and in the path; how many words count beside a candidate.
+BEFORE, AFTER, PATH, BESIDE = 16, 8, 8, 3
+WIDTH = 3 + _KINDS * _KINDS + BEFORE + AFTER + PATH
 
 
 def settled(rule: str, value: str) -> int | None:
@@ -77,25 +82,23 @@ def _shape(c: str) -> int:
     return 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if c.isdigit() else 3 if c in "+/_-=" else 4
 
 
-def features(rule: int, value: str, before: str, after: str, path: str) -> list[float]:
+def _hashed(words: list[str], buckets: int) -> list[float]:
+    out = [0.0] * buckets
+    for w in words:
+        out[zlib.crc32(w.lower().encode()) % buckets] += 1.0
+    return out
+
+
+def features(value: str, before: str, after: str, path: str) -> list[float]:
     """All features but the one at COVERED, which is 0 until the dictionary is joined."""
     n = len(value)
-    counts = np.bincount(np.frombuffer(value.encode("utf-32-le"), np.uint32) % 256, minlength=1)
-    p = counts[counts > 0] / n
     shapes = [*map(_shape, value), 5]
     moves = np.zeros((_KINDS, _KINDS))
-    for a, b in zip(shapes[:-1], shapes[1:], strict=True):
-        moves[a, b] += 1
-    beside = before.lower()
-    one = [0.0] * len(RULES)
-    one[rule] = 1.0
+    np.add.at(moves, (shapes[:-1], shapes[1:]), 1)
+    words = re.compile("[^\\W\\d_]+").findall
     return [
-        float(n), math.log(n), float(-(p * np.log2(p)).sum()), len(set(value)) / n, 0.0,
-        sum(s == 2 for s in shapes) / n, sum(s == 0 for s in shapes) / n, sum(s == 1 for s in shapes) / n,
-        float(bool(re.fullmatch("[0-9a-f]+", value))), float(any(s in value.lower() for s in STAND_INS)),
-        *(moves / n).ravel().tolist(),
-        float(any(c in beside for c in CUES)), float(after[:1] in "\"';,"), len(path) / 100, float(bool(re.search(r"test|example|doc|fixture|mock", path.lower()))),
-        *one,
+        float(n), math.log(n), 0.0, *(moves / n).ravel().tolist(),
+        *_hashed(words(before)[-BESIDE:], BEFORE), *_hashed(words(after)[:BESIDE], AFTER), *_hashed(words(path), PATH),
     ]
 
 
@@ -134,16 +137,16 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for i, text, path in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("path").to_pylist(), strict=True):
             text = text.as_py() or ""
-            taken: list[tuple[int, int]] = []
-            for r, (name, pattern) in enumerate(rules):
+            taken: list[tuple[int, int]] = []  # in order, apart from one another
+            for name, pattern in rules:
                 for m in pattern.finditer(text):
                     a, b = m.span("v")
-                    if any(a < d and c < b for c, d in taken):
+                    at = bisect.bisect(taken, (a, b))
+                    if at and taken[at - 1][1] > a or at < len(taken) and taken[at][0] < b:
                         continue
-                    taken.append((a, b))
+                    taken.insert(at, (a, b))
                     value = m["v"]
-                    before = text[max(0, a - 40) : a]
-                    rows.append({"doc_id": i, "start": a, "end": b, "rule": name, "value": value, "label": settled(name, value), "x": features(r, value, before, text[b : b + 10], path or "")})
+                    rows.append({"doc_id": i, "start": a, "end": b, "rule": name, "value": value, "label": settled(name, value), "x": features(value, text[max(0, a - 40) : a], text[b : b + 40], path or "")})
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("rule", pa.string()), ("value", pa.string()), ("label", pa.int32()), ("x", pa.list_(pa.float64()))]))
 
 
@@ -161,6 +164,12 @@ def findings(docs: DataFrame, path: str | None = "source", doc_id: str = "doc_id
     return write_table(found.join(covered, "value", "left").withColumn("x", x).select(*_FOUND.names), "findings")
 
 
+def relabelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """found with the labels of another table (doc_id, start, label); null where it has none."""
+    given = labels.groupBy("doc_id", "start").agg(F.min("label").cast("int").alias("label"))
+    return found.drop("label").join(given, ["doc_id", "start"], "left").select(*_FOUND.names)
+
+
 def fit(labelled: DataFrame, sample: int = 20_000, trees: int = 24, depth: int = 6, seed: int = 3):
     """A forest from (x, label), or None where one of the labels is missing."""
     from pyspark.ml.classification import RandomForestClassifier
