@@ -109,7 +109,7 @@ FROM dw LEFT JOIN cover USING (r) LEFT JOIN its USING (r)"""
 
 _OP4 = """
 WITH src AS (SELECT source, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes FROM documents GROUP BY source),
-w AS (SELECT source, bytes, pow(bytes::DOUBLE, 0.7::DOUBLE) AS weight FROM src WHERE bytes > 0),
+w AS (SELECT source, bytes, CASE WHEN bytes > 0 THEN pow(bytes::DOUBLE, 0.7::DOUBLE) ELSE 0 END AS weight FROM src),
 rate AS (SELECT source, CASE WHEN bytes > 0 THEN weight / (SELECT sum(weight) FROM w) * (SELECT sum(bytes) FROM w) / bytes ELSE 1 END AS rate FROM w),
 blocks AS (SELECT source, greatest(1, ceil(rate / 8))::INT AS m, rate / greatest(1, ceil(rate / 8)) AS lam FROM rate),
 cdf AS (SELECT source, m, list_sum(list_transform(range(0, k + 1), lambda i: exp(-lam + i * ln(lam) - lgamma(i + 1)))) AS c
@@ -142,11 +142,22 @@ def _op7_sql() -> str:
     normal = "trim(regexp_replace(" + low + r", '[^a-z0-9\x{{80}}-\x{{10FFFF}}]+', ' ', 'g'), ' ')"
     known = ", ".join(f"({q(s)}, {q(n)})" for n, s in licenses.SENTENCES.items())
     rules = "[" + ", ".join(f"{{'l': {q(n)}, 'p': {q('.*,'.join(',' + x for x in o).replace(',.*', '.*') + ',')}}}" for n, o in licenses.RULES) + "]"
+    word = r"a-z0-9\x{80}-\x{10FFFF}"
+    cut = low.format(c="translate(coalesce(text, ''), '|', '_')")
+    for pattern, mark in [
+        (r"([.!?;:])[ \t\x0B\f\r]+", r"\1|"), (rf"(?m)^[^{word}\n]*(?:dnl|rem|c)([ \t\r\n]|$)", r"\1"), (rf"[^{word}|\n]+", " "),
+        (r" ?\|[ |]*", "|"), (r"[ |]?\n[ |]?", "\n"), (r"\n{2,}", "#"),
+    ]:
+        cut = f"regexp_replace({cut}, {q(pattern)}, {q(mark)}, 'g')"
+    longest = max(len(x.split()) for x in licenses.SENTENCES.values()) + 8
     return rf"""
-WITH k AS (SELECT {normal.format(c="s")} AS key, id FROM (VALUES {known}) v(s, id)),
-d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-x AS (SELECT r, unnest(p) AS s, unnest(range(1, len(p) + 1)) AS i FROM (SELECT r, string_split(regexp_replace(t, '([.!?;])[ 	]+', '' || chr(10), 'g'), chr(10)) AS p FROM d)),
-m AS (SELECT r, string_agg(id, ',' ORDER BY i) AS ids, count(*) AS n FROM x JOIN k ON k.key = {normal.format(c="s")} GROUP BY r)
+WITH k AS (SELECT {normal.format(c="s")} AS key, min(id) AS id FROM (VALUES {known}) v(s, id) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+g AS (SELECT r, unnest(g) AS g, unnest(range(0, len(g))) AS j FROM (SELECT r, string_split(trim(replace({cut}, chr(10), '|'), ' '), '#') AS g FROM d)),
+p AS (SELECT r, j, string_split(g, '|') AS p FROM g),
+s AS (SELECT r, j, p, i FROM (SELECT r, j, p, unnest(range(1, len(p) + 1)) AS i FROM p) WHERE split_part(p[i], ' ', 1) IN (SELECT split_part(key, ' ', 1) FROM k)),
+c AS (SELECT r, j, i, n, array_to_string(p[i : i + n - 1], ' ') AS key FROM (SELECT r, j, p, i, unnest(range(1, least({longest}, len(p) - i + 1) + 1)) AS n FROM s)),
+m AS (SELECT r, string_agg(id, ',' ORDER BY j, i, n) AS ids, count(*) AS n FROM c JOIN k USING (key) GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids,
        array_to_string(list_transform(list_filter(list_transform({rules}, lambda z, i: {{'i': i, 'l': z.l, 'ok': regexp_matches(',' || coalesce(replace(ids, ',', ',,'), '') || ',', z.p)}}), lambda z: z.ok AND z.i = list_position(list_transform({rules}, lambda y: y.l || regexp_matches(',' || coalesce(replace(ids, ',', ',,'), '') || ',', y.p)), z.l || TRUE)), lambda z: z.l), ',') AS licenses
 FROM d LEFT JOIN m USING (r)"""
