@@ -12,7 +12,9 @@ Defined cases. A null source is a source of its own. A source without a target
 weight gets none and is left out; a weighted source that is absent gives its share
 to the rest. Weights must be above zero or are ignored. Null texts count no bytes;
 a weighted source with no bytes at all keeps rate 1 and takes no share of the others. Rows with equal ids in one source draw
-the same number. Other columns pass through. An empty table gives an empty table.
+the same number. Texts of any length pass whole. Other columns pass through, whatever
+their names: where docs has a column `_replica`, `_order` or `_copies`, the new one gets
+underscores more. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfare.llm.common import free_name
 from wayfare.scratch import write_table
 
 #: Largest mean drawn at once, and the counts that its inversion looks at: the
@@ -38,14 +41,14 @@ def smoothed_weights(docs: DataFrame, power: float, source: str = "source", text
 
     A source without bytes has weight 1, by which it is kept; it takes no share.
     """
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.octet_length(text)).alias("bytes"))
+    sizes = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.sum(F.octet_length(F.col(f"`{text}`"))).alias("bytes"))
     weight = F.when(F.col("bytes") > 0, F.pow(F.col("bytes").cast("double"), F.lit(power))).otherwise(F.lit(1.0))
     return sizes.select("source", weight.alias("weight"))
 
 
 def rates(docs: DataFrame, weights: DataFrame, source: str = "source", text: str = "text") -> DataFrame:
     """(source, rate): mean copies of a document, so that bytes in total stay the same."""
-    sizes = docs.groupBy(F.col(source).alias("source")).agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes"))
+    sizes = docs.groupBy(F.col(f"`{source}`").alias("source")).agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0)).alias("bytes"))
     wanted = weights.filter(F.col("weight") > 0).groupBy("source").agg(F.sum("weight").alias("weight"))
     both = sizes.join(wanted, sizes["source"].eqNullSafe(wanted["source"])).drop(wanted["source"])
     total = both.filter("bytes > 0").agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
@@ -66,18 +69,19 @@ def _distribution(mean: Column) -> Column:
 
 
 def copies(docs: DataFrame, weights: DataFrame, seed: int, source: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with `_copies`, the number drawn for each row."""
+    """docs with a last column `_copies`, the number drawn for each row."""
     # written, so that the planner knows how few rows these are before it deals out docs
     table = write_table(rates(docs, weights, source, text), "mix-rates")
-    table = table.withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("rate") / BLOCK)).cast("int"))
-    table = table.withColumn("_cdf", _distribution(F.col("rate") / F.col("_blocks"))).withColumnRenamed("source", "_s").drop("rate")
+    of, cdf, blocks, name = (free_name(docs, x) for x in ("_s", "_cdf", "_blocks", "_copies"))
+    n = F.greatest(F.lit(1), F.ceil(F.col("rate") / BLOCK)).cast("int")
+    table = table.select(F.col("source").alias(of), n.alias(blocks), _distribution(F.col("rate") / n).alias(cdf))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_blocks")),
+        F.sequence(F.lit(1), F.col(blocks)),
         F.lit(0),
-        lambda acc, b: acc + F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), F.col(doc_id), b))),
+        lambda acc, b: acc + F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(seed), F.col(f"`{doc_id}`"), b))),
     )
-    joined = docs.join(table, F.col(source).eqNullSafe(F.col("_s")))
-    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], drawn.alias("_copies"))
+    joined = docs.join(table, F.col(f"`{source}`").eqNullSafe(F.col(of)))
+    return joined.select(*[docs[f"`{c}`"] for c in docs.columns], drawn.alias(name))
 
 
 def mix(docs: DataFrame, weights: DataFrame, seed: int = 0, shuffle: bool = True, source: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -87,10 +91,11 @@ def mix(docs: DataFrame, weights: DataFrame, seed: int = 0, shuffle: bool = True
     partitions by range of it and sorted within them, so that reading part after
     part reads the whole mix in random order.
     """
-    drawn = copies(docs, weights, seed, source, doc_id, text).filter(F.col("_copies") > 0)
-    out = drawn.withColumn("_replica", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-    order = F.concat_ws(":", F.lit("order"), F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("_replica"))
-    out = out.withColumn("_order", F.conv(F.substring(F.md5(order), 1, 13), 16, 10).cast("long"))
+    drawn = copies(docs, weights, seed, source, doc_id, text)
+    n, replica, order = drawn.columns[-1], free_name(docs, "_replica"), free_name(docs, "_order")
+    out = drawn.filter(F.col(n) > 0).withColumn(replica, F.explode(F.sequence(F.lit(0), F.col(n) - 1))).drop(n)
+    key = F.concat_ws(":", F.lit("order"), F.lit(seed), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null")), F.col(replica))
+    out = out.withColumn(order, F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long"))
     if shuffle:
-        out = out.orderBy("_order", doc_id)
+        out = out.orderBy(order, F.col(f"`{doc_id}`"))
     return out
