@@ -19,8 +19,10 @@ texts. Every text is scored, in the tasks.
 
 Defined cases. Null text scores as the empty one. Labels of ids that documents lack,
 null labels and repeated labels play no part beyond one row per id (the smallest
-label). Without any positive to learn from, every score is the prior 0.5. Rows with
-equal ids and texts get equal results. An empty table gives an empty result.
+label). Without unlabelled rows the labelled negatives stand in for them; without any
+positive to learn from, or anything to tell it from, every score is the prior 0.5. Texts of
+any length are scored whole. Rows with equal ids and texts get equal results. Other columns,
+whatever their names, pass through `keep_good`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -167,15 +169,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8_000, label: str = "q
     # ids first, then the texts of the few that were drawn
     ids = lowest(known.filter("_y = 1").select("_id")).withColumn("y", F.lit(1))
     rest = rows.select("_id").filter(F.col("_id").isNotNull()).join(known.select("_id"), "_id", "left_anti")
-    ids = ids.union(lowest(rest).withColumn("y", F.lit(0)))
+    rest = lowest(rest)
+    if rest.isEmpty():
+        rest = lowest(known.filter("_y <> 1").select("_id"))
+    ids = ids.union(rest.withColumn("y", F.lit(0)))
     drawn = rows.join(F.broadcast(ids), "_id").select("y", "text").mapInArrow(_featurise, "y int, x array<double>").collect()
     y = np.array([r["y"] for r in drawn])
-    if not len(y) or not (y == 1).any():
+    if not (y == 1).any() or not (y == 0).any():
         return None
     x = np.array([r["x"] for r in drawn])
     prior = float(totals["p"])
-    if (y == 0).sum() < 10:
-        return None
     if prior == 1.0:  # no negatives known: mass of unlabelled rows that look like positives
         z = (x - x[y == 1].mean(0)) / (x[y == 1].std(0) + 1e-6)
         far = np.abs(z).max(1)
