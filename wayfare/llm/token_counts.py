@@ -39,12 +39,11 @@ def vocabulary(name: str = "byte_bpe_50k.tiktoken"):
     return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def _writer(path: str, pattern: str, end: int, block: int):
+def _writer(vocabulary, pattern: str, end: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
         coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         part, number, ordinal = TaskContext.get().partitionId(), 0, 0
         held, size = [], 0
@@ -80,19 +79,42 @@ def write_token_files(docs: DataFrame, path: str, pattern: str, end: int = END,
     """(blocks: file, number, ids) and (order: file, number, doc_id): one file per input partition.
 
     The order of documents is what a trainer's manifest keeps; the blocks hold no index.
+    path: the vocabulary, which the driver reads; the tasks get its bytes, under a megabyte.
     """
+    with open(path, "rb") as file:
+        ranks = docs.sparkSession.sparkContext.broadcast(file.read())
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    made = rows.mapInArrow(_writer(path, pattern, end, block), "kind int, file long, number long, doc_id long, ids binary")
+    made = rows.mapInArrow(_writer(ranks, pattern, end, block), "kind int, file long, number long, doc_id long, ids binary")
     made = write_table(made, "token-files", partition_by=["kind"])
     return made.filter("kind = 1").select("file", "number", "ids"), made.filter("kind = 0").select("file", "number", "doc_id")
 
 
+def _ranges(block_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, number, path in zip(*(batch.column(c).to_pylist() for c in ("file", "number", "path")), strict=True):
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_file(at) as source:
+                    ids = source.read_at(block_bytes, number * block_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([number], pa.int64()), pa.array([ids], pa.binary())], ["file", "number", "ids"])
+
+    return run
+
+
 def read_token_files(spark: SparkSession, path: str, block_bytes: int = 2 * BLOCK) -> DataFrame:
-    """Blocks of flat binary files in any store; file is a hash of the path."""
-    whole = spark.read.format("binaryFile").load(path)
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.col("length") - 1) / block_bytes).cast("long")))
-    cut = whole.select(F.xxhash64("path").alias("file"), at.alias("number"), "content")
-    return cut.select("file", "number", F.expr(f"substring(content, cast(number * {block_bytes} + 1 as int), {block_bytes})").alias("ids"))
+    """(file, number, ids): blocks of flat binary files of any size; file is a hash of the path.
+
+    Spark only lists the files; each task then reads the byte ranges dealt to it, so no file is
+    ever held whole. The store must be one that Arrow's file systems open too.
+    """
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    last = F.greatest(F.lit(0), F.floor((F.col("length") - 1) / block_bytes)).cast("long")
+    uri = F.regexp_replace("path", "^file:/(?!/)", "file:///")
+    each = listed.select(F.xxhash64("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("number"), uri.alias("path"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    return each.repartition(tasks, "file", "number").mapInArrow(_ranges(block_bytes), "file long, number long, ids binary")
 
 
 def _scan(end: int, dtype: str):
