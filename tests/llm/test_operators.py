@@ -225,6 +225,10 @@ def edited(base, n, rng):
 @pytest.mark.parametrize("tile", [2000, 7])
 def test_jaccard_join(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard_join, "TILE", tile)
+    if tile < 100:  # many chunks, one partner a set, short signatures: nothing may hang on these
+        monkeypatch.setattr(jaccard_join, "CHUNK_TOKENS", 900)
+        monkeypatch.setattr(jaccard_join, "LINKS", 1)
+        monkeypatch.setattr(jaccard_join, "MOST_BITS", 512)
     rng = random.Random(3)
     bases = [words(n, 100 + n, 500) for n in (30, 80, 200, 400)]
     rows = odd_rows() + [(100 + j, edited(bases[j % 4], rng.randrange(0, 8), rng)) for j in range(90)] + [(300 + j, "two words") for j in range(4)]
@@ -264,6 +268,7 @@ def test_secrets(spark):
     rows = [(i, f"some words password={hexa(16)} and more") for i in range(60)] + [(100 + i, f"call {rng.randrange(10**15, 10**16)} now release-notes-{i}") for i in range(60)]
     rows += [(300 + i, "key AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ23456789") for _ in range(16)) + " end") for i in range(30)]
     rows += [(500, "key AKIA" + "QZ7XK2M9PLWB4TRD end"), (501, None), (502, ""), (503, "token = " + hexa(40)), (504, "x" * 50000), (505, "password=changeme1")]
+    rows += [(600 + i, f"set password=changeme{i} there") for i in range(20)]
     found = secrets.findings(docs(spark, rows))
     out = {(r["doc_id"], r["rule"]): r for r in secrets.scored(found, secrets.fit(found)).collect()}
     assert out[(500, "aws-access-key")]["start"] == 4 and out[(500, "aws-access-key")]["score"] > 0.5
@@ -299,7 +304,7 @@ def test_ann(spark):
     rows += [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [None] * 16), (5080, [1.0, 2.0]), (5100, [float("inf")] * 16), (None, x[0].tolist()), (4000, x[7].tolist()), (4020, x[7].tolist())]
     v = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, rank int, score int")
     index, books = ann.build_index(v)
-    out = ann.search(index, books, index.filter("vec_id % 20 = 0"), 20, chunk=40).collect()
+    out = ann.search(index, books, index.filter("vec_id % 20 = 0"), 20).collect()
     ids = np.array([*range(3000), 4000, 4020])
     full = np.concatenate([x, x[7:8], x[7:8]]).astype(float)
     found = collections.defaultdict(list)
@@ -315,6 +320,10 @@ def test_ann(spark):
         assert [g[1] for g in got] == sorted((g[1] for g in got), reverse=True) and len(got) == 20
         assert all(abs(sc - s[list(ids).index(i)]) < 1e-9 for i, sc in got)
     assert hit / (20 * len(found)) > 0.9
+    # repeated query rows give one list, and copies under the query's own id are no candidates
+    again, b = ann.build_index(v.filter("vec_id < 50").union(v.filter("vec_id = 0")).union(v.filter("vec_id = 0")))
+    own = ann.search(again, b, again.filter("vec_id = 0"), 20).collect()
+    assert sorted(r["rank"] for r in own) == list(range(1, 21)) and len({r["vec_id"] for r in own}) == 20
     few, b = ann.build_index(v.filter("vec_id < 5 OR vec_id >= 5000"))
     assert ann.search(few, b, few.filter("vec_id = 0"), 20).count() == 4
     none, b = ann.build_index(v.limit(0))
@@ -416,5 +425,75 @@ def test_flat_files(spark, tmp_path):
     assert sorted(got) == sorted(want)
 
 
+# --- columns of docs that bear the operators' own names
+OWN = ["_drop", "_lines", "_cut", "_n", "_s", "_cdf", "_blocks", "_copies", "_replica", "_order", "_ids", "_licenses", "_d", "_r", "k", "h", "score", "shard", "sid"]
+
+
+def test_clashing_names_and_long_texts(spark):
+    line = "This line stands in many documents"
+    rows = [(i, f"{line}\nown {i}\nReleased under the MIT License.", "ab"[i % 2]) for i in range(6)] + [(9, "word " * 200_000, "a"), (0, f"{line}\nown 0\nReleased under the MIT License.", "a"), (None, None, None)]
+    d = docs(spark, rows).select("doc_id", "text", "source", *[F.lit(f"mine {c}").alias(c) for c in OWN])
+    mine = lambda df: all(r[c] == f"mine {c}" for r in df.select(*OWN).collect() for c in OWN)
+    cut = line_dedup.dedup_lines(d)
+    assert cut.columns == [*d.columns, "_lines_"] and mine(cut) and cut.count() == len(rows)
+    # the mention, the line and their keepers: the largest doc_id keeps both
+    assert {r["doc_id"]: tuple(r["_lines_"]) for r in cut.collect()} == {**{i: (3, 2) for i in range(5)}, 5: (3, 0), 9: (1, 0), None: (1, 0)}
+    mixed = mixing.mix(d, mixing.smoothed_weights(d, 0.7), seed=3)
+    assert mixed.columns == [*d.columns, "_replica_", "_order_"] and mine(mixed)
+    found = licenses.recognise(d)
+    assert found.columns == [*d.columns, "_ids_", "_licenses_"] and mine(found) and found.filter("_licenses_ = array('MIT')").count() == 7
+    kept = jaccard_join.keep_one(d)
+    # the two rows of document 0 are one document; short texts with other numbers are not alike
+    assert kept.columns == d.columns and mine(kept) and kept.count() == len(rows)
+    placed = sharding.with_shards(d, 4)
+    assert placed.columns == [*d.columns, "shard_"] and mine(placed)
+    good = pu_quality.keep_good(d, None)
+    assert good.columns == d.columns and good.count() == len(rows)
+    bench = spark.createDataFrame([("x", line + " and more words that follow it up to thirteen", 1)], "item_id string, text string, k int")
+    assert decontam.remove_contaminated(d, bench).columns == d.columns
+
+
+def test_jaccard_with_many_null_ids(spark):
+    base = words(60, 8, 300)
+    rows = [(None, f"{base} tail{i % 7}") for i in range(1000)] + [(4, base), (5, base), (5, "another text of a few words only")]
+    got = jaccard_join.join_components(docs(spark, rows), 4, 85, 100).select("doc_id", "n_shingles", "component_id").collect()
+    assert len(got) == len(rows)
+    assert sum(r["component_id"] == 4 for r in got) == 1002 and sum(r["component_id"] == 5 for r in got) == 1
+
+
+def test_quality_with_few_unlabelled_rows(spark):
+    rng = random.Random(1)
+    good = [(i, " ".join(f"the word{rng.randrange(900)}" for _ in range(60)) + ".") for i in range(60)]
+    bad = [(1000 + i, " ".join(f"JUNK{rng.randrange(5)}!!" for _ in range(60))) for i in range(40)]
+    lab = [(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad]
+    labels = spark.createDataFrame(lab, "doc_id long, quality int")
+    for more in ([], [(5000 + i, bad[i][1]) for i in range(9)]):
+        d = docs(spark, good + bad + more)
+        model = pu_quality.fit(d, labels)
+        got = {r["doc_id"]: r["score"] for r in pu_quality.score(d, model).collect()}
+        assert model is not None and min(got[i] for i, _ in good) > max(got[i] for i, _ in bad)
+    only = docs(spark, good)
+    assert pu_quality.fit(only, labels.filter("quality = 1")) is None
+
+
+def test_secrets_found_as_by_a_plain_scan(spark):
+    rng = random.Random(6)
+    hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, " ".join(rng.choice(["word", "token: " + hexa(20), "AKIA" + "Q7" * 8, "release-notes-12", hexa(32), "password=" + hexa(8)]) for _ in range(rng.randrange(30)))) for i in range(80)]
+    rows += [(0, rows[0][1]), (90, None), (91, ""), (92, "token=" + hexa(20) + " " + "a1-" * 100_000), (None, "pwd: " + hexa(12))]
+    want = collections.Counter()
+    for i, t in rows:
+        spans = []
+        for name, pattern in secrets.RULES:
+            for m in re.finditer(pattern, t or ""):
+                if not any(m.start("v") < b and a < m.end("v") for a, b in spans):
+                    spans.append(m.span("v"))
+                    want[(i, *m.span("v"), name, m["v"])] += 1
+    found = secrets.findings(docs(spark, rows))
+    assert collections.Counter(tuple(r) for r in found.select("doc_id", "start", "end", "rule", "value").collect()) == want
+    given = secrets.relabelled(found, found.filter("rule = 'long-token'").select("doc_id", "start", F.lit(1).alias("label")))
+    assert given.count() == sum(want.values()) and given.filter("label = 1").count() == found.filter("rule = 'long-token'").count()
+
+
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
