@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,9 +51,21 @@ def clean_tag(s: Column, longest: int = 256) -> Column:
     return F.nullif(F.when(F.char_length(t) > longest, F.concat(F.substring(t, 1, longest - 1), F.lit("…"))).otherwise(t), F.lit(""))
 
 
+def composed(s: Column) -> Column:
+    """Unicode's composed form (NFC). Spark has no function for it; only texts with characters
+    from U+0300 on, below which nothing can change, go through Python, in Arrow batches."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("string")
+    def nfc(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return F.coalesce(nfc(F.when(s.rlike(r"[^\x00-\x{2FF}]"), s)), s)
+
+
 def clean_words(s: Column, longest: int) -> Column:
-    """Control characters out but line breaks kept, at most one blank line together, trimmed, capped."""
-    t = F.regexp_replace(F.coalesce(s, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]", "")
+    """Composed, control characters out but line breaks kept, at most one blank line together, trimmed, capped."""
+    t = F.regexp_replace(composed(F.coalesce(s, F.lit(""))), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{200B}-\x{200F}\x{2028}\x{2029}\x{FEFF}]", "")
     t = F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"\n{3,}", "\n\n")
     return F.substring(F.regexp_replace(t, r"^\s+|\s+$", ""), 1, longest)
 
@@ -74,9 +89,22 @@ def sentences(body: Column) -> Column:
 #: Fixed patterns: what makes a sentence a recommendation, and what an observation.
 RECOMMENDS = r"(?i)recommend|need to be|needs to be|should|optimi[sz]|propos|suggest"
 OBSERVES = r"(?i)kmph|km/h|speed|delay|queue|congestion|observed|survey"
-#: Words before a name that are no part of it, and kinds of place that follow one.
+#: Words before a name that are no part of it, openings dropped once each in this order,
+#: names that say nothing, and kinds of place that follow a name.
 LEADS = ["junction", "signal", "circle", "the", "two", "one", "way", "from", "towards", "near", "at"]
-PLACE = r"((?:[A-Z][A-Za-z.'-]*\s+){1,4})(?i:(junction|circle|signal))\b"
+OPENINGS = ["Two Way ", "One Way ", "Delay- Towards ", "From ", "Towards ", "Near "]
+GENERIC = [
+    "signalized", "junction", "traffic", "pedestrian", "critical", "key", "major", "the", "manual", "stage", "ft", "d", "c", "pelican", "two way", "one way", "from", "delay- towards",
+    "two way cmp", "two way junction", "one way junction", "junction road", "two way road", "mile",
+]
+PLACE = r"((?:[A-Z][\w.'&-]*\s){0,4}[A-Z][\w.'&-]*)\s+(Junction|junction|Circle|circle|Cross|cross|Signal|signal|intersection|Intersection)"
+#: Fixed patterns: statements about the city's signals, and their kinds.
+STATEMENTS = [
+    (r"There are 360 Traffic signals in total", "signal_count"), (r"352 traffic signals installed", "signal_count"), (r"Out of 352 traffic signals, 11 have been removed", "signal_count"),
+    (r"More than 270 Signals are connected", "connectivity"), (r"time-of-day control function", "control_regime"), (r"programmed to work from 7am to 12pm", "operating_hours"),
+    (r"blinking mode and show amber blinking", "operating_hours"), (r"No vehicle detector is used", "control_regime"), (r"signal timing is continuously reviewed", "control_regime"),
+    (r"area traffic control system for the signal system may be completed", "control_regime"), (r"Most of the signals are operated manually by police", "control_regime"),
+]
 
 
 def claim_kind(s: Column) -> Column:
@@ -85,22 +113,41 @@ def claim_kind(s: Column) -> Column:
 
 
 def clean_place(raw: Column) -> Column:
-    """A name without stray single letters and leading words; null when under three characters."""
-    words = F.filter(F.split(F.trim(raw), r"\s+"), lambda w: w != "")
+    """A name without openings, stray single letters and leading words; null when generic or under three characters."""
+    name = F.regexp_replace(F.regexp_replace(raw, r"\s+", " "), "^[ \u2013-]+|[ \u2013-]+$", "")
+    for opening in OPENINGS:
+        name = F.when(F.startswith(name, F.lit(opening)), F.substring(name, len(opening) + 1, 1 << 30)).otherwise(name)
+    words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
     plain = F.transform(words, lambda w: ~(F.lower(w).isin(*LEADS) | (F.length(w) == 1)))
     first = F.array_position(plain, True).cast("int")
     name = F.when(first > 0, F.array_join(F.slice(words, first, F.size(words)), " "))
-    return F.when(F.length(name) >= 3, name)
+    return F.when((F.length(name) >= 3) & ~F.lower(name).isin(*GENERIC), name)
 
 
 def place_mentions(pages: DataFrame) -> DataFrame:
-    """(source, page, name, kind, claim, pos) of places named in page texts, the first of each name on a page."""
-    sent = pages.select("source", "page", F.posexplode(sentences(F.col("body"))).alias("pos", "sentence"))
-    found = F.explode(F.arrays_zip(F.regexp_extract_all("sentence", F.lit(PLACE), 1).alias("raw"), F.regexp_extract_all("sentence", F.lit(PLACE), 2).alias("kind")))
-    rows = sent.select("source", "page", "pos", claim_kind(F.col("sentence")).alias("claim"), found.alias("m"))
-    rows = rows.select("source", "page", "pos", "claim", clean_place(F.col("m.raw")).alias("name"), F.lower("m.kind").alias("kind")).filter("name IS NOT NULL")
-    first = rows.groupBy("source", "page", F.lower("name").alias("low"), "kind").agg(F.min(F.struct("pos", "name", "claim")).alias("f"))
-    return first.select("source", "page", "f.name", "kind", "f.claim", "f.pos")
+    """(source, page, name, kind, claim, pos) of places named in sentences about signals, the first of each name and kind on a page."""
+    told = pages.filter(F.col("body").rlike("(?i)signal"))
+    sent = told.select("source", "page", F.posexplode(sentences(F.col("body"))).alias("pos", "sentence")).filter(F.col("sentence").rlike("(?i)signal"))
+    found = F.posexplode(F.arrays_zip(F.regexp_extract_all("sentence", F.lit(PLACE), 1).alias("raw"), F.regexp_extract_all("sentence", F.lit(PLACE), 2).alias("kind"))).alias("at", "m")
+    rows = sent.select("source", "page", "pos", claim_kind(F.col("sentence")).alias("claim"), found)
+    rows = rows.select("source", "page", "pos", "at", "claim", clean_place(F.col("m.raw")).alias("name"), F.lower("m.kind").alias("kind")).filter("name IS NOT NULL")
+    first = rows.groupBy("source", "page", F.lower("name").alias("low"), "kind").agg(F.min(F.struct("pos", "at", "name", "claim")).alias("f"))
+    return first.select("source", "page", "f.name", "kind", "f.claim", "f.pos", "f.at")
+
+
+def numbered_mentions(mentions: DataFrame) -> DataFrame:
+    """mentions with an id of source, page and the number of the mention in its source's order."""
+    from pyspark.sql.window import Window
+
+    n = F.row_number().over(Window.partitionBy("source").orderBy("page", "pos", "at"))
+    return mentions.withColumn("id", F.concat(F.col("source"), F.lit(":p"), F.col("page"), F.lit(":"), n)).withColumn("mention", F.concat_ws(" ", "name", "kind"))
+
+
+def city_statements(pages: DataFrame) -> DataFrame:
+    """(source, page, kind, ord) of known statements; one row for each statement that a page makes."""
+    flat = F.regexp_replace("body", r"\s+", " ")
+    table = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(kind).alias("kind"), flat.rlike("(?i)" + pattern).alias("ok")) for i, (pattern, kind) in enumerate(STATEMENTS)])
+    return pages.select("source", "page", F.inline(F.filter(table, lambda x: x["ok"]))).select("source", "page", "kind", "ord")
 
 
 def search_rank(name: Column, roads: Column, asked: Column) -> Column:
@@ -137,3 +184,14 @@ def facet(raw: Column, known: list[str], renamed: dict[str, str] | None = None)
     for a, b in (renamed or {}).items():
         low = F.when(low == a, b).otherwise(low)
     return F.when(raw.isNull(), "none").when(low.isin(*known), low).otherwise("other")
+
+
+def roads_of(descriptor: Column) -> Column:
+    """Road names of a descriptor such as A ROAD X B ROAD JN."""
+    plain = F.regexp_replace(descriptor, r"(?i)\b(?:JN|JUNCTION)\b\.?", "")
+    return F.filter(F.transform(F.split(plain, r"(?i)\s+X\s+"), lambda r: F.trim(r)), lambda r: r != "")
+
+
+def name_key(name: Column, station: Column) -> Column:
+    """Plain name and police station: what a document's duplicates share."""
+    return F.concat(normal_name(name), F.lit("|"), normal_name(F.coalesce(station, F.lit(""))))

@@ -79,12 +79,138 @@ def admission(posts: DataFrame, post_id: str, client: str = "client", ts: str =
     """
     day = posts.select(F.col(client).alias("c"), F.to_date(ts).alias("d"), F.struct(F.unix_millis(F.col(ts).cast("timestamp")).alias("t"), F.col(post_id).alias("id")).alias("p"))
     day = day.groupBy("c", "d").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    start = F.struct(F.array().cast("array<bigint>").alias("passed"), F.array().cast("array<boolean>").alias("ok"))
+    start = F.filter("ps", lambda p: F.lit(False))
 
-    def step(acc: Column, p: Column) -> Column:
-        recent = F.size(F.filter(acc["passed"], lambda t: t > p["t"] - 3_600_000))
-        ok = (recent < per_hour) & (F.size(acc["passed"]) < per_day)
-        return F.struct(F.when(ok, F.concat(acc["passed"], F.array(p["t"]))).otherwise(acc["passed"]).alias("passed"), F.concat(acc["ok"], F.array(ok)).alias("ok"))
+    # only what passed is carried, which a day's limit bounds
+    def step(passed: Column, p: Column) -> Column:
+        recent = F.size(F.filter(passed, lambda q: q["t"] > p["t"] - 3_600_000))
+        return F.when((recent < per_hour) & (F.size(passed) < per_day), F.concat(passed, F.array(p))).otherwise(passed)
 
-    folded = day.withColumn("ok", F.aggregate("ps", start, step, lambda acc: acc["ok"]))
-    return folded.select(F.inline(F.arrays_zip("ps", "ok"))).select(F.col("ps.id").alias(post_id), "ok")
+    folded = day.select("ps", F.aggregate("ps", start, step).alias("passed"))
+    rows = folded.select(F.explode("ps").alias("p"), "passed")
+    return rows.select(F.col("p.id").alias(post_id), F.array_contains("passed", F.col("p")).alias("ok"))
+
+
+def allowance(posts: DataFrame, asks: DataFrame, client: str = "client", ts: str = "ts") -> DataFrame:
+    """asks (id, client, ts) with `wait`: seconds to wait, or null to go on. Nothing is counted.
+
+    The limits in their order: all clients in a minute and in 24 hours, then the client in the
+    hour of the same UTC day and in the day. Windows are open at the left. posts: those admitted.
+    """
+    ms = lambda c: F.unix_millis(c.cast("timestamp"))
+    p = posts.select(F.col(client).alias("c"), ms(F.col(ts)).alias("t"), F.lit(True).alias("post"), F.lit(None).cast("long").alias("id"))
+    a = asks.select(F.col(client).alias("c"), ms(F.col(ts)).alias("t"), F.lit(False).alias("post"), F.col("id").cast("long").alias("id"))
+    rows = p.unionByName(a).withColumn("day", F.floor(F.col("t") / 86_400_000))
+    # clients of all kinds are counted by minute first: a window over all posts would be one task
+    own = Window.partitionBy("c", "day").orderBy("t")
+    n = F.count(F.when(F.col("post"), 1))
+    rows = rows.withColumn("hour", n.over(own.rangeBetween(-3_599_999, 0))).withColumn("today", n.over(own.rangeBetween(Window.unboundedPreceding, 0)))
+    asked = rows.filter(~F.col("post")).withColumn("slot", F.floor(F.col("t") / 60_000))
+    minute = p.groupBy(F.floor(F.col("t") / 60_000).alias("slot")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("t")).alias("ts"))
+    # posts within a minute before: those of the two slots it may touch, each at most what one minute held
+    near = asked.select("id", "t", F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot")).join(minute, "slot")
+    near = near.groupBy("id").agg(F.sum(F.size(F.filter("ts", lambda x: (x > F.col("t") - 60_000) & (x <= F.col("t"))))).alias("in_minute"))
+    hours = p.groupBy(F.floor(F.col("t") / 3_600_000).alias("h")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("t")).alias("ts"))
+    whole = F.explode(F.sequence(F.floor((F.col("t") - 86_400_000) / 3_600_000), F.floor(F.col("t") / 3_600_000))).alias("h")
+    edge = (F.col("h") == F.floor(F.col("t") / 3_600_000)) | (F.col("h") == F.floor((F.col("t") - 86_400_000) / 3_600_000))
+    inside = F.when(edge, F.size(F.filter("ts", lambda x: (x > F.col("t") - 86_400_000) & (x <= F.col("t"))))).otherwise(F.col("n"))
+    day = asked.select("id", "t", whole).join(hours, "h").groupBy("id").agg(F.sum(inside).alias("in_day"))
+    out = asked.join(near, "id", "left").join(day, "id", "left")
+    wait = (
+        F.when(F.coalesce("in_minute", F.lit(0)) >= ALL_MINUTE, 60).when(F.coalesce("in_day", F.lit(0)) >= ALL_DAY, 3600).when(F.col("c").isNull(), None)
+        .when(F.col("hour") >= CLIENT_HOUR, 3600).when(F.col("today") >= CLIENT_DAY, 21600)
+    )
+    return out.select("id", wait.alias("wait"))
+
+
+def too_many_failures(failures: DataFrame, least: int = 10, client: str = "client", ts: str = "ts") -> DataFrame:
+    """failures with `refused`: whether the hour before, within the UTC day, already held `least` of the client's."""
+    return load(failures, client, ts).withColumn("refused", F.col("in_hour") >= least).drop("in_hour", "in_day")
+
+
+def cursor(raw: Column) -> Column:
+    """A positive whole number up to 2**53 - 1, or null for the first page."""
+    n = raw.try_cast("decimal(38,10)")
+    return F.when((n > 0) & (n <= 9007199254740991) & (n == F.floor(n)), n.cast("long"))
+
+
+def known_kind(raw: Column, kinds: list[str]) -> Column:
+    """The kind, or null for every kind where it is not known."""
+    return F.when(raw.isin(*kinds), raw)
+
+
+def canonical_cursor(before: Column, newest: Column) -> Column:
+    """A cursor past the newest row asks for the first page."""
+    return F.when(before > newest, None).otherwise(before)
+
+
+def page_key(limit: Column, before: Column, kind: Column) -> Column:
+    """The canonical query string of a page."""
+    part = lambda k, v: F.concat(F.lit(f"{k}="), v.cast("string"))
+    return F.concat(F.lit("?"), F.concat_ws("&", part("limit", limit), part("before", before), part("kind", kind)))
+
+
+#: How a place may be set, the form of a junction's id, the longest name, and bounds in metres.
+SOURCES = ["map", "device", "junction"]
+JUNCTION_ID = r"^gw-[0-9a-f]{12}$"
+NAME_MAX, ACCURACY_MAX, NEAR_MAX = 120, 100_000, 1000
+
+
+def place(lon: Column, lat: Column, source: Column, accuracy: Column, junction: Column, name: Column, metres: Column) -> Column:
+    """struct(bad, place): a submitted place made sound, or marked bad; null where none is given.
+
+    Accuracy belongs to a device alone; coordinates keep six places, metres none.
+    """
+    given = F.coalesce(lon, lat).isNotNull() | source.isNotNull()
+    named = F.regexp_replace(text.clean_words(name, NAME_MAX), r"\n+", " ")
+    with_junction = junction.isNotNull()
+    fault = (
+        ~inside(lon, lat) | ~F.coalesce(source.isin(*SOURCES), F.lit(False)) | (accuracy.isNotNull() & ((accuracy < 0) | (source != "device")))
+        | (with_junction & (~junction.rlike(JUNCTION_ID) | (named == "") | text.has_contact(named) | ~F.coalesce(metres.between(0, NEAR_MAX), F.lit(False))))
+    )
+    whole = lambda x: F.floor(x + 0.5).cast("long")
+    j = F.when(with_junction, F.struct(junction.alias("id"), named.alias("name"), whole(metres).alias("metres")))
+    sound = F.struct(F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"), source.alias("source"), whole(F.least(accuracy, F.lit(float(ACCURACY_MAX)))).alias("accuracy"), j.alias("junction"))
+    bad = given & F.coalesce(fault, F.lit(True))
+    return F.struct(bad.alias("bad"), F.when(given & ~bad, sound).alias("place"))
+
+
+def public_view(rows: DataFrame) -> DataFrame:
+    """Stored rows as the board shows them: place, junction and photo only where whole.
+
+    rows: id, kind, words, lng, lat, source, accuracy_m, junction_id, junction_name,
+    junction_distance_m, photo_w, photo_h, photo_bytes, filed_at.
+    """
+    truthy = lambda *cs: F.coalesce(F.nullif(F.least(*[(F.coalesce(F.col(c), F.lit(0)) != 0).cast("int") for c in cs]), F.lit(0)), F.lit(0)) == 1
+    named = F.coalesce((F.col("junction_id") != "") & (F.col("junction_name") != ""), F.lit(False))
+    j = F.when(named, F.struct(F.col("junction_id").alias("id"), F.col("junction_name").alias("name"), F.coalesce("junction_distance_m", F.lit(0)).alias("distanceM")))
+    where = F.col("lng").isNotNull() & F.col("lat").isNotNull() & F.col("source").isNotNull()
+    p = F.when(where, F.struct("lng", "lat", "source", F.col("accuracy_m").alias("accuracyM"), j.alias("junction")))
+    photo = F.when(truthy("photo_w", "photo_h", "photo_bytes"), F.struct(F.col("photo_w").alias("width"), F.col("photo_h").alias("height"), F.col("photo_bytes").alias("bytes")))
+    return rows.select("id", "kind", "words", p.alias("place"), photo.alias("photo"), F.col("filed_at").alias("filedAt"))
+
+
+def filed_minute(ts: Column) -> Column:
+    """Epoch milliseconds of the minute in which a post was filed."""
+    return (F.floor(F.unix_millis(ts.cast("timestamp")) / 60_000) * 60_000).cast("long")
+
+
+def share_text(label: Column, shown: Column, filed: Column, words: Column, link: Column) -> Column:
+    """A post as plain lines: kind, place if any, time, words if any, link."""
+    from wayfare.functions import formats
+
+    at = formats.coordinate(shown["lat"], shown["lng"])
+    near = F.concat(F.lit(" · "), F.when(shown["junction"]["distanceM"] > 0, "near ").otherwise(""), shown["junction"]["name"])
+    where = F.concat(F.lit("Place: "), at, F.coalesce(near, F.lit("")), F.lit(" · "), formats.map_link(shown["lat"], shown["lng"]))
+    told = F.when(words != "", F.concat(F.lit("\n"), words))
+    return F.concat_ws("\n", label, where, F.concat(F.lit("Filed: "), formats.local_stamp(filed), F.lit(" IST")), told, F.concat(F.lit("\n"), link))
+
+
+def item(rows: DataFrame, id_: str) -> DataFrame:
+    """The row of an id, or none."""
+    return rows.filter(F.col("id") == id_)
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows without those whose id a moderator removed."""
+    return rows.join(gone.select("id"), "id", "left_anti")

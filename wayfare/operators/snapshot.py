@@ -41,14 +41,28 @@ def last_wins(df: DataFrame, key: str, ordinal: str) -> DataFrame:
 
 
 def diff(old: DataFrame, new: DataFrame, key: str, compare: list[str]) -> DataFrame:
-    """(key, change): inserted, updated, removed or unchanged, by one full outer join on a digest."""
-    mark = F.xxhash64(*compare)
-    a = old.select(F.col(key).alias("_a"), mark.alias("_x"))
-    b = new.select(F.col(key).alias("_b"), mark.alias("_y"))
-    change = F.when(F.col("_a").isNull(), "inserted").when(F.col("_b").isNull(), "removed").when(F.col("_x") == F.col("_y"), "unchanged").otherwise("updated")
+    """(key, change): inserted, updated, removed or unchanged, by one full outer join.
+
+    Columns are compared one by one, a null with a null; compare maps by their canonical text.
+    """
+    a = old.select(F.col(key).alias("_a"), F.struct(*compare).alias("_x"))
+    b = new.select(F.col(key).alias("_b"), F.struct(*compare).alias("_y"))
+    same = F.col("_x").eqNullSafe(F.col("_y"))
+    change = F.when(F.col("_a").isNull(), "inserted").when(F.col("_b").isNull(), "removed").when(same, "unchanged").otherwise("updated")
     return a.join(b, F.col("_a") == F.col("_b"), "full_outer").select(F.coalesce("_a", "_b").alias(key), change.alias("change"))
 
 
+def sync_counts(changes: DataFrame) -> DataFrame:
+    """One row: records by change, for the run log."""
+    kinds = ("inserted", "updated", "unchanged", "removed")
+    return changes.agg(*[F.count_if(F.col("change") == k).alias(k) for k in kinds])
+
+
+def due(last: Column, now: Column, hours: int = 24) -> Column:
+    """Whether the last snapshot is old enough for another; without one it is."""
+    return F.coalesce(last.cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(hours)) <= now.cast("timestamp"), F.lit(True))
+
+
 def guard(old: int | None, new: int, least: float = 0.5) -> str | None:
     """Why a snapshot must not replace the last one, or None."""
     return f"{old - new} records would go" if old and new < old * least else None

@@ -46,7 +46,9 @@ def search_ranked(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     roads = F.array("p_brand", "p_type")
     r = p.withColumn("rank", text.search_rank(F.col("p_name"), roads, F.lit("Gear")).cast("int")).filter("rank IS NOT NULL")
-    return r.withColumn("total", F.count("*").over(Window.partitionBy())).orderBy("rank", "p_name", "p_partkey").limit(8).select("p_partkey", "p_name", "rank", "total")
+    total = r.agg(F.count("*").alias("total"))  # one row
+    best = r.orderBy("rank", "p_name", "p_partkey").limit(8)
+    return best.crossJoin(F.broadcast(total)).select("p_partkey", "p_name", "rank", "total")
 
 
 def snapshot_diff(spark, sf_dir):
@@ -84,8 +86,11 @@ def fuzzy_match(spark, sf_dir):
 
 def mentions(spark, sf_dir):
     """Sentences of documents by what they claim."""
-    s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("pos", "sentence"))
-    return s.groupBy("doc_id").agg(F.count("*").alias("n"), *[F.count_if(text.claim_kind(F.col("sentence")) == k).alias(k) for k in ("qualitative_recommendation", "observation", "mention")])
+    s = table(spark, sf_dir, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("sentence"))
+    # the patterns run once a sentence, before the shuffle
+    s = s.select("doc_id", text.claim_kind(F.col("sentence")).alias("kind")).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+    count = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k)
+    return s.groupBy("doc_id").agg(F.sum("n").alias("n"), *map(count, ("qualitative_recommendation", "observation", "mention")))
 
 
 def _blocks(spark, sf_dir):

@@ -12,7 +12,7 @@ EXTRACT = (
 #: Column names a signal list may use.
 ALIASES = {
     "id": ["osm_id", "id", "node_id", "@id", "osmid"], "lat": ["latitude", "lat", "y", "@lat"], "lon": ["longitude", "lon", "lng", "long", "x", "@lon"],
-    "name": ["name"], "signals": ["traffic_signals"], "direction": ["direction", "traffic_signals:direction"], "crossing": ["crossing"], "source": ["source"],
+    "name": ["name"], "signals": ["traffic_signals", "signal_type"], "direction": ["direction", "traffic_signals:direction"], "crossing": ["crossing"], "source": ["source"],
 }
 
 
@@ -70,12 +70,14 @@ def page_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The JSON at path, or no rows where it is absent."""
+    """The JSON at path, or no rows where it is absent; any other fault is raised."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.schema(schema).json(path)
-    except AnalysisException:
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
