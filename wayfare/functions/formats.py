@@ -34,8 +34,8 @@ def steps(x: Column, table: list[tuple[float, str]], below: str) -> Column:
 
 
 def coordinate(lat: Column, lon: Column) -> Column:
-    """Latitude first, five places."""
-    return F.format_string("%.5f, %.5f", lat, lon)
+    """Latitude first, five places; null where one is missing."""
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.format_string("%.5f, %.5f", lat, lon))
 
 
 def map_link(lat: Column, lon: Column) -> Column:
@@ -133,15 +133,13 @@ def partial_day(iso: Column) -> Column:
 
 def currency_label(status: Column, dated: Column, source: Column, days: Column) -> Column:
     """What a document's currency says to a reader."""
-    when = F.concat(F.lit("dated "), partial_day(dated), F.when(source == "portal", " (portal date; document undated)").otherwise(""))
-    tail = F.concat(F.lit(", "), age_days(days), F.lit(" old; "))
+    opening = F.when(status == "historical", "Historical — planning/survey document ").when(status == "current", "Recent snapshot — ").when(status == "aging", "Aging — ").otherwise("Stale — ")
+    closing = F.when(status == "historical", "evidence only, never a current timing").when(status == "current", "not confirmed against the live programme").otherwise("may not reflect the current programme")
+    by_portal = F.when(source == "portal", " (portal date; document undated)").otherwise("")
+    told = F.concat(opening, F.lit("dated "), partial_day(dated), by_portal, F.lit(", "), age_days(days), F.lit(" old; "), closing)
     return (
         F.when(status == "undated", "Undated — neither the document nor the portal carries a date; cannot be treated as current")
-        .when((status == "historical") & dated.isNull(), "Historical document without a recoverable date — evidence only, never a current timing")
-        .when(status == "historical", F.concat(F.lit("Historical — planning/survey document "), when, tail, F.lit("evidence only, never a current timing")))
-        .when(status == "current", F.concat(F.lit("Recent snapshot — "), when, tail, F.lit("not confirmed against the live programme")))
-        .when(status == "aging", F.concat(F.lit("Aging — "), when, tail, F.lit("may not reflect the current programme")))
-        .otherwise(F.concat(F.lit("Stale — "), when, tail, F.lit("may not reflect the current programme")))
+        .when((status == "historical") & dated.isNull(), "Historical document without a recoverable date — evidence only, never a current timing").otherwise(told)
     )
 
 

@@ -72,6 +72,39 @@ def point_at(points: Column, metres: Column) -> Column:
     return F.struct((p["lat"] + f * (q["lat"] - p["lat"])).alias("lat"), (p["lon"] + f * (q["lon"] - p["lon"])).alias("lon"))
 
 
+def bearing_along(points: Column, metres: Column, window: float = 40.0) -> Column:
+    """The bearing of a path at a place along it, from `window` metres before to five beyond."""
+    a = point_at(points, F.greatest(F.lit(0.0), metres - window))
+    b = point_at(points, F.least(F.element_at(path_lengths(points), -1), metres + 5))
+    return bearing(a["lat"], a["lon"], b["lat"], b["lon"])
+
+
+def decoded(line: Column, precision: int = 5) -> Column:
+    """array(struct(lat, lon)) of an encoded polyline: five bits a character, least first, differences zigzag-coded."""
+    codes = F.transform(F.filter(F.split(line, ""), lambda c: c != ""), lambda c: F.ascii(c) - 63)
+    start = F.struct(F.lit(0).cast("long").alias("value"), F.lit(0).alias("shift"), F.slice(F.transform(codes, lambda c: F.lit(0).cast("long")), 1, 0).alias("out"))
+
+    def step(acc: Column, c: Column) -> Column:
+        value = acc["value"] + c.bitwiseAND(F.lit(31)).cast("long") * F.pow(F.lit(2.0), acc["shift"]).cast("long")
+        more = c >= 32
+        half = F.shiftright(value, 1)
+        signed = F.when(value % 2 == 1, -half - 1).otherwise(half)
+        return F.struct(F.when(more, value).otherwise(0).cast("long").alias("value"), F.when(more, acc["shift"] + 5).otherwise(0).alias("shift"), F.when(more, acc["out"]).otherwise(F.concat(acc["out"], F.array(signed))).alias("out"))
+
+    deltas = F.aggregate(codes, start, step, lambda acc: acc["out"])
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(deltas) / 2).cast("int") - 1)), lambda i: F.struct(F.get(deltas, i * 2).alias("y"), F.get(deltas, i * 2 + 1).alias("x")))
+    whole = F.filter(pairs, lambda p: p["x"].isNotNull())
+    scale = float(10**precision)
+
+    def add(acc: Column, p: Column) -> Column:
+        y, x = acc["y"] + p["y"], acc["x"] + p["x"]
+        return F.struct(y.alias("y"), x.alias("x"), F.concat(acc["out"], F.array(F.struct((y / scale).alias("lat"), (x / scale).alias("lon")))).alias("out"))
+
+    zero = F.lit(0).cast("long")
+    none = F.slice(F.transform(whole, lambda p: F.struct((p["y"] / scale).alias("lat"), (p["x"] / scale).alias("lon"))), 1, 0)
+    return F.aggregate(whole, F.struct(zero.alias("y"), zero.alias("x"), none.alias("out")), add, lambda acc: acc["out"])
+
+
 def onto_path(lat: Column, lon: Column, points: Column) -> Column:
     """struct(offset_m, along_m, segment): the nearest place on a path, first on ties."""
     k = math.pi / 180 * EARTH_M

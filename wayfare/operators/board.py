@@ -201,7 +201,7 @@ def share_text(label: Column, shown: Column, filed: Column, words: Column, link:
 
     at = formats.coordinate(shown["lat"], shown["lng"])
     near = F.concat(F.lit(" · "), F.when(shown["junction"]["distanceM"] > 0, "near ").otherwise(""), shown["junction"]["name"])
-    where = F.concat(F.lit("Place: "), at, F.coalesce(near, F.lit("")), F.lit(" · "), formats.map_link(shown["lat"], shown["lng"]))
+    where = F.when(shown["lat"].isNotNull(), F.concat(F.lit("Place: "), at, F.coalesce(near, F.lit("")), F.lit(" · "), formats.map_link(shown["lat"], shown["lng"])))
     told = F.when(words != "", F.concat(F.lit("\n"), words))
     return F.concat_ws("\n", label, where, F.concat(F.lit("Filed: "), formats.local_stamp(filed), F.lit(" IST")), told, F.concat(F.lit("\n"), link))
 

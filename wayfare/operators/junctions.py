@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfare.functions import geo
+from wayfare.operators.graph import connected_components
 from wayfare.operators.spatial import nearest_within, radius_join
 
 #: Ways without vehicles, rank of road kinds, and distances in metres and degrees.
 ON_FOOT = ["footway", "path", "cycleway", "steps", "pedestrian"]
 RANKS = {"motorway": 5, "trunk": 5, "primary": 4, "secondary": 3, "tertiary": 2}
-NEAR_M, SHARED_WAY_M, SHARED_ROAD_M, SAME_BEARING, STUB_M = 35.0, 90.0, 60.0, 20.0, 8.0
+NEAR_M, SHARED_WAY_M, SHARED_ROAD_M, SAME_BEARING, STUB_M, UPSTREAM_M = 35.0, 90.0, 60.0, 20.0, 8.0, 150.0
+#: Tags of a member node that a junction keeps, and the score of a light known from a list alone.
+KEPT_TAG = r"^(?:traffic_signals.*|crossing|button_operated|name|junction)$"
+LISTED_SCORE = {"base": 0.7, "node_count": 0.1, "spread": 0.1, "road_context": -0.15, "approaches": -0.3}
 
 
 def vertices(ways: DataFrame) -> DataFrame:
-    """(way, idx, lat, lon, name, highway, oneway, n) of ways for vehicles."""
-    rows = ways.filter(~F.coalesce(F.try_element_at("tags", F.lit("highway")), F.lit("")).isin(*ON_FOOT))
+    """(way, idx, lat, lon, name, highway, oneway, maxspeed, lanes, turn_lanes, n) of ways for vehicles; a way without name goes by its ref."""
     tag = lambda k: F.try_element_at("tags", F.lit(k))
+    rows = ways.filter(~F.coalesce(tag("highway"), F.lit("")).isin(*ON_FOOT))
     turn = F.coalesce(tag("junction") == "roundabout", F.lit(False))
-    oneway = F.when(tag("oneway").isin("yes", "true", "1") | turn, 1).when(tag("oneway") == "-1", -1).otherwise(0)
-    rows = rows.select(F.col("id").alias("way"), tag("name").alias("name"), tag("highway").alias("highway"), oneway.alias("oneway"), F.size("geometry").alias("n"), "geometry")
-    return rows.select("way", "name", "highway", "oneway", "n", "geometry", F.posexplode("geometry").alias("idx", "p")).select("way", "name", "highway", "oneway", "n", "geometry", "idx", "p.lat", "p.lon")
+    oneway = F.when(F.coalesce(tag("oneway").isin("yes", "true", "1"), F.lit(False)) | turn, 1).when(tag("oneway").isin("-1", "reverse"), -1).otherwise(0)
+    cols = [F.coalesce(tag("name"), tag("ref")).alias("name"), tag("highway").alias("highway"), oneway.alias("oneway"), tag("maxspeed").alias("maxspeed"), tag("lanes").alias("lanes"), tag("turn:lanes").alias("turn_lanes")]
+    rows = rows.select(F.col("id").alias("way"), *cols, F.size("geometry").alias("n"), "geometry")
+    return rows.select("*", F.posexplode("geometry").alias("idx", "p")).select(*rows.columns, "idx", "p.lat", "p.lon")
 
 
 def at_nodes(nodes: DataFrame, ways: DataFrame) -> DataFrame:
@@ -33,19 +37,27 @@ def at_nodes(nodes: DataFrame, ways: DataFrame) -> DataFrame:
 
 
 def approaches(nodes: DataFrame, ways: DataFrame, metres: float = 60.0) -> DataFrame:
-    """(node, way, name, highway, bearing): traffic that comes to a node along a way from each allowed side.
+    """Traffic that comes to a node along a way from each allowed side, with its bearing to a tenth of a degree.
 
-    The bearing is taken over the last `metres` of the way before the node; stubs are left out.
+    The bearing is that of the place `metres` up the way, or its end; where that place is
+    nearer than STUB_M the stub is left out. upstream: the way's points up to UPSTREAM_M
+    before the node, farthest first. ord: the place among a node's approaches.
     """
-    side = F.explode(F.array(F.lit(-1), F.lit(1)))
-    rows = at_nodes(nodes, ways).withColumn("side", side)
+    rows = at_nodes(nodes, ways).withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1))))
     # from lower indices one travels forward, from higher ones backward
     rows = rows.filter(((F.col("side") == -1) & (F.col("oneway") >= 0)) | ((F.col("side") == 1) & (F.col("oneway") <= 0)))
     back = F.when(F.col("side") == -1, F.reverse(F.slice("geometry", F.lit(1), F.col("idx") + 1))).otherwise(F.slice("geometry", F.col("idx") + 1, F.col("n")))
-    rows = rows.withColumn("back", back).filter(F.size("back") > 1).withColumn("length", F.element_at(geo.path_lengths(F.col("back")), -1)).filter(F.col("length") >= STUB_M)
-    start = geo.point_at(F.col("back"), F.least(F.lit(metres), F.col("length")))
-    rows = rows.withColumn("start", start)
-    return rows.select("node", "way", "name", "highway", geo.bearing(F.col("start.lat"), F.col("start.lon"), F.col("lat"), F.col("lon")).alias("bearing"), "length")
+    rows = rows.withColumn("back", back).filter(F.size("back") > 1).withColumn("along", geo.path_lengths(F.col("back")))
+    rows = rows.withColumn("start", geo.point_at(F.col("back"), F.lit(metres)))
+    rows = rows.filter(geo.haversine(F.col("start.lat"), F.col("start.lon"), F.col("lat"), F.col("lon")) >= STUB_M)
+    walked = F.filter(F.arrays_zip(F.col("back").alias("p"), F.col("along").alias("d")), lambda x: x["d"] <= UPSTREAM_M)
+    cut = F.when(F.element_at("along", -1) > UPSTREAM_M, F.array(geo.point_at(F.col("back"), F.lit(UPSTREAM_M)))).otherwise(F.slice("back", 1, 0))
+    upstream = F.reverse(F.concat(F.transform(walked, lambda x: F.struct(x["p"]["lat"].alias("lat"), x["p"]["lon"].alias("lon"))), cut))
+    bearing = F.floor(geo.bearing(F.col("start.lat"), F.col("start.lon"), F.col("lat"), F.col("lon")) * 10 + 0.5) / 10
+    return rows.select(
+        "node", "way", "name", "highway", bearing.alias("bearing"), F.element_at("along", -1).alias("length"), (F.col("oneway") != 0).alias("oneway"), "maxspeed", "lanes", "turn_lanes",
+        upstream.alias("upstream"), F.struct("way", "idx", "side").alias("ord"),
+    )
 
 
 def links(nodes: DataFrame, touching: DataFrame, lat: float) -> DataFrame:
@@ -59,36 +71,95 @@ def links(nodes: DataFrame, touching: DataFrame, lat: float) -> DataFrame:
 
 
 def merge_approaches(rows: DataFrame) -> DataFrame:
-    """(junction, k, name, bearing, nodes, ways, length): approaches of one road and heading taken together.
+    """(junction, k, name, bearing, nodes, ways, ...): approaches of one road and heading taken together.
 
     Each joins the first earlier one of its name within SAME_BEARING of that one's own bearing, which
-    never moves; so the order of node and way counts, and each junction is one ordered fold.
+    never moves; so the order of node and way counts, and each junction is one ordered fold over
+    its few approaches. Of the ways upstream the one of most points stays. k: by bearing, from 1.
     """
+    fields = [c for c in ("highway", "turn_lanes") if c in rows.columns]
+    one = F.struct(F.col("node"), F.col("way"), F.coalesce("name", F.lit("")).alias("name"), "bearing", F.size("upstream").alias("points"), *fields)
+    order = F.struct("node", "ord", one.alias("a"))
+    listed = rows.groupBy("junction").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["a"]).alias("as"))
+    start = F.transform(F.filter("as", lambda a: F.lit(False)), _alone)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for r in pdf.sort_values(["node", "way", "bearing"]).itertuples():
-            name = r.name_ or ""
-            for o in out:
-                d = abs(o["bearing"] - r.bearing) % 360
-                if o["name"] == name and min(d, 360 - d) <= SAME_BEARING:
-                    o["nodes"].add(r.node)
-                    o["ways"].add(r.way)
-                    o["length"] = max(o["length"], r.length)
-                    break
-            else:
-                out.append({"name": name, "bearing": r.bearing, "nodes": {r.node}, "ways": {r.way}, "length": r.length})
-        out.sort(key=lambda o: o["bearing"])
-        return pd.DataFrame([(pdf["junction"].iloc[0], i + 1, o["name"], o["bearing"], sorted(o["nodes"]), sorted(o["ways"]), o["length"]) for i, o in enumerate(out)], columns=["junction", "k", "name", "bearing", "nodes", "ways", "length"])
+    def step(done, a):
+        near = lambda o: (o["name"] == a["name"]) & (geo.angular_difference(o["bearing"], a["bearing"]) <= SAME_BEARING)
+        hit = F.array_position(F.transform(done, near), True)
+        joined = F.transform(done, lambda o, i: F.when(i == hit - 1, _joined(o, a)).otherwise(o))
+        return F.when(hit > 0, joined).otherwise(F.concat(done, F.array(_alone(a))))
 
-    return rows.withColumnRenamed("name", "name_").groupBy("junction").applyInPandas(fold, "junction string, k int, name string, bearing double, nodes array<long>, ways array<long>, length double")
+    merged = listed.select("junction", F.posexplode(F.array_sort(F.aggregate("as", start, step))).alias("k", "m"))
+    return merged.select("junction", (F.col("k") + 1).alias("k"), F.nullif("m.name", F.lit("")).alias("name"), "m.bearing", geo.compass(F.col("m.bearing")).alias("compass"), F.array_sort("m.nodes").alias("nodes"), F.array_sort("m.ways").alias("ways"), "m.points")
 
 
-def confidence(nodes: Column, spread: Column, has_road: Column, approaches_: Column) -> Column:
-    """struct(score, review): a sum in fixed order, held to 0..1; reviewed under 0.6 or over six nodes."""
-    score = F.lit(0.7) + F.when(nodes <= 4, 0.1).otherwise(-0.2) + F.when(spread <= 40, 0.1).otherwise(-0.1) + F.when(has_road, 0.05).otherwise(-0.1) + F.when(approaches_.between(2, 6), 0.05).otherwise(-0.1)
-    held = F.least(F.lit(1.0), F.greatest(F.lit(0.0), score))
-    return F.struct(held.alias("score"), ((held < 0.6) | (nodes > 6)).alias("review"))
+def _alone(a: Column) -> Column:
+    return F.struct(a["bearing"].alias("bearing"), a["name"].alias("name"), F.array(a["node"]).alias("nodes"), F.array(a["way"]).alias("ways"), a["points"].alias("points"))
+
+
+def _joined(o: Column, a: Column) -> Column:
+    return F.struct(o["bearing"].alias("bearing"), o["name"].alias("name"), F.array_union(o["nodes"], F.array(a["node"])).alias("nodes"), F.array_union(o["ways"], F.array(a["way"])).alias("ways"), F.greatest(o["points"], a["points"]).alias("points"))
+
+
+def confidence(nodes: Column, spread: Column, roads: Column, approaches_: Column) -> Column:
+    """struct(score, review, components): a sum in fixed order, held to 0..1.
+
+    Reviewed where the sum is under 0.6, before rounding, or there are over six nodes.
+    """
+    parts = [
+        F.lit(0.7), F.when(nodes == 1, 0.1).when(nodes <= 4, 0.05).otherwise(-0.1 * (nodes - 4)), F.when(spread <= 25, 0.1).when(spread <= 60, 0.0).otherwise(-0.2),
+        F.when(roads >= 2, 0.1).when(roads == 1, 0.0).otherwise(-0.15), F.when(approaches_ == 0, -0.3).otherwise(0.0),
+    ]
+    total = parts[0] + parts[1] + parts[2] + parts[3] + parts[4]
+    held = F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
+    return F.struct(held.alias("score"), ((held < 0.6) | (nodes > 6)).alias("review"), F.struct(*[p.alias(k) for p, k in zip(parts, LISTED_SCORE, strict=True)]).alias("components"))
+
+
+def records(members: DataFrame, merged: DataFrame) -> DataFrame:
+    """One row per junction: place, spread, names, type, control tags and confidence.
+
+    members: junction, node, ord, lat, lon, tags, n_approaches. merged: junction, k, name.
+    """
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    has = lambda c: F.coalesce(c != "", F.lit(False))
+    rows = merged.groupBy("junction").agg(F.count("*").alias("approaches"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("k", "name")))), lambda x: x["name"])).alias("road_names"))
+    m = members.join(rows, "junction", "left")
+    few = F.coalesce(F.size("road_names"), F.lit(0)) <= 1
+    # one road at most, a few approaches, and a sign of a crossing
+    at_crossing = has(tag("crossing")) | ((tag("highway") == "traffic_signals") & (F.col("n_approaches") <= 2) & few & (has(tag("button_operated")) | has(tag("crossing"))))
+    pressed = (tag("crossing") == "traffic_signals") | (tag("button_operated") == "yes")
+    no = F.lit(False)
+    got = m.groupBy("junction").agg(
+        F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("nodes"), F.array_sort(F.collect_list("node")).alias("node_ids"), F.min_by(tag("name"), F.when(has(tag("name")), F.col("ord"))).alias("named"),
+        F.min(F.coalesce(at_crossing, no)).alias("crossing_only"), F.max(F.coalesce(pressed, no)).alias("pressed"), F.coalesce(F.max("approaches"), F.lit(0)).alias("approaches"),
+        F.coalesce(F.first("road_names"), F.array().cast("array<string>")).alias("road_names"),
+    )
+    centre = got.select("junction", F.col("lat").alias("_y"), F.col("lon").alias("_x"))
+    spread = members.join(centre, "junction").groupBy("junction").agg(F.max(geo.haversine(F.col("_y"), F.col("_x"), F.col("lat"), F.col("lon"))).alias("spread"))
+    got = got.join(spread, "junction")
+    roads = F.size("road_names")
+    kind = (
+        F.when((F.col("pressed") & (roads <= 1)) | F.col("crossing_only"), "pedestrian_crossing").when((roads >= 2) | (F.col("approaches") >= 3), "junction")
+        .when(F.col("approaches") >= 1, "midblock_or_single_road").otherwise("unresolved")
+    )
+    first, second = F.get("road_names", F.lit(0)), F.get("road_names", F.lit(1))
+    name = F.coalesce("named", F.when(roads >= 2, F.concat(first, F.lit(" × "), second)).when(roads == 1, F.concat(first, F.lit(" signal"))), F.lit("Unnamed signal"))
+    c = confidence(F.col("nodes"), F.col("spread"), roads, F.col("approaches"))
+    id_ = F.concat(F.lit("gw-"), F.substring(F.sha1(F.array_join(F.transform("node_ids", lambda x: x.cast("string")), ",").cast("binary")), 1, 12))
+    return got.select("junction", id_.alias("id"), name.alias("canonical_name"), "lat", "lon", kind.alias("kind"), "node_ids", "nodes", "spread", c["score"].alias("confidence"), c["review"].alias("review"), "road_names", "approaches")
+
+
+def kept_tags(members: DataFrame) -> DataFrame:
+    """(junction, tags): the control tags of a junction's nodes; of one key the last member's stands."""
+    pairs = members.select("junction", "ord", F.explode("tags").alias("k", "v")).filter(F.col("k").rlike(KEPT_TAG))
+    last = pairs.groupBy("junction", "k").agg(F.max_by("v", "ord").alias("v"))
+    return last.groupBy("junction").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("tags"))
+
+
+def build_counts(rows: DataFrame) -> DataFrame:
+    """One row: junctions by type, approaches, those to be reviewed."""
+    kinds = ("junction", "pedestrian_crossing", "midblock_or_single_road", "unresolved")
+    return rows.agg(F.count("*").alias("junctions"), F.sum("approaches").alias("approaches"), F.count_if("review").alias("review_needed"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
 
 
 def importance(kinds: Column) -> Column:
@@ -97,17 +168,87 @@ def importance(kinds: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(kinds, lambda k: F.coalesce(F.try_element_at(table, F.regexp_replace(k, "_link$", "")), F.lit(1)))), F.lit(1))
 
 
+def listed_tags(name: Column, signals: Column, direction: Column, crossing: Column) -> Column:
+    """Tags of a listed light; blanks are left out."""
+    pairs = [("highway", F.lit("traffic_signals")), ("name", name), ("traffic_signals", signals), ("traffic_signals:direction", direction), ("crossing", crossing)]
+    return F.map_filter(F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]), lambda k, v: F.coalesce(v != "", F.lit(False)))
+
+
+def tags_differ(name: Column, signals: Column, direction: Column, crossing: Column, tags: Column) -> Column:
+    """Whether a list's words for a light are not the extract's; a blank is no word."""
+    tag = lambda k: F.try_element_at(tags, F.lit(k))
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    facing = F.coalesce(tag("traffic_signals:direction"), tag("direction"), F.lit(""))
+    return (blank(tag("name")) != blank(name)) | (blank(tag("traffic_signals")) != blank(signals)) | (facing != blank(direction)) | (blank(tag("crossing")) != blank(crossing))
+
+
 def reconcile(listed: DataFrame, junctions: DataFrame, known: DataFrame, lat: float, attach_m: float = 60.0, moved_m: float = 5.0) -> DataFrame:
-    """(id, outcome, to): how each listed light stands to what is known.
+    """(id, ord, outcome, to, metres): how each listed light stands to what is known.
 
-    present or moved by id; else attached to the nearest junction; else added. Added lights are
-    candidates for later ones in the list's order; this pass answers for one list against what
-    was known before it, and a second pass over the added ones settles their own clusters.
+    present or moved by id; else attached to the nearest junction, or to the nearest light added
+    before it in the list's order; else added. Whether a light is added hangs on those before it
+    only where they are within attach_m of each other, so each chain of such lights is one ordered
+    fold and all the rest is joins. listed: id, ord, lat, lon.
     """
     by_id = listed.alias("s").join(known.alias("k"), F.col("s.id") == F.col("k.id"), "left")
     d = geo.haversine(F.col("s.lat"), F.col("s.lon"), F.col("k.lat"), F.col("k.lon"))
-    seen = by_id.select("s.id", "s.lat", "s.lon", F.when(F.col("k.id").isNull(), None).when(d > moved_m, "moved").otherwise("present").alias("o"), F.col("k.id").alias("kid"))
-    new = seen.filter("o IS NULL").select("id", "lat", "lon")
-    near = nearest_within(new, junctions, attach_m, lat, "id", "junction")
-    rest = new.join(near, F.col("id") == F.col("l"), "left").select("id", F.when(F.col("r").isNull(), "added").otherwise("attached").alias("outcome"), F.col("r").cast("string").alias("to"))
-    return seen.filter("o IS NOT NULL").select("id", F.col("o").alias("outcome"), F.col("kid").cast("string").alias("to")).unionByName(rest)
+    seen = by_id.select("s.id", "s.ord", "s.lat", "s.lon", F.when(F.col("k.id").isNull(), None).when(d > moved_m, "moved").otherwise("present").alias("outcome"), F.col("k.id").cast("string").alias("to"), d.alias("metres"))
+    new = seen.filter("outcome IS NULL").select("ord", "id", "lat", "lon")
+    near = nearest_within(new, junctions, attach_m, lat, "ord", "junction").select(F.col("l").alias("ord"), F.col("r").cast("string").alias("known"), F.col("metres").alias("known_m"))
+    pairs = radius_join(new, new, attach_m, lat, "ord", "ord").filter("l < r")
+    chains = connected_components(pairs.select(F.col("l").alias("a"), F.col("r").alias("b"))).withColumnRenamed("node", "ord")
+    rows = new.join(near, "ord", "left").join(chains, "ord", "left").withColumn("component", F.coalesce("component", "ord"))
+    one = F.struct("ord", "id", "lat", "lon", "known", F.coalesce("known_m", F.lit(float("inf"))).alias("known_m"))
+    each = rows.groupBy("component").agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    decided = lambda r, outcome, to, metres: F.struct(r["ord"].alias("ord"), r["id"].alias("id"), r["lat"].alias("lat"), r["lon"].alias("lon"), outcome.alias("outcome"), to.cast("string").alias("to"), metres.cast("double").alias("metres"))
+    none = F.transform(F.slice("rows", 1, 0), lambda r: decided(r, F.lit("added"), r["id"], F.nullif(r["known_m"], F.lit(-1.0))))  # metres may be null
+
+    def step(done, r):
+        apart = F.transform(F.filter(done, lambda o: o["outcome"] == "added"), lambda o: F.struct(geo.haversine(r["lat"], r["lon"], o["lat"], o["lon"]).alias("m"), o["ord"].alias("o"), o["id"].alias("id")))
+        best = F.array_min(apart)
+        to_added = F.coalesce(best["m"] < r["known_m"], F.lit(False)) & F.coalesce(best["m"] <= attach_m, F.lit(False))
+        to_known = r["known_m"] <= attach_m
+        return F.concat(done, F.array(F.when(to_added, decided(r, F.lit("attached"), best["id"], best["m"])).when(to_known, decided(r, F.lit("attached"), r["known"], r["known_m"])).otherwise(decided(r, F.lit("added"), r["id"], F.lit(None)))))
+
+    folded = each.select(F.inline(F.aggregate("rows", none, step)))
+    return seen.filter("outcome IS NOT NULL").select("id", "ord", "outcome", "to", "metres").unionByName(folded.select("id", "ord", "outcome", "to", "metres"))
+
+
+def listed_junctions(added: DataFrame) -> DataFrame:
+    """Junctions made of added lights alone: known by place only, always to be reviewed.
+
+    added: id, name, lat, lon, tags, file.
+    """
+    score = 0.0
+    for v in LISTED_SCORE.values():
+        score += v
+    id_ = F.concat(F.lit("gw-"), F.substring(F.sha1(F.col("id").cast("string").cast("binary")), 1, 12))
+    return added.select(
+        id_.alias("id"), F.coalesce(F.nullif("name", F.lit("")), F.lit("Unnamed signal")).alias("canonical_name"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.lit("unresolved").alias("kind"),
+        F.array("id").alias("node_ids"), F.lit(round(max(0.0, min(1.0, score)), 2)).alias("confidence"), F.lit(True).alias("review"), "tags", F.col("file").alias("seed_source"),
+    )
+
+
+def seeded(outcomes: DataFrame) -> DataFrame:
+    """(to, seed_ids): the listed lights attached to each junction, sorted."""
+    return outcomes.filter("outcome = 'attached'").groupBy("to").agg(F.array_sort(F.collect_set("id")).alias("seed_ids"))
+
+
+def most_common(rows: DataFrame, value: str, ordinal: str) -> DataFrame:
+    """One row: the value met most often, the first met on ties; blanks do not count."""
+    counts = rows.filter(F.coalesce(F.col(value) != "", F.lit(False))).groupBy(value).agg(F.count("*").alias("n"), F.min(ordinal).alias("first"))
+    return counts.agg(F.coalesce(F.max_by(value, F.struct("n", -F.col("first"))), F.lit("")).alias(value))
+
+
+def report(listed: DataFrame, outcomes: DataFrame, known: DataFrame, differing: DataFrame, file: str) -> DataFrame:
+    """One row: how a list compares. differing: one row with tag_differences."""
+    box = listed.agg(F.count("*").alias("rows"), *[F.round(f(c), 7).alias(n) for n, f, c in (("south", F.min, "lat"), ("north", F.max, "lat"), ("west", F.min, "lon"), ("east", F.max, "lon"))])
+    n = lambda *k: F.count_if(F.col("outcome").isin(*k))
+    counts = outcomes.agg(n("present", "moved").alias("present"), n("moved").alias("moved"), n("attached").alias("attached"), n("added").alias("added"))
+    missing = known.join(listed.select("id"), "id", "left_anti").agg(F.count("*").alias("not_in_file"))
+    out = box
+    for one in (counts, missing, most_common(listed, "source", "ord").withColumnRenamed("source", "provider"), differing):
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    from wayfare.functions.formats import date_in_name
+
+    return out.withColumn("file", F.lit(file)).withColumn("as_of", date_in_name(F.lit(file)))
