@@ -44,6 +44,7 @@ def test_text(spark):
     assert got == [[80, 200, 320], [0], [], [], [], [22.5, 180]]
     assert one(spark, text.has_contact(F.lit("call +91 98450-12345")), text.has_contact(F.lit("a@b.co")), text.has_contact(F.lit("5 pm"))) == (True, True, False)
     assert one(spark, text.clean_tag(F.lit(" a\x07 b ")), text.clean_tag(F.lit(" ")), text.clean_tag(F.lit("x" * 300)))[0:2] == ("a b", None)
+    assert one(spark, text.clean_words(F.lit("e\u0301\r\n\n\n\nx "), 10))[0] == "\u00e9\n\nx"
     assert one(spark, text.written_out(F.lit("Hebbal ORR Jn")))[0] == "hebbala outer ring road"
     assert soft_jaccard(["silk", "board"], ["silkk", "board"]) == 1.0 and soft_jaccard([], ["a"]) == 0
 
@@ -84,6 +85,8 @@ def test_radius_join_has_no_nested_loop(spark):
 
 def test_snapshot(spark):
     d = "id long, v int, tags map<string,string>"
+    a, b = spark.createDataFrame([(1, "x", None)], "id int, p string, q string"), spark.createDataFrame([(1, None, "x")], "id int, p string, q string")
+    assert [r["change"] for r in snapshot.diff(a, b, "id", ["p", "q"]).collect()] == ["updated"] and [r["change"] for r in snapshot.diff(a, a, "id", ["p", "q"]).collect()] == ["unchanged"]
     old = spark.createDataFrame([(1, 1, {"a": "b"}), (2, 1, {}), (3, 1, {})], d).withColumn("t", snapshot.canonical(F.col("tags")))
     new = spark.createDataFrame([(1, 1, {"a": "b"}), (2, 2, {}), (4, 1, {})], d).withColumn("t", snapshot.canonical(F.col("tags")))
     assert {tuple(r) for r in snapshot.diff(old, new, "id", ["v", "t"]).collect()} == {(1, "unchanged"), (2, "updated"), (3, "removed"), (4, "inserted")}
@@ -175,26 +178,178 @@ def test_junctions(spark):
     e = junctions.links(nodes, junctions.at_nodes(nodes, ways), 13.0)
     assert [tuple(r) for r in e.collect()] == [(1, 2)]
     merged = junctions.merge_approaches(a.withColumn("junction", F.lit("j")))
-    assert [(r["k"], r["name"], round(r["bearing"]), r["nodes"]) for r in merged.orderBy("k").collect()] == [(1, "A", 0, [1, 2]), (2, "B", 90, [1]), (3, "A", 180, [1, 2])]
-    listed = spark.createDataFrame([(1, 12.9, 77.6), (2, 12.901, 77.6), (8, 12.9501, 77.6), (9, 12.8, 77.5)], "id long, lat double, lon double")
-    out = junctions.reconcile(listed, nodes.withColumnRenamed("id", "junction"), nodes, 13.0)
-    assert {r["id"]: (r["outcome"], r["to"]) for r in out.collect()} == {1: ("present", "1"), 2: ("moved", "2"), 8: ("attached", "3"), 9: ("added", None)}
-
-
-def test_models():
+    assert [(r["k"], r["name"], round(r["bearing"]), r["compass"], r["nodes"]) for r in merged.orderBy("k").collect()] == [(1, "A", 0, "N", [1, 2]), (2, "B", 90, "E", [1]), (3, "A", 180, "S", [1, 2])]
+    back = ways.filter("id = 11").withColumn("tags", F.create_map(F.lit("ref"), F.lit("NH 4"), F.lit("oneway"), F.lit("reverse")))
+    assert junctions.approaches(nodes, back).count() == 0 and junctions.vertices(back).first()["name"] == "NH 4"
+    listed = spark.createDataFrame([(1, 0, 12.9, 77.6), (2, 1, 12.901, 77.6), (8, 2, 12.9501, 77.6), (9, 3, 12.8, 77.5), (10, 4, 12.8003, 77.5), (11, 5, 12.8007, 77.5)], "id long, ord long, lat double, lon double")
+    out = {r["id"]: (r["outcome"], r["to"]) for r in junctions.reconcile(listed, nodes.withColumnRenamed("id", "junction"), nodes, 13.0).collect()}
+    # 10 joins the light added before it, and so 11, which is near 10 alone, is added
+    assert out == {1: ("present", "1"), 2: ("moved", "2"), 8: ("attached", "3"), 9: ("added", "9"), 10: ("attached", "9"), 11: ("added", "11")}
+    n = lambda *xs: [F.lit(float(x)) for x in xs]
+    got = [one(spark, junctions.confidence(*n(*case)))[0] for case in ((1, 0, 2, 3), (5, 70, 0, 0), (4, 30, 1, 1), (7, 10, 2, 2))]
+    assert [(round(g["score"], 6), g["review"]) for g in got] == [(1.0, False), (0.0, True), (0.75, False), (0.6, True)]
+
+
+def plain_starts(g, low=30, high=240, delta=4.0):
+    """The plain grid search, in tenths of a second throughout."""
+    t0 = min(g)
+    x = [v - t0 for v in g]
+
+    def cost(o, c):
+        r = [min((v - o) % c, c - (v - o) % c) for v in x]
+        return sum(v * v if v <= 10 * delta else 10 * delta * (2 * v - 10 * delta) for v in r) / 200, sum(v <= 10 * delta for v in r)
+
+    coarse = [min((cost(10 * o, 10 * c)[0], o) for o in range(c)) + (c,) for c in range(low, high + 1)]
+    least = min(coarse)[0]
+    best = max((c, k, o) for k, o, c in coarse if k <= least * 1.1 + 1e-9)
+    found = (best[1], 10 * best[0], 10 * best[2])
+    for c in range(10 * best[0] - 10, 10 * best[0] + 11):
+        for o in range(10 * best[2] - 10, 10 * best[2] + 11):
+            k = cost(o % c, c)[0]
+            if k < found[0]:
+                found = (k, c, o % c)
+    return found[1] / 10, (found[2] + t0) % found[1] / 10, found[0], cost(found[2], found[1])[1] / len(g)
+
+
+def test_green_starts_and_cycles(spark):
     import numpy as np
 
     from wayfare.operators import models
 
     rng = np.random.default_rng(3)
-    g = np.sort(17 + 120 * rng.integers(0, 200, 40) + rng.normal(0, 1, 40))
-    c, o, _, inliers = models.green_starts(g)
-    assert abs(c - 120) < 1 and min((o - 17) % c, (17 - o) % c) < 4 and inliers > 0.7
-    assert models.green_starts(g[:3]) is None
-    t = np.sort(rng.uniform(0, 20000, 400))
+    groups = {1: np.sort(17 + 120 * rng.integers(0, 200, 40) + rng.normal(0, 1, 40)), 2: rng.uniform(0, 5000, 30), 3: rng.uniform(0, 9, 5)}
+    rows = [(g, float(round(t, 1)), f"j{i % 9}") for g, ts in groups.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "g long, t double, j string")
+    got = {r["g"]: r for r in models.start_fits(df, "g", "t").collect()}
+    assert set(got) == {1, 2}
+    for g in got:
+        want = plain_starts([round(t * 10) for h, t, _ in rows if h == g])
+        assert abs(got[g]["cycle"] - want[0]) < 1e-9 and abs(got[g]["cost"] - want[2]) < 1e-6 and abs(got[g]["inliers"] - want[3]) < 1e-9
+    assert abs(got[1]["cycle"] - 120) < 1 and got[1]["inliers"] > 0.7
+    sure = {r["g"]: r for r in models.bootstrap(df, "g", "t", "j", rounds=12).collect()}
+    assert sure[1]["cycle_low"] <= sure[1]["cycle_mid"] <= sure[1]["cycle_high"] and abs(sure[1]["cycle_mid"] - 120) < 1 and 3 not in sure
+    t = np.sort(rng.uniform(0, 20000, 500))
     y = ((t - 17) % 90 < 40).astype(float)
-    c, _, better = models.scan_cycle(t, y, rng.random(400) < 0.3, low=80, high=100)
-    assert abs(c - 90) < 1 and better > 0.2
+    obs = spark.createDataFrame([(7, float(a), float(b), f"k{i % 60}") for i, (a, b) in enumerate(zip(t, y, strict=True))], "g long, t double, y double, j string")
+    c = models.cycles(obs, "g", "t", "y", "j", low=80, high=100).first()
+    assert abs(c["cycle"] - 90) < 1 and c["improvement"] > 0.2
+    x = np.column_stack([np.ones(200), rng.normal(size=200)])
+    w = rng.integers(1, 4, 200).astype(float)
+    hits = (rng.random(200) < 0.4).astype(float)
+    beta = models.fit_logistic(x, hits, w)
+    p = 1 / (1 + np.exp(-x @ beta))
+    assert np.abs(x.T @ (w * (hits - p)) - np.array([0, models.RIDGE]) * beta).max() < 1e-4
+
+
+def test_prediction_levels(spark):
+    import datetime
+
+    from wayfare.operators import predict
+
+    now = datetime.datetime(2024, 1, 31)
+    start = datetime.datetime(2024, 1, 29, 2, 0)  # Monday, half past seven there
+    rows = []
+    for i in range(40):  # resumes at 10 s into each cycle of 90 s that starts with the window at seven
+        at = datetime.datetime(2024, 1, 29, 1, 30) + datetime.timedelta(seconds=90 * (i + 5) + 10 + (i % 3 - 1))
+        rows.append((1, at, 20.0, True, 0.9, at))
+    rows += [(2, start + datetime.timedelta(seconds=20 * i), float(i), i % 2 == 0, 0.8, None) for i in range(70)]
+    e = spark.createDataFrame(rows, "junction int, ts timestamp_ntz, delay double, stopped boolean, quality double, resumed timestamp_ntz")
+    w = spark.createDataFrame([(j, 0, "all_days", 0, "07:00", "12:00", "timed", [40, 35, 15], 90, 2, "printed") for j in (1, 3)], "junction int, plan_ord int, day_type string, win_ord int, start string, end string, mode string, phases array<int>, cycle_s int, ped int, cycle_source string")
+    linked = spark.createDataFrame([(1, "fixed", "current", False), (3, "vehicle_actuated", "stale", True)], "junction int, control string, standing string, conflict boolean")
+    q = spark.createDataFrame([(j, j, datetime.datetime(2024, 1, 30, 2, 0), 0 if j == 1 else None) for j in (1, 2, 3, 4)], "qid long, junction int, t timestamp_ntz, phase int")
+    got = {r["qid"]: r for r in predict.predict(q, e, w, linked, F.lit(now).cast("timestamp_ntz"), sigma=5.0).collect()}
+    assert [got[i]["level"] for i in (1, 2, 3, 4)] == ["A", "C", "P", "E"]
+    # 07:30:00 is 1,800 s after the window began: place 80 - offset 10 before the green at 90
+    assert abs(got[1]["offset"] - 10) <= 1 and 5 < got[1]["mean"] < 16 and 0.8 < got[1]["p_stop"] <= 1 and got[1]["confidence"] > 0.7
+    assert got[3]["confidence"] == pytest.approx(0.3 * 0.6 * 0.7) and got[3]["mean"] == pytest.approx((40 * 50**2 / 180 + 35 * 55**2 / 180) / 75)
+    assert got[4]["mean"] is None and got[4]["confidence"] is None and got[2]["confidence"] <= 0.6 and got[2]["plan"] is None
+
+
+def test_layout(spark):
+    from wayfare.operators import layout
+
+    words = [(1, t, x, x + 20.0, y, 9.0) for t, x, y in (("SILK", 10.0, 50.0), ("BOARD", 40.0, 51.0), ("JUNCTION,", 80.0, 50.5), ("MADIWALA", 140.0, 50.0), ("POLICE", 200.0, 50.0), ("STATION", 240.0, 50.0), ("-", 280.0, 50.0), ("FIXED", 290.0, 50.0))]
+    words += [(1, t, x, x + 20.0, y, 9.0) for t, x, y in (("OTHER", 10.0, 700.0), (",", 40.0, 700.0), ("HAL", 50.0, 700.0), ("POLICE", 90.0, 700.0), ("STATION", 120.0, 700.0))] + [(1, "a", 5.0, 9.0, 300.0, 6.0), (1, "b", 5.0, 9.0, 400.0, 6.0)]
+    df = spark.createDataFrame(words, "doc int, text string, x0 double, x1 double, top double, size double")
+    h = {r["k"]: r["header"] for r in layout.headers(df).collect()}
+    assert (h[1]["name"], h[1]["station"], h[1]["control"], h[1]["hint"]) == ("SILK BOARD", "MADIWALA", "FIXED", "fixed") and h[2]["control"] == "UNSPECIFIED" and h[2]["hint"] == "unknown"
+    assert {(r["text"], r["panel"]) for r in layout.panels(df).filter("text IN ('a', 'b')").collect()} == {("a", 1), ("b", 2)}
+    cols = spark.createDataFrame([(1, i, 100.0 + 50 * i) for i in range(3)], "panel int, phase int, x double")
+    label = spark.createDataFrame([(1, "EXCLUSIVE", 185.0, 215.0), (1, "other", 0.0, 1.0)], "panel int, text string, x0 double, x1 double")
+    assert [tuple(r) for r in layout.pedestrian_phase(label, cols).collect()] == [(1, 2)]
+    letters = layout.bands(spark.createDataFrame([(1, "A", 10.0), (1, "B", 30.0)], "panel int, letter string, top double"), 60.0)
+    assert {r["letter"]: r["until"] for r in letters.collect()} == {"A": 28.0, "B": 52.0}
+    moves = spark.createDataFrame([(1, "L", 95.0, 105.0, 11.0, 7.0), (1, "S", 148.0, 152.0, 33.0, 7.0), (1, "S", 40.0, 44.0, 11.0, 7.0), (1, "R", 98.0, 102.0, 12.0, 4.0)], "panel int, text string, x0 double, x1 double, top double, size double")
+    assert {tuple(r) for r in layout.movements(moves, cols, letters).collect()} == {(1, "A", 0, "L"), (1, "B", 1, "S")}
+
+
+def test_matches_against_brute_force(spark):
+    from wayfare.operators import match
+
+    rng = random.Random(9)
+    word = ["silk", "board", "hebbal", "yemalur", "yamalur", "koramangala", "agara", "hosur", "market"]
+    name = lambda n: " ".join(rng.sample(word, n))
+    panels = [(i, name(rng.randrange(1, 4)), [name(2) for _ in range(rng.randrange(0, 3))]) for i in range(25)]
+    index = [(100 + i, i, name(rng.randrange(1, 4)), [name(2) for _ in range(rng.randrange(0, 3))], 12.9 + i * 0.0005, 77.6) for i in range(30)]
+    places = [(f"{n} junction, Bengaluru", 12.9 + i * 0.001, 77.6, ["Agara circle", "Hosur clinic", "nothing"][i % 3], ["shop=a", "shop=b", "place=c"][i % 3]) for i, (_, n, _) in enumerate(panels) if i % 2]
+    p = spark.createDataFrame(panels, "panel long, name string, roads array<string>")
+    x = spark.createDataFrame(index, "id long, ord long, name string, roads array<string>, lat double, lon double")
+    g = spark.createDataFrame([(q, *rest) for q, *rest in dict((r[0], r) for r in places[::-1]).values()], "query string, lat double, lon double, label string, osm string")
+    got = {}
+    for r in match.match(p, x, g, 13.0).collect():
+        got.setdefault(r["panel"], {})[r["rank"]] = r
+    toks = {w: [r[0] for r in spark.createDataFrame([(w,)], "s string").select(text.tokens(F.col("s"))).collect()][0] for w in {n for _, n, rs in panels for n in (n, *rs)} | {n for _, _, n, rs, *_ in index for n in (n, *rs)}}
+    round3 = lambda v: int(v * 1000 + 0.5 + 1e-9) / 1000
+    for i, n, roads in panels:
+        words = []
+        for j, o, m, rs, lat, lon in index:
+            all_ = sorted({t for w in (m, *rs) for t in toks[w]})
+            a = soft_jaccard(toks[n], all_)
+            b = sum(max([soft_jaccard(toks[r], toks[s]) for s in rs] + [0.0]) for r in roads) / len(roads) if roads else 0.0
+            if max(a, 0.85 * b + 0.15 * a) > 0:
+                words.append((-round3(max(a, 0.85 * b + 0.15 * a)), o, j))
+        best = {j: -s for s, _, j in sorted(words)[: match.BY_NAME]}
+        for rank, r in got.get(i, {}).items():
+            if r["metres"] is None:
+                assert abs(r["combined"] - best[r["id"]]) < 2e-3
+        if i % 2 == 0 and words:
+            assert abs(got[i][1]["score"] - -sorted(words)[0][0]) < 2e-3
+    assert any(r["metres"] is not None for v in got.values() for r in v.values())
+    names = match.match_names(p.select(F.col("name").alias("mention")).distinct(), x)
+    for r in names.filter("rank = 1").collect():
+        want = max(max(soft_jaccard(toks[r["mention"]], toks[m]), 0.85 * soft_jaccard(toks[r["mention"]], sorted({t for w in (m, *rs) for t in toks[w]}))) for _, _, m, rs, *_ in index)
+        assert abs(r["score"] - want) < 2e-3
+
+
+def test_documents_and_sinks(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    (tmp_path / "pkg.json").write_text(json.dumps({"result": {"resources": [{"id": "0" * 8 + "-0000-0000-0000-" + "0" * 12, "name": "a"}]}}))
+    (tmp_path / "bad.json").write_text(json.dumps({"result": {"resources": [{"id": "../x", "name": "a"}]}}))
+    assert readers.package(spark, f"{at}/pkg.json").first()["name"] == "a"
+    with pytest.raises(Exception, match="not a resource id"):
+        readers.package(spark, f"{at}/bad.json").collect()
+    (tmp_path / "dec.json").write_text(json.dumps({"plans": {"k1": {"decision": "accepted", "intersection_id": "gw-1", "by": "r", "at": "2024"}}}))
+    assert [tuple(r) for r in readers.decisions(spark, f"{at}/dec.json").collect()] == [("k1", "accepted", "gw-1", "r", "2024")] and readers.decisions(spark, f"{at}/none.json").count() == 0
+    (tmp_path / "d.json").write_text(json.dumps({"meta": {"schema": "surveillance.v1"}, "records": [{"id": 1}, {"id": 2}]}))
+    meta, records = readers.dataset(spark, f"{at}/d.json", "records", "id long")
+    assert json.loads(meta.first()["meta"])["schema"] == "surveillance.v1" and [r["id"] for r in records.orderBy("ord").collect()] == [1, 2]
+    (tmp_path / "cache.json").write_text(json.dumps({"q1": {"provider": "p", "lat": 1.0, "lon": 2.0, "label": "L", "osm": "o"}, "q2": None}))
+    assert {(r["query"], r["lat"]) for r in readers.place_cache(spark, f"{at}/cache.json").collect()} == {("q1", 1.0), ("q2", None)}
+    sinks.write_document(spark.createDataFrame([("x", 1)], "name string, n int"), spark.createDataFrame([(2, "b"), (1, "a")], "ord int, v string"), f"{at}/doc", "ord")
+    lines = [line for f in sorted((tmp_path / "doc").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [json.loads(x) for x in lines] == [{"name": "x", "n": 1}, {"v": "a"}, {"v": "b"}]
+    blocks = spark.createDataFrame([("s", "k2", 2, "n2"), ("s", "k1", 1, "n1")], "source string, key string, ord int, name string")
+    windows = spark.createDataFrame([("k1", 1, "07:00", "raw")], "key string, ord int, start string, raw string")
+    nested = sinks.nested_plans(blocks, windows).first()
+    assert [(b["key"], [w.asDict() for w in b["windows"]]) for b in nested["junctions"]] == [("k1", [{"start": "07:00"}]), ("k2", [])]
+    sinks.write_photos(spark.createDataFrame([("ab1", 1, "old"), ("ab1", 2, "new"), ("cd2", 1, "x")], "id string, ord int, body string"), f"{at}/photos")
+    assert {(r["id"], r["body"], r["shard"]) for r in spark.read.parquet(f"{at}/photos").collect()} == {("ab1", "new", "ab"), ("cd2", "x", "cd")}
+    rows = spark.createDataFrame([("gw-" + "a" * 12, " ", 1.0, 2.0), ("bad", "n", 1.0, 2.0)], "id string, canonical_name string, lat double, lon double")
+    assert [r["name"] for r in sinks.page_junctions(rows).collect()] == ["Junction"]
+    urls = sinks.sitemap(spark.createDataFrame([(0, "gw-1", "2024-01-02")], "ord long, id string, made string").withColumn("made", F.to_date("made")), "https://x", ("/", "/a")).orderBy("ord").collect()
+    assert [r["url"] for r in urls][-1] == "<url><loc>https://x/signal/gw-1</loc><lastmod>2024-01-02</lastmod></url>" and len(urls) == 3
+    d = sinks.dataset_records(spark.createDataFrame([("n", "d", "ODbL 1.0", "t", "u"), ("m", "d", "other", "t", "u")], "name string, description string, license string, generated_at string, url string"))
+    assert {json.loads(r["record"]).get("license") for r in d.collect()} == {None, "https://opendatacommons.org/licenses/odbl/1-0/"}
 
 
 def test_review_and_mentions(spark):
@@ -212,8 +367,9 @@ def test_review_and_mentions(spark):
     assert [got[i]["review"] for i in (1, 2, 3, 4)] == ["pre_validated", "pending_review", "pending_review", "pending_review"]
     assert abs(got[1]["score"] - 1) < 1e-9 and got[2]["blocking"] == ["duplicate"] and abs(got[3]["score"] - 0.15) < 1e-9
     assert abs(got[4]["score"] - 0.6) < 1e-9 and abs(got[1]["priority"] - 1) < 1e-9
-    pages = spark.createDataFrame([("s", 1, "Silk Board Junction should be widened. The Two Way Silk Board junction again. Two Way junction. Delay at Hebbal Circle was observed.")], "source string, page int, body string")
-    assert sorted((r["name"], r["kind"], r["claim"]) for r in text.place_mentions(pages).collect()) == [("Hebbal", "circle", "observation"), ("Silk Board", "junction", "qualitative_recommendation")]
+    pages = spark.createDataFrame([("s", 1, "Silk Board Junction should get a signal. Two Way Silk Board junction signal again. Two Way junction signal. Signal delay at Hebbal Circle was observed. Agara Cross has none."), ("s", 2, "Agara Junction has none."), ("s", 3, "Signal at X Hosur Intersection.")], "source string, page int, body string")
+    got = text.numbered_mentions(text.place_mentions(pages))
+    assert sorted((r["id"], r["mention"], r["claim"]) for r in got.collect()) == [("s:p1:1", "Silk Board junction", "qualitative_recommendation"), ("s:p1:2", "Hebbal circle", "observation"), ("s:p3:3", "Hosur intersection", "mention")]
     v = lambda x: F.lit(x).cast("double")
     assert one(spark, similarity.match_tier(v(0.8), v(0.5)), similarity.match_tier(v(0.8), v(0.7)), similarity.match_tier(v(0.1), v(None))) == ("strong", "moderate", "none")
     assert one(spark, similarity.junction_tier(v(0.8), v(0.1), v(0.5), v(50), v(0.9), v(0.2)), similarity.junction_tier(v(0.1), v(0.1), v(0.1), v(None), v(0.35), v(0.2))) == ("strong", "weak")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,14 +13,20 @@ from pyspark.sql import types as T
 ALIKE = 0.84
 
 
+@lru_cache(1 << 17)
+def _ratio(t: str, u: str) -> float:
+    """How alike two tokens are spelt. Tokens repeat from set to set, so a task keeps what it has worked out."""
+    return 1.0 if t == u else difflib.SequenceMatcher(None, t, u).ratio()
+
+
 def soft_jaccard(a: list[str], b: list[str]) -> float:
     """Each token of a, in order, takes the best free token of b; ties go to the first."""
     if not len(a) or not len(b):
         return 0.0
     free, matched = list(b), 0
     for t in sorted(a):
-        best = max(sorted(free), key=lambda u: 1.0 if u == t else difflib.SequenceMatcher(None, t, u).ratio(), default=None)
-        if best is not None and (best == t or difflib.SequenceMatcher(None, t, best).ratio() >= ALIKE):
+        best = max(sorted(free), key=lambda u: _ratio(t, u), default=None)
+        if best is not None and _ratio(t, best) >= ALIKE:
             matched += 1
             free.remove(best)
     return matched / (len(a) + len(b) - matched)
@@ -32,7 +39,7 @@ def token_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BooleanType())
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([x == y or difflib.SequenceMatcher(None, x, y).ratio() >= ALIKE for x, y in zip(a, b, strict=True)], dtype=bool)
+    return pd.Series([_ratio(x, y) >= ALIKE for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
 def alike_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -50,21 +57,27 @@ def alike_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     return near.union(left.join(right, F.col("t") == F.col("u")).select("t", "u"))
 
 
-def best_matches(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
-    """(l, r, score, rank): left(l, tokens) against right(r, tokens), the k best.
+def scored_sets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(ts, us, score): distinct token sets of left(tokens) and right(tokens) whose similarity is above 0.
 
-    Candidates are all that score above 0: sets that hold tokens nearly alike. Only distinct
-    token sets are compared, and each distinct set of left is ranked once.
+    Candidates are all that can score above 0: sets that hold tokens nearly alike.
     """
     token = lambda df, name: df.select(F.col("tokens").alias(f"{name}s")).distinct().select(f"{name}s", F.explode(F.array_distinct(f"{name}s")).alias(name))
     a, b = token(left, "t"), token(right, "u")
     alike = alike_tokens(a.select("t").distinct(), b.select("u").distinct())
     sets = a.join(alike, "t").join(b, "u").select("ts", "us").distinct()
-    sets = sets.withColumn("score", token_similarity("ts", "us")).filter("score > 0")
+    return sets.withColumn("score", token_similarity("ts", "us")).filter("score > 0")
+
+
+def best_matches(left: DataFrame, right: DataFrame, k: int = 3) -> DataFrame:
+    """(l, r, score, rank): left(l, tokens) against right(r, tokens), the k best.
+
+    Only distinct token sets are compared, and each distinct set of left is ranked once.
+    """
     from pyspark.sql.window import Window
 
     rank = F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("score"), "r"))
-    best = sets.join(right.withColumnRenamed("tokens", "us"), "us").withColumn("rank", rank).filter(F.col("rank") <= k)
+    best = scored_sets(left, right).join(right.withColumnRenamed("tokens", "us"), "us").withColumn("rank", rank).filter(F.col("rank") <= k)
     return left.withColumnRenamed("tokens", "ts").join(best, "ts").select("l", "r", "score", "rank")
 
 

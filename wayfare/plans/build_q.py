@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfare.functions import geo, text
-from wayfare.operators import junctions, layout
+from wayfare.operators import junctions, layout, match
 from wayfare.plans.spatial_q import _HAV, _place_sql, places
 from wayfare.session import table
 
@@ -176,6 +176,30 @@ def word_lines(spark, sf_dir):
     return layout.lines(words, 3.5).select("doc", "text", "line")
 
 
+def _index(spark, sf_dir):
+    """Parts of one name and brand as junctions, their type and brand as roads."""
+    p = table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("id"), F.min("p_type").alias("t"))
+    k = F.col("id")
+    return p.select("id", k.alias("ord"), F.concat_ws(" ", "p_name", F.translate("p_brand", "#", " ")).alias("name"), F.array(F.concat(F.col("t"), F.lit(" road")), F.col("p_brand")).alias("roads"), (12.9 + (k % 500) * 0.0004).alias("lat"), (77.5 + (k % 700) * 0.0003).alias("lon"))
+
+
+def junction_matches(spark, sf_dir):
+    """Parts as panels, matched to junctions by words and, for some, by a place found before."""
+    p = F.col("p_partkey")
+    t = table(spark, sf_dir, "part")
+    panels = t.select(p.alias("panel"), F.concat_ws(" ", "p_name", F.when(p % 3 == 0, F.translate("p_brand", "#", " "))).alias("name"), F.when(p % 2 == 0, F.array(F.col("p_type"))).otherwise(F.array().cast("array<string>")).alias("roads"))
+    asked = panels.filter("panel % 4 = 0").select(F.concat(F.col("name"), F.lit(" junction, Bengaluru")).alias("query"), "panel").groupBy("query").agg(F.min("panel").alias("k"))
+    k = F.col("k")
+    places = asked.select("query", (12.9 + (k % 500) * 0.0004 + 0.0001).alias("lat"), (77.5 + (k % 700) * 0.0003).alias("lon"), F.when(k % 3 == 0, "Silk circle").otherwise("A clinic").alias("label"), F.when(k % 3 == 1, "shop=x").otherwise("place=y").alias("osm"))
+    return match.match(panels, _index(spark, sf_dir), places, 13.0)
+
+
+def name_matches(spark, sf_dir):
+    """Names and types of parts as mentions, matched to junctions by name alone."""
+    m = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", F.lower("p_type"), F.lit("junction")).alias("mention")).distinct()
+    return match.match_names(m, _index(spark, sf_dir))
+
+
 _MEM = """mem AS (SELECT c_custkey // 6 AS junction, c_custkey AS node, 12.9::DOUBLE + (c_custkey // 6) * 0.01::DOUBLE + (c_custkey % 6) * 0.00015::DOUBLE AS lat, 77.6::DOUBLE + (c_custkey % 3) * 0.0002::DOUBLE AS lon, CASE WHEN c_custkey % 11 = 0 THEN c_name END AS nm, CASE WHEN c_custkey % 13 = 0 THEN 'traffic_signals' WHEN c_custkey % 17 = 0 THEN 'zebra' END AS cr, c_custkey % 23 = 0 AS btn, CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) END AS dir FROM customer),
 ap AS (SELECT p_partkey // 5 AS junction, p_partkey % 5 AS k, CASE WHEN p_partkey % 3 <> 0 THEN p_type END AS name FROM part WHERE p_partkey % 5 <> 0),
 rd AS (SELECT junction, list(name ORDER BY k) AS names FROM (SELECT junction, name, min(k) AS k FROM ap WHERE name IS NOT NULL GROUP BY ALL) GROUP BY junction),
@@ -198,7 +222,7 @@ oc AS (SELECT id, CASE WHEN m > 5 THEN 'moved' ELSE 'present' END AS outcome, id
 _DAYS = """rw AS (SELECT l_orderkey AS panel, l_extendedprice + l_linenumber / 8.0::DOUBLE AS top, printf('%02d:00', trunc(l_quantity % 20)::INT) AS st, printf('%02d:30', trunc(l_quantity % 20)::INT + l_linenumber % 4) AS en, l_returnflag <> 'R' AS timed, l_tax < 0.05 AS cons, l_discount > 0.08 AS un FROM lineitem),
 dg AS (SELECT *, sum(b) OVER (PARTITION BY panel ORDER BY top)::INT AS day FROM (SELECT *, coalesce(st < lag(en) OVER w AND st <= lag(st) OVER w, FALSE)::INT AS b FROM rw WINDOW w AS (PARTITION BY panel ORDER BY top)))"""
 
-QUERIES = {f.__name__: f for f in (junction_records, junction_counts, junction_tags, merged_approaches, reconciled, reconcile_report, listed_only, polylines, day_plans, parse_confidence, row_bands, phase_labels, matrix_confidence, headers_and_roads, word_lines)}
+QUERIES = {f.__name__: f for f in (junction_records, junction_counts, junction_tags, merged_approaches, reconciled, reconcile_report, listed_only, polylines, day_plans, parse_confidence, row_bands, phase_labels, matrix_confidence, headers_and_roads, word_lines, junction_matches, name_matches)}
 ORACLES = {
     "junction_records": f"""WITH {_MEM} SELECT junction, 'gw-' || left(sha1(ids), 12) AS id, coalesce(named, CASE WHEN len(roads) >= 2 THEN roads[1] || ' × ' || roads[2] WHEN len(roads) = 1 THEN roads[1] || ' signal' END, 'Unnamed signal') AS canonical_name, round(lat, 6) AS lat, round(lon, 6) AS lon, kind, ids AS node_ids, round(spread, 3) AS spread, round(conf, 6) AS confidence, conf < 0.6 OR nodes > 6 AS review, array_to_string(roads, '|') AS roads, ap AS approaches FROM js""",
     "junction_counts": f"WITH {_MEM} SELECT count(*) AS junctions, sum(ap)::BIGINT AS approaches, count(*) FILTER (conf < 0.6 OR nodes > 6) AS review_needed, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("junction", "pedestrian_crossing", "midblock_or_single_road", "unresolved")) + " FROM js",

@@ -111,3 +111,54 @@ def pictures(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame({"path": b["path"], **{k: pd.array([f[i] for f in facts], "Int32") for i, k in enumerate(("width", "height", "bytes"))}})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, width int, height int, bytes int")
+
+
+def lists(spark: SparkSession, paths: list[str]) -> list[tuple[str, DataFrame, DataFrame]]:
+    """(file, rows, rejects) of several signal lists in the order of their names; each has its own header."""
+    named = sorted(paths, key=lambda p: p.rsplit("/", 1)[-1])
+    return [(p.rsplit("/", 1)[-1], *signal_list(spark, p)) for p in named if p.lower().endswith(".csv")]
+
+
+UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+
+
+def package(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, id, name, url, created) of a portal package's resources; an id that is no UUID fails the read."""
+    raw = spark.read.schema("result struct<resources: array<struct<id: string, name: string, url: string, created: string>>>").option("multiLine", True).json(path)
+    rows = raw.select(F.posexplode("result.resources").alias("ord", "r")).select("ord", "r.*")
+    sound = F.when(F.coalesce(F.col("id").rlike(UUID), F.lit(False)), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("not a resource id: "), F.coalesce("id", F.lit("null")))))
+    return rows.withColumn("id", sound)
+
+
+def dataset(spark: SparkSession, path: str, records: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(meta, records) of a versioned JSON document; meta as its JSON text. schema: that of one record."""
+    raw = spark.read.schema(f"meta string, {records} array<struct<{schema}>>").option("multiLine", True).json(path)
+    return raw.select("meta"), raw.select(F.posexplode(records).alias("ord", "r")).select("ord", "r.*")
+
+
+DECISIONS = "plans map<string, struct<decision: string, intersection_id: string, by: string, at: string>>, controlType map<string, struct<control_type: string>>, clusters map<string, struct<decision: string>>"
+
+
+def decisions(spark: SparkSession, path: str) -> DataFrame:
+    """(key, decision, to, by, at) of reviewers; an absent or unreadable file is no decision at all."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        raw = spark.read.schema(DECISIONS).option("multiLine", True).json(path)
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raw = spark.createDataFrame([], DECISIONS)
+    return raw.filter("plans IS NOT NULL").select(F.explode("plans").alias("key", "d")).select("key", "d.decision", F.col("d.intersection_id").alias("to"), "d.by", "d.at")
+
+
+def place_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(query, lat, lon, label, osm) that a geocoder answered before; negative answers have null coordinates."""
+    raw = spark.read.text(path, wholetext=True)
+    cells = F.from_json("value", "map<string, struct<provider: string, lat: double, lon: double, label: string, osm: string>>")
+    return raw.select(F.explode(cells).alias("query", "a")).select("query", "a.lat", "a.lon", "a.label", "a.osm")
+
+
+def save_places(places: DataFrame, path: str) -> None:
+    """The cache as one row of JSON for each query."""
+    places.select(F.to_json(F.struct("query", "lat", "lon", "label", "osm"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
