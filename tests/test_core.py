@@ -394,3 +394,44 @@ def test_best_matches_against_brute_force(spark):
         want += [(i, j, -s, n + 1) for n, (s, j) in enumerate([x for x in scored if x[0] < 0][:5])]
     assert got == sorted(want)
     assert (900, 900) in {r[:2] for r in got} and (901, 901) in {r[:2] for r in got}
+
+
+def test_sync_runs(spark, tmp_path):
+    d = "type string, id long, lat double, lon double, version int, timestamp string, tags map<string,string>, ord int"
+    row = lambda i, o, name, kind="node": (kind, i, 12.9, 77.6, None, "2024", {"name": name, "phone": "1"}, o)
+    at = [f"file://{tmp_path}/snap", f"file://{tmp_path}/log"]
+    first = snapshot.sync(spark.createDataFrame([row(1, 0, "a"), row(2, 1, "b"), row(3, 2, "c"), row(3, 3, "d"), row(4, 4, "x", "way")], d), *at, "2024-01-01")
+    assert (first["inserted"], first["malformed"], first["duplicates"], first["refused"]) == (3, 1, 1, None)
+    second = snapshot.sync(spark.createDataFrame([row(1, 0, "a"), row(2, 1, "z"), row(5, 2, "e")], d), *at, "2024-01-02")
+    assert [second[k] for k in ("inserted", "updated", "unchanged", "removed")] == [1, 1, 1, 1]
+    third = snapshot.sync(spark.createDataFrame([row(1, 0, "a")], d), *at, "2024-01-03")
+    assert third["refused"] == "2 records would go" and snapshot.versions(spark, at[0]) == ["2024-01-01", "2024-01-02"]
+    assert {r["id"]: r["tags"] for r in spark.read.parquet(f"{at[0]}/at=2024-01-02").collect()}[2] == {"name": "z"}
+    assert spark.read.json(at[1]).count() == 3
+    now = F.lit("2024-01-03 00:00:00").cast("timestamp")
+    assert one(spark, *[snapshot.due(F.lit(t).cast("timestamp"), now) for t in ("2024-01-02 00:00:00", "2024-01-02 00:00:01", None)]) == (True, False, True)
+
+
+def test_small_parts(spark):
+    from wayfare.functions import formats
+    from wayfare.operators import cameras
+
+    domains = {"a": ["x", "y"], "b": ["p"]}
+    assert facets.valid_selection({"a": "x", "b": "no", "c": "z"}, domains) == {"a": "x", "b": "all"} and facets.active_count({"a": "x", "b": "all"}) == 1
+    df = spark.createDataFrame([("x",), ("x",), ("q",)], "a string")
+    assert {r["option"]: r["n"] for r in facets.histogram(df, "a", ["x", "y"]).collect()} == {"x": 2, "y": 0}
+    assert formats.quality_ladder() == [0.82, 0.74, 0.66, 0.58, 0.5] and formats.quality_ladder(0.8, 0.5, 0.2) == [0.8, 0.6, 0.5]
+    board_rows = spark.createDataFrame([("u1", 1), ("u2", 2)], "id string, v int")
+    assert board.item(board_rows, "u2").first()["v"] == 2 and board.item(board_rows, "x").count() == 0
+    assert [r["id"] for r in board.without(board_rows, board_rows.filter("v = 1")).collect()] == ["u2"]
+    r = lambda v, t: F.struct(F.lit(v).alias("v"), F.lit("t").alias("t"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), F.create_map(*map(F.lit, t)).alias("tags"))
+    assert one(spark, cameras.same(r(1, ["a", "1", "b", "2"]), r(1, ["b", "2", "a", "1"])), cameras.same(r(1, ["a", "1"]), r(2, ["a", "1"]))) == (True, False)
+    meta = spark.createDataFrame([("surveillance.v0",)], "schema string")
+    with pytest.raises(ValueError):
+        cameras.checked_snapshot(meta, board_rows)
+    assert json.loads(cameras.features(spark.createDataFrame([(7, 1.0, 2.0)], "id long, lat double, lon double")).first()["feature"])["properties"] == {"id": "7"}
+    s = cameras.dataset(spark.createDataFrame([(3, 1)], "total long, named long"), F.lit("2024"), F.lit("b")).first()
+    assert s["schema"] == cameras.SCHEMA and json.loads(s["summary"]) == {"total": 3, "named": 1}
+    line = F.array(*[F.struct(F.lit(12.9).alias("lat"), F.lit(77.5 + i / 1000).alias("lon")) for i in range(3)])
+    assert abs(one(spark, geo.bearing_along(line, F.lit(100.0)))[0] - 90) < 0.01
+    assert [tuple(p) for p in one(spark, geo.decoded(F.lit("_p~iF~ps|U_ulLnnqC_mqNvxq`@")))[0]] == [(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)]

@@ -71,3 +71,42 @@ def guard(old: int | None, new: int, least: float = 0.5) -> str | None:
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with new's rows in place of those of the same key."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)
+
+
+def sync(elements: DataFrame, target: str, log: str, now: str, least: float = 0.5) -> dict:
+    """One run: elements (type, id, lat, lon, version, timestamp, tags, ord) checked, cleaned and compared with the last
+    snapshot under `target`, then written beside it; the run's counts go to the log, refusals too.
+
+    A snapshot is a folder named by its time, so a run that stops half-way leaves the last one as it was.
+    """
+    from pyspark.sql import Row
+
+    spark = elements.sparkSession
+    why = reject_reason(F.col("type"), F.col("id"), F.col("lat"), F.col("lon"), F.col("timestamp"))
+    marked = elements.withColumn("_why", why)
+    sound = marked.filter("_why IS NULL").select("id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.coalesce("version", F.lit(1)).alias("v"), F.col("timestamp").alias("t"), clean_tags(F.coalesce("tags", F.create_map().cast("map<string,string>"))).alias("tags"), "ord")
+    new = last_wins(sound, "id", "ord").drop("ord").withColumn("text", canonical(F.col("tags")))
+    seen = marked.agg(F.count_if(F.col("_why").isNotNull()).alias("malformed"), F.count("*").alias("n"), F.count_distinct(F.when(F.col("_why").isNull(), F.col("id"))).alias("kept")).first()
+    old = versions(spark, target)
+    last = spark.read.parquet(f"{target}/at={old[-1]}") if old else None
+    run = {"at": now, "malformed": seen["malformed"], "duplicates": seen["n"] - seen["malformed"] - seen["kept"], "refused": guard(last.count() if last is not None else None, seen["kept"], least)}
+    if not run["refused"]:
+        run |= sync_counts(diff(last if last is not None else new.limit(0), new, "id", ["v", "t", "lat", "lon", "text"])).first().asDict()
+        new.write.mode("overwrite").parquet(f"{target}/at={now}")
+    kept = {k: str(v) if isinstance(v, str) else v for k, v in run.items() if v is not None}
+    spark.createDataFrame([Row(**kept)]).write.mode("append").json(log)
+    return run
+
+
+def versions(spark, target: str) -> list[str]:
+    """Names of the snapshots under `target`, oldest first; listed by Spark, so any store works."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(target)
+        names = files.select(F.regexp_extract("path", "/at=([^/]+)/", 1).alias("at")).distinct()
+        return sorted(r["at"] for r in names.collect())
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []

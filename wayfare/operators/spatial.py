@@ -75,5 +75,15 @@ def cluster_members(points: DataFrame, components: DataFrame, point_id: str) ->
     return mid.join(far, "c").withColumn("id", name)
 
 
-def ranked_per_group(df: DataFrame, by: list[str], order: list, k: int, rank: str = "rank") -> DataFrame:
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
+def picked(points: DataFrame, marks: DataFrame, reach: float) -> DataFrame:
+    """(p, m, distance): of the marks within reach of each point on the plane the nearest, the first on ties.
+
+    points: p, x, y; marks: m, ord, x, y. An equi-join on square cells as wide as the reach.
+    """
+    near = F.explode(F.expr("flatten(transform(sequence(-1, 1), a -> transform(sequence(-1, 1), b -> struct(a as i, b as j))))"))
+    cell = lambda c: F.floor(F.col(c) / reach)
+    a = points.select("p", F.col("x").alias("px"), F.col("y").alias("py"), cell("x").alias("cx"), cell("y").alias("cy"), near.alias("o"))
+    a = a.select("p", "px", "py", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    b = marks.select("m", "ord", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    both = a.join(b, ["cx", "cy"]).withColumn("d", F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))).filter(F.col("d") <= reach)
+    return both.groupBy("p").agg(F.min(F.struct("d", "ord", "m")).alias("b")).select("p", "b.m", F.col("b.d").alias("distance"))

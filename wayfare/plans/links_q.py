@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wayfare.functions import formats
-from wayfare.operators import links, plans
+from wayfare.functions import clock, formats
+from wayfare.operators import junctions, links, plans
 from wayfare.session import table
 
 _k, _c = (lambda: F.col("o_orderkey")), (lambda: F.col("o_custkey"))
@@ -176,6 +176,23 @@ def ranking_prior(spark, sf_dir):
     return ranked.groupBy("hint").agg(F.round(middle("mean", "i"), 9).alias("mean"), F.round(middle("stop", "j"), 9).alias("p_stop"))
 
 
+def timing_signatures(spark, sf_dir):
+    """The canonical timings of each order's table, as a digest."""
+    li = table(spark, sf_dir, "lineitem")
+    q = F.col("l_quantity").cast("int")
+    w = li.select(F.col("l_orderkey").alias("junction"), F.lit("all_days").alias("day_type"), F.format_string("%02d:00", F.col("l_linenumber")).alias("start"), F.lit("24:00").alias("end"), F.when(F.col("l_returnflag") == "R", "blinking").otherwise("timed").alias("mode"), F.array(q, F.lit(10)).alias("phases"), (q + 10).alias("cycle_s"))
+    return plans.signatures(w).select("junction", F.md5("sig").alias("sig"))
+
+
+def ingest_status(spark, sf_dir):
+    """The stricter rule of currency, and the rank of each order's roads."""
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd")
+    doc = F.when(_k() % 3 == 0, iso).when(_k() % 3 == 1, F.substring(iso, 1, 7))
+    kinds = F.array(*map(F.lit, ["motorway", "trunk_link", "primary", "secondary_link", "tertiary", "residential"]))
+    own = F.slice(kinds, (_k() % 6 + 1).cast("int"), (_c() % 3).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", clock.ingest_currency(doc, F.when(_k() % 4 != 2, F.concat(iso, F.lit("T10:00"))), F.lit(_AS_OF).cast("date")).alias("status"), junctions.importance(own).cast("int").alias("importance"))
+
+
 _STOOD = f"""WITH blk AS (SELECT o_orderkey AS key, 's' || (o_custkey % 50) AS source, ['strong', 'moderate', 'weak', 'none'][o_orderkey % 4 + 1] AS tier, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 211 END AS best, (o_orderkey % 100) / 100.0::DOUBLE AS combined,
   CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey + 1) % 211 END AS proposed, o_orderkey % 4 = 0 AS passed, ['fixed', 'vehicle_actuated', 'fixed_coordinated', 'adaptive', 'unknown'][o_orderkey % 5 + 1] AS hint,
   CASE WHEN o_orderkey % 11 = 0 THEN 'accepted' WHEN o_orderkey % 11 = 1 THEN 'rejected' WHEN o_orderkey % 11 = 2 THEN 'deactivated' END AS decision, CASE WHEN o_orderkey % 22 < 11 THEN o_custkey % 211 END AS tto, CASE WHEN o_orderkey % 2 = 0 THEN 'r1' END AS rb, o_orderdate::DATE AS ra,
@@ -192,7 +209,7 @@ cat AS (SELECT *, CASE WHEN is_live THEN 'live_timing' WHEN is_verified THEN 've
 _AGE = "greatest(0, date_diff('day', {d}, DATE '" + _AS_OF + "'))"
 _STATUS = "CASE WHEN {a} IS NULL THEN 'undated' WHEN {a} <= 180 THEN 'current' WHEN {a} <= 365 THEN 'aging' ELSE 'stale' END"
 
-QUERIES = {f.__name__: f for f in (plan_links, plan_inputs, plan_status_counts, coverage, coverage_summary, unknown_summary, control_split, map_layers, plan_summaries, window_texts, claims, mention_counts, stale_sources, weak_matches, ranking_prior)}
+QUERIES = {f.__name__: f for f in (plan_links, plan_inputs, plan_status_counts, coverage, coverage_summary, unknown_summary, control_split, map_layers, plan_summaries, window_texts, claims, mention_counts, stale_sources, weak_matches, ranking_prior, timing_signatures, ingest_status)}
 ORACLES = {
     "plan_links": _STOOD + """ SELECT junction, key, link, passed AS pre_validated, score, CASE WHEN link = 'verified' THEN rb END AS verified_by, CASE WHEN link = 'verified' THEN strftime(ra, '%Y-%m-%d') END AS verified_at, flags,
 row_number() OVER (PARTITION BY junction ORDER BY link = 'verified' DESC, passed DESC, score DESC, key)::INT AS rank FROM lk""",
@@ -233,4 +250,7 @@ p AS (SELECT hint, c, list_filter(list_transform([1, 2, 3], lambda i: {'p': ph[i
 k AS (SELECT hint, c, list_filter(pos, lambda x: x.p < c AND NOT (len(pos) >= 3 AND list_min(pos).p <= 15 AND list_min(pos).p <= 0.12 * c AND x.i = list_min(pos).i)) AS v FROM p),
 m AS (SELECT hint, list_sum(list_transform(v, lambda x: x.p * pow(c - x.p, 2) / (2 * c))) / list_sum(list_transform(v, lambda x: x.p)) AS mean, list_sum(list_transform(v, lambda x: x.p * (c - x.p) / c)) / list_sum(list_transform(v, lambda x: x.p)) AS stop FROM k WHERE len(v) > 0)
 SELECT hint, round(list_sort(list(mean))[count(*) // 2 + 1], 9) AS mean, round(list_sort(list(stop))[count(*) // 2 + 1], 9) AS p_stop FROM m GROUP BY hint""",
+    "timing_signatures": """SELECT l_orderkey AS junction, md5(string_agg('{"day_type":"all_days","start":"' || printf('%02d:00', l_linenumber) || '","end":"24:00","phases":"[' || trunc(l_quantity)::INT || ',10]","cycle_s":' || (trunc(l_quantity)::INT + 10) || '}', '|' ORDER BY '{"day_type":"all_days","start":"' || printf('%02d:00', l_linenumber) || '","end":"24:00","phases":"[' || trunc(l_quantity)::INT || ',10]","cycle_s":' || (trunc(l_quantity)::INT + 10) || '}')) AS sig FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1""",
+    "ingest_status": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 OR (o_orderkey % 3 = 2 AND o_orderkey % 4 = 2) THEN 'undated' WHEN date_diff('day', o_orderdate::DATE, DATE '{_AS_OF}') <= 180 THEN 'current' WHEN date_diff('day', o_orderdate::DATE, DATE '{_AS_OF}') <= 365 THEN 'aging' ELSE 'stale' END AS status,
+coalesce(list_max(list_slice([5, 5, 4, 3, 2, 1], o_orderkey % 6 + 1, o_orderkey % 6 + o_custkey % 3)), 1)::INT AS importance FROM orders""",
 }
