@@ -426,6 +426,17 @@ def test_small_parts(spark):
     assert [r["id"] for r in board.without(board_rows, board_rows.filter("v = 1")).collect()] == ["u2"]
     r = lambda v, t: F.struct(F.lit(v).alias("v"), F.lit("t").alias("t"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), F.create_map(*map(F.lit, t)).alias("tags"))
     assert one(spark, cameras.same(r(1, ["a", "1", "b", "2"]), r(1, ["b", "2", "a", "1"])), cameras.same(r(1, ["a", "1"]), r(2, ["a", "1"]))) == (True, False)
+    assert facets.parsed_selection('{"a": "y"}', domains) == {"a": "y", "b": "all"} and facets.parsed_selection("[1", domains) == facets.parsed_selection(None, domains) == {"a": "all", "b": "all"}
+    assert one(spark, formats.snapshot_value(F.lit(2818), F.lit("2026-09-09T00:00"), F.lit(31)), formats.dataset_value(F.lit(579), F.lit(None).cast("string"))) == ("2,818 records · osm 2026-09-09 · stale", "579 junctions · osm —")
+    nested = spark.sql("SELECT 's' AS source, array(named_struct('key', 'k', 'day_plans', array(named_struct('day_type', 'sunday', 'windows', array(named_struct('start', '07:00'), named_struct('start', '09:00')))))) AS junctions")
+    from wayfare.operators import links
+
+    assert [tuple(r) for r in links.flattened(nested).orderBy("win_ord").collect()] == [("s", 0, "k", 0, "sunday", 0, "07:00"), ("s", 0, "k", 0, "sunday", 1, "09:00")]
+    assert one(spark, links.junction_place(F.lit(12.9), F.lit(77.6), F.lit("gw-1"), F.lit("J"))["junction"]["distanceM"])[0] == 0
+    ts = F.lit("2024-01-01 10:00:30").cast("timestamp_ntz")
+    posts = spark.createDataFrame([(1, "c", False), (2, "c", True), (3, "d", False), (4, "e", False)], "id long, client string, bad boolean").withColumn("ts", ts)
+    before = spark.range(20).select(F.lit("d").alias("client"), F.lit("2024-01-01 09:30:00").cast("timestamp_ntz").alias("ts"))
+    assert [tuple(r) for r in board.submit(spark.createDataFrame([(4,)], "id long"), posts, before).collect()] == [(1, 1704103200000)]
     meta = spark.createDataFrame([("surveillance.v0",)], "schema string")
     with pytest.raises(ValueError):
         cameras.checked_snapshot(meta, board_rows)

@@ -214,3 +214,24 @@ def item(rows: DataFrame, id_: str) -> DataFrame:
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """rows without those whose id a moderator removed."""
     return rows.join(gone.select("id"), "id", "left_anti")
+
+
+def answer(rows: DataFrame, kinds: list[str], limit: int = PAGE, before: int | None = None, kind: str | None = None, seq: str = "seq") -> DataFrame:
+    """One row, what a reader of a page gets: items (newest first), next (the cursor of the page after, or null), total and counts by kind."""
+    shown = page(rows, limit, before, kind, seq)
+    items = [c for c in shown.columns if c != "more"]
+    listed = shown.agg(F.reverse(F.array_sort(F.collect_list(F.struct(seq, *[c for c in items if c != seq])))).alias("items"), F.when(F.coalesce(F.max("more"), F.lit(False)), F.min(seq)).alias("next"))
+    counts = kind_counts(rows, kinds)
+    by_kind = F.struct(*[F.col(k) for k in kinds])
+    return listed.crossJoin(F.broadcast(counts)).select("items", "next", "total", by_kind.alias("byKind"))  # one row each
+
+
+def submit(stored: DataFrame, posts: DataFrame, counted: DataFrame) -> DataFrame:
+    """Rows to append to `stored`: sound posts that need not wait, filed to the minute.
+
+    posts: id, client, ts, bad, ...; counted: client, ts of posts admitted before. A post whose id is stored
+    already is passed over.
+    """
+    waits = allowance(counted, posts.select("id", "client", "ts"))
+    fresh = posts.join(stored.select("id"), "id", "left_anti").join(waits, "id").filter(F.col("wait").isNull() & ~F.coalesce("bad", F.lit(False)))
+    return fresh.withColumn("filed_at", filed_minute(F.col("ts"))).drop("client", "ts", "bad", "wait")

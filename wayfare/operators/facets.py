@@ -50,3 +50,14 @@ def histogram(df: DataFrame, facet: str, options: list[str]) -> DataFrame:
     """Zero-filled counts of one facet."""
     row = df.agg(F.array(*[F.struct(F.lit(o).alias("option"), F.count_if(F.col(facet) == o).alias("n")) for o in options]).alias("c"))
     return row.select(F.inline("c"))
+
+
+def parsed_selection(text: str | None, domains: dict[str, list[str]]) -> dict[str, str]:
+    """A selection from its JSON; anything that cannot be read restricts nothing."""
+    import json
+
+    try:
+        found = json.loads(text or "")
+    except ValueError:
+        found = {}
+    return valid_selection(found if isinstance(found, dict) else {}, domains)

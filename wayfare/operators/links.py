@@ -237,3 +237,29 @@ def claims(*parts: DataFrame) -> DataFrame:
 
 def mention_counts(evidence: DataFrame) -> DataFrame:
     return historical_claims(evidence).groupBy("junction").agg(F.count("*").alias("mentions"))
+
+
+def flattened(sources: DataFrame) -> DataFrame:
+    """One row for each window of nested plan documents, with its places in them.
+
+    sources: source, junctions array<struct<key, day_plans: array<struct<day_type, windows: array<struct<...>>>>>>.
+    """
+    blocks = sources.select("source", F.posexplode("junctions").alias("block", "j"))
+    plans = blocks.select("source", "block", F.col("j.key").alias("key"), F.posexplode("j.day_plans").alias("plan_ord", "d"))
+    return plans.select("source", "block", "key", "plan_ord", F.col("d.day_type").alias("day_type"), F.posexplode("d.windows").alias("win_ord", "w")).select("source", "block", "key", "plan_ord", "day_type", "win_ord", "w.*")
+
+
+def tallies(rows: DataFrame, columns: list[str], lists: list[str] = ()) -> DataFrame:
+    """(what, value, n): counts of each value of some columns, and of each element of some arrays, in one scan."""
+    each = [F.array(F.struct(F.lit(c).alias("what"), F.coalesce(F.col(c).cast("string"), F.lit("none")).alias("value"))) for c in columns]
+
+    def elements(c: str) -> Column:
+        return F.transform(F.col(c), lambda x: F.struct(F.lit(c).alias("what"), x.cast("string").alias("value")))
+
+    each += map(elements, lists)
+    return rows.select(F.inline(F.concat(*each))).groupBy("what", "value").agg(F.count("*").alias("n"))
+
+
+def junction_place(lat: Column, lon: Column, id_: Column, name: Column) -> Column:
+    """The place of a post about a junction itself."""
+    return F.struct(lon.alias("lng"), lat.alias("lat"), F.lit("junction").alias("source"), F.lit(None).cast("long").alias("accuracyM"), F.struct(id_.alias("id"), name.alias("name"), F.lit(0).alias("distanceM")).alias("junction"))

@@ -25,6 +25,12 @@ def board_counts(spark, sf_dir):
     return board.kind_counts(_board(spark, sf_dir), KINDS)
 
 
+def board_answer(spark, sf_dir):
+    """What a reader of the second page of a kind gets, as JSON."""
+    got = board.answer(_board(spark, sf_dir).select("seq", "kind", "value"), KINDS, 30, 900, "click")
+    return got.select(F.to_json("items").alias("items"), "next", "total", F.to_json("byKind").alias("by_kind"))
+
+
 def rolling_counts(spark, sf_dir):
     return board.load(_board(spark, sf_dir), "user_id").select("seq", "in_hour", "in_day")
 
@@ -125,10 +131,13 @@ FROM orders LEFT JOIN (SELECT l_orderkey, count(*) || '/' || sum((l_linestatus =
 dup AS (SELECT key, canonical FROM (SELECT key, min(key) OVER (PARTITION BY name_key, sig) AS canonical FROM blk WHERE sig IS NOT NULL) WHERE key <> canonical)"""
 _STOP = ", ".join(f"'{w}'" for w in text.STOP)
 
-QUERIES = {f.__name__: f for f in (keyset_page, board_counts, rolling_counts, admission, validation, search_ranked, snapshot_diff, latest_wins, contact_filter, clean_names, fuzzy_match, mentions, duplicates, conflicts, superseded, gaps)}
+QUERIES = {f.__name__: f for f in (keyset_page, board_counts, board_answer, rolling_counts, admission, validation, search_ranked, snapshot_diff, latest_wins, contact_filter, clean_names, fuzzy_match, mentions, duplicates, conflicts, superseded, gaps)}
 ORACLES = {
     "keyset_page": "SELECT event_id AS seq, event_type AS kind, value, (SELECT count(*) FROM events WHERE event_type = 'click' AND event_id < 900) > 30 AS more FROM events WHERE event_type = 'click' AND event_id < 900 ORDER BY event_id DESC LIMIT 30",
     "board_counts": "SELECT " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in KINDS) + ", count(*) AS total, max(event_id) AS newest FROM events",
+    "board_answer": """WITH p AS (SELECT * FROM events WHERE event_type = 'click' AND event_id < 900 ORDER BY event_id DESC LIMIT 30)
+SELECT '[' || string_agg('{"seq":' || event_id || ',"kind":"click","value":' || value || '}', ',' ORDER BY event_id DESC) || ']' AS items, CASE WHEN (SELECT count(*) FROM events WHERE event_type = 'click' AND event_id < 900) > 30 THEN min(event_id) END AS next, (SELECT count(*) FROM events) AS total,
+(SELECT '{' || """ + " || ',' || ".join(f"'\"{k}\":' || count(*) FILTER (event_type = '{k}')" for k in KINDS) + """ || '}' FROM events) AS by_kind FROM p""",
     "rolling_counts": """SELECT event_id AS seq, count(*) OVER (PARTITION BY user_id, ts::DATE ORDER BY epoch_ms(ts) RANGE BETWEEN 3599999 PRECEDING AND 1 PRECEDING) AS in_hour,
 count(*) OVER (PARTITION BY user_id, ts::DATE ORDER BY epoch_ms(ts) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS in_day FROM events""",
     "admission": """WITH RECURSIVE n AS (SELECT event_id, user_id, ts::DATE AS d, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY epoch_ms(ts), event_id) AS r FROM events),

@@ -193,6 +193,12 @@ def ingest_status(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", clock.ingest_currency(doc, F.when(_k() % 4 != 2, F.concat(iso, F.lit("T10:00"))), F.lit(_AS_OF).cast("date")).alias("status"), junctions.importance(own).cast("int").alias("importance"))
 
 
+def ingest_tallies(spark, sf_dir):
+    """Blocks by tier, hint and year, and their flags."""
+    b = blocks(spark, sf_dir).join(table(spark, sf_dir, "orders").select(_k().alias("key"), F.year("o_orderdate").alias("year")), "key")
+    return links.tallies(b, ["tier", "hint", "year"], ["flags"])
+
+
 _STOOD = f"""WITH blk AS (SELECT o_orderkey AS key, 's' || (o_custkey % 50) AS source, ['strong', 'moderate', 'weak', 'none'][o_orderkey % 4 + 1] AS tier, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey % 211 END AS best, (o_orderkey % 100) / 100.0::DOUBLE AS combined,
   CASE WHEN o_orderkey % 3 = 0 THEN (o_custkey + 1) % 211 END AS proposed, o_orderkey % 4 = 0 AS passed, ['fixed', 'vehicle_actuated', 'fixed_coordinated', 'adaptive', 'unknown'][o_orderkey % 5 + 1] AS hint,
   CASE WHEN o_orderkey % 11 = 0 THEN 'accepted' WHEN o_orderkey % 11 = 1 THEN 'rejected' WHEN o_orderkey % 11 = 2 THEN 'deactivated' END AS decision, CASE WHEN o_orderkey % 22 < 11 THEN o_custkey % 211 END AS tto, CASE WHEN o_orderkey % 2 = 0 THEN 'r1' END AS rb, o_orderdate::DATE AS ra,
@@ -209,7 +215,7 @@ cat AS (SELECT *, CASE WHEN is_live THEN 'live_timing' WHEN is_verified THEN 've
 _AGE = "greatest(0, date_diff('day', {d}, DATE '" + _AS_OF + "'))"
 _STATUS = "CASE WHEN {a} IS NULL THEN 'undated' WHEN {a} <= 180 THEN 'current' WHEN {a} <= 365 THEN 'aging' ELSE 'stale' END"
 
-QUERIES = {f.__name__: f for f in (plan_links, plan_inputs, plan_status_counts, coverage, coverage_summary, unknown_summary, control_split, map_layers, plan_summaries, window_texts, claims, mention_counts, stale_sources, weak_matches, ranking_prior, timing_signatures, ingest_status)}
+QUERIES = {f.__name__: f for f in (plan_links, plan_inputs, plan_status_counts, coverage, coverage_summary, unknown_summary, control_split, map_layers, plan_summaries, window_texts, claims, mention_counts, stale_sources, weak_matches, ranking_prior, timing_signatures, ingest_status, ingest_tallies)}
 ORACLES = {
     "plan_links": _STOOD + """ SELECT junction, key, link, passed AS pre_validated, score, CASE WHEN link = 'verified' THEN rb END AS verified_by, CASE WHEN link = 'verified' THEN strftime(ra, '%Y-%m-%d') END AS verified_at, flags,
 row_number() OVER (PARTITION BY junction ORDER BY link = 'verified' DESC, passed DESC, score DESC, key)::INT AS rank FROM lk""",
@@ -253,4 +259,5 @@ SELECT hint, round(list_sort(list(mean))[count(*) // 2 + 1], 9) AS mean, round(l
     "timing_signatures": """SELECT l_orderkey AS junction, md5(string_agg('{"day_type":"all_days","start":"' || printf('%02d:00', l_linenumber) || '","end":"24:00","phases":"[' || trunc(l_quantity)::INT || ',10]","cycle_s":' || (trunc(l_quantity)::INT + 10) || '}', '|' ORDER BY '{"day_type":"all_days","start":"' || printf('%02d:00', l_linenumber) || '","end":"24:00","phases":"[' || trunc(l_quantity)::INT || ',10]","cycle_s":' || (trunc(l_quantity)::INT + 10) || '}')) AS sig FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1""",
     "ingest_status": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 OR (o_orderkey % 3 = 2 AND o_orderkey % 4 = 2) THEN 'undated' WHEN date_diff('day', o_orderdate::DATE, DATE '{_AS_OF}') <= 180 THEN 'current' WHEN date_diff('day', o_orderdate::DATE, DATE '{_AS_OF}') <= 365 THEN 'aging' ELSE 'stale' END AS status,
 coalesce(list_max(list_slice([5, 5, 4, 3, 2, 1], o_orderkey % 6 + 1, o_orderkey % 6 + o_custkey % 3)), 1)::INT AS importance FROM orders""",
+    "ingest_tallies": _STOOD + """, a AS (SELECT 'tier' AS what, tier AS value FROM blk UNION ALL SELECT 'hint', hint FROM blk UNION ALL SELECT 'year', year(o_orderdate)::VARCHAR FROM orders UNION ALL SELECT 'flags', unnest(string_split(flags, ',')) FROM blk WHERE flags <> '') SELECT what, value, count(*) AS n FROM a GROUP BY ALL""",
 }
