@@ -166,3 +166,56 @@ def movements(words: DataFrame, columns: DataFrame, letters: DataFrame, reach: f
     near = w.join(columns, "panel").groupBy("panel", "id", "top", "text").agg(F.min(F.struct(F.abs(F.col("x") - F.col("xc")).alias("d"), "phase")).alias("m")).filter(F.col("m.d") <= reach)
     row = letters.select("panel", "letter", F.col("top").alias("from"), "until")
     return near.join(row, "panel").filter((F.col("top") >= F.col("from") - 5) & (F.col("top") < F.col("until"))).select("panel", "letter", F.col("m.phase").alias("phase"), F.col("text").alias("movement")).distinct()
+
+
+#: How far a number may stand from its column, what a cycle may be, and what a phase may be inferred to be.
+COLUMN_REACH, CYCLE_BOUNDS, INFERRED, PHASE_MAX, SLACK = 22.0, (30, 400), (3, 200), 200, 3
+
+
+def placed_numbers(numbers: DataFrame, columns: DataFrame, cycles: DataFrame) -> DataFrame:
+    """numbers with `place`: cycle, phase or none, and the `phase` column they stand under.
+
+    numbers: panel, row, x, value; columns: panel, phase, x; cycles: panel, cycle_x. A number belongs to the nearer
+    of the cycle and the nearest phase column, within COLUMN_REACH; of two under one phase the left one does.
+    """
+    n = numbers.select("panel", "row", F.col("x").alias("nx"), "value")
+    near = n.join(columns, "panel", "left").groupBy("panel", "row", "nx", "value").agg(F.min(F.when(F.col("x").isNotNull(), F.struct(F.abs(F.col("x") - F.col("nx")).alias("d"), "phase"))).alias("m"))
+    near = near.join(cycles, "panel", "left").withColumn("c", F.abs(F.col("cycle_x") - F.col("nx")))
+    by_cycle = F.coalesce((F.col("c") <= COLUMN_REACH) & ((F.col("c") < F.col("m.d")) | F.col("m.d").isNull()), F.lit(False))
+    by_phase = ~by_cycle & F.coalesce(F.col("m.d") <= COLUMN_REACH, F.lit(False))
+    got = near.withColumn("phase", F.when(by_phase, F.col("m.phase"))).withColumn("place", F.when(by_cycle, "cycle").when(by_phase, "phase").otherwise("none"))
+    first = F.row_number().over(Window.partitionBy("panel", "row", "phase").orderBy("nx", "value")) == 1
+    taken = F.when((F.col("place") == "phase") & ~first, "none").otherwise(F.col("place"))
+    got = got.withColumn("_p", taken)
+    return got.select("panel", "row", "nx", "value", F.col("_p").alias("place"), F.when(F.col("_p") == "phase", F.col("phase")).alias("phase"))
+
+
+def timing_rows(placed: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
+    """rows (panel, row, blinking) read: mode, phases, cycle_s, cycle_source, consistent, unassigned, flags.
+
+    A row with one phase missing gets it from the cycle, one without a cycle the sum of its phases. Panels without
+    phase columns are not read.
+    """
+    n = columns.groupBy("panel").agg(F.count("*").cast("int").alias("n"))
+    sums = placed.groupBy("panel", "row").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("place") == "phase", F.struct("phase", "value")))).alias("of"), F.max_by("value", F.when(F.col("place") == "cycle", F.struct("nx", "value"))).alias("stated"),
+        F.count_if(F.col("place") == "none").alias("unassigned"),
+    )
+    got = rows.join(n, "panel").join(sums, ["panel", "row"], "left").withColumn("unassigned", F.coalesce("unassigned", F.lit(0)))
+    got = got.withColumn("raw", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.try_element_at("of", i.cast(placed.schema["phase"].dataType))))
+    got = got.withColumn("known", F.array_compact("raw")).withColumn("p", F.size("known")).withColumn("total", F.aggregate("known", F.lit(0).cast("long"), lambda a, x: a + x))
+    got = got.withColumn("mode", F.when(F.col("blinking"), "blinking").when(F.col("p") == 0, "unknown").otherwise("timed"))
+    timed, full, cycle = F.col("mode") == "timed", F.col("p") == F.col("n"), F.col("stated")
+    missing = cycle - F.col("total")
+    one = timed & cycle.isNotNull() & (F.col("p") == F.col("n") - 1) & missing.between(*INFERRED)
+    stated = timed & cycle.isNotNull() & full
+    summed = timed & cycle.isNull() & full & (F.col("p") >= 2)
+    got = got.withColumn("phases", F.when(one, F.transform("raw", lambda x: F.coalesce(x, missing))).otherwise(F.col("raw")))
+    got = got.withColumn("cycle_s", F.when(summed, F.col("total")).otherwise(cycle)).withColumn("cycle_source", F.when(stated | one, "stated_in_row").when(summed, "sum_of_phases"))
+    sound = F.when(stated, F.abs(missing) <= SLACK).when(one | summed, True)
+    got = got.withColumn("consistent", sound)
+    flags = [
+        F.when(stated & ~F.col("consistent"), F.format_string("cycle_mismatch_%+ds", missing)), F.when(one, "one_phase_inferred_from_cycle"), F.when(timed & ~(stated | one | summed), "incomplete_row"),
+        F.when(timed & ~F.col("cycle_s").between(*CYCLE_BOUNDS), "cycle_out_of_range"), F.when(timed & F.exists("phases", lambda x: x > PHASE_MAX), "phase_over_200s"), F.when(F.col("unassigned") > 0, "unassigned_numbers"),
+    ]
+    return got.withColumn("flags", F.array_compact(F.array(*flags))).select("panel", "row", "mode", "phases", "cycle_s", "cycle_source", "consistent", "unassigned", "flags")

@@ -176,6 +176,19 @@ def word_lines(spark, sf_dir):
     return layout.lines(words, 3.5).select("doc", "text", "line")
 
 
+def timing_table(spark, sf_dir):
+    """Line items as numbers of their order's timing table: placed under columns and read by row."""
+    li = table(spark, sf_dir, "lineitem")
+    numbers = li.select(F.col("l_orderkey").alias("panel"), (F.col("l_linenumber") % 2).alias("row"), ((F.col("l_partkey") % 5) * 40 + F.col("l_suppkey") % 30).cast("double").alias("x"), (F.col("l_quantity") * 5).cast("long").alias("value"))
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    columns = o.select(k.alias("panel"), F.explode(F.sequence(F.lit(0), (k % 2 + 1).cast("int"))).alias("phase")).withColumn("x", F.col("phase") * 40.0 + 15)
+    cycles = o.select(k.alias("panel"), F.when(k % 3 != 0, 150.0).alias("cycle_x"))
+    rows = o.select(k.alias("panel"), F.explode(F.array(F.lit(0), F.lit(1))).alias("row"), (k % 11 == 0).alias("blinking"))
+    got = layout.timing_rows(layout.placed_numbers(numbers, columns, cycles), rows, columns)
+    return got.withColumn("phases", F.array_join(F.transform("phases", lambda x: F.coalesce(x.cast("string"), F.lit("?"))), ",")).withColumn("flags", F.array_join("flags", ","))
+
+
 def _index(spark, sf_dir):
     """Parts of one name and brand as junctions, their type and brand as roads."""
     p = table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("id"), F.min("p_type").alias("t"))
@@ -222,7 +235,7 @@ oc AS (SELECT id, CASE WHEN m > 5 THEN 'moved' ELSE 'present' END AS outcome, id
 _DAYS = """rw AS (SELECT l_orderkey AS panel, l_extendedprice + l_linenumber / 8.0::DOUBLE AS top, printf('%02d:00', trunc(l_quantity % 20)::INT) AS st, printf('%02d:30', trunc(l_quantity % 20)::INT + l_linenumber % 4) AS en, l_returnflag <> 'R' AS timed, l_tax < 0.05 AS cons, l_discount > 0.08 AS un FROM lineitem),
 dg AS (SELECT *, sum(b) OVER (PARTITION BY panel ORDER BY top)::INT AS day FROM (SELECT *, coalesce(st < lag(en) OVER w AND st <= lag(st) OVER w, FALSE)::INT AS b FROM rw WINDOW w AS (PARTITION BY panel ORDER BY top)))"""
 
-QUERIES = {f.__name__: f for f in (junction_records, junction_counts, junction_tags, merged_approaches, reconciled, reconcile_report, listed_only, polylines, day_plans, parse_confidence, row_bands, phase_labels, matrix_confidence, headers_and_roads, word_lines, junction_matches, name_matches)}
+QUERIES = {f.__name__: f for f in (junction_records, junction_counts, junction_tags, merged_approaches, reconciled, reconcile_report, listed_only, polylines, day_plans, parse_confidence, row_bands, phase_labels, matrix_confidence, headers_and_roads, word_lines, timing_table, junction_matches, name_matches)}
 ORACLES = {
     "junction_records": f"""WITH {_MEM} SELECT junction, 'gw-' || left(sha1(ids), 12) AS id, coalesce(named, CASE WHEN len(roads) >= 2 THEN roads[1] || ' × ' || roads[2] WHEN len(roads) = 1 THEN roads[1] || ' signal' END, 'Unnamed signal') AS canonical_name, round(lat, 6) AS lat, round(lon, 6) AS lon, kind, ids AS node_ids, round(spread, 3) AS spread, round(conf, 6) AS confidence, conf < 0.6 OR nodes > 6 AS review, array_to_string(roads, '|') AS roads, ap AS approaches FROM js""",
     "junction_counts": f"WITH {_MEM} SELECT count(*) AS junctions, sum(ap)::BIGINT AS approaches, count(*) FILTER (conf < 0.6 OR nodes > 6) AS review_needed, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("junction", "pedestrian_crossing", "midblock_or_single_road", "unresolved")) + " FROM js",
@@ -257,4 +270,17 @@ p_name || ' ROAD|' || p_brand AS roads, {"array_to_string(list_filter(regexp_spl
     "word_lines": """WITH RECURSIVE w AS (SELECT l_orderkey AS doc, l_linenumber || '/' || l_partkey AS text, l_quantity % 16 AS top, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity % 16, l_partkey, l_linenumber || '/' || l_partkey) AS r FROM lineitem),
 f AS (SELECT doc, text, r, 0 AS line, top AS mean, 1 AS n FROM w WHERE r = 1 UNION ALL SELECT w.doc, w.text, w.r, CASE WHEN abs(f.mean - w.top) <= 3.5 THEN f.line ELSE f.line + 1 END, CASE WHEN abs(f.mean - w.top) <= 3.5 THEN (f.mean * f.n + w.top) / (f.n + 1) ELSE w.top END, CASE WHEN abs(f.mean - w.top) <= 3.5 THEN f.n + 1 ELSE 1 END FROM f JOIN w ON w.doc = f.doc AND w.r = f.r + 1)
 SELECT doc, text, line FROM f""",
+    "timing_table": """WITH nb AS (SELECT DISTINCT l_orderkey AS panel, l_linenumber % 2 AS row, (l_partkey % 5 * 40 + l_suppkey % 30)::DOUBLE AS nx, trunc(l_quantity * 5)::BIGINT AS value FROM lineitem),
+cl AS (SELECT o_orderkey AS panel, p AS phase, p * 40.0::DOUBLE + 15 AS x FROM orders, range(0, 3) r(p) WHERE p <= o_orderkey % 2 + 1),
+nr AS (SELECT nb.*, min({'d': abs(x - nx), 'p': phase}) AS m, CASE WHEN nb.panel % 3 <> 0 THEN abs(150 - nx) END AS c FROM nb JOIN cl USING (panel) GROUP BY ALL),
+pk AS (SELECT *, CASE WHEN coalesce(c <= 22 AND c < m.d, FALSE) THEN 'cycle' WHEN m.d <= 22 THEN 'phase' ELSE 'none' END AS k FROM nr),
+pl AS (SELECT *, CASE WHEN k = 'phase' AND row_number() OVER (PARTITION BY panel, row, k, m.p ORDER BY nx, value) > 1 THEN 'none' ELSE k END AS place FROM pk),
+sm AS (SELECT panel, row, max(value) FILTER (place = 'phase' AND m.p = 0) AS p0, max(value) FILTER (place = 'phase' AND m.p = 1) AS p1, max(value) FILTER (place = 'phase' AND m.p = 2) AS p2, arg_max(value, (nx, value)) FILTER (place = 'cycle') AS cy, count(*) FILTER (place = 'none') AS un FROM pl GROUP BY ALL),
+r0 AS (SELECT o_orderkey AS panel, w AS row, o_orderkey % 11 = 0 AS blink, o_orderkey % 2 + 2 AS n, CASE WHEN o_orderkey % 2 = 1 THEN [p0, p1, p2] ELSE [p0, p1] END AS raw, cy, coalesce(un, 0) AS un FROM (SELECT * FROM orders, range(0, 2) t(w)) LEFT JOIN sm ON sm.panel = o_orderkey AND sm.row = w),
+r1 AS (SELECT *, len(list_filter(raw, lambda x: x IS NOT NULL)) AS p, coalesce(list_sum(raw), 0)::BIGINT AS tot FROM r0),
+r2 AS (SELECT *, CASE WHEN blink THEN 'blinking' WHEN p = 0 THEN 'unknown' ELSE 'timed' END AS mode, cy - tot AS mis FROM r1),
+r3 AS (SELECT *, mode = 'timed' AS t, coalesce(mode = 'timed' AND p = n - 1 AND mis BETWEEN 3 AND 200, FALSE) AS one, mode = 'timed' AND cy IS NOT NULL AND p = n AS st, mode = 'timed' AND cy IS NULL AND p = n AND p >= 2 AS su FROM r2),
+r4 AS (SELECT *, CASE WHEN one THEN list_transform(raw, lambda x: coalesce(x, mis)) ELSE raw END AS ph, CASE WHEN su THEN tot ELSE cy END AS cyc FROM r3)
+SELECT panel, row::INT AS row, mode, array_to_string(list_transform(ph, lambda x: coalesce(x::VARCHAR, '?')), ',') AS phases, cyc AS cycle_s, CASE WHEN st OR one THEN 'stated_in_row' WHEN su THEN 'sum_of_phases' END AS cycle_source, CASE WHEN st THEN abs(mis) <= 3 WHEN one OR su THEN TRUE END AS consistent, un AS unassigned,
+concat_ws(',', CASE WHEN st AND abs(mis) > 3 THEN printf('cycle_mismatch_%+ds', mis) END, CASE WHEN one THEN 'one_phase_inferred_from_cycle' END, CASE WHEN t AND NOT (st OR one OR su) THEN 'incomplete_row' END, CASE WHEN t AND cyc NOT BETWEEN 30 AND 400 THEN 'cycle_out_of_range' END, CASE WHEN t AND len(list_filter(ph, lambda x: x > 200)) > 0 THEN 'phase_over_200s' END, CASE WHEN un > 0 THEN 'unassigned_numbers' END) AS flags FROM r4""",
 }
