@@ -12,7 +12,8 @@ comparison itself lower-cases A-Z alone.
 
 Defined cases. Null text has no words, and such a document or item matches nothing.
 Items without item_id are left out; rows with equal item_id are one item. Rows with
-equal doc_id are judged by their own text each. Repeated rows repeat their result.
+equal doc_id are judged by their own text each; ids may be of any type. Texts of any
+length are judged whole. Repeated rows repeat their result.
 Columns of either table other than those named play no part. Empty tables give an
 empty result or one without hits.
 """
@@ -74,14 +75,14 @@ def find_windows(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingl
     d, h: the document's id and text digest. The corpus is read twice, for the
     tokens' counts and for the join; nothing of it is shuffled but the matches.
     """
-    spark = docs.sparkSession
     cut = write_table(windows(items, window, shingle, item_id, item_text), "bench-windows")
     few = cut.count() <= BROADCAST_WINDOWS
     hint = F.broadcast if few else (lambda df: df)
     each = cut.select("item_id", "w", "width", F.inline("tokens"))
     sizes = [r["size"] for r in each.select("size").distinct().collect()]  # 1 .. shingle
     if not sizes:
-        return spark.createDataFrame([], "d long, h binary, item_id long, start int, width int")
+        none = F.lit(None).cast(items.schema[item_id].dataType).alias("item_id")
+        return docs.select("d", "h", none, F.lit(0).alias("start"), F.lit(0).alias("width")).filter(F.lit(False))
     tokenised = docs.select("d", "h", words(F.col(text)).alias("ws"))
     counts = None
     for size in sizes:

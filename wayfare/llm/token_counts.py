@@ -9,7 +9,10 @@ over, so that counts are stitched across blocks of any number.
 
 Defined cases. An empty block adds nothing. A document may span many blocks or be
 empty. Ids after the last separator of a file belong to an unfinished document, which
-has a count and ended = false. Null text is written as an empty document.
+has a count and ended = false. Null text is written as an empty document. Texts of any
+length are written whole; repeated rows are written and counted each. doc_id must be whole
+numbers (it is cast to long). Other columns, whatever their names, play no part. An empty
+table gives no file and no count.
 """
 
 from __future__ import annotations
