@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages over `documents`, each on all that the last one kept."""
+"""The corpus pipeline: five stages over `documents`, each on all that the last one kept.
+
+Defined cases, besides those of the operators. Null and empty texts are scored like any other
+and have no near copies and no benchmark words; what the classifier keeps of them comes through
+to the shards. Rows that share a doc_id are judged by their own text each. A source without bytes
+keeps rate 1. Other columns pass through every stage. Empty tables give an empty table: without
+labels the classifier keeps all, without a benchmark nothing is contaminated. Each stage's table
+is written in the shared folder, whose owner clears it, since the result is read from there.
+"""
 
 from __future__ import annotations
 
