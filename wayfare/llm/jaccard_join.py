@@ -513,7 +513,8 @@ def join_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100,
 
     member = of_doc.join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("component", "sid"))
     member = write_table(member.select("doc_id", "h", "n", "sid", "root"), "near-members")
-    least = member.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # written, so that both sides of the join are plain exchanges, which adaptive execution splits for a hot component
+    least = write_table(member.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-least")
     return member.join(least, "root", "left").select("doc_id", "h", F.col("n").alias("n_shingles"), "root", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -526,7 +527,7 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, doc_id: st
     """
     found = join_components(docs, k, num, den, doc_id, text).filter("root IS NOT NULL")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
-    best = found.groupBy("root").agg(F.min(order).alias("w"))
+    best = write_table(found.groupBy("root").agg(F.min(order).alias("w")), "near-best")  # written for the same reason
     same = F.col("doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("h") == F.col("w.h"))
     lost = found.join(best, "root").filter(~same).select(F.col("doc_id").alias("_gone"), F.col("h").alias("_text")).distinct()
     # a row is lost if its own text is, whatever else bears its doc_id
