@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import ann, decontam, jaccard_join, licenses, line_dedup, mixing, pu_quality, secrets, sharding, token_counts
+from wayfare.llm import ann, decontam, jaccard_join, licenses, line_dedup, mixing, pu_quality, secrets, sharding, token_counts, vector_codes
 from wayfare.session import table
 
 
@@ -80,6 +80,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(counted, ["file", "number"]).select("doc_id", "n_tokens")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -91,6 +95,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_shard": op9_shard,
     "op10_token_counts": op10_token_counts,
+    "op12_vector_codes": op12_vector_codes,
 }
 
 _OP1 = r"""
