@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import ann, decontam, jaccard_join, licenses, line_dedup, mixing, pu_quality, secrets, sharding, token_counts, vector_codes
+from wayfare.llm import ann, decontam, jaccard_join, licenses, line_dedup, mixing, packing, pu_quality, secrets, sharding, token_counts, vector_codes
 from wayfare.session import table
 
 
@@ -84,6 +84,11 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
 
+def op13_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = token_counts.vocabulary("byte_bpe_50k.json")
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path, pattern))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality": op2_quality,
@@ -96,6 +101,7 @@ QUERIES = {
     "op9_shard": op9_shard,
     "op10_token_counts": op10_token_counts,
     "op12_vector_codes": op12_vector_codes,
+    "op13_pack": op13_pack,
 }
 
 _OP1 = r"""
