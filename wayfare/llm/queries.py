@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.llm import ann, decontam, jaccard_join, licenses, line_dedup, mixing, packing, pu_quality, secrets, sharding, token_counts, vector_codes
+from wayfare.llm import ann, decontam, jaccard_join, licenses, line_dedup, mixing, packing, pu_quality, secrets, sharding, token_counts, turn_repair, vector_codes
 from wayfare.session import table
 
 
@@ -80,6 +80,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.join(counted, ["file", "number"]).select("doc_id", "n_tokens")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults by crc32 of conv_id:turn, modulo 20: dropped, emptied, unended, repeated or given to the user."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(said("conv_id"), F.lit(":"), said("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(said("text"), ".!?", "")).otherwise(said("text"))
+    role = F.when(kind == 4, "user").otherwise(said("role"))
+    times = F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))
+    return turns.filter(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(times).alias("_copy")).drop("_copy")
+
+
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    report, _ = turn_repair.repair(damaged(turns))
+    every = turns.select(F.col("conv_id").alias("_id")).distinct()
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    audit, said = F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    return every.join(report, F.col("_id").eqNullSafe(F.col("conv_id")), "left").select(F.col("_id").alias("conv_id"), *zero, audit, said)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(table(spark, sf_dir, "embeddings")).drop("label")
 
@@ -100,6 +119,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_shard": op9_shard,
     "op10_token_counts": op10_token_counts,
+    "op11_turn_repair": op11_turn_repair,
     "op12_vector_codes": op12_vector_codes,
     "op13_pack": op13_pack,
 }
