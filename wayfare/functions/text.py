@@ -187,9 +187,10 @@ def facet(raw: Column, known: list[str], renamed: dict[str, str] | None = None)
 
 
 def roads_of(descriptor: Column) -> Column:
-    """Road names of a descriptor such as A ROAD X B ROAD JN."""
-    plain = F.regexp_replace(descriptor, r"(?i)\b(?:JN|JUNCTION)\b\.?", "")
-    return F.filter(F.transform(F.split(plain, r"(?i)\s+X\s+"), lambda r: F.trim(r)), lambda r: r != "")
+    """Road names of a descriptor such as A ROAD X B ROAD JN.; a capital X divides them."""
+    plain = F.regexp_replace(F.coalesce(descriptor, F.lit("")), r"(?i)\bJN\b|\bJUNCTION\b", "")
+    parts = F.filter(F.split(plain, r"\s+X\s+"), lambda r: F.trim(r) != "")
+    return F.transform(parts, lambda r: F.regexp_replace(r, r"^[ .-]+|[ .-]+$", ""))
 
 
 def name_key(name: Column, station: Column) -> Column:

@@ -51,18 +51,27 @@ def line_texts(words: DataFrame) -> DataFrame:
     return got.select("doc", "line", "top", F.array_join(F.transform("ws", lambda w: w["text"]), " ").alias("text"))
 
 
-def headers(words: DataFrame, least_size: float = 8.5) -> DataFrame:
-    """(doc, k, top, header): large lines that read as a header, from the top; of more than two the first and the last."""
-    big = line_texts(lines(words.filter(F.col("size") >= least_size), 4.0))
-    found = big.filter(F.col("text").rlike("(?i)POLICE|STATION|JUNCTION")).withColumn("header", header(F.col("text"))).filter("header IS NOT NULL")
+def headers(words: DataFrame, least_size: float = 8.5, labels: DataFrame | None = None, reach: float = 14.0) -> DataFrame:
+    """(doc, k, top, header, n, clean_label): large lines that read as a header, from the top; of more than two the first and the last.
+
+    labels: doc, top, x, text, whole texts of the page; the first that names a police station within reach of the line is read in its place.
+    """
+    big = line_texts(lines(words.filter(F.col("size") >= least_size), 4.0)).filter(F.col("text").rlike("(?i)POLICE|STATION|JUNCTION"))
+    if labels is None:
+        big = big.withColumn("clean", F.lit(None).cast("string"))
+    else:
+        said = labels.filter(F.col("text").rlike(r"(?i)POLICE\s*STATION")).select(F.col("doc").alias("_doc"), F.struct(F.col("top").alias("_top"), "x", F.col("text").alias("said")).alias("label"))
+        near = big.join(said, (F.col("doc") == F.col("_doc")) & (F.abs(F.col("label._top") - F.col("top")) < reach), "left")
+        big = near.groupBy("doc", "line", "top", "text").agg(F.min("label")["said"].alias("clean"))
+    found = big.withColumn("header", header(F.coalesce("clean", "text"))).filter("header IS NOT NULL")
     page = Window.partitionBy("doc")
-    found = found.withColumn("i", F.row_number().over(page.orderBy("top"))).withColumn("n", F.count("*").over(page)).filter("i = 1 OR i = n")
-    return found.select("doc", F.when(F.col("i") == 1, 1).otherwise(2).alias("k"), "top", "header", "n")
+    found = found.withColumn("i", F.row_number().over(page.orderBy("top", "line"))).withColumn("n", F.count("*").over(page)).filter("i = 1 OR i = n")
+    return found.select("doc", F.when(F.col("i") == 1, 1).otherwise(2).alias("k"), "top", "header", "n", F.col("clean").isNotNull().alias("clean_label"))
 
 
-def panels(words: DataFrame, height: float = 792.0) -> DataFrame:
-    """words with `panel` (1 or 2): split half-way between two headers, or at mid-page where there are more."""
-    found = headers(words)
+def panels(words: DataFrame, height: float = 792.0, found: DataFrame | None = None) -> DataFrame:
+    """words (or labels) with `panel` (1 or 2): split half-way between two headers, or at mid-page where there are more."""
+    found = headers(words) if found is None else found
     cut = found.groupBy("doc").agg(F.max("n").alias("n"), F.avg("top").alias("mid"))
     at = F.when(F.col("n") == 1, height).when(F.col("n") == 2, F.col("mid")).otherwise(height / 2)
     placed = words.join(cut, "doc").withColumn("panel", F.when(F.col("top") < at, 1).otherwise(2))
@@ -155,6 +164,30 @@ def pedestrian_phase(words: DataFrame, columns: DataFrame, near: float = 40.0) -
     return got.select("panel", F.when(F.col("m.d") <= near, F.col("m.phase")).otherwise(F.col("left")).alias("phase")).filter("phase IS NOT NULL")
 
 
+def rotated_pedestrian_phase(words: DataFrame, columns: DataFrame, least: int = 6, span: float = 25.0, reach: float = 15.0) -> DataFrame:
+    """(panel, phase): the column of a label set upright: small letters stacked at one x.
+
+    words: panel, text, x0, top, size, between the heading and the first row; columns: panel, phase, x. Of several stacks the
+    one of most letters counts, then the leftmost.
+    """
+    tiny = words.filter((F.col("size") <= 5.6) & F.col("text").rlike(r"^\p{L}{1,2}$"))
+    stacks = tiny.groupBy("panel", F.bround(F.col("x0") / 6).alias("bin")).agg(F.count("*").alias("n"), F.avg("x0").alias("sx"), (F.max("top") - F.min("top")).alias("tall"))
+    each = stacks.filter((F.col("n") >= least) & (F.col("tall") >= span)).join(columns, "panel")
+    near = each.groupBy("panel", "bin", "n").agg(F.min(F.struct(F.abs(F.col("x") - F.col("sx")).alias("d"), "phase")).alias("m")).filter(F.col("m.d") <= reach)
+    return near.groupBy("panel").agg(F.max(F.struct("n", -F.col("bin"), "m.phase"))["phase"].alias("phase"))
+
+
+def landmarks(words: DataFrame, letters: DataFrame) -> DataFrame:
+    """(panel, letter, top, landmark): the small words of a row's band between the road and the first phase column.
+
+    words: panel, text, x0, top, size; letters: panel, letter, top, until, left, right (where landmarks may begin).
+    """
+    w = words.filter((F.col("size") < 7.0) & ~F.col("text").rlike("^[A-H]$")).select("panel", "text", "x0", F.col("top").alias("wtop"))
+    band = letters.join(w, "panel", "left").withColumn("_in", F.col("wtop").between(F.col("top") - 6, F.col("until")) & (F.col("wtop") < F.col("until")) & (F.col("x0") >= F.col("left")) & (F.col("x0") < F.col("right")))
+    got = band.groupBy("panel", "letter", "top").agg(F.array_sort(F.collect_list(F.when(F.col("_in"), F.struct(F.bround(F.col("wtop") / 6).alias("b"), "x0", "text")))).alias("ws"))
+    return got.select("panel", "letter", "top", F.nullif(F.trim(F.array_join(F.transform("ws", lambda x: x["text"]), " ")), F.lit("")).alias("landmark"))
+
+
 def movements(words: DataFrame, columns: DataFrame, letters: DataFrame, reach: float = 26.0) -> DataFrame:
     """(panel, letter, phase, movement): movement letters under the nearest phase column, in the band of their row.
 
@@ -203,6 +236,14 @@ def timing_rows(placed: DataFrame, rows: DataFrame, columns: DataFrame) -> DataF
     )
     got = rows.join(n, "panel").join(sums, ["panel", "row"], "left").withColumn("unassigned", F.coalesce("unassigned", F.lit(0)))
     got = got.withColumn("raw", F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.try_element_at("of", i.cast(placed.schema["phase"].dataType))))
+    return read_rows(got).select("panel", "row", "mode", "phases", "cycle_s", "cycle_source", "consistent", "unassigned", "flags")
+
+
+def read_rows(got: DataFrame) -> DataFrame:
+    """Rows with mode, phases, cycle_s, cycle_source, consistent and flags.
+
+    got: n (phases a row has), raw (phases as read, null where none was), stated (cycle), unassigned (how many numbers), blinking.
+    """
     got = got.withColumn("known", F.array_compact("raw")).withColumn("p", F.size("known")).withColumn("total", F.aggregate("known", F.lit(0).cast("long"), lambda a, x: a + x))
     got = got.withColumn("mode", F.when(F.col("blinking"), "blinking").when(F.col("p") == 0, "unknown").otherwise("timed"))
     timed, full, cycle = F.col("mode") == "timed", F.col("p") == F.col("n"), F.col("stated")
@@ -218,4 +259,4 @@ def timing_rows(placed: DataFrame, rows: DataFrame, columns: DataFrame) -> DataF
         F.when(stated & ~F.col("consistent"), F.format_string("cycle_mismatch_%+ds", missing)), F.when(one, "one_phase_inferred_from_cycle"), F.when(timed & ~(stated | one | summed), "incomplete_row"),
         F.when(timed & ~F.col("cycle_s").between(*CYCLE_BOUNDS), "cycle_out_of_range"), F.when(timed & F.exists("phases", lambda x: x > PHASE_MAX), "phase_over_200s"), F.when(F.col("unassigned") > 0, "unassigned_numbers"),
     ]
-    return got.withColumn("flags", F.array_compact(F.array(*flags))).select("panel", "row", "mode", "phases", "cycle_s", "cycle_source", "consistent", "unassigned", "flags")
+    return got.withColumn("flags", F.array_compact(F.array(*flags)))

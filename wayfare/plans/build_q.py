@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayfare.functions import geo, text
-from wayfare.operators import junctions, layout, match
+from wayfare.operators import junctions, layout, match, pages
 from wayfare.plans.spatial_q import _HAV, _place_sql, places
 from wayfare.session import table
 
@@ -189,6 +190,61 @@ def timing_table(spark, sf_dir):
     return got.withColumn("phases", F.array_join(F.transform("phases", lambda x: F.coalesce(x.cast("string"), F.lit("?"))), ",")).withColumn("flags", F.array_join("flags", ","))
 
 
+def _page_words(spark, sf_dir):
+    """(words, labels): every order as a page of one timing panel, odd ones of two, with a row for each of its line items.
+
+    Headings stand a little off, lack or bear phase digits and a CYCLE column; rows bear alternates, stray numbers, a cycle
+    that is right, nearly right, wrong or absent, or blink.
+    """
+    k = F.col("o_orderkey")
+    half = F.explode(F.when(k % 2 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("h")
+    o = table(spark, sf_dir, "orders").select(k.alias("doc"), half).withColumn("kk", F.col("doc") * 2 + F.col("h"))
+    kk, y = F.col("kk"), F.col("h") * 900.0
+    n = (F.lit(2) + kk % 3).cast("int")
+    word = lambda t, x, top, size=7.0, half=10.0: F.struct(F.concat(t).alias("text"), F.lit(x - half).alias("x0") if isinstance(x, float) else (x - half).alias("x0"), F.lit(x + half).alias("x1") if isinstance(x, float) else (x + half).alias("x1"), top.alias("top"), F.lit(size).alias("size"))
+    said = lambda t: F.lit(t)
+    high = F.when(F.col("h") == 0, 40.0).otherwise(1700.0)
+    control = F.get(F.array(*map(F.lit, ("FIXED", "VAC", "ATCS"))), (kk % 3).cast("int"))
+    name, station = F.concat(F.lit("P"), kk.cast("string")), F.concat(F.lit("S"), (kk % 10).cast("string"))
+    head = [word(t, 50.0 + 60 * i, high, 9.0) for i, t in enumerate((name, said("MARKET,"), station, said("POLICE"), said("STATION"), said("-"), control))]
+    heading = [word(said("ROAD"), 70.0, y + 100), word(said("FROM"), 110.0, y + 100), F.when(kk % 5 != 0, word(said("CYCLE"), 461.0, y + 90))]
+    last = 200.0 + 50.0 * (n - 1)
+    walk = F.when(kk % 3 == 0, word(said("EXCLUSIVE"), last, y + 120, 5.0))
+    stack = F.when(kk % 3 == 1, F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: word(F.substring(said("EXCLUSI"), i, F.lit(1)), 199.5, y + 103 + 5 * i, 5.0, 1.5)))
+    digits = F.when(kk % 7 != 0, F.transform(F.sequence(F.lit(1), n), lambda i: word(i.cast("string"), 150.0 + 50.0 * i, y + 100 + F.when(i == 2, 4).otherwise(0), half=2.0)))
+    frame = o.select("doc", F.inline(F.array_compact(F.concat(F.array(*head, *heading, walk), F.coalesce(stack, F.array()), F.coalesce(digits, F.array())))))
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), "l_partkey", "l_suppkey", "l_quantity", F.row_number().over(order).alias("r")).join(o, "doc")
+    top, kind, hour = y + 150 + 14 * F.col("r"), F.col("l_suppkey") % 6, 6 + 2 * ((F.col("r") - 1) % 4)
+    value = lambda i: F.lit(10) + (F.col("l_partkey") * (i + 3)) % 60
+    clock = lambda h: F.concat(h.cast("string"), F.lit(":00"))
+    some = F.sequence(F.lit(0), n - 1)
+    total = F.aggregate(some, F.lit(0).cast("long"), lambda a, i: a + value(i))
+    shown = F.filter(some, lambda i: ~((kind == 3) & (i == n - 1)))
+    said_value = lambda i: F.concat(value(i).cast("string"), F.when((i == 0) & (F.col("l_quantity") % 4 == 0), F.concat(F.lit("("), (value(i) + 5).cast("string"), F.lit(")"))).otherwise(""))
+    numbers = F.transform(shown, lambda i: word(said_value(i), 200.0 + 50.0 * i, top + i % 2, half=2.0))
+    cycle = F.when((kind != 4) & (kk % 5 != 0), word((total + F.when(kind == 1, 2).when(kind == 2, 7).otherwise(0)).cast("string"), 461.0, top))
+    more = [word(clock(hour), 140.0, top), word(clock(hour + 2), 170.0, top), cycle, F.when(kind == 5, word(said("BLINKING"), 95.0, top, half=15.0)), F.when(F.col("l_quantity") % 7 == 0, word(said("99"), 420.0, top, half=2.0)), F.when((kk % 4 == 0) & (F.col("r") == 5), word(said("(sunday)"), 95.0, top + 7))]
+    body = li.select("doc", F.inline(F.array_compact(F.concat(F.array(*more), numbers))))
+    whole = F.concat_ws(" ", name, said("MARKET,"), station, said("POLICE STATION -"), control)
+    labels = [F.when(kk % 3 != 2, F.struct((y + 80).alias("top"), F.lit(130.0).alias("x"), F.lit("P ROAD X S ROAD").alias("text"))), F.when(kk % 2 == 0, F.struct(high.alias("top"), F.lit(40.0).alias("x"), whole.alias("text")))]
+    return frame.unionByName(body), o.select("doc", F.inline(F.array_compact(F.array(*labels))))
+
+
+def page_plans(spark, sf_dir):
+    """Orders as pages of words, read to timing plans: a row for each window of each day of each panel."""
+    got = pages.read_panels(*_page_words(spark, sf_dir), height=2000.0, digits=9)
+    each = got.select("doc", F.col("k").alias("panel"), "header.name", "header.hint", "parse_confidence", F.inline("day_plans"))
+    each = each.select("doc", "panel", "name", "hint", F.col("parse_confidence").alias("confidence"), F.col("day").cast("int").alias("day"), "day_type", "windows_ordered", F.posexplode("windows").alias("i", "w"))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("?"))), ",")
+    w = F.col("w")
+    return each.select(
+        "doc", "panel", "name", "hint", "confidence", "day", "day_type", "windows_ordered", "i", w["start"].alias("start"), w["end"].alias("until"), w["mode"].alias("mode"), listed(w["phases"]).alias("phases"), listed(w["alternates"]).alias("alternates"),
+        w["cycle_s"].alias("cycle_s"), w["cycle_source"].alias("cycle_source"), w["consistent"].alias("consistent"), w["pedestrian_phase_s"].alias("walk_s"), F.array_join(w["labels"], ",").alias("labels"), listed(w["unassigned"]).alias("unassigned"), F.array_join(w["flags"], ",").alias("flags"),
+    )
+
+
 def _index(spark, sf_dir):
     """Parts of one name and brand as junctions, their type and brand as roads."""
     p = table(spark, sf_dir, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("id"), F.min("p_type").alias("t"))
@@ -235,7 +291,7 @@ oc AS (SELECT id, CASE WHEN m > 5 THEN 'moved' ELSE 'present' END AS outcome, id
 _DAYS = """rw AS (SELECT l_orderkey AS panel, l_extendedprice + l_linenumber / 8.0::DOUBLE AS top, printf('%02d:00', trunc(l_quantity % 20)::INT) AS st, printf('%02d:30', trunc(l_quantity % 20)::INT + l_linenumber % 4) AS en, l_returnflag <> 'R' AS timed, l_tax < 0.05 AS cons, l_discount > 0.08 AS un FROM lineitem),
 dg AS (SELECT *, sum(b) OVER (PARTITION BY panel ORDER BY top)::INT AS day FROM (SELECT *, coalesce(st < lag(en) OVER w AND st <= lag(st) OVER w, FALSE)::INT AS b FROM rw WINDOW w AS (PARTITION BY panel ORDER BY top)))"""
 
-QUERIES = {f.__name__: f for f in (junction_records, junction_counts, junction_tags, merged_approaches, reconciled, reconcile_report, listed_only, polylines, day_plans, parse_confidence, row_bands, phase_labels, matrix_confidence, headers_and_roads, word_lines, timing_table, junction_matches, name_matches)}
+QUERIES = {f.__name__: f for f in (junction_records, junction_counts, junction_tags, merged_approaches, reconciled, reconcile_report, listed_only, polylines, day_plans, parse_confidence, row_bands, phase_labels, matrix_confidence, headers_and_roads, word_lines, timing_table, page_plans, junction_matches, name_matches)}
 ORACLES = {
     "junction_records": f"""WITH {_MEM} SELECT junction, 'gw-' || left(sha1(ids), 12) AS id, coalesce(named, CASE WHEN len(roads) >= 2 THEN roads[1] || ' × ' || roads[2] WHEN len(roads) = 1 THEN roads[1] || ' signal' END, 'Unnamed signal') AS canonical_name, round(lat, 6) AS lat, round(lon, 6) AS lon, kind, ids AS node_ids, round(spread, 3) AS spread, round(conf, 6) AS confidence, conf < 0.6 OR nodes > 6 AS review, array_to_string(roads, '|') AS roads, ap AS approaches FROM js""",
     "junction_counts": f"WITH {_MEM} SELECT count(*) AS junctions, sum(ap)::BIGINT AS approaches, count(*) FILTER (conf < 0.6 OR nodes > 6) AS review_needed, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("junction", "pedestrian_crossing", "midblock_or_single_road", "unresolved")) + " FROM js",
@@ -270,6 +326,28 @@ p_name || ' ROAD|' || p_brand AS roads, {"array_to_string(list_filter(regexp_spl
     "word_lines": """WITH RECURSIVE w AS (SELECT l_orderkey AS doc, l_linenumber || '/' || l_partkey AS text, l_quantity % 16 AS top, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity % 16, l_partkey, l_linenumber || '/' || l_partkey) AS r FROM lineitem),
 f AS (SELECT doc, text, r, 0 AS line, top AS mean, 1 AS n FROM w WHERE r = 1 UNION ALL SELECT w.doc, w.text, w.r, CASE WHEN abs(f.mean - w.top) <= 3.5 THEN f.line ELSE f.line + 1 END, CASE WHEN abs(f.mean - w.top) <= 3.5 THEN (f.mean * f.n + w.top) / (f.n + 1) ELSE w.top END, CASE WHEN abs(f.mean - w.top) <= 3.5 THEN f.n + 1 ELSE 1 END FROM f JOIN w ON w.doc = f.doc AND w.r = f.r + 1)
 SELECT doc, text, line FROM f""",
+    # what the page was made of says what must be read from it
+    "page_plans": """WITH o AS (SELECT o_orderkey AS doc, h, o_orderkey * 2 + h AS kk, 2 + (o_orderkey * 2 + h) % 3 AS n FROM orders, range(0, 2) t(h) WHERE h <= o_orderkey % 2),
+li AS (SELECT l_orderkey AS doc, l_partkey AS pk, l_suppkey % 6 AS kind, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS r FROM lineitem),
+a AS (SELECT *, kk % 7 = 0 AS bare, list_transform(range(0, n), lambda i: 10 + (pk * (i + 3)) % 60) AS v FROM li JOIN o USING (doc)),
+b AS (SELECT *, CASE WHEN kind <> 4 AND kk % 5 <> 0 THEN list_sum(v)::BIGINT + CASE kind WHEN 1 THEN 2 WHEN 2 THEN 7 ELSE 0 END END AS cy, CASE WHEN kind = 3 THEN v[:n - 1] ELSE v END AS shown FROM a),
+c AS (SELECT *, list_concat(shown, CASE WHEN q % 7 = 0 THEN [99] ELSE [] END, CASE WHEN cy IS NOT NULL THEN [cy] ELSE [] END) AS nums FROM b),
+d AS (SELECT *, len(nums) >= 3 AND nums[-1] >= 30 AND abs(list_sum(nums) - 2 * nums[-1]) <= 3 AS sums FROM c),
+e AS (SELECT *, CASE WHEN NOT bare THEN CASE WHEN kind = 3 THEN list_append(shown, NULL) ELSE shown END WHEN sums THEN nums[:len(nums) - 1] WHEN len(nums) >= 2 THEN nums ELSE [] END AS raw, CASE WHEN bare AND sums THEN nums[-1] ELSE cy END AS st FROM d),
+f AS (SELECT *, len(raw) AS m, len(list_filter(raw, lambda x: x IS NOT NULL)) AS p, coalesce(list_sum(raw), 0)::BIGINT AS tot FROM e),
+g AS (SELECT *, CASE WHEN kind = 5 THEN 'blinking' WHEN p = 0 THEN 'unknown' ELSE 'timed' END AS mode, st - tot AS mis FROM f),
+x AS (SELECT *, coalesce(mode = 'timed' AND p = m - 1 AND mis BETWEEN 3 AND 200, FALSE) AS one, mode = 'timed' AND st IS NOT NULL AND p = m AS full_, mode = 'timed' AND st IS NULL AND p = m AND p >= 2 AS su FROM g),
+y AS (SELECT *, CASE WHEN one THEN list_transform(raw, lambda z: coalesce(z, mis)) ELSE raw END AS ph, CASE WHEN su THEN tot ELSE st END AS cyc, CASE WHEN full_ THEN abs(mis) <= 3 WHEN one OR su THEN TRUE END AS cons, (NOT bare AND q % 7 = 0) AS stray, (r - 1) // 4 AS day FROM x),
+s AS (SELECT kk, count(*) AS n_rows, count(*) FILTER (mode = 'timed') AS t, count(*) FILTER (mode = 'timed' AND cons) AS ok, count(*) FILTER (NOT stray) AS u, max(day) AS days FROM y GROUP BY kk)
+SELECT doc, (h + 1)::INT AS panel, 'P' || kk || ' MARKET' AS name, ['fixed', 'vehicle_actuated', 'adaptive'][kk % 3 + 1] AS hint,
+round(0.0::DOUBLE + 0.15::DOUBLE * CASE WHEN kk % 2 = 0 THEN 1 ELSE 0.6::DOUBLE END + 0.2::DOUBLE * (NOT bare)::INT + 0.15::DOUBLE * (t > 0)::INT + 0.25::DOUBLE * coalesce(ok / nullif(t, 0)::DOUBLE, 0) + 0.1::DOUBLE * (u / n_rows::DOUBLE) + 0.1::DOUBLE * (days = 0 OR days = 1 AND kk % 4 = 0)::INT + 0.05::DOUBLE * (kk % 3 <> 2)::INT, 9) AS confidence,
+day::INT AS day, CASE WHEN day = 0 THEN 'weekday_default' WHEN day = 1 AND kk % 4 = 0 THEN 'sunday' ELSE 'unlabelled_group' END AS day_type, TRUE AS windows_ordered, ((r - 1) % 4)::INT AS i,
+printf('%02d:00', 6 + 2 * ((r - 1) % 4)) AS start, printf('%02d:00', 8 + 2 * ((r - 1) % 4)) AS until, mode, array_to_string(list_transform(ph, lambda z: coalesce(z::VARCHAR, '?')), ',') AS phases,
+array_to_string(list_transform(ph, lambda z, i: CASE WHEN NOT bare AND i = 1 AND q % 4 = 0 THEN (v[1] + 5)::VARCHAR ELSE '?' END), ',') AS alternates, cyc AS cycle_s,
+CASE WHEN full_ OR one THEN 'stated_in_row' WHEN su THEN 'sum_of_phases' END AS cycle_source, cons AS consistent, CASE WHEN mode = 'timed' AND NOT bare THEN CASE kk % 3 WHEN 0 THEN ph[n] WHEN 1 THEN ph[1] END END AS walk_s,
+CASE WHEN kind = 5 THEN 'BLINKING' ELSE '' END AS labels, CASE WHEN stray THEN '99' ELSE '' END AS unassigned,
+concat_ws(',', CASE WHEN full_ AND abs(mis) > 3 THEN printf('cycle_mismatch_%+ds', mis) END, CASE WHEN one THEN 'one_phase_inferred_from_cycle' END, CASE WHEN mode = 'timed' AND NOT (full_ OR one OR su) THEN 'incomplete_row' END, CASE WHEN mode = 'timed' AND cyc NOT BETWEEN 30 AND 400 THEN 'cycle_out_of_range' END, CASE WHEN mode = 'timed' AND len(list_filter(ph, lambda z: z > 200)) > 0 THEN 'phase_over_200s' END, CASE WHEN stray THEN 'unassigned_numbers' END) AS flags
+FROM y JOIN s USING (kk)""",
     "timing_table": """WITH nb AS (SELECT DISTINCT l_orderkey AS panel, l_linenumber % 2 AS row, (l_partkey % 5 * 40 + l_suppkey % 30)::DOUBLE AS nx, trunc(l_quantity * 5)::BIGINT AS value FROM lineitem),
 cl AS (SELECT o_orderkey AS panel, p AS phase, p * 40.0::DOUBLE + 15 AS x FROM orders, range(0, 3) r(p) WHERE p <= o_orderkey % 2 + 1),
 nr AS (SELECT nb.*, min({'d': abs(x - nx), 'p': phase}) AS m, CASE WHEN nb.panel % 3 <> 0 THEN abs(150 - nx) END AS c FROM nb JOIN cl USING (panel) GROUP BY ALL),
