@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections import deque
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfare.functions import text
+from wayfare.scratch import write_table
 
 #: Fixed values: [west, south, east, north], page sizes, longest words, and the limits per hour and day.
 BOX = (77.38, 12.78, 77.82, 13.18)
 PAGE, PAGE_MAX, WORDS_MAX = 30, 60, 2000
 CLIENT_HOUR, CLIENT_DAY, ALL_MINUTE, ALL_DAY = 20, 60, 120, 10_000
+DAY_MS = 86_400_000
 
 
 def page_limit(n: Column) -> Column:
@@ -71,24 +79,129 @@ def admitted(times_ms: list[int], per_hour: int = CLIENT_HOUR, per_day: int = CL
     return out
 
 
+class Limits(NamedTuple):
+    """Posts that pass: of a client in an hour and in a UTC day, of all clients in a minute and in 24 hours (None: no such limit)."""
+
+    client_hour: int = CLIENT_HOUR
+    client_day: int = CLIENT_DAY
+    all_minute: int | None = ALL_MINUTE
+    all_day: int | None = ALL_DAY
+
+
+class Gate:
+    """What has passed so far, as far as it can still count: at most all_day times, and a day's times of each client."""
+
+    def __init__(self, limits: Limits):
+        self.limits, self.day, self.clients = limits, None, {}
+        self.minute, self.all_day = deque(), deque()
+
+    def forget(self, t: int) -> None:
+        if self.day != t // DAY_MS:
+            self.day, self.clients = t // DAY_MS, {}
+        for passed, span in ((self.minute, 60_000), (self.all_day, DAY_MS)):
+            while passed and passed[0] <= t - span:
+                passed.popleft()
+
+    def note(self, t: int, client) -> None:
+        self.forget(t)
+        if self.limits.all_minute is not None:
+            self.minute.append(t)
+        if self.limits.all_day is not None:
+            self.all_day.append(t)
+        if client is not None:
+            self.clients.setdefault(client, []).append(t)
+
+    def ask(self, t: int, client) -> int | None:
+        """Seconds to wait, or None where the post passes; then it is counted."""
+        self.forget(t)
+        own, most = self.clients.get(client, ()), self.limits
+        if most.all_minute is not None and len(self.minute) >= most.all_minute:
+            return 60
+        if most.all_day is not None and len(self.all_day) >= most.all_day:
+            return 3600
+        if client is not None and len(own) - bisect_right(own, t - 3_600_000) >= most.client_hour:
+            return 3600
+        if client is not None and len(own) >= most.client_day:
+            return 21600
+        self.note(t, client)
+        return None
+
+
+def _judged(limits: Limits, only_passed: bool):
+    """Slices in order of time, what passed before a slice first, to (slice, t, id, client, wait)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gate, at = None, None
+        for rows in batches:
+            out = []
+            for slice_, post, t, i, c in zip(*(rows[x].to_list() for x in ("slice", "post", "t", "id", "client")), strict=True):
+                c = None if c is None or c != c else c
+                if gate is None or slice_ != at:
+                    gate, at = Gate(limits), slice_
+                if not post:
+                    gate.note(t, c)
+                    continue
+                wait = gate.ask(t, c)
+                if wait is None or not only_passed:
+                    out.append((slice_, t, i, c, wait))
+            yield pd.DataFrame(out, columns=["slice", "t", "id", "client", "wait"]).astype({"wait": "Int32"})
+
+    return run
+
+
+def _judge(rows: DataFrame, limits: Limits, only_passed: bool) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    shape = f"slice {kinds['slice']}, t bigint, id {kinds['id']}, client {kinds['client']}, wait int"
+    ordered = rows.select("slice", "post", "t", "id", "client").repartition("slice").sortWithinPartitions("slice", "post", "t", "id")
+    return ordered.mapInPandas(_judged(limits, only_passed), shape)
+
+
 def admission(posts: DataFrame, post_id: str, client: str = "client", ts: str = "ts", per_hour: int = CLIENT_HOUR, per_day: int = CLIENT_DAY) -> DataFrame:
-    """(post_id, ok): admission with feedback, one fold per client and UTC day.
+    """(post_id, ok): admission with feedback, by client and UTC day.
 
-    A refused post must not count, so the order matters and no window can say it. The
-    fold is a native aggregate over the sorted array of one client's day.
+    A refused post must not count, so the order matters and no window can say it. A client's day runs through its
+    task in order of time; only what passed is held, which the day's limit bounds.
     """
-    day = posts.select(F.col(client).alias("c"), F.to_date(ts).alias("d"), F.struct(F.unix_millis(F.col(ts).cast("timestamp")).alias("t"), F.col(post_id).alias("id")).alias("p"))
-    day = day.groupBy("c", "d").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    start = F.filter("ps", lambda p: F.lit(False))
+    rows = posts.select(F.unix_millis(F.col(ts).cast("timestamp")).alias("t"), F.col(post_id).alias("id"), F.coalesce(F.col(client).cast("string"), F.lit("")).alias("client"), F.lit(True).alias("post"))
+    rows = rows.withColumn("slice", F.concat_ws("/", F.floor(F.col("t") / DAY_MS), "client"))
+    judged = _judge(rows, Limits(per_hour, per_day, None, None), False)
+    return judged.select(F.col("id").alias(post_id), F.col("wait").isNull().alias("ok"))
 
-    # only what passed is carried, which a day's limit bounds
-    def step(passed: Column, p: Column) -> Column:
-        recent = F.size(F.filter(passed, lambda q: q["t"] > p["t"] - 3_600_000))
-        return F.when((recent < per_hour) & (F.size(passed) < per_day), F.concat(passed, F.array(p))).otherwise(passed)
 
-    folded = day.select("ps", F.aggregate("ps", start, step).alias("passed"))
-    rows = folded.select(F.explode("ps").alias("p"), "passed")
-    return rows.select(F.col("p.id").alias(post_id), F.array_contains("passed", F.col("p")).alias("ok"))
+def admission_of_all(posts: DataFrame, post_id: str, client: str = "client", ts: str = "ts", limits: Limits = Limits(), slice_ms: int = DAY_MS, before: DataFrame | None = None) -> DataFrame:
+    """(id, client, t, wait): admission with feedback under all four limits, across all clients; wait is null for what passes.
+
+    Time is cut into slices that are judged at once, each from what the slices before it let pass: at first nothing, then
+    what they let pass in the last round. Only slices within 24 hours behind one whose result changed are judged
+    anew, until none changes; the first slice is right at once, and each round makes right at least the next, so the
+    result is that of one loop over all posts. A task holds what can still count (all_day times and a day's clients), not its posts.
+    Between rounds only what passed is written, which the limits bound by time. Posts of one moment go by id; posts without a client
+    meet the limits of all alone. before: (t, client) of posts that passed earlier.
+    """
+    rows = write_table(posts.select(F.unix_millis(F.col(ts).cast("timestamp")).alias("t"), F.col(post_id).alias("id"), F.col(client).alias("client"), F.lit(True).alias("post")).withColumn("slice", F.floor(F.col("t") / slice_ms)), "posts")
+    every = rows.select("slice").distinct()
+    reach = -(-DAY_MS // slice_ms)
+    onward = F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("_k")
+    later = lambda df: df.select("*", onward).withColumn("slice", F.col("slice") + F.col("_k")).drop("_k")
+    old = rows.select("slice", "t", "id", "client").limit(0) if before is None else before.select(F.floor(F.col("t") / slice_ms).alias("slice"), F.col("t").cast("long"), F.lit(None).cast(rows.schema["id"].dataType).alias("id"), F.col("client").cast(rows.schema["client"].dataType))
+    counted = old.withColumn("post", F.lit(False))
+    counted = later(counted).unionByName(counted)  # what passed before may lie in the first slice itself
+
+    def history(passed: DataFrame, wanted: DataFrame) -> DataFrame:
+        return later(passed.withColumn("post", F.lit(False))).unionByName(counted).join(wanted, "slice", "left_semi")
+
+    passed, dirty = write_table(rows.select("slice", "t", "id", "client").limit(0), "passed"), every
+    while True:
+        judged = _judge(rows.join(dirty, "slice", "left_semi").unionByName(history(passed, dirty)), limits, True).select("slice", "t", "id", "client")
+        now = write_table(passed.join(dirty, "slice", "left_anti").unionByName(judged), "passed")
+        print_ = lambda df: df.groupBy("slice").agg(F.count("*").alias("n"), F.sum(F.xxhash64("t", "id").cast("decimal(20,0)")).alias("h"))
+        a, b = print_(passed), print_(now).withColumnsRenamed({"n": "n2", "h": "h2"})
+        changed = a.join(b, "slice", "full").filter(~(F.col("n").eqNullSafe(F.col("n2")) & F.col("h").eqNullSafe(F.col("h2")))).select("slice")
+        dirty = write_table(later(changed).distinct().join(every, "slice", "left_semi"), "dirty")
+        passed = now
+        if dirty.isEmpty():
+            break
+    return _judge(rows.unionByName(history(passed, every)), limits, False).select("id", "client", "t", "wait")
 
 
 def allowance(posts: DataFrame, asks: DataFrame, client: str = "client", ts: str = "ts") -> DataFrame:
@@ -96,31 +209,39 @@ def allowance(posts: DataFrame, asks: DataFrame, client: str = "client", ts: str
 
     The limits in their order: all clients in a minute and in 24 hours, then the client in the
     hour of the same UTC day and in the day. Windows are open at the left. posts: those admitted.
+    The posts of all clients up to a moment are those of earlier days, of earlier minutes of its day and of
+    its minute up to it, so that a window is the difference of two such counts.
     """
     ms = lambda c: F.unix_millis(c.cast("timestamp"))
     p = posts.select(F.col(client).alias("c"), ms(F.col(ts)).alias("t"), F.lit(True).alias("post"), F.lit(None).cast("long").alias("id"))
     a = asks.select(F.col(client).alias("c"), ms(F.col(ts)).alias("t"), F.lit(False).alias("post"), F.col("id").cast("long").alias("id"))
-    rows = p.unionByName(a).withColumn("day", F.floor(F.col("t") / 86_400_000))
-    # clients of all kinds are counted by minute first: a window over all posts would be one task
+    rows = p.unionByName(a).withColumn("day", F.floor(F.col("t") / DAY_MS))
     own = Window.partitionBy("c", "day").orderBy("t")
     n = F.count(F.when(F.col("post"), 1))
     rows = rows.withColumn("hour", n.over(own.rangeBetween(-3_599_999, 0))).withColumn("today", n.over(own.rangeBetween(Window.unboundedPreceding, 0)))
-    asked = rows.filter(~F.col("post")).withColumn("slot", F.floor(F.col("t") / 60_000))
-    minute = p.groupBy(F.floor(F.col("t") / 60_000).alias("slot")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("t")).alias("ts"))
-    # posts within a minute before: those of the two slots it may touch, each at most what one minute held
-    near = asked.select("id", "t", F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot")).join(minute, "slot")
-    near = near.groupBy("id").agg(F.sum(F.size(F.filter("ts", lambda x: (x > F.col("t") - 60_000) & (x <= F.col("t"))))).alias("in_minute"))
-    hours = p.groupBy(F.floor(F.col("t") / 3_600_000).alias("h")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("t")).alias("ts"))
-    whole = F.explode(F.sequence(F.floor((F.col("t") - 86_400_000) / 3_600_000), F.floor(F.col("t") / 3_600_000))).alias("h")
-    edge = (F.col("h") == F.floor(F.col("t") / 3_600_000)) | (F.col("h") == F.floor((F.col("t") - 86_400_000) / 3_600_000))
-    inside = F.when(edge, F.size(F.filter("ts", lambda x: (x > F.col("t") - 86_400_000) & (x <= F.col("t"))))).otherwise(F.col("n"))
-    day = asked.select("id", "t", whole).join(hours, "h").groupBy("id").agg(F.sum(inside).alias("in_day"))
-    out = asked.join(near, "id", "left").join(day, "id", "left")
+    asked = rows.filter(~F.col("post"))
+
+    minute, day = F.floor(F.col("t") / 60_000).alias("minute"), F.floor(F.col("t") / DAY_MS).alias("day")
+    marks = a.select("id", "t", F.explode(F.array(F.lit(0), F.lit(60_000), F.lit(DAY_MS))).alias("back")).withColumn("t", F.col("t") - F.col("back")).select("t", F.lit(0).alias("w"), "id", "back")
+    points = p.select("t", F.lit(1).alias("w"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("back")).unionByName(marks)
+    within = F.sum("w").over(Window.partitionBy("minute").orderBy("t").rangeBetween(Window.unboundedPreceding, 0))
+    points = points.select("*", minute, day).withColumn("within", within).filter("id IS NOT NULL")
+    minutes = p.select(minute, day).groupBy("minute", "day").agg(F.count("*").alias("n"))
+    days = minutes.groupBy("day").agg(F.sum("n").alias("n")).select("day", F.sum("n").over(Window.orderBy("day")).alias("upto"))  # one narrow row a day
+    # the last minute before a point's own that holds a post, and the last such day
+    steps = minutes.select("day", "minute", F.sum("n").over(Window.partitionBy("day").orderBy("minute")).alias("upto"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("int").alias("back"), F.lit(None).cast("long").alias("within"))
+    stepped = points.select("day", "minute", F.lit(None).cast("long").alias("upto"), "id", "back", "within").unionByName(steps)
+    earlier = F.max("upto").over(Window.partitionBy("day").orderBy("minute").rangeBetween(Window.unboundedPreceding, -1))
+    placed = stepped.withColumn("earlier", F.coalesce(earlier, F.lit(0))).filter("id IS NOT NULL").select("id", "back", "day", (F.col("within") + F.col("earlier")).alias("n"))
+    whole = placed.select("day").distinct().withColumn("upto", F.lit(None).cast("long")).unionByName(days)
+    before = whole.withColumn("before", F.coalesce(F.max("upto").over(Window.orderBy("day").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("upto IS NULL").select("day", "before")
+    upto = placed.join(before, "day").groupBy("id").pivot("back", [0, 60_000, DAY_MS]).agg(F.first(F.col("n") + F.col("before")))
+    upto = upto.select("id", (F.col("0") - F.col("60000")).alias("in_minute"), (F.col("0") - F.col(str(DAY_MS))).alias("in_day"))
     wait = (
-        F.when(F.coalesce("in_minute", F.lit(0)) >= ALL_MINUTE, 60).when(F.coalesce("in_day", F.lit(0)) >= ALL_DAY, 3600).when(F.col("c").isNull(), None)
+        F.when(F.col("in_minute") >= ALL_MINUTE, 60).when(F.col("in_day") >= ALL_DAY, 3600).when(F.col("c").isNull(), None)
         .when(F.col("hour") >= CLIENT_HOUR, 3600).when(F.col("today") >= CLIENT_DAY, 21600)
     )
-    return out.select("id", wait.alias("wait"))
+    return asked.join(upto, "id").select("id", wait.alias("wait"))
 
 
 def too_many_failures(failures: DataFrame, least: int = 10, client: str = "client", ts: str = "ts") -> DataFrame:
@@ -226,12 +347,13 @@ def answer(rows: DataFrame, kinds: list[str], limit: int = PAGE, before: int | N
     return listed.crossJoin(F.broadcast(counts)).select("items", "next", "total", by_kind.alias("byKind"))  # one row each
 
 
-def submit(stored: DataFrame, posts: DataFrame, counted: DataFrame) -> DataFrame:
+def submit(stored: DataFrame, posts: DataFrame, counted: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Rows to append to `stored`: sound posts that need not wait, filed to the minute.
 
-    posts: id, client, ts, bad, ...; counted: client, ts of posts admitted before. A post whose id is stored
-    already is passed over.
+    posts: id, client, ts, bad, ...; counted: client, ts of posts admitted before. Posts of one call count for one another in
+    order of time. A post whose id is stored already is passed over.
     """
-    waits = allowance(counted, posts.select("id", "client", "ts"))
-    fresh = posts.join(stored.select("id"), "id", "left_anti").join(waits, "id").filter(F.col("wait").isNull() & ~F.coalesce("bad", F.lit(False)))
-    return fresh.withColumn("filed_at", filed_minute(F.col("ts"))).drop("client", "ts", "bad", "wait")
+    sound = posts.join(stored.select("id"), "id", "left_anti").filter(~F.coalesce("bad", F.lit(False)))
+    before = counted.select(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), "client")
+    waits = admission_of_all(sound, "id", limits=limits, before=before).filter("wait IS NULL").select("id")
+    return sound.join(waits, "id", "left_semi").withColumn("filed_at", filed_minute(F.col("ts"))).drop("client", "ts", "bad")

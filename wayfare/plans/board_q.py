@@ -40,6 +40,12 @@ def admission(spark, sf_dir):
     return board.admission(_board(spark, sf_dir), "seq", "user_id", "ts", 2, 3)
 
 
+def admission_of_all(spark, sf_dir):
+    """At most two posts a minute of all users, two an hour and three a day of each: what passes, and how long the others wait."""
+    judged = board.admission_of_all(_board(spark, sf_dir), "seq", "user_id", "ts", board.Limits(2, 3, 2, 10_000))
+    return judged.select(F.col("id").alias("seq"), "wait")
+
+
 def validation(spark, sf_dir):
     """Turns of conversations as submissions: the first reason to refuse each."""
     t = table(spark, sf_dir, "conversations")
@@ -131,7 +137,7 @@ FROM orders LEFT JOIN (SELECT l_orderkey, count(*) || '/' || sum((l_linestatus =
 dup AS (SELECT key, canonical FROM (SELECT key, min(key) OVER (PARTITION BY name_key, sig) AS canonical FROM blk WHERE sig IS NOT NULL) WHERE key <> canonical)"""
 _STOP = ", ".join(f"'{w}'" for w in text.STOP)
 
-QUERIES = {f.__name__: f for f in (keyset_page, board_counts, board_answer, rolling_counts, admission, validation, search_ranked, snapshot_diff, latest_wins, contact_filter, clean_names, fuzzy_match, mentions, duplicates, conflicts, superseded, gaps)}
+QUERIES = {f.__name__: f for f in (keyset_page, board_counts, board_answer, rolling_counts, admission, admission_of_all, validation, search_ranked, snapshot_diff, latest_wins, contact_filter, clean_names, fuzzy_match, mentions, duplicates, conflicts, superseded, gaps)}
 ORACLES = {
     "keyset_page": "SELECT event_id AS seq, event_type AS kind, value, (SELECT count(*) FROM events WHERE event_type = 'click' AND event_id < 900) > 30 AS more FROM events WHERE event_type = 'click' AND event_id < 900 ORDER BY event_id DESC LIMIT 30",
     "board_counts": "SELECT " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in KINDS) + ", count(*) AS total, max(event_id) AS newest FROM events",
@@ -145,6 +151,11 @@ f AS (SELECT user_id, d, 1::BIGINT AS r, event_id, TRUE AS ok, [t] AS passed FRO
   UNION ALL SELECT n.user_id, n.d, n.r, n.event_id, o, CASE WHEN o THEN list_append(passed, n.t) ELSE passed END
   FROM (SELECT n.*, f.passed, len(list_filter(f.passed, lambda p: p > n.t - 3600000)) < 2 AND len(f.passed) < 3 AS o FROM f JOIN n ON n.user_id = f.user_id AND n.d = f.d AND n.r = f.r + 1) n)
 SELECT event_id AS seq, ok FROM f""",
+    "admission_of_all": """WITH RECURSIVE n AS (SELECT event_id, user_id AS c, epoch_ms(ts) AS t, row_number() OVER (ORDER BY epoch_ms(ts), event_id) AS r FROM events),
+f AS (SELECT r, event_id, NULL::INT AS wait, [{'t': t, 'c': c}] AS passed FROM n WHERE r = 1
+  UNION ALL SELECT r, event_id, wait, CASE WHEN wait IS NULL THEN list_append(live, {'t': t, 'c': c}) ELSE live END FROM (SELECT *, CASE WHEN len(list_filter(live, lambda p: p.t > t - 60000)) >= 2 THEN 60 WHEN len(live) >= 10000 THEN 3600
+    WHEN len(list_filter(own, lambda p: p.t > t - 3600000)) >= 2 THEN 3600 WHEN len(own) >= 3 THEN 21600 END AS wait FROM (SELECT n.*, list_filter(f.passed, lambda p: p.t > n.t - 86400000) AS live, list_filter(f.passed, lambda p: p.c = n.c AND p.t // 86400000 = n.t // 86400000) AS own FROM f JOIN n ON n.r = f.r + 1)))
+SELECT event_id AS seq, wait FROM f""",
     "validation": r"""SELECT conv_id, turn, CASE WHEN conv_id % 13 = 0 THEN 'honeypot' WHEN role NOT IN ('user', 'assistant') THEN 'kind' WHEN conv_id % 11 = 0 THEN 'photo' WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 2000 THEN 'length'
 WHEN regexp_matches(text, '(?:\+?[0-9][\s\-.()]*){10,}') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}') THEN 'contact'
 WHEN NOT (77.3::DOUBLE + (conv_id % 60) / 100.0::DOUBLE BETWEEN 77.38::DOUBLE AND 77.82::DOUBLE AND 12.7::DOUBLE + (turn % 50) / 100.0::DOUBLE BETWEEN 12.78::DOUBLE AND 13.18::DOUBLE) THEN 'place' ELSE 'ok' END AS verdict FROM conversations""",

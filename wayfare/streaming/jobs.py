@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfare.operators.board import CLIENT_DAY, CLIENT_HOUR
+from wayfare.operators.board import CLIENT_DAY, CLIENT_HOUR, DAY_MS, Limits, admission_of_all
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -69,6 +69,30 @@ def admission_stream(posts: DataFrame, post_id: str, client: str = "client", per
     return rows.groupBy("c", "d").applyInPandasWithState(_admit(per_hour, per_day), "id long, ok boolean", "passed array<long>", "append", "EventTimeTimeout")
 
 
+def submissions(posts: DataFrame, target: str, checkpoint: str, limits: Limits = Limits(), id_: str = "id"):
+    """Every micro-batch of posts (id, client, ts, ...) judged under all four limits, counting what earlier batches let pass.
+
+    A batch is judged in order of time and writes its verdicts (id, client, t, wait) to a folder of its own, so that a
+    batch which runs again rewrites them; the 24 hours before its first post are read back from the others. Batches
+    must come in order of time, as a log does. Start a new checkpoint with a new target.
+    """
+
+    def judge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        first = batch.agg(F.min(F.unix_millis(F.col("ts").cast("timestamp"))).alias("t")).first().t
+        if first is None:
+            return
+        names = {f.name: f.dataType.simpleString() for f in batch.schema}
+        shape = f"id {names[id_]}, client {names['client']}, t bigint, wait int, batch bigint"
+        os_path = spark._jvm.org.apache.hadoop.fs.Path(target)
+        there = os_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(os_path)
+        before = spark.read.schema(shape).parquet(target).filter((F.col("batch") < number) & F.col("wait").isNull() & (F.col("t") > first - DAY_MS)) if there else None
+        judged = admission_of_all(batch, id_, limits=limits, before=before)
+        judged.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return posts.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def upsert_snapshots(stream: DataFrame, target: str, checkpoint: str, key: str = "id"):
     """Each micro-batch replaces the table's rows of its keys; versions are written side by side.
 
