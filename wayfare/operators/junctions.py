@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wayfare.functions import geo
-from wayfare.operators.graph import connected_components
-from wayfare.operators.spatial import nearest_within, radius_join
+from wayfare.operators.spatial import lights_apart, nearest_within, radius_join
+from wayfare.scratch import write_table
 
 #: Ways without vehicles, rank of road kinds, and distances in metres and degrees.
 ON_FOOT = ["footway", "path", "cycleway", "steps", "pedestrian"]
@@ -186,32 +189,57 @@ def reconcile(listed: DataFrame, junctions: DataFrame, known: DataFrame, lat: fl
     """(id, ord, outcome, to, metres): how each listed light stands to what is known.
 
     present or moved by id; else attached to the nearest junction, or to the nearest light added
-    before it in the list's order; else added. Whether a light is added hangs on those before it
-    only where they are within attach_m of each other, so each chain of such lights is one ordered
-    fold and all the rest is joins. listed: id, ord, lat, lon.
+    before it in the list's order; else added. What is added are the lights away from junctions that
+    a pass in order keeps apart (`lights_apart`, in rounds over cells); all the rest is joins with those,
+    of which few stand near any place. listed: id, ord (unique), lat, lon.
     """
     by_id = listed.alias("s").join(known.alias("k"), F.col("s.id") == F.col("k.id"), "left")
     d = geo.haversine(F.col("s.lat"), F.col("s.lon"), F.col("k.lat"), F.col("k.lon"))
     seen = by_id.select("s.id", "s.ord", "s.lat", "s.lon", F.when(F.col("k.id").isNull(), None).when(d > moved_m, "moved").otherwise("present").alias("outcome"), F.col("k.id").cast("string").alias("to"), d.alias("metres"))
-    new = seen.filter("outcome IS NULL").select("ord", "id", "lat", "lon")
+    new = write_table(seen.filter("outcome IS NULL").select("ord", "id", "lat", "lon"), "new-lights")
     near = nearest_within(new, junctions, attach_m, lat, "ord", "junction").select(F.col("l").alias("ord"), F.col("r").cast("string").alias("known"), F.col("metres").alias("known_m"))
-    pairs = radius_join(new, new, attach_m, lat, "ord", "ord").filter("l < r")
-    chains = connected_components(pairs.select(F.col("l").alias("a"), F.col("r").alias("b"))).withColumnRenamed("node", "ord")
-    rows = new.join(near, "ord", "left").join(chains, "ord", "left").withColumn("component", F.coalesce("component", "ord"))
-    one = F.struct("ord", "id", "lat", "lon", "known", F.coalesce("known_m", F.lit(float("inf"))).alias("known_m"))
-    each = rows.groupBy("component").agg(F.array_sort(F.collect_list(one)).alias("rows"))
-    decided = lambda r, outcome, to, metres: F.struct(r["ord"].alias("ord"), r["id"].alias("id"), r["lat"].alias("lat"), r["lon"].alias("lon"), outcome.alias("outcome"), to.cast("string").alias("to"), metres.cast("double").alias("metres"))
-    none = F.transform(F.slice("rows", 1, 0), lambda r: decided(r, F.lit("added"), r["id"], F.nullif(r["known_m"], F.lit(-1.0))))  # metres may be null
-
-    def step(done, r):
-        apart = F.transform(F.filter(done, lambda o: o["outcome"] == "added"), lambda o: F.struct(geo.haversine(r["lat"], r["lon"], o["lat"], o["lon"]).alias("m"), o["ord"].alias("o"), o["id"].alias("id")))
-        best = F.array_min(apart)
-        to_added = F.coalesce(best["m"] < r["known_m"], F.lit(False)) & F.coalesce(best["m"] <= attach_m, F.lit(False))
-        to_known = r["known_m"] <= attach_m
-        return F.concat(done, F.array(F.when(to_added, decided(r, F.lit("attached"), best["id"], best["m"])).when(to_known, decided(r, F.lit("attached"), r["known"], r["known_m"])).otherwise(decided(r, F.lit("added"), r["id"], F.lit(None)))))
-
-    folded = each.select(F.inline(F.aggregate("rows", none, step)))
-    return seen.filter("outcome IS NOT NULL").select("id", "ord", "outcome", "to", "metres").unionByName(folded.select("id", "ord", "outcome", "to", "metres"))
+    near = write_table(near, "near-lights")
+    added = write_table(lights_apart(new.join(near, "ord", "left_anti"), attach_m, lat).join(new, "ord"), "added-lights")
+    rest = new.join(added.select("ord"), "ord", "left_anti")
+    pairs = radius_join(rest, added, attach_m, lat, "ord", "ord").filter("r < l")
+    best = pairs.groupBy(F.col("l").alias("ord")).agg(F.min(F.struct("metres", "r")).alias("b")).select("ord", "b.metres", F.col("b.r").alias("added_ord"))
+    best = best.join(added.select(F.col("ord").alias("added_ord"), F.col("id").cast("string").alias("added")), "added_ord")
+    closer = F.coalesce(F.col("metres") < F.coalesce("known_m", F.lit(float("inf"))), F.lit(False))
+    attached = rest.join(near, "ord", "left").join(best, "ord", "left").select("id", "ord", F.lit("attached").alias("outcome"), F.when(closer, F.col("added")).otherwise(F.col("known")).alias("to"), F.when(closer, F.col("metres")).otherwise(F.col("known_m")).alias("metres"))
+    new_ones = added.select("id", "ord", F.lit("added").alias("outcome"), F.col("id").cast("string").alias("to"), F.lit(None).cast("double").alias("metres"))
+    return seen.filter("outcome IS NOT NULL").select("id", "ord", "outcome", "to", "metres").unionByName(attached).unionByName(new_ones)
+
+
+def reconcile_lists(lists: list[tuple[str, DataFrame]], junctions: DataFrame, known: DataFrame, lat: float, attach_m: float = 60.0, moved_m: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """(listed, outcomes) of several lists one after another, with `file`: a light added by one list is there for the next.
+
+    lists: (file, rows) in order, rows with id, lat, lon and what else they bear alike (readers.lists gives both). A row's
+    ord is its list's number and its place in it.
+    """
+    rows = [r.withColumn("file", F.lit(name)).withColumn("ord", F.lit(k << 48) + F.monotonically_increasing_id()) for k, (name, r) in enumerate(lists)]
+    listed = write_table(reduce(DataFrame.unionByName, rows), "listed")
+    return listed, reconcile(listed, junctions, known, lat, attach_m, moved_m).join(listed.select("ord", "file"), "ord")
+
+
+def list_reports(listed: DataFrame, outcomes: DataFrame, known: DataFrame, tags: DataFrame) -> DataFrame:
+    """report() of each list, by file. tags: id, tags of what is known."""
+    per = Window.partitionBy("file")
+    box = listed.groupBy("file").agg(F.count("*").alias("rows"), *[F.round(f(c), 7).alias(n) for n, f, c in (("south", F.min, "lat"), ("north", F.max, "lat"), ("west", F.min, "lon"), ("east", F.max, "lon"))])
+    n = lambda *k: F.count_if(F.col("outcome").isin(*k))
+    counts = outcomes.groupBy("file").agg(n("present", "moved").alias("present"), n("moved").alias("moved"), n("attached").alias("attached"), n("added").alias("added"))
+    differ = listed.join(tags, "id").groupBy("file").agg(F.count_if(tags_differ(*(F.col(c) for c in ("name", "signals", "direction", "crossing")), F.col("tags"))).alias("tag_differences"))
+    met = listed.select("file", "id").distinct().join(known.select("id"), "id").groupBy("file").agg(F.count("*").alias("met"))
+    said = listed.filter(F.coalesce(F.col("source") != "", F.lit(False))).groupBy("file", "source").agg(F.count("*").alias("k"), F.min("ord").alias("first"))
+    said = said.withColumn("_n", F.row_number().over(per.orderBy(F.desc("k"), "first"))).filter("_n = 1").select("file", F.col("source").alias("provider"))
+    total = known.select("id").distinct().agg(F.count("*").alias("total"))  # one row
+    out = box
+    for side in (counts, differ, met, said):
+        out = out.join(side, "file", "left")
+    from wayfare.functions.formats import date_in_name
+
+    out = out.crossJoin(F.broadcast(total)).withColumn("not_in_file", F.col("total") - F.coalesce("met", F.lit(0))).withColumn("as_of", date_in_name(F.col("file")))
+    zero = ["present", "moved", "attached", "added", "tag_differences"]
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero} | {"provider": F.coalesce("provider", F.lit(""))}).drop("total", "met")
 
 
 def listed_junctions(added: DataFrame) -> DataFrame:

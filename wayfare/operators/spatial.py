@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfare.functions import geo
+from wayfare.scratch import write_table
 
 
 def _cells(df: DataFrame, dlat: float, dlon: float) -> DataFrame:
@@ -35,6 +41,102 @@ def nearest_within(left: DataFrame, right: DataFrame, metres: float, lat: float,
     return pairs.groupBy("l").agg(F.min(F.struct("metres", "r")).alias("m")).select("l", "m.r", "m.metres")
 
 
+def _around(df: DataFrame) -> DataFrame:
+    """df once for each of the nine cells around its own."""
+    step = lambda: F.explode(F.array(*map(F.lit, (-1, 0, 1))))
+    out = df.withColumn("_dy", step()).withColumn("_dx", step())
+    return out.withColumn("cy", F.col("cy") + F.col("_dy")).withColumn("cx", F.col("cx") + F.col("_dx")).drop("_dy", "_dx")
+
+
+def _sphere(x: float, y: float, a: float, b: float) -> float:
+    p, q = math.radians(y), math.radians(b)
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((math.radians(a) - math.radians(x)) / 2) ** 2
+    return 2 * geo.EARTH_M * math.asin(min(1.0, math.sqrt(h)))
+
+
+#: Distances of points (x, y) as columns and as numbers.
+SPHERE = (lambda x, y, a, b: geo.haversine(y, x, b, a), _sphere)
+PLANE = (lambda x, y, a, b: F.sqrt((x - a) * (x - a) + (y - b) * (y - b)), lambda x, y, a, b: math.sqrt((x - a) * (x - a) + (y - b) * (y - b)))
+
+
+def _pass(reach: float, distance: Callable[[float, float, float, float], float]):
+    """One pass in order over the few points that are left."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[tuple[int, int], list[tuple[float, float]]] = {}
+        for rows in batches:
+            stays = []
+            for x, y, cx, cy in zip(rows["x"], rows["y"], rows["cx"], rows["cy"], strict=True):
+                near = (p for i in (-1, 0, 1) for j in (-1, 0, 1) for p in kept.get((cx + i, cy + j), ()))
+                stays.append(all(distance(x, y, *p) > reach for p in near))
+                if stays[-1]:
+                    kept.setdefault((cx, cy), []).append((x, y))
+            yield rows[stays]
+
+    return run
+
+
+def first_apart(points: DataFrame, reach: float, distance: tuple[Callable, Callable], few: int = 20_000) -> DataFrame:
+    """(ord, x, y, cx, cy): the points that a pass in order keeps, each but those within reach of one kept before it.
+
+    points: ord (unique), x, y and the cell cx, cy, as wide as the reach. A point is kept in the first round in which it
+    is the earliest undecided one of its cell and the eight around it; those within its reach then go. So a round
+    compares each undecided point with the points newly kept near it alone, never with one another, and holds no cell
+    whole; of points at one place only the earliest counts. Rounds follow the longest run of neighbouring cells whose points
+    come in order, until so few are left that one task passes over them.
+    """
+    left = write_table(points.groupBy("x", "y", "cx", "cy").agg(F.min("ord").alias("ord")).select("ord", "x", "y", "cx", "cy"), "apart-left")
+    kept: list[DataFrame] = []
+    while (n := left.count()) > few:
+        first = left.groupBy("cx", "cy").agg(F.min(F.struct("ord", "x", "y")).alias("m"))
+        least = _around(first.select("cx", "cy", F.col("m.ord").alias("o"))).groupBy("cx", "cy").agg(F.min("o").alias("least"))
+        now = write_table(first.join(least, ["cx", "cy"]).filter(F.col("m.ord") == F.col("least")).select("m.ord", "m.x", "m.y", "cx", "cy"), "apart-kept")
+        near = _around(now).select(*(F.col(c).alias(f"_{c}") for c in ("x", "y", "cx", "cy")))
+        within = (F.col("cx") == F.col("_cx")) & (F.col("cy") == F.col("_cy")) & (distance[0](F.col("x"), F.col("y"), F.col("_x"), F.col("_y")) <= reach)
+        left = write_table(left.join(near, within, "left_anti"), "apart-left")
+        kept.append(now)
+        if len(kept) == 32:
+            kept = [write_table(reduce(DataFrame.unionByName, kept), "apart-kept")]
+    last = left.coalesce(1).sortWithinPartitions("ord").mapInPandas(_pass(reach, distance[1]), left.schema) if n else left
+    return reduce(DataFrame.unionByName, [*kept, last])
+
+
+def lights_apart(points: DataFrame, metres: float, lat: float, ordinal: str = "ord", few: int = 20_000) -> DataFrame:
+    """The ordinals of points (lat, lon) that a pass in order keeps, none within `metres` of one kept before."""
+    dlat, dlon = geo.cell_degrees(metres, lat)
+    placed = points.select(F.col(ordinal).alias("ord"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.floor(F.col("lon") / dlon).alias("cx"), F.floor(F.col("lat") / dlat).alias("cy"))
+    return first_apart(placed, metres, SPHERE, few).select(F.col("ord").alias(ordinal))
+
+
+#: The deepest zoom that pools points, and how far a cluster reaches on the screen.
+POOL_ZOOM, POOL_PIXELS, TILE_PIXELS = 14, 44, 512
+
+
+def nested_clusters(points: DataFrame, low: int = 0, high: int = POOL_ZOOM, pixels: int = POOL_PIXELS, few: int = 20_000) -> DataFrame:
+    """(zoom, id, n, lon, lat, up): clusters of every zoom from high to low, each within its cluster `up` of the zoom above.
+
+    points: ord, lat, lon. At each zoom, from the deepest, what is left passes in order: a node that none has claimed claims
+    all unclaimed ones within reach, and they become one node at their weighted centre, which goes on to the next zoom in its
+    place; id is the ordinal of the first point. Lengths are those of the projected map.
+    """
+    turn = F.sin(F.radians(F.least(F.greatest(F.col("lat"), F.lit(-89.99)), F.lit(89.99))))
+    nodes = points.select("ord", (F.col("lon") / 360.0 + 0.5).alias("x"), (0.5 - 0.25 * F.log((1 + turn) / (1 - turn)) / math.pi).alias("y"), F.lit(1).cast("long").alias("n"))
+    lat = F.degrees(2 * F.atan(F.exp((0.5 - F.col("y")) * 2 * math.pi)) - math.pi / 2)
+    centre = lambda c: F.when(F.count("*") == 1, F.min(c)).otherwise(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+    levels: list[DataFrame] = []
+    for zoom in range(high, low - 1, -1):
+        reach = pixels / (TILE_PIXELS * 2.0**zoom)
+        nodes = write_table(nodes.withColumn("cx", F.floor(F.col("x") / reach)).withColumn("cy", F.floor(F.col("y") / reach)), "nodes")
+        heads = _around(first_apart(nodes.select("ord", "x", "y", "cx", "cy"), reach, PLANE, few)).select("cx", "cy", F.col("ord").alias("head"), F.col("x").alias("hx"), F.col("y").alias("hy"))
+        near = nodes.join(heads, ["cx", "cy"]).filter((PLANE[0](F.col("x"), F.col("y"), F.col("hx"), F.col("hy")) <= reach) & (F.col("head") <= F.col("ord")))
+        claimed = write_table(near.groupBy("ord", "x", "y", "n").agg(F.min("head").alias("up")), "claimed")
+        if levels:
+            levels[-1] = levels[-1].drop("up").join(claimed.select(F.col("ord").alias("id"), "up"), "id")
+        nodes = write_table(claimed.groupBy(F.col("up").alias("ord")).agg(centre("x"), centre("y"), F.sum("n").alias("n")), "nodes")
+        levels.append(nodes.select(F.lit(zoom).alias("zoom"), F.col("ord").alias("id"), "n", ((F.col("x") - 0.5) * 360.0).alias("lon"), lat.alias("lat"), F.lit(None).cast("long").alias("up")))
+    return reduce(DataFrame.unionByName, levels)
+
+
 def k_nearest(points: DataFrame, lat: float, lon: float, k: int, point_id: str) -> DataFrame:
     """The k points nearest one place, by a bounded sort."""
     d = geo.haversine(F.col("lat"), F.col("lon"), F.lit(lat), F.lit(lon))
@@ -43,8 +145,6 @@ def k_nearest(points: DataFrame, lat: float, lon: float, k: int, point_id: str)
 
 def density(points: DataFrame, metres: float, lat0: float, lon0: float, ref_lat: float) -> DataFrame:
     """(row, col, n) of each cell that holds a point, with the cell's corners."""
-    import math
-
     dlat, dlon = metres / geo.DEGREE_M, metres / (geo.DEGREE_M * math.cos(math.radians(ref_lat)))
     row, col = F.floor((F.col("lat") - lat0) / dlat), F.floor((F.col("lon") - lon0) / dlon)
     got = points.groupBy(row.alias("row"), col.alias("col")).agg(F.count("*").alias("n"))

@@ -52,6 +52,12 @@ def zoom_clusters(spark, sf_dir):
     return got.select("cx", "cy", "n", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+def nested_clusters(spark, sf_dir):
+    """Customers pooled in order at every zoom from 14 to 8."""
+    got = spatial.nested_clusters(places(spark, sf_dir, "customer", "c_custkey").withColumnRenamed("c_custkey", "ord"), 8)
+    return got.select("zoom", "id", "n", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), "up")
+
+
 def eps_components(spark, sf_dir):
     """Suppliers linked within 3,000 m, closed over links."""
     pts = places(spark, sf_dir, "supplier", "s_suppkey")
@@ -112,7 +118,7 @@ comp AS (SELECT x AS s_suppkey, min(y) AS component FROM reach GROUP BY x)"""
 _C8 = "list_extract(['N','NE','E','SE','S','SW','W','NW'], (floor(heading / 45 + 0.5)::INT % 8) + 1)"
 _C16 = "list_extract(['N','NNE','NE','ENE','E','ESE','SE','SSE','S','SSW','SW','WSW','W','WNW','NW','NNW'], (floor(heading / 22.5 + 0.5)::INT % 16) + 1)"
 
-QUERIES = {"radius_join": radius_join, "nearest_join": nearest_join, "knn": knn, "density_grid": density_grid, "zoom_clusters": zoom_clusters, "eps_components": eps_components, "clusters": clusters, "bearings": bearings, "place_at": place_at, "picked": picked, "geometry": geometry, "site_features": site_features}
+QUERIES = {"radius_join": radius_join, "nearest_join": nearest_join, "knn": knn, "density_grid": density_grid, "zoom_clusters": zoom_clusters, "nested_clusters": nested_clusters, "eps_components": eps_components, "clusters": clusters, "bearings": bearings, "place_at": place_at, "picked": picked, "geometry": geometry, "site_features": site_features}
 ORACLES = {
     "radius_join": f"SELECT a.s_suppkey, b.c_custkey, round({_AB}, 3) AS metres FROM {_place_sql('supplier', 's_suppkey')} a, {_place_sql('customer', 'c_custkey')} b WHERE {_AB} <= 500",
     "nearest_join": f"SELECT c_custkey, arg_min(s_suppkey, (d, s_suppkey)) AS s_suppkey FROM (SELECT b.c_custkey, a.s_suppkey, {_AB} AS d FROM {_place_sql('supplier', 's_suppkey')} a, {_place_sql('customer', 'c_custkey')} b) WHERE d <= 1500 GROUP BY c_custkey",
