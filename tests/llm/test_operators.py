@@ -265,18 +265,34 @@ def test_quality(spark):
 def test_secrets(spark):
     rng = random.Random(2)
     hexa = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
-    rows = [(i, f"some words password={hexa(16)} and more") for i in range(60)] + [(100 + i, f"call {rng.randrange(10**15, 10**16)} now release-notes-{i}") for i in range(60)]
-    rows += [(300 + i, "key AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ23456789") for _ in range(16)) + " end") for i in range(30)]
-    rows += [(500, "key AKIA" + "QZ7XK2M9PLWB4TRD end"), (501, None), (502, ""), (503, "token = " + hexa(40)), (504, "x" * 50000), (505, "password=changeme1")]
-    rows += [(600 + i, f"set password=changeme{i} there") for i in range(20)]
-    found = secrets.findings(docs(spark, rows))
-    out = {(r["doc_id"], r["rule"]): r for r in secrets.scored(found, secrets.fit(found)).collect()}
-    assert out[(500, "aws-access-key")]["start"] == 4 and out[(500, "aws-access-key")]["score"] > 0.5
-    assert out[(503, "assigned")]["score"] > 0.5 and out[(505, "assigned")]["score"] < 0.5
-    assert np.mean([out[(i, "assigned")]["score"] > 0.5 for i in range(60)]) > 0.9
-    assert not any(i in (501, 502, 504) for i, _ in out)
-    assert secrets.fit(found.filter("label = 1")) is None
-    assert secrets.findings(docs(spark, [])).count() == 0
+    word = lambda: rng.choice(["harvest", "lantern", "quartz", "meadow", "copper", "willow", "ember", "saddle"])
+    rows = [(i, " ".join(word() for _ in range(40))) for i in range(1500)]
+    rows += [(2000, f"set token = \"{hexa(40)}\" here"), (2001, None), (2002, ""), (2003, f"commit {hexa(40)} of today"), (2004, "x" * 50000), (2005, "password=changeme1"), (2006, "the order 4716238845120937 came"), (2006, "the order 4716238845120937 came")]
+    corpus = docs(spark, rows)
+    known = secrets.dictionary(corpus)
+    learnt = secrets.planted(corpus, known=known)
+    assert learnt.select("doc_id").distinct().count() > 1400  # nearly all take part in so small a corpus
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = secrets.fit(learnt.filter(~held & F.col("label").isNotNull()))
+    tried = [(r["label"], r["score"] >= 0.5) for r in secrets.scored(learnt.filter(held & F.col("label").isNotNull()), model).collect()]
+    right = sum(y and p for y, p in tried)
+    precision, recall = right / sum(p for _, p in tried), right / sum(y for y, _ in tried)
+    assert len(tried) > 1000 and precision > 0.93 and recall > 0.93, (precision, recall)
+    # one form on both sides: what stands beside the value decides
+    out = {(r["doc_id"], r["rule"]): r["score"] for r in secrets.scored(secrets.findings(corpus, known=known), model).collect()}
+    assert out[2000, "assigned"] > 0.5 > out[2003, "long-token"] and out[2005, "assigned"] < 0.5 and out[2006, "long-token"] < 0.5
+    assert not any(i in (2001, 2002, 2004) for i, _ in out)
+    assert secrets.findings(corpus, known=known).filter("label IS NOT NULL").count() == 0
+    assert secrets.fit(learnt.filter("label = 1")) is None and secrets.scored(learnt, None).filter("score <> 0.5").count() == 0
+    assert secrets.findings(docs(spark, [])).count() == 0 and secrets.planted(docs(spark, [])).count() == 0
+
+
+def test_planted_strings_are_found_where_they_were_set(spark):
+    corpus = docs(spark, [(i, "some words of a plain text é here") for i in range(80)] + [(3, "a copy of its id")] + [(None, "no id")])
+    learnt = secrets.planted(corpus, sample=50).filter("label IS NOT NULL")
+    assert learnt.select("doc_id").distinct().count() == 50
+    # strings that no rule takes whole, such as short words behind a name, are no findings
+    assert 0.8 * 50 * secrets.PLANTS < learnt.count() <= 50 * secrets.PLANTS
 
 
 @pytest.mark.parametrize("parts", [1, 16])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.llm import ann, decontam, jaccard_join, licenses, line_dedup, mixing, packing, pu_quality, secrets, sharding, token_counts, turn_repair, vector_codes
+from wayfare.scratch import write_table
 from wayfare.session import table
 
 
@@ -30,11 +31,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All findings; the forest learns from four fifths of the settled ones."""
-    found = secrets.findings(table(spark, sf_dir, "documents"))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    scored = secrets.scored(found, secrets.fit(found.filter(~held)))
-    return scored.select("doc_id", "start", "end", "rule", F.sha2("value", 256).alias("value_sha256"), "label", "score", (F.col("score") >= 0.5).alias("is_secret"))
+    """All findings, each judged by a forest that learns from planted ones."""
+    docs = table(spark, sf_dir, "documents")
+    known = write_table(secrets.dictionary(docs), "dictionary")
+    scored = secrets.scored(secrets.findings(docs, known=known), secrets.fit(secrets.planted(docs, known=known).filter("label IS NOT NULL")))
+    return scored.select("doc_id", "start", "end", "rule", F.sha2("value", 256).alias("value_sha256"), "score", (F.col("score") >= 0.5).alias("is_secret"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
