@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -79,10 +80,20 @@ def bearing_along(points: Column, metres: Column, window: float = 40.0) -> Colum
     return bearing(a["lat"], a["lon"], b["lat"], b["lon"])
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, however often it stands in it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def path_length(points: Column) -> Column:
+    """Length of an array of struct(lat, lon)."""
+    legs = F.zip_with(F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), lambda p, q: haversine(p["lat"], p["lon"], q["lat"], q["lon"]))
+    return F.aggregate(legs, F.lit(0.0), lambda a, m: a + m)
+
+
 def decoded(line: Column, precision: int = 5) -> Column:
     """array(struct(lat, lon)) of an encoded polyline: five bits a character, least first, differences zigzag-coded."""
-    codes = F.transform(F.filter(F.split(line, ""), lambda c: c != ""), lambda c: F.ascii(c) - 63)
-    start = F.struct(F.lit(0).cast("long").alias("value"), F.lit(0).alias("shift"), F.slice(F.transform(codes, lambda c: F.lit(0).cast("long")), 1, 0).alias("out"))
+    scale, zero, longs = float(10**precision), F.lit(0).cast("long"), F.array().cast("array<bigint>")
 
     def step(acc: Column, c: Column) -> Column:
         value = acc["value"] + c.bitwiseAND(F.lit(31)).cast("long") * F.pow(F.lit(2.0), acc["shift"]).cast("long")
@@ -91,18 +102,16 @@ def decoded(line: Column, precision: int = 5) -> Column:
         signed = F.when(value % 2 == 1, -half - 1).otherwise(half)
         return F.struct(F.when(more, value).otherwise(0).cast("long").alias("value"), F.when(more, acc["shift"] + 5).otherwise(0).alias("shift"), F.when(more, acc["out"]).otherwise(F.concat(acc["out"], F.array(signed))).alias("out"))
 
-    deltas = F.aggregate(codes, start, step, lambda acc: acc["out"])
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(deltas) / 2).cast("int") - 1)), lambda i: F.struct(F.get(deltas, i * 2).alias("y"), F.get(deltas, i * 2 + 1).alias("x")))
-    whole = F.filter(pairs, lambda p: p["x"].isNotNull())
-    scale = float(10**precision)
-
     def add(acc: Column, p: Column) -> Column:
         y, x = acc["y"] + p["y"], acc["x"] + p["x"]
         return F.struct(y.alias("y"), x.alias("x"), F.concat(acc["out"], F.array(F.struct((y / scale).alias("lat"), (x / scale).alias("lon")))).alias("out"))
 
-    zero = F.lit(0).cast("long")
-    none = F.slice(F.transform(whole, lambda p: F.struct((p["y"] / scale).alias("lat"), (p["x"] / scale).alias("lon"))), 1, 0)
-    return F.aggregate(whole, F.struct(zero.alias("y"), zero.alias("x"), none.alias("out")), add, lambda acc: acc["out"])
+    codes = F.transform(F.filter(F.split(line, ""), lambda c: c != ""), lambda c: F.ascii(c) - 63)
+    deltas = F.aggregate(codes, F.struct(zero.alias("value"), F.lit(0).alias("shift"), longs.alias("out")), step, lambda acc: acc["out"])
+    pairs = lambda d: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(d) / 2).cast("int") - 1)), lambda i: F.struct(F.get(d, i * 2).alias("y"), F.get(d, i * 2 + 1).alias("x")))
+    whole = F.filter(bound(deltas, pairs), lambda p: p["x"].isNotNull())
+    start = F.struct(zero.alias("y"), zero.alias("x"), F.array().cast("array<struct<lat:double,lon:double>>").alias("out"))
+    return F.aggregate(whole, start, add, lambda acc: acc["out"])
 
 
 def onto_path(lat: Column, lon: Column, points: Column) -> Column:

@@ -66,6 +66,21 @@ def upper_median(c: Column) -> Column:
     return F.coalesce(F.get(found, F.floor(F.size(found) / 2).cast("int")), F.lit(0.0))
 
 
+def upper_medians(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """(key, values...): of each value the one at place n / 2, rounded down, from zero, among the key's rows.
+
+    Rows are counted by value before they are moved, so a window holds a key's different values, not its rows.
+    """
+    out = None
+    for v in values:
+        counts = rows.groupBy(key, v).agg(F.count("*").alias("n"))
+        own = Window.partitionBy(key)
+        counts = counts.withColumn("upto", F.sum("n").over(own.orderBy(v))).withColumn("all", F.sum("n").over(own))
+        one = counts.filter(F.col("upto") > F.floor(F.col("all") / 2)).groupBy(key).agg(F.min(v).alias(v))
+        out = one if out is None else out.join(one, key)
+    return out
+
+
 def clip(x: Column, low: Column | float, high: Column | float) -> Column:
     as_col = lambda v: v if isinstance(v, Column) else F.lit(float(v))
     return F.greatest(as_col(low), F.least(as_col(high), x))

@@ -109,9 +109,10 @@ def polylines(spark, sf_dir):
     # differences under 16 units are one character each
     step = lambda n, j: F.char((((k * n) % 15) * 2 + j + 63).cast("int"))
     line = F.concat(F.lit("_p~iF~ps|U"), step(3, 0), step(5, 1), step(7, 0), step(11, 0))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", geo.decoded(line).alias("p"))
+    # a line is decoded once, and its points stand behind a Generate
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.inline(F.array(F.struct(geo.decoded(line).alias("p")))))
     last = F.element_at("p", -1)
-    return o.select("o_orderkey", F.size("p").alias("points"), F.round(last["lat"], 5).alias("lat"), F.round(last["lon"], 5).alias("lon"), F.round(F.element_at(geo.path_lengths(F.col("p")), -1), 3).alias("metres"))
+    return o.select("o_orderkey", F.size("p").alias("points"), F.round(last["lat"], 5).alias("lat"), F.round(last["lon"], 5).alias("lon"), F.round(geo.path_length(F.col("p")), 3).alias("metres"))
 
 
 def _rows(spark, sf_dir):

@@ -32,7 +32,7 @@ def date_labels(spark, sf_dir):
     portal = F.when(k % 10 == 5, iso)
     o = table(spark, sf_dir, "orders").select("o_orderkey", doc.alias("doc"), portal.alias("portal"))
     c = clock.currency(F.col("doc"), F.col("portal"), F.lit("2002-01-01").cast("date"), F.col("o_orderkey") % 13 == 0)
-    o = o.select("o_orderkey", F.coalesce("doc", "portal").alias("dated"), c.alias("c")).select("o_orderkey", "dated", "c.*")
+    o = o.select("o_orderkey", F.coalesce("doc", "portal").alias("dated"), F.inline(F.array(c)))  # worked out once a row
     dated, c = F.col("dated"), {k: F.col(k) for k in ("status", "source", "age_days")}
     return o.select("o_orderkey", formats.partial_day(dated).alias("dated"), formats.currency_label(c["status"], dated, c["source"], c["age_days"]).alias("label"), formats.currency_tone(c["status"]).alias("tone"), formats.date_in_name(F.concat(F.lit("lights_"), dated, F.lit(".csv"))).alias("in_name"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfare.functions import clock, formats
-from wayfare.operators import junctions, links, plans
+from wayfare.operators import junctions, links, plans, stats
 from wayfare.session import table
 
 _k, _c = (lambda: F.col("o_orderkey")), (lambda: F.col("o_custkey"))
@@ -165,15 +165,9 @@ def ranking_prior(spark, sf_dir):
     greens = plans.vehicle_phases(F.col("phases"), F.col("cycle_s"), F.col("ped"), F.col("mode"))
     own = w.join(links.verified_links(_stood(spark, sf_dir)).select("key", "hint"), "key").withColumn("greens", greens).filter("greens IS NOT NULL")
     m = plans.mixture(c, F.col("greens"))
-    # the value at place n / 2: one row for each hint, found by rank
-    from pyspark.sql.window import Window
-
-    each = own.select("hint", m["mean"].alias("mean"), m["p_stop"].alias("stop"))
-    at = lambda v: F.row_number().over(Window.partitionBy("hint").orderBy(v)) - 1
-    n = F.count("*").over(Window.partitionBy("hint"))
-    ranked = each.withColumn("i", at("mean")).withColumn("j", at("stop")).withColumn("n", n)
-    middle = lambda v, i: F.max(F.when(F.col(i) == F.floor(F.col("n") / 2), F.col(v)))
-    return ranked.groupBy("hint").agg(F.round(middle("mean", "i"), 9).alias("mean"), F.round(middle("stop", "j"), 9).alias("p_stop"))
+    each = own.select("hint", m["mean"].alias("mean"), m["p_stop"].alias("p_stop"))
+    got = stats.upper_medians(each, "hint", ["mean", "p_stop"])
+    return got.select("hint", F.round("mean", 9).alias("mean"), F.round("p_stop", 9).alias("p_stop"))
 
 
 def timing_signatures(spark, sf_dir):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,36 +84,81 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def jpeg_facts(content: bytes | None) -> tuple[int, int, int] | None:
-    """(width, height, bytes) of a plain JPEG of 1 or 3 components up to 2,000 pixels an edge, or None."""
-    if not content or content[:2] != b"\xff\xd8" or content[-2:] != b"\xff\xd9":
+#: Fixed values of the picture format: markers that stand alone, those that open a frame, and those that carry what is no picture.
+ALONE, FRAMES, ASIDE = {0x01, *range(0xD0, 0xD8)}, set(range(0xC0, 0xD0)) - {0xC4, 0xC8, 0xCC}, {*range(0xE0, 0xF0), 0xFE}
+SCAN, END, EDGE_MAX = 0xDA, 0xD9, 2000
+#: A marker amid coded data: fill bytes and a byte that neither stuffs, restarts nor fills.
+_AMID = re.compile(rb"\xff+(?=[^\x00\x01\xd0-\xd7\xff])")
+
+
+def _segments(data: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """(marker, payload with its length, coded data behind it) of each segment up to the end; ends early at what is malformed."""
+    at = 2
+    while data[at : at + 1] == b"\xff":
+        at += len(data) - at - len(data[at:].lstrip(b"\xff"))  # fill bytes
+        if at >= len(data):
+            return
+        mark, at = data[at], at + 1
+        if mark == END:
+            yield mark, b"", data[at:]
+            return
+        size = int.from_bytes(data[at : at + 2], "big") if at + 2 <= len(data) else 0
+        if mark in ALONE or mark in (0x00, 0xD8) or size < 2 or at + size > len(data):
+            return
+        payload, at, coded = data[at : at + size], at + size, b""
+        if mark == SCAN:
+            found = _AMID.search(data, at)
+            if not found:
+                return
+            coded, at = data[at : found.start()], found.start()
+        yield mark, payload, coded
+
+
+def stripped_jpeg(data: bytes | None) -> tuple[int, int, bytes] | None:
+    """(width, height, bytes) of an acceptable picture, without the segments of applications and comments, or None.
+
+    Acceptable: frames of one size, EDGE_MAX at most on either side and of 1 or 3 components, before any scan; at least one scan;
+    nothing malformed, and nothing behind the end.
+    """
+    if not data or data[:2] != b"\xff\xd8":
         return None
-    at, size = 2, None
-    while at + 4 <= len(content):
-        if content[at] != 0xFF:
-            return None
-        mark, length = content[at + 1], int.from_bytes(content[at + 2 : at + 4], "big")
-        if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-            frame = content[at + 4 : at + 2 + length]
-            if len(frame) < 6 or frame[5] not in (1, 3):
+    kept, size, scans = [b"\xff\xd8"], None, 0
+    for mark, payload, coded in _segments(data):
+        if mark == END:
+            return (*size, b"".join([*kept, b"\xff\xd9"])) if scans and not coded else None
+        if mark in FRAMES:
+            if len(payload) < 8 or payload[7] not in (1, 3):
+                return None
+            seen = (int.from_bytes(payload[5:7], "big"), int.from_bytes(payload[3:5], "big"))
+            if not 1 <= min(seen) <= max(seen) <= EDGE_MAX or size not in (None, seen):
                 return None
-            size = (int.from_bytes(frame[3:5], "big"), int.from_bytes(frame[1:3], "big"))
-        if mark == 0xDA:
-            return (*size, len(content)) if size and 0 < min(size) and max(size) <= 2000 else None
-        at += 2 + length
+            size = seen
+        if mark == SCAN:
+            if size is None:
+                return None
+            scans += 1
+        if mark not in ASIDE:
+            kept += [bytes((0xFF, mark)), payload, coded]
     return None
 
 
+def jpeg_facts(content: bytes | None) -> tuple[int, int, int] | None:
+    """(width, height, bytes) of an acceptable picture once stripped, or None."""
+    found = stripped_jpeg(content)
+    return found and (found[0], found[1], len(found[2]))
+
+
 def pictures(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, bytes); nulls where a file is no acceptable picture."""
+    """(path, width, height, bytes, picture): picture without what applications and comments added; nulls where a file is no acceptable one."""
     import pandas as pd
 
     def run(batches):
         for b in batches:
-            facts = [jpeg_facts(c) or (None, None, None) for c in b["content"]]
-            yield pd.DataFrame({"path": b["path"], **{k: pd.array([f[i] for f in facts], "Int32") for i, k in enumerate(("width", "height", "bytes"))}})
+            found = [stripped_jpeg(c) for c in b["content"]]
+            sizes = {k: pd.array([f and f[i] for f in found], "Int32") for i, k in enumerate(("width", "height"))}
+            yield pd.DataFrame({"path": b["path"], **sizes, "bytes": pd.array([f and len(f[2]) for f in found], "Int32"), "picture": [f and f[2] for f in found]})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, width int, height int, bytes int")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, width int, height int, bytes int, picture binary")
 
 
 def lists(spark: SparkSession, paths: list[str]) -> list[tuple[str, DataFrame, DataFrame]]:
