@@ -73,6 +73,13 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def cleaned(marked: DataFrame) -> DataFrame:
+    """Records (id, lat, lon, v, t, tags, text) of elements marked with `_why` they are rejected; of one id the last counts."""
+    none = F.create_map().cast("map<string,string>")
+    sound = marked.filter("_why IS NULL").select("id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.coalesce("version", F.lit(1)).alias("v"), F.col("timestamp").alias("t"), clean_tags(F.coalesce("tags", none)).alias("tags"), "ord")
+    return last_wins(sound, "id", "ord").drop("ord").withColumn("text", canonical(F.col("tags")))
+
+
 def sync(elements: DataFrame, target: str, log: str, now: str, least: float = 0.5) -> dict:
     """One run: elements (type, id, lat, lon, version, timestamp, tags, ord) checked, cleaned and compared with the last
     snapshot under `target`, then written beside it; the run's counts go to the log, refusals too.
@@ -84,8 +91,7 @@ def sync(elements: DataFrame, target: str, log: str, now: str, least: float = 0.
     spark = elements.sparkSession
     why = reject_reason(F.col("type"), F.col("id"), F.col("lat"), F.col("lon"), F.col("timestamp"))
     marked = elements.withColumn("_why", why)
-    sound = marked.filter("_why IS NULL").select("id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.coalesce("version", F.lit(1)).alias("v"), F.col("timestamp").alias("t"), clean_tags(F.coalesce("tags", F.create_map().cast("map<string,string>"))).alias("tags"), "ord")
-    new = last_wins(sound, "id", "ord").drop("ord").withColumn("text", canonical(F.col("tags")))
+    new = cleaned(marked)
     seen = marked.agg(F.count_if(F.col("_why").isNotNull()).alias("malformed"), F.count("*").alias("n"), F.count_distinct(F.when(F.col("_why").isNull(), F.col("id"))).alias("kept")).first()
     old = versions(spark, target)
     last = spark.read.parquet(f"{target}/at={old[-1]}") if old else None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfare.operators.board import CLIENT_DAY, CLIENT_HOUR, DAY_MS, Limits, admission_of_all
+from wayfare.scratch import write_table
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -93,16 +95,102 @@ def submissions(posts: DataFrame, target: str, checkpoint: str, limits: Limits =
     return posts.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_snapshots(stream: DataFrame, target: str, checkpoint: str, key: str = "id"):
-    """Each micro-batch replaces the table's rows of its keys; versions are written side by side.
+def _sizes(changes: DataFrame) -> tuple[dict[int, int], list[int], dict[str, int]]:
+    """(rows of each bucket afterwards, buckets that change, counts by change) of (bucket, change); one row a bucket and change."""
+    sizes, touched, counts = {}, set(), dict.fromkeys(("inserted", "updated", "unchanged", "removed"), 0)
+    for r in changes.groupBy("bucket", "change").agg(F.count("*").alias("n")).collect():
+        counts[r.change] += r.n
+        if r.change != "unchanged":
+            touched.add(r.bucket)
+        if r.change != "removed":
+            sizes[r.bucket] = sizes.get(r.bucket, 0) + r.n
+    return sizes, sorted(touched), counts
 
-    A version is a folder named by its batch, so a batch that runs again rewrites its own.
+
+def upsert_snapshots(stream: DataFrame, target: str, checkpoint: str, key: str = "id", buckets: int = 64, keep: int = 3):
+    """Each micro-batch replaces the table's rows of its keys, in the buckets that hold them; the latest `ts` of a batch wins.
+
+    The table is a `store`: a batch that runs again commits once, a new checkpoint goes on with the table it finds, and versions that
+    the last `keep` manifests do not need are dropped.
     """
     from wayfare.operators.snapshot import last_wins, upsert
+    from wayfare.sources import store
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = last_wins(batch, key, "ts")
-        out = new if number == 0 else upsert(batch.sparkSession.read.parquet(f"{target}/v={number - 1}"), new, key)
-        out.write.mode("overwrite").parquet(f"{target}/v={number}")
+        spark, token = batch.sparkSession, f"{checkpoint}#{number}"
+        now = next(iter(store.manifests(spark, target)), None)
+        if now and now.token == token:
+            return
+        n = now.buckets if now else buckets
+        new = write_table(last_wins(batch, key, "ts").withColumn("bucket", store.bucket(key, n)), "batch")
+        touched = sorted(r.bucket for r in new.select("bucket").distinct().collect())
+        if not touched:
+            return
+        old = store.current(spark, target, shape, now, touched)
+        rows = write_table(upsert(old.select(new.columns), new, key), "merged")
+        sizes = {r.bucket: r.n for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+        rest = store.current(spark, target, shape, now).filter(~F.col("bucket").isin(touched)).groupBy("bucket").agg(F.count("*").alias("n")) if now else None
+        sizes |= {r.bucket: r.n for r in rest.collect()} if rest is not None else {}
+        store.commit(rows, target, touched, sizes, now, token, None, n)
+        store.prune(spark, target, keep)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+RECORD = "id bigint, lat double, lon double, v int, t string, tags map<string,string>, text string"
+
+
+def sync_stream(elements: DataFrame, target: str, log: str, checkpoint: str, least: float = 0.5, hours: int = 24, force: bool = False, buckets: int = 64, keep: int = 3):
+    """A stream of whole snapshots, one a micro-batch: checked, cleaned, compared with the table and committed, as `snapshot.sync` does for one.
+
+    elements: type, id, lat, lon, version, timestamp, tags, ord, at (when the snapshot was taken). A snapshot taken less than `hours`
+    after the last commit is passed over, one that would lose too many records refused; either is logged, like what was
+    committed, in a folder of the log that the batch owns. Only buckets in which a record changes are written. The counts of bad and repeated
+    elements are observed while the batch is cleaned.
+    """
+    from pyspark.sql import Observation, Row
+
+    from wayfare.operators import snapshot
+    from wayfare.sources import store
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark, token = batch.sparkSession, f"{checkpoint}#{number}"
+        now = next(iter(store.manifests(spark, target)), None)
+        if now and now.token == token:
+            return
+        n, seen = now.buckets if now else buckets, Observation()
+        why = snapshot.reject_reason(*(F.col(c) for c in ("type", "id", "lat", "lon", "timestamp")))
+        marked = batch.withColumn("_why", why).observe(seen, F.count("*").alias("n"), F.count_if(F.col("_why").isNotNull()).alias("malformed"), F.max("at").cast("string").alias("at"))
+        new = write_table(snapshot.cleaned(marked).withColumn("bucket", store.bucket("id", n)), "batch")
+        facts, kept = seen.get, new.count()
+        if not facts["n"]:
+            return
+        run = {"token": token, "at": facts["at"], "malformed": facts["malformed"], "duplicates": facts["n"] - facts["malformed"] - kept}
+        early = now and not force and not spark.range(1).select(snapshot.due(F.lit(now.at), F.lit(facts["at"]), hours)).first()[0]
+        refused = None if force else snapshot.guard(now.rows if now else None, kept, least)
+        if early or refused:
+            run |= {"ok": False, "error": "too early" if early else refused}
+        else:
+            old = store.current(spark, target, RECORD, now)
+            changes = snapshot.diff(old, new, "id", ["v", "t", "lat", "lon", "text"]).withColumn("bucket", store.bucket("id", n))
+            sizes, touched, counts = _sizes(changes)
+            store.commit(new, target, touched, sizes, now, token, facts["at"], n)
+            store.prune(spark, target, keep)
+            run |= {"ok": True, **counts}
+        spark.createDataFrame([Row(**run)]).coalesce(1).write.mode("overwrite").json(f"{log}/checkpoint={hash_of(checkpoint)}/batch={number}")
+
+    return elements.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def hash_of(text: str) -> int:
+    """A number that names a text, the same on every run."""
+    return zlib.crc32(text.encode())
+
+
+def synced(spark: SparkSession, target: str) -> DataFrame:
+    """The records of the last snapshot committed under target."""
+    from wayfare.sources import store
+
+    return store.current(spark, target, RECORD, next(iter(store.manifests(spark, target)), None)).drop("bucket")
