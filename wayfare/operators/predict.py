@@ -7,6 +7,8 @@ E, nothing. Every model is a table keyed by query; the choice is one expression
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,8 +123,7 @@ def synchronised(active: DataFrame, encounters: DataFrame, windows: DataFrame, n
     fits = stats.offset_fit(own.withColumn("g", since_window_start(F.col("resumed"), F.col("start"))), [*key, "cycle"], "g", F.col("cycle"))
     asked = can.join(fits, key).join(starts, key)
     s = phase_position(since_window_start(F.col("t"), F.col("start")), F.col("offset"), F.col("cycle"))
-    # places to a tenth of a second, so that queries share their sums
-    asked = asked.withColumn("s", F.pmod(F.floor(s * 10) / 10, F.col("cycle"))).withColumn("green", F.col("assigned").cast("double"))
+    asked = asked.withColumn("s", s).withColumn("green", F.col("assigned").cast("double"))
     waits = phase_waits(asked.select("qid", "s", "cycle", "green"), ["qid"], sigma)
     sure = F.least(F.lit(0.85), (0.5 + 0.35 * F.col("inliers")) * F.exp(-2 * F.pow(F.lit(sigma) / F.col("cycle"), 2)))
     return asked.select("qid", "offset", "inliers", sure.alias("confidence")).join(waits, "qid")
@@ -133,8 +134,10 @@ def predict(queries: DataFrame, encounters: DataFrame, windows: DataFrame, linke
 
     queries: qid, junction, t, phase (assigned column or null). encounters: junction, ts, delay,
     stopped, quality, resumed. linked: junction, control, standing, conflict (one verified
-    plan each). windows as in plans, with cycle_source.
+    plan each). windows as in plans, with cycle_source. Where queries and encounters both bear congestion
+    (0 to 1, or null), encounters under like traffic weigh more, in the estimate and in the baseline of recent residuals.
     """
+    traffic = ["congestion"] if "congestion" in queries.columns and "congestion" in encounters.columns else []
     counts = encounters.groupBy("junction").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     verified = linked.withColumn("verified", F.lit(True))
     asked = queries.join(counts, "junction", "left").join(verified, "junction", "left")
@@ -156,22 +159,23 @@ def predict(queries: DataFrame, encounters: DataFrame, windows: DataFrame, linke
     held = write_table(held, "predict-windows")
 
     sync = synchronised(held.filter("n >= 12"), encounters, windows, now, sigma).select("qid", *[F.col(x).alias(f"sy_{x}") for x in ("mean", "p_stop", "p10", "p90", "confidence", "offset")])
-    samples = encounters.select("junction", "ts", "delay", "stopped", "quality")
+    samples = encounters.select("junction", "ts", "delay", "stopped", "quality", *traffic)
     by_level = F.when(F.col("_n") < 60, 4.0).otherwise(8.0)
-    points = held.filter("n >= 10").select("qid", "junction", "t", F.col("n").alias("_n"))
+    points = held.filter("n >= 10").select("qid", "junction", "t", F.col("n").alias("_n"), *traffic)
     near = stats.kernel_estimates(samples, points, now, by_level).select("qid", *[F.col(x).alias(f"k_{x}") for x in ("mean_delay", "p10", "p25", "p50", "p75", "p90", "p_stop", "n_eff")])
     wide = stats.kernel_estimates(samples, points, now, by_level, (50,), h_day=3600.0, tau=365 * 86400.0).select("qid", F.col("mean_delay").alias("w_mean"), F.col("p50").alias("w_p50"))
 
-    # residuals of the last hour and a half against the kernel mean at their own time
-    recent = encounters.join(counts.filter("n >= 10").select("junction", F.col("n").alias("_n")), "junction")
-    recent = recent.filter(clock.epoch(now) - clock.epoch(F.col("ts")) < 5400).withColumn("rid", F.monotonically_increasing_id())
-    own = recent.groupBy("junction", "ts", "_n").agg(F.count("*").alias("_rows")).withColumn("qid", F.xxhash64("junction", "ts"))
-    base = stats.kernel_estimates(samples, own.select("qid", "junction", F.col("ts").alias("t"), "_n"), now, by_level, ()).select("qid", "mean_delay")
-    rows = recent.withColumn("qid", F.xxhash64("junction", "ts")).join(base, "qid", "left").withColumn("residual", F.col("delay") - F.col("mean_delay"))
-    live = stats.recent_residuals(rows.select("junction", "ts", "residual", "quality"), ["junction"], now)
+    # residuals of the last hour and a half against the kernel mean at their own time, under the traffic asked for
+    recent = encounters.drop("congestion").join(counts.filter("n >= 10").select("junction", F.col("n").alias("_n")), "junction")
+    recent = recent.filter(clock.epoch(now) - clock.epoch(F.col("ts")) < 5400)
+    recent = recent.join(points.select("junction", *traffic).distinct(), "junction").withColumn("qid", F.xxhash64("junction", "ts", *traffic))
+    base = stats.kernel_estimates(samples, recent.select("qid", "junction", F.col("ts").alias("t"), "_n", *traffic).distinct(), now, by_level, ()).select("qid", "mean_delay")
+    rows = recent.join(base, "qid", "left").withColumn("residual", F.col("delay") - F.col("mean_delay"))
+    live = stats.recent_residuals(rows.select("junction", "ts", "residual", "quality", *traffic), ["junction", *traffic], now)
+    live = live.withColumnsRenamed({c: f"_{c}" for c in ("junction", *traffic)})
 
     sync, near, wide, live = (write_table(x, "predict-model") for x in (sync, near, wide, live))
-    out = held.join(sync, "qid", "left").join(near, "qid", "left").join(wide, "qid", "left").join(live, "junction", "left")
+    out = held.join(sync, "qid", "left").join(near, "qid", "left").join(wide, "qid", "left").join(live, reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), traffic, F.col("junction") == F.col("_junction")), "left")
     lev = level(F.col("n"), F.col("verified"))
     kernel = lev.isin("A", "B", "C", "D") & F.col("k_mean_delay").isNotNull()
     strong = F.when(lev == "A", "B").otherwise(lev)
@@ -188,7 +192,7 @@ def predict(queries: DataFrame, encounters: DataFrame, windows: DataFrame, linke
         of(F.col("sy_p10"), F.col("k_p10"), F.col("pr_p10")).alias("p10"), of(none, F.col("k_p25"), F.col("pr_p25")).alias("p25"), of(none, F.col("k_p75"), F.col("pr_p75")).alias("p75"),
         of(F.col("sy_p90"), F.col("k_p90"), F.col("pr_p90")).alias("p90"), of(F.col("sy_p_stop"), F.col("k_p_stop"), F.col("pr_stop")).alias("p_stop"),
         of(F.col("pr_mean"), F.coalesce("w_mean", "k_mean_delay"), F.col("pr_mean")).alias("long_mean"),
-        of(F.col("sy_confidence"), k_sure, F.when(F.col("pr_mean").isNotNull(), sure)).alias("confidence"),
+        F.coalesce(of(F.col("sy_confidence"), k_sure, F.when(F.col("pr_mean").isNotNull(), sure)), F.lit(0.0)).alias("confidence"),
         F.when(F.col("level").isin("A", "P") | F.col("verified"), F.when(F.col("greens").isNotNull(), F.col("cycle_s"))).alias("cycle_s"), F.col("sy_offset").alias("offset"),
         F.coalesce(F.when(F.col("level").isin("B", "C", "D"), F.col("recent_n")), F.lit(0)).alias("recent_n"),
         F.when(F.col("level").isin("B", "C", "D"), F.greatest(F.lit(0.0), clock.epoch(now) - clock.epoch(F.col("last")))).alias("data_age_s"),

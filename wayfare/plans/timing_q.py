@@ -280,7 +280,7 @@ f AS (SELECT pr.*, k.m AS km, k.s AS ks, k.ne, k.p10 AS k10, k.p25 AS k25, k.p50
 SELECT qid, level, n, CASE WHEN level IN ('B', 'C', 'D') THEN round(greatest(0, km + coalesce(adj, 0)), 6) WHEN level = 'P' THEN round(pm, 6) END AS mean,
 """ + ", ".join(f"round(CASE WHEN level IN ('B', 'C', 'D') THEN k{x} WHEN level = 'P' AND greens IS NOT NULL THEN coalesce(list_min(list_filter(grid, lambda z: z.s >= {x / 100}::DOUBLE)).d, c - list_min(ps)) END, 6) AS p{x}" for x in (10, 25, 50, 75, 90)) + """,
 round(CASE WHEN level IN ('B', 'C', 'D') THEN ks WHEN level = 'P' THEN pst END, 6) AS p_stop, round(CASE WHEN level IN ('B', 'C', 'D') THEN coalesce(wm, km) WHEN level = 'P' THEN pm END, 6) AS long_mean,
-round(CASE WHEN level IN ('B', 'C', 'D') THEN least(CASE level WHEN 'B' THEN 0.85::DOUBLE WHEN 'C' THEN 0.6::DOUBLE ELSE 0.35::DOUBLE END, 1 - exp(-ne / 40)) WHEN level = 'P' AND pm IS NOT NULL THEN CASE WHEN assigned IS NOT NULL THEN least(0.6::DOUBLE, base + 0.1::DOUBLE) ELSE base END * CASE WHEN junction % 2 = 0 THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN junction % 7 = 5 THEN 0.7::DOUBLE ELSE 1 END END, 6) AS confidence,
+round(CASE WHEN level IN ('B', 'C', 'D') THEN least(CASE level WHEN 'B' THEN 0.85::DOUBLE WHEN 'C' THEN 0.6::DOUBLE ELSE 0.35::DOUBLE END, 1 - exp(-ne / 40)) WHEN level = 'P' AND pm IS NOT NULL THEN CASE WHEN assigned IS NOT NULL THEN least(0.6::DOUBLE, base + 0.1::DOUBLE) ELSE base END * CASE WHEN junction % 2 = 0 THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN junction % 7 = 5 THEN 0.7::DOUBLE ELSE 1 END ELSE 0 END, 6) AS confidence,
 CASE WHEN ver AND greens IS NOT NULL THEN cycle_s END AS cycle_s, CASE WHEN level IN ('B', 'C', 'D') THEN coalesce(rn, 0) ELSE 0 END AS recent_n, CASE WHEN level IN ('B', 'C', 'D') THEN round(epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last), 3) END AS data_age_s, mode FROM f"""
 
 QUERIES = {f.__name__: f for f in (interval_join, plan_prior, hourly_summary, weighted_quantile, kernel_estimate, scores, recent_residual, offset_fit, autocorrelation, green_start_fits, cycle_scan, cycle_bootstrap, prior_levels, predictions, phase_clock, random_numbers, sample_statistics, clock_features, document_currency)}
