@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayfare.functions import clock
+from wayfare.scratch import write_table
 
 
 def weighted_mean(v: Column, w: Column) -> Column:
@@ -17,37 +18,45 @@ def effective_n(w: Column) -> Column:
     return F.coalesce(F.pow(F.sum(w), 2) / F.nullif(F.sum(w * w), F.lit(0.0)), F.lit(0.0))
 
 
-#: Equal ranges into which a group's values fall before the one that holds a quantile is ordered.
-RANGES = 512
+#: Equal parts into which a range of values is cut, and how many rows of a range are ordered without another cut.
+RANGES, FEW = 512, 100_000
 
 
-def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, qs: dict[str, float]) -> DataFrame:
+def weighted_quantiles(df: DataFrame, by: list[str], value: str, weight: str, qs: dict[str, float], few: int = FEW, written: bool = False) -> DataFrame:
     """(by..., names of qs): the first value whose share of weight up to it reaches q.
 
-    Weights are summed by ranges of values first, and only the ranges in which a quantile
-    falls are ordered by value; so no task orders a whole group, whatever its size.
+    A group's values are cut into equal parts, and those in which a quantile falls are cut again from their own
+    least to their own greatest value, until each holds few rows or one value; only these are ordered. A value far from
+    the others costs a round, not a task that holds the group.
+    written: df is a table that may be read over and over.
     """
     v, w = F.col(value).cast("double"), F.col(weight).cast("double")
-    rows = df.filter(v.isNotNull() & w.isNotNull()).select(*by, v.alias("_v"), w.alias("_w"))
-    ends = rows.groupBy(*by).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_w").alias("_t")).filter("_t > 0")
-    width = F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))
-    part = F.coalesce(F.least(F.lit(RANGES - 1), F.floor((F.col("_v") - F.col("_a")) / width * RANGES)), F.lit(0)).cast("int")
-    placed = rows.join(ends, by) if by else rows.crossJoin(F.broadcast(ends))  # then `ends` is one row
-    placed = placed.withColumn("_p", part)
-    sums = placed.groupBy(*by, "_p").agg(F.sum("_w").alias("_s"), F.first("_t").alias("_t"))
-    order = Window.partitionBy(*by).orderBy("_p")
-    upto = F.coalesce(F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    sums = sums.withColumn("_before", upto).withColumn("_last", F.max("_p").over(Window.partitionBy(*by)) == F.col("_p"))
-    slack = F.col("_t") * 1e-9  # sums in another order differ by less
-    holds = [(F.col("_before") - slack < q * F.col("_t")) & (F.col("_before") + F.col("_s") + slack >= q * F.col("_t")) for q in qs.values()]
-    keep = F.col("_last")
-    for h in holds:
-        keep = keep | h
-    chosen = sums.filter(keep).select(*by, "_p", "_before")
-    near = placed.join(chosen, [*by, "_p"]).groupBy(*by, "_p", "_v").agg(F.sum("_w").alias("_w"), F.first("_before").alias("_before"), F.first("_t").alias("_t"))
-    run = F.sum("_w").over(Window.partitionBy(*by, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    keys = by or ["_all"]
+    own = [F.col(c) for c in by] or [F.lit(0).alias("_all")]
+    rows = df.filter(v.isNotNull() & w.isNotNull()).select(*own, v.alias("_v"), w.alias("_w"))
+    rows = rows if written else write_table(rows, "weighted")
+    open_ = rows.groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.sum("_w").alias("_t"), F.count("*").alias("_n")).filter("_t > 0")
+    open_ = write_table(open_.select(*keys, "_a", "_b", F.lit(0.0).alias("_before"), "_t", "_n"), "ranges")
+    inside = (F.col("_v") >= F.col("_a")) & (F.col("_v") <= F.col("_b"))
+    most = lambda: open_.filter("_b > _a").agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+    largest, seen = most(), None
+    while largest > few and largest != seen:
+        part = F.least(F.lit(RANGES - 1), F.floor((F.col("_v") - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)) * RANGES))
+        placed = rows.join(open_, keys).filter(inside).withColumn("_p", F.coalesce(part, F.lit(0)).cast("int"))
+        sums = placed.groupBy(*keys, "_a", "_p").agg(F.sum("_w").alias("_s"), F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_before").alias("_base"), F.first("_t").alias("_t"))
+        order = Window.partitionBy(*keys, "_a").orderBy("_p")
+        upto = F.coalesce(F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        sums = sums.withColumn("_before", F.col("_base") + upto).withColumn("_last", F.max("_hi").over(Window.partitionBy(*keys)) == F.col("_hi"))
+        slack = F.col("_t") * 1e-9  # sums in another order differ by less
+        keep = F.col("_last")
+        for q in qs.values():
+            keep = keep | ((F.col("_before") - slack < q * F.col("_t")) & (F.col("_before") + F.col("_s") + slack >= q * F.col("_t")))
+        open_ = write_table(sums.filter(keep).select(*keys, F.col("_lo").alias("_a"), F.col("_hi").alias("_b"), "_before", "_t", "_n"), "ranges")
+        seen, largest = largest, most()
+    near = rows.join(open_, keys).filter(inside).groupBy(*keys, "_a", "_v").agg(F.sum("_w").alias("_w"), F.first("_before").alias("_before"), F.first("_t").alias("_t"))
+    run = F.sum("_w").over(Window.partitionBy(*keys, "_a").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("_c", (F.col("_before") + run) / F.col("_t"))
-    return near.groupBy(*by).agg(*[F.coalesce(F.min(F.when(F.col("_c") >= q, F.col("_v"))), F.max("_v")).alias(n) for n, q in qs.items()])
+    return near.groupBy(*keys).agg(*[F.coalesce(F.min(F.when(F.col("_c") >= q, F.col("_v"))), F.max("_v")).alias(n) for n, q in qs.items()]).select(*by, *qs)
 
 
 def median(c: Column) -> Column:
@@ -160,16 +169,18 @@ def kernel_estimates(samples: DataFrame, queries: DataFrame, now: Column, least_
     asked = queries.withColumnRenamed("congestion", "_congestion")
     pair = (F.col("_congestion"), F.col("congestion")) if covered else None
     w = kernel_weight(F.col("t"), F.col("ts"), now, F.col("quality"), congestion=pair, **kernel)
-    pairs = samples.join(asked, "junction").withColumn("w", w)
     least = least_n if isinstance(least_n, Column) else F.lit(float(least_n))
+    pairs = samples.join(asked, "junction").select("qid", "delay", "stopped", "quality", w.alias("w"), least.alias("_least"))
+    if quantiles:  # the narrow pairs stand once for the sums and the quantiles
+        pairs = write_table(pairs, "kernel-pairs")
     base = pairs.groupBy("qid").agg(
         weighted_mean(F.col("delay"), F.col("w")).alias("mean_delay"), weighted_mean(F.col("stopped").cast("double"), F.col("w")).alias("p_stop"),
-        effective_n(F.col("w")).alias("n_eff"), F.count("*").alias("n"), F.max(least).alias("_least"),
+        effective_n(F.col("w")).alias("n_eff"), F.count("*").alias("n"), F.max("_least").alias("_least"),
         weighted_mean(F.when(F.col("stopped"), F.col("delay")), F.when(F.col("stopped"), F.col("quality"))).alias("mean_stop"),
     ).filter(F.col("n_eff") >= F.col("_least")).drop("_least")
     if not quantiles:
         return base
-    qs = weighted_quantiles(pairs.select("qid", "delay", "w"), ["qid"], "delay", "w", {f"p{q}": q / 100 for q in quantiles})
+    qs = weighted_quantiles(pairs, ["qid"], "delay", "w", {f"p{q}": q / 100 for q in quantiles}, written=True)
     return base.join(qs, "qid")
 
 
