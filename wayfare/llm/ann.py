@@ -7,8 +7,8 @@ vector is scored (the stored norm times the sum of its entries); the best of eac
 of the index, and any level with them, are then scored exactly on the original vectors, and the exact best kept.
 
 Codebooks are trained on at most `sample` vectors (lowest hashes of vec_id), which is the
-documented bound; every vector is coded. The index is dealt into parts of at most about
-PART rows, and each query goes to every part: a task holds one part and takes the queries
+documented bound; every vector is coded. The index is dealt into parts of about PART bytes
+of vectors (smaller ones while there are fewer parts than tasks at once), and each query goes to every part: a task holds one part and takes the queries
 as they come, QUERIES at a time, so nothing but the codebooks is sent to all tasks and
 neither the driver nor a task holds all queries. Each part keeps its k best for each query.
 
@@ -34,8 +34,8 @@ from pyspark.sql.window import Window
 from wayfare.scratch import write_table
 
 BOOKS, WORDS, BEAM = 8, 256, 8
-#: Rows of a part of the index, rows of a block (from which `rerank` are scored exactly), queries at once.
-PART, BLOCK, QUERIES = 8192, 4096, 256
+#: Bytes of a part of the index, rows of a block (from which `rerank` are scored exactly), queries at once.
+PART, BLOCK, QUERIES = 32 << 20, 4096, 256
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -213,7 +213,10 @@ def search(index: DataFrame, books: np.ndarray | None, queries: DataFrame, k: in
     if books is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(books)
-    parts = max(1, -(-index.count() // PART))
+    n, tasks = index.count(), 2 * spark.sparkContext.defaultParallelism
+    full = max(BLOCK, PART // (8 * books.shape[2]) // BLOCK * BLOCK)
+    # a copy of the queries goes to each part: whole parts at scale, down to two blocks while tasks would stand idle
+    parts = max(1, -(-n // full), min(tasks, -(-n // (2 * BLOCK))))
     # by row, so that rows of one id or one vector are spread like any others
     part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).cast("int")
     rows = index.select(part.alias("part"), F.lit(False).alias("query"), "vec_id", "embedding", "norm", "codes")
