@@ -105,3 +105,11 @@ def test_nested_clusters_of_the_given_customers(spark):
     sf = "/root/testdata/sf0.001"
     points = [tuple(r) for r in places(spark, sf, "customer", "c_custkey").select("c_custkey", "lat", "lon").collect()]
     assert {(r["zoom"], r["id"]): r["n"] for r in nested_clusters(spark, sf).collect()} == {k: v[0] for k, v in pooled(points, 8, 14).items()}
+
+
+def test_names_in_the_order_of_readers(spark):
+    want = ["a", "A", "a b", "a-b", "ab", "äb", "b", "e", "é", "Z"]
+    rows = spark.createDataFrame([(n, i) for i, n in enumerate(reversed(want))], "name string, ord int")
+    got = junctions.browse(rows, "name", "ord", 4, 3).orderBy("place").collect()
+    assert [(r["name"], r["place"]) for r in got] == [(n, i + 1) for i, n in enumerate(want)][3:7]
+    assert junctions.browse(rows.limit(0), "name", "ord", 4).count() == 0

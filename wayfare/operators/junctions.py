@@ -262,6 +262,16 @@ def seeded(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter("outcome = 'attached'").groupBy("to").agg(F.array_sort(F.collect_set("id")).alias("seed_ids"))
 
 
+def browse(rows: DataFrame, name: str, ordinal: str, size: int, after: int = 0) -> DataFrame:
+    """`size` rows with their `place` (from 1) in the order in which readers look names up, behind the first `after`; ties by ordinal.
+
+    The order is that of the root collation: case and accents count only where letters are equal. A bounded sort.
+    """
+    key = [F.collate(F.col(name), "UNICODE"), F.col(ordinal)]
+    top = rows.orderBy(*key).limit(after + size)  # so the window below holds a page and what is before it
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*key))).filter(F.col("place") > after)
+
+
 def most_common(rows: DataFrame, value: str, ordinal: str) -> DataFrame:
     """One row: the value met most often, the first met on ties; blanks do not count."""
     counts = rows.filter(F.coalesce(F.col(value) != "", F.lit(False))).groupBy(value).agg(F.count("*").alias("n"), F.min(ordinal).alias("first"))

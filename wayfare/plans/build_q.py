@@ -103,6 +103,14 @@ def listed_only(spark, sf_dir):
     return rows.select("id", "canonical_name", "lat", "lon", "confidence", F.array_join(F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";").alias("tags"))
 
 
+def browse_order(spark, sf_dir):
+    """The second hundred of parts by name, in mixed case, with accents and signs, as readers look them up."""
+    k = F.col("p_partkey")
+    plain = F.when(k % 5 == 0, F.translate("p_name", "eao", "éàö")).when(k % 7 == 0, F.translate("p_name", " ", "-")).otherwise(F.col("p_name"))
+    name = F.when(k % 3 == 0, F.upper(plain)).when(k % 3 == 1, F.initcap(plain)).otherwise(plain)
+    return junctions.browse(table(spark, sf_dir, "part").select("p_partkey", name.alias("name")), "name", "p_partkey", 100, 100)
+
+
 def polylines(spark, sf_dir):
     """Each order's encoded line of three points: decoded, its length and its bearing along."""
     k = F.col("o_orderkey")
@@ -292,7 +300,7 @@ oc AS (SELECT id, CASE WHEN m > 5 THEN 'moved' ELSE 'present' END AS outcome, id
 _DAYS = """rw AS (SELECT l_orderkey AS panel, l_extendedprice + l_linenumber / 8.0::DOUBLE AS top, printf('%02d:00', trunc(l_quantity % 20)::INT) AS st, printf('%02d:30', trunc(l_quantity % 20)::INT + l_linenumber % 4) AS en, l_returnflag <> 'R' AS timed, l_tax < 0.05 AS cons, l_discount > 0.08 AS un FROM lineitem),
 dg AS (SELECT *, sum(b) OVER (PARTITION BY panel ORDER BY top)::INT AS day FROM (SELECT *, coalesce(st < lag(en) OVER w AND st <= lag(st) OVER w, FALSE)::INT AS b FROM rw WINDOW w AS (PARTITION BY panel ORDER BY top)))"""
 
-QUERIES = {f.__name__: f for f in (junction_records, junction_counts, junction_tags, merged_approaches, reconciled, reconcile_report, listed_only, polylines, day_plans, parse_confidence, row_bands, phase_labels, matrix_confidence, headers_and_roads, word_lines, timing_table, page_plans, junction_matches, name_matches)}
+QUERIES = {f.__name__: f for f in (junction_records, junction_counts, junction_tags, merged_approaches, reconciled, reconcile_report, listed_only, browse_order, polylines, day_plans, parse_confidence, row_bands, phase_labels, matrix_confidence, headers_and_roads, word_lines, timing_table, page_plans, junction_matches, name_matches)}
 ORACLES = {
     "junction_records": f"""WITH {_MEM} SELECT junction, 'gw-' || left(sha1(ids), 12) AS id, coalesce(named, CASE WHEN len(roads) >= 2 THEN roads[1] || ' × ' || roads[2] WHEN len(roads) = 1 THEN roads[1] || ' signal' END, 'Unnamed signal') AS canonical_name, round(lat, 6) AS lat, round(lon, 6) AS lon, kind, ids AS node_ids, round(spread, 3) AS spread, round(conf, 6) AS confidence, conf < 0.6 OR nodes > 6 AS review, array_to_string(roads, '|') AS roads, ap AS approaches FROM js""",
     "junction_counts": f"WITH {_MEM} SELECT count(*) AS junctions, sum(ap)::BIGINT AS approaches, count(*) FILTER (conf < 0.6 OR nodes > 6) AS review_needed, " + ", ".join(f"count(*) FILTER (kind = '{k}') AS {k}" for k in ("junction", "pedestrian_crossing", "midblock_or_single_road", "unresolved")) + " FROM js",
@@ -310,6 +318,9 @@ SELECT j AS junction, row_number() OVER (PARTITION BY j ORDER BY m.b, m.name, m.
 (SELECT count(*) FROM customer WHERE c_custkey % 5 < 2 AND (CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE '' END <> CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE '' END OR c_custkey % 3 = 0)) AS tag_differences, 'lights_2024-01-31.csv' AS file, '2024-01-31' AS as_of,
 (SELECT round(min(lat), 7) FROM kk) AS south, (SELECT round(max(lat), 7) FROM kk) AS north, (SELECT round(min(lon), 7) FROM kk) AS west, (SELECT round(max(lon), 7) FROM kk) AS east FROM oc""",
     "listed_only": f"""SELECT 'gw-' || left(sha1(c_custkey::VARCHAR), 12) AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Unnamed signal' END AS canonical_name, round(lat, 7) AS lat, round(lon, 7) AS lon, 0.45::DOUBLE AS confidence, concat_ws(';', 'highway=traffic_signals', CASE WHEN c_custkey % 2 = 0 THEN 'name=' || c_name END, CASE WHEN c_custkey % 3 = 0 THEN 'traffic_signals:direction=both' END, 'traffic_signals=signal') AS tags FROM {_place_sql("customer", "c_custkey")} JOIN customer USING (c_custkey)""",
+    "browse_order": """WITH n AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN translate(p_name, 'eao', 'éàö') WHEN p_partkey % 7 = 0 THEN translate(p_name, ' ', '-') ELSE p_name END AS t FROM part),
+m AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(t) WHEN 1 THEN array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') ELSE t END AS name FROM n)
+SELECT p_partkey, name, place::INT AS place FROM (SELECT *, row_number() OVER (ORDER BY name COLLATE en, p_partkey) AS place FROM m) WHERE place BETWEEN 101 AND 200""",
     "polylines": """WITH k AS (SELECT o_orderkey, (o_orderkey * 3) % 15 AS a, -((o_orderkey * 5) % 15) - 1 AS b, (o_orderkey * 7) % 15 AS c, (o_orderkey * 11) % 15 AS d FROM orders),
 p AS (SELECT o_orderkey, [38.5::DOUBLE, (3850000 + a) / 100000.0::DOUBLE, (3850000 + a + c) / 100000.0::DOUBLE] AS y, [-120.2::DOUBLE, (-12020000 + b) / 100000.0::DOUBLE, (-12020000 + b + d) / 100000.0::DOUBLE] AS x FROM k)
 SELECT o_orderkey, 3 AS points, round(y[3], 5) AS lat, round(x[3], 5) AS lon, round(list_sum(list_transform([1, 2], lambda i: 2::DOUBLE * 6371008.8::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin((radians(y[i + 1]) - radians(y[i])) / 2), 2) + cos(radians(y[i])) * cos(radians(y[i + 1])) * pow(sin((radians(x[i + 1]) - radians(x[i])) / 2), 2)))))), 3) AS metres FROM p""",
