@@ -58,7 +58,10 @@ def rows(words: DataFrame, phases: DataFrame) -> DataFrame:
     across = phases.groupBy("panel").agg(F.array_sort(F.collect_list(F.struct("phase", "x"))).alias("columns"))
     times = times.join(across, "panel", "left").join(cycle, "panel", "left").withColumn("columns", F.coalesce("columns", F.array().cast("array<struct<phase:int,x:double>>")))
 
-    near = words.select("panel", "ltop", "top", "x0", "x1", "text").join(times, "panel").filter(F.abs(F.col("ltop") - F.col("rtop")) <= ROW)
+    # lines near a row first, then their words
+    lines = words.groupBy("panel", "line").agg(F.first("ltop").alias("ltop"))
+    close = times.join(lines, "panel").filter(F.abs(F.col("ltop") - F.col("rtop")) <= ROW).drop("ltop")
+    near = words.select("panel", "line", "top", "x0", "x1", "text").join(close, ["panel", "line"])
     column = F.array_min(F.transform("columns", lambda c: F.struct(F.abs(c["x"] - _centre()).alias("d"), c["phase"].alias("phase"))))
     off = F.abs(F.col("cycle_x") - _centre())
     by_cycle = F.coalesce((off <= layout.COLUMN_REACH) & ((off < column["d"]) | column.isNull()), F.lit(False))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from wayfare.functions import geo, text
 from wayfare.operators import junctions, layout, match, pages
 from wayfare.plans.spatial_q import _HAV, _place_sql, places
+from wayfare.scratch import write_table
 from wayfare.session import table
 
 
@@ -238,7 +239,7 @@ def _page_words(spark, sf_dir):
     body = li.select("doc", F.inline(F.array_compact(F.concat(F.array(*more), numbers))))
     whole = F.concat_ws(" ", name, said("MARKET,"), station, said("POLICE STATION -"), control)
     labels = [F.when(kk % 3 != 2, F.struct((y + 80).alias("top"), F.lit(130.0).alias("x"), F.lit("P ROAD X S ROAD").alias("text"))), F.when(kk % 2 == 0, F.struct(high.alias("top"), F.lit(40.0).alias("x"), whole.alias("text")))]
-    return frame.unionByName(body), o.select("doc", F.inline(F.array_compact(F.array(*labels))))
+    return write_table(frame.unionByName(body), "words"), o.select("doc", F.inline(F.array_compact(F.array(*labels))))
 
 
 def page_plans(spark, sf_dir):
