@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayfare.functions import similarity, text
-from wayfare.operators import board, plans, snapshot
+from wayfare.functions import clock, similarity, text
+from wayfare.operators import board, plans, quality, snapshot
 from wayfare.session import table
 
 KINDS = ["click", "error", "purchase", "signup"]
@@ -125,6 +125,25 @@ def superseded(spark, sf_dir):
     return plans.superseded(_blocks(spark, sf_dir)).select("key")
 
 
+def _ingested(spark, sf_dir):
+    """Orders as blocks named by priority and customer, three customers to a junction."""
+    tiers, k, c = F.array(*map(F.lit, ["strong", "moderate", "weak", "none"])), F.col("o_orderkey"), F.col("o_custkey")
+    own = table(spark, sf_dir, "orders").select(k.alias("key"), F.concat_ws("|", "o_orderpriority", c).alias("name_key"), F.get(tiers, (k % 4).cast("int")).alias("tier"), F.when(k % 7 != 0, F.floor(c / 3)).alias("target"))
+    dated = _blocks(spark, sf_dir).select("key", "sig", F.when(F.col("key") % 5 != 0, F.date_format("dated", "yyyy-MM-dd")).alias("dated"))
+    return own.join(dated, "key").withColumn("currency", clock.ingest_currency(F.col("dated"), F.lit(None).cast("string"), F.lit("1998-06-01").cast("date")))
+
+
+def block_flags(spark, sf_dir):
+    """What the ingest marks in each block, the block it repeats and how many it disagrees with."""
+    got = quality.block_flags(_ingested(spark, sf_dir))
+    return got.select("key", "duplicate_of", "conflicts", F.array_join("quality_flags", ",").alias("flags"))
+
+
+def conflict_members(spark, sf_dir):
+    """The blocks of every name and junction that disagree, by their timings."""
+    return quality.conflict_members(_ingested(spark, sf_dir))
+
+
 def gaps(spark, sf_dir):
     """Runs of each user's events no more than six hours apart."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -135,9 +154,14 @@ def gaps(spark, sf_dir):
 _BLK = """blk AS (SELECT o_orderkey AS key, o_orderpriority AS name, o_orderpriority || '|' || (o_custkey % 97) AS name_key, o_custkey % 211 AS target, o_orderdate::DATE AS dated, o_orderstatus = 'F' AS verified, o_orderkey % 9 = 0 AS rejected, sig
 FROM orders LEFT JOIN (SELECT l_orderkey, count(*) || '/' || sum((l_linestatus = 'O')::INT) AS sig FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
 dup AS (SELECT key, canonical FROM (SELECT key, min(key) OVER (PARTITION BY name_key, sig) AS canonical FROM blk WHERE sig IS NOT NULL) WHERE key <> canonical)"""
+_ING = """b AS (SELECT o_orderkey AS key, o_orderpriority || '|' || o_custkey AS name_key, ['strong', 'moderate', 'weak', 'none'][o_orderkey % 4 + 1] AS tier, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey // 3 END AS target, sig, CASE WHEN o_orderkey % 5 <> 0 THEN date_diff('day', o_orderdate::DATE, DATE '1998-06-01') END AS age
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) || '/' || sum((l_linestatus = 'O')::INT) AS sig FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+dup AS (SELECT key, f FROM (SELECT key, min(key) OVER (PARTITION BY name_key, sig) AS f FROM b WHERE sig IS NOT NULL) WHERE key <> f),
+live AS (SELECT * FROM b WHERE sig IS NOT NULL AND target IS NOT NULL AND tier IN ('strong', 'moderate') AND key NOT IN (SELECT key FROM dup)),
+tgt AS (SELECT target FROM live GROUP BY target HAVING count(DISTINCT name_key) >= 2 AND count(DISTINCT sig) >= 2)"""
 _STOP = ", ".join(f"'{w}'" for w in text.STOP)
 
-QUERIES = {f.__name__: f for f in (keyset_page, board_counts, board_answer, rolling_counts, admission, admission_of_all, validation, search_ranked, snapshot_diff, latest_wins, contact_filter, clean_names, fuzzy_match, mentions, duplicates, conflicts, superseded, gaps)}
+QUERIES = {f.__name__: f for f in (keyset_page, board_counts, board_answer, rolling_counts, admission, admission_of_all, validation, search_ranked, snapshot_diff, latest_wins, contact_filter, clean_names, fuzzy_match, mentions, duplicates, conflicts, block_flags, conflict_members, superseded, gaps)}
 ORACLES = {
     "keyset_page": "SELECT event_id AS seq, event_type AS kind, value, (SELECT count(*) FROM events WHERE event_type = 'click' AND event_id < 900) > 30 AS more FROM events WHERE event_type = 'click' AND event_id < 900 ORDER BY event_id DESC LIMIT 30",
     "board_counts": "SELECT " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS {k}" for k in KINDS) + ", count(*) AS total, max(event_id) AS newest FROM events",
@@ -165,6 +189,11 @@ WHEN NOT (77.3::DOUBLE + (conv_id % 60) / 100.0::DOUBLE BETWEEN 77.38::DOUBLE AN
     "contact_filter": r"SELECT doc_id, regexp_matches(text, '(?:\+?[0-9][\s\-.()]*){10,}') OR regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}') AS has_contact FROM documents",
     "duplicates": f"WITH {_BLK} SELECT * FROM dup",
     "conflicts": f"WITH {_BLK} SELECT target, count(*) AS n, count(DISTINCT sig) AS signatures, count(DISTINCT sig) FILTER (verified) > 1 AS among_verified FROM blk WHERE key NOT IN (SELECT key FROM dup) AND NOT rejected AND sig IS NOT NULL GROUP BY target HAVING count(DISTINCT sig) >= 2",
+    "block_flags": f"""WITH {_ING}, pairs AS (SELECT a.key, o.key AS other, 1 AS k FROM b a JOIN b o ON a.name_key = o.name_key AND a.sig <> o.sig UNION ALL SELECT a.key, o.key, 2 FROM live a JOIN live o ON a.target = o.target AND a.sig <> o.sig WHERE a.target IN (SELECT target FROM tgt)),
+cf AS (SELECT key, count(DISTINCT other) AS conflicts, min(k) = 1 AS timings, max(k) = 2 AS place FROM pairs GROUP BY key)
+SELECT b.key, f AS duplicate_of, coalesce(conflicts, 0) AS conflicts, concat_ws(',', CASE WHEN place THEN 'conflicting_target' END, CASE WHEN timings THEN 'conflicting_timings' END, CASE WHEN f IS NOT NULL THEN 'duplicate' END, CASE WHEN age > 365 THEN 'stale_document' END, CASE WHEN age IS NULL THEN 'undated_document' END, CASE WHEN tier IN ('weak', 'none') THEN 'weak_match' END) AS flags
+FROM b LEFT JOIN dup ON dup.key = b.key LEFT JOIN cf ON cf.key = b.key""",
+    "conflict_members": f"""WITH {_ING}, nm AS (SELECT name_key FROM b WHERE sig IS NOT NULL GROUP BY 1 HAVING count(DISTINCT sig) >= 2) SELECT 'name' AS kind, name_key AS place, sig, key FROM b JOIN nm USING (name_key) WHERE sig IS NOT NULL UNION ALL SELECT 'target', target::VARCHAR, sig, key FROM live JOIN tgt USING (target)""",
     "superseded": f"WITH {_BLK} SELECT key FROM blk m WHERE EXISTS (SELECT 1 FROM blk o WHERE o.target = m.target AND NOT o.rejected AND o.dated > m.dated AND o.sig IS DISTINCT FROM m.sig)",
     "clean_names": f"""SELECT p_partkey, array_to_string(list_filter(w, lambda t: t NOT IN ({_STOP}) AND len(t) > 1), ' ') AS name, array_to_string(list_sort(list_distinct(list_filter(w, lambda t: t NOT IN ({_STOP}) AND len(t) > 1))), ',') AS tokens,
 CASE WHEN len(trim(regexp_replace(raw, '\\s+', ' ', 'g'))) > 20 THEN left(trim(regexp_replace(raw, '\\s+', ' ', 'g')), 19) || '…' ELSE trim(regexp_replace(raw, '\\s+', ' ', 'g')) END AS tag
