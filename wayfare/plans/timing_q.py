@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wayfare.functions import clock
 from wayfare.operators import models, plans, predict, stats
 from wayfare.session import table
+from wayfare.streaming import residuals
 
 #: junction kind (junction % 3), plan_ord, day_type, win_ord, start, end, mode, phases, cycle, ped
 PLANS = [
@@ -105,6 +106,16 @@ def recent_residual(spark, sf_dir):
     return got.select("junction", F.round("adjustment", 9).alias("adjustment"), "recent_n")
 
 
+def daily_residuals(spark, sf_dir):
+    """For each user and midnight, the decayed mean of what delays of the 36 hours before differ from 20 s, by slices of an hour."""
+    rows = encounters(spark, sf_dir).select("journey", "ts", (F.col("delay") - 20).alias("residual"), "quality")
+    slices = residuals.residual_slices(rows, ["journey"], 43200.0, 3600, 0.01)
+    first = F.ceil(clock.epoch(F.col("until")) / clock.DAY_S)
+    at = F.explode(F.sequence(first, first + 1)).alias("day")
+    got = residuals.residuals_at(slices.select("*", at).withColumn("at", F.timestamp_seconds(F.col("day") * clock.DAY_S)), ["journey", "day"], F.col("at"), 43200.0)
+    return got.select("journey", "day", F.round("adjustment", 8).alias("adjustment"), "recent_n")
+
+
 def offset_fit(spark, sf_dir):
     """The offset of a cycle of 12 s that fits most of each junction's events within 4 s."""
     e = encounters(spark, sf_dir).withColumn("g", F.pmod(clock.epoch(F.col("ts")), F.lit(86400.0)))
@@ -283,7 +294,7 @@ round(CASE WHEN level IN ('B', 'C', 'D') THEN ks WHEN level = 'P' THEN pst END,
 round(CASE WHEN level IN ('B', 'C', 'D') THEN least(CASE level WHEN 'B' THEN 0.85::DOUBLE WHEN 'C' THEN 0.6::DOUBLE ELSE 0.35::DOUBLE END, 1 - exp(-ne / 40)) WHEN level = 'P' AND pm IS NOT NULL THEN CASE WHEN assigned IS NOT NULL THEN least(0.6::DOUBLE, base + 0.1::DOUBLE) ELSE base END * CASE WHEN junction % 2 = 0 THEN 0.85::DOUBLE ELSE 1 END * CASE WHEN junction % 7 = 5 THEN 0.7::DOUBLE ELSE 1 END ELSE 0 END, 6) AS confidence,
 CASE WHEN ver AND greens IS NOT NULL THEN cycle_s END AS cycle_s, CASE WHEN level IN ('B', 'C', 'D') THEN coalesce(rn, 0) ELSE 0 END AS recent_n, CASE WHEN level IN ('B', 'C', 'D') THEN round(epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(last), 3) END AS data_age_s, mode FROM f"""
 
-QUERIES = {f.__name__: f for f in (interval_join, plan_prior, hourly_summary, weighted_quantile, kernel_estimate, scores, recent_residual, offset_fit, autocorrelation, green_start_fits, cycle_scan, cycle_bootstrap, prior_levels, predictions, phase_clock, random_numbers, sample_statistics, clock_features, document_currency)}
+QUERIES = {f.__name__: f for f in (interval_join, plan_prior, hourly_summary, weighted_quantile, kernel_estimate, scores, recent_residual, daily_residuals, offset_fit, autocorrelation, green_start_fits, cycle_scan, cycle_bootstrap, prior_levels, predictions, phase_clock, random_numbers, sample_statistics, clock_features, document_currency)}
 ORACLES = {
     "interval_join": _ACTIVE + " SELECT event_id, day_type, assumed, mode, win_ord, cycle_s FROM act",
     "predictions": _PREDICT,
@@ -310,6 +321,10 @@ SELECT round(avg(pow(p - y, 2)), 9) AS brier, round(avg(-(y * ln(p) + (1 - y) *
 w AS (SELECT junction, r, exp(-age / 7200.0::DOUBLE) * quality AS w, row_number() OVER (PARTITION BY junction ORDER BY abs(r)) - 1 AS i, count(*) OVER (PARTITION BY junction) AS n FROM a WHERE age < 21600),
 p AS (SELECT *, max(abs(r)) FILTER (i = least(n - 1, floor(0.99 * n))) OVER (PARTITION BY junction) AS p FROM w)
 SELECT junction, round(CASE WHEN count(*) < 3 THEN 0 ELSE 0.5 * sum(w * greatest(-p, least(p, r))) / sum(w) END, 9) AS adjustment, count(*) AS recent_n FROM p GROUP BY junction""",
+    "daily_residuals": f"""WITH {_ENC}, a AS (SELECT journey, delay - 20 AS r, quality, epoch(ts) AS t, unnest([ceil(epoch(ts) / 86400), ceil(epoch(ts) / 86400) + 1])::BIGINT AS day FROM enc),
+w AS (SELECT journey, day, r, exp((t - day * 86400) / 43200.0::DOUBLE) * quality AS w, row_number() OVER (PARTITION BY journey, day ORDER BY abs(r)) - 1 AS i, count(*) OVER (PARTITION BY journey, day) AS n FROM a WHERE day * 86400 - t < 129600),
+p AS (SELECT *, max(abs(r)) FILTER (i = least(n - 1, floor(0.99 * n))) OVER (PARTITION BY journey, day) AS p FROM w)
+SELECT journey, day, round(CASE WHEN count(*) < 3 THEN 0 ELSE 0.5 * sum(w * greatest(-p, least(p, r))) / sum(w) END, 8) AS adjustment, count(*) AS recent_n FROM p GROUP BY journey, day""",
     "offset_fit": f"""WITH {_ENC}, g AS (SELECT junction, (epoch(ts) % 86400) AS g FROM enc), o AS (SELECT i * 0.5::DOUBLE AS o FROM range(0, 24) t(i)),
 r AS (SELECT junction, o, least((g - o + 12) % 12, 12 - (g - o + 12) % 12) AS r FROM g, o),
 c AS (SELECT junction, o, sum(CASE WHEN r <= 4 THEN 0.5::DOUBLE * r * r ELSE 4 * (r - 2) END) AS cost, count(*) AS n, avg((r <= 4)::INT) AS inl FROM r GROUP BY ALL)
