@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wayfare.functions import clock, formats
+from wayfare.operators import claims as claim_rows
 from wayfare.operators import junctions, links, plans, stats
 from wayfare.session import table
 
@@ -141,6 +142,41 @@ def claims(spark, sf_dir):
     return got.select("junction", "id", "kind", "status", "label", "tier", F.round("score", 6).alias("score"), "currency", "note", F.array_join("flags", ",").alias("flags"), "affects", "rank")
 
 
+def _plan_windows(spark, sf_dir):
+    """Line items as windows of their order's block, four hours and a half each, dealt to four kinds of day."""
+    kinds = F.array(*map(F.lit, ["weekday_default", "saturday", "sunday", "weekend"]))
+    n, q = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    plan, mode = ((F.col("l_orderkey") + n) % 4).cast("int"), F.when(F.col("l_returnflag") == "R", "blinking").otherwise("timed")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("key"), plan.alias("plan_ord"), F.get(kinds, plan).alias("day_type"), n.alias("win_ord"), F.format_string("%02d:00", 2 * n + 2).alias("start"), F.format_string("%02d:30", 2 * n + 6).alias("end"),
+        mode.alias("mode"), (60 + q).alias("cycle_s"), F.array(q, F.lit(10)).alias("phases"), F.lit(None).cast("int").alias("ped"), F.when(F.col("l_tax") > 0.04, q % 9 + 5).alias("ped_s"), (q % 2 == 0).alias("consistent"),
+    )
+
+
+def claim_documents(spark, sf_dir):
+    """Claims of links and mentions in full, judged on a Sunday at ten in the morning."""
+    stood = _stood(spark, sf_dir)
+    rows = links.verified_links(stood).unionByName(links.candidate_links(stood))
+    o, none = table(spark, sf_dir, "orders"), F.lit(None).cast("string")
+    iso = F.date_format("o_orderdate", "yyyy-MM-dd")
+    blocks = o.select(_k().alias("key"), F.col("o_orderpriority").alias("label"), F.when(_k() % 3 == 0, F.substring(iso, 1, 7)).alias("document_date"), F.when(_k() % 5 == 0, iso).alias("published_at"), none.alias("retrieved_at"), F.when(_k() % 3 != 0, (_k() % 5).cast("int")).alias("phase_count"), F.array(F.lit("A"), none).alias("phase_labels"), ((_k() % 10) / 10).alias("parse_confidence"))
+    first = F.date_format(F.min("o_orderdate"), "yyyy-MM-dd")
+    source = F.concat(F.lit("s"), _c() % 50)
+    sources = o.groupBy(source.alias("source")).agg(first.alias("published_at"), F.min(_c() % 50).alias("n"))
+    name = F.concat(F.lit(claim_rows.LONG_NAME), "source")
+    sources = sources.select("source", name.alias("source_name"), F.lit("P").alias("publisher"), none.alias("portal"), none.alias("url"), F.lit("CC").alias("license"), none.alias("document_date"), F.when(F.col("n") % 2 == 0, F.col("published_at")).alias("published_at"), F.lit("2024-01-02").alias("retrieved_at"))
+    p = F.col("id")
+    said = _evidence(spark, sf_dir).select("*", F.concat(F.lit("s"), p % 50).alias("source"), F.concat(F.lit("m"), p).alias("mention"), F.lit("planning_mention").alias("claim_type"), (p % 9).cast("int").alias("page"), F.concat(F.lit("q"), p).alias("quote"))
+    day = F.lit(_AS_OF).cast("date")
+    got = claim_rows.documents(claim_rows.published(rows, blocks, sources, _plan_windows(spark, sf_dir), F.expr("TIMESTAMP '2024-01-07 04:30:00Z'"), day), claim_rows.historical(said, sources, day))
+    w, c = F.col("applicable_window"), F.col("currency")
+    return got.select(
+        "junction", "id", "kind", F.col("source.name").alias("source"), F.size("windows").alias("windows"), F.concat_ws(" ", w["start"], w["end"], w["mode"], w["cycle_s"].cast("string"), w["pedestrian_phase_s"].cast("string")).alias("applicable"), F.col("applicable_note").alias("note"),
+        "document_date", "published_at", "retrieved_at", c["status"].alias("currency"), c["effective_date"].alias("effective"), c["age_days"].alias("age"), F.col("verification.by").alias("reviewer"), F.col("verification.status").alias("verified"), F.col("match.tier").alias("tier"),
+        F.round("match.score", 6).alias("score"), F.array_join("quality_flags", ",").alias("flags"), F.col("affects_recommendations").alias("affects"), "summary", F.col("control_type_hint").alias("hint"), "page", "quote", F.col("parse_confidence").alias("confidence"), "rank",
+    )
+
+
 def mention_counts(spark, sf_dir):
     return links.mention_counts(_evidence(spark, sf_dir))
 
@@ -209,7 +245,7 @@ cat AS (SELECT *, CASE WHEN is_live THEN 'live_timing' WHEN is_verified THEN 've
 _AGE = "greatest(0, date_diff('day', {d}, DATE '" + _AS_OF + "'))"
 _STATUS = "CASE WHEN {a} IS NULL THEN 'undated' WHEN {a} <= 180 THEN 'current' WHEN {a} <= 365 THEN 'aging' ELSE 'stale' END"
 
-QUERIES = {f.__name__: f for f in (plan_links, plan_inputs, plan_status_counts, coverage, coverage_summary, unknown_summary, control_split, map_layers, plan_summaries, window_texts, claims, mention_counts, stale_sources, weak_matches, ranking_prior, timing_signatures, ingest_status, ingest_tallies)}
+QUERIES = {f.__name__: f for f in (plan_links, plan_inputs, plan_status_counts, coverage, coverage_summary, unknown_summary, control_split, map_layers, plan_summaries, window_texts, claims, claim_documents, mention_counts, stale_sources, weak_matches, ranking_prior, timing_signatures, ingest_status, ingest_tallies)}
 ORACLES = {
     "plan_links": _STOOD + """ SELECT junction, key, link, passed AS pre_validated, score, CASE WHEN link = 'verified' THEN rb END AS verified_by, CASE WHEN link = 'verified' THEN strftime(ra, '%Y-%m-%d') END AS verified_at, flags,
 row_number() OVER (PARTITION BY junction ORDER BY link = 'verified' DESC, passed DESC, score DESC, key)::INT AS rank FROM lk""",
@@ -241,6 +277,24 @@ liv AS (SELECT s_suppkey % 211, 'live:feed' || (s_suppkey % 3) || ':' || (s_supp
   CASE WHEN s_suppkey % 60 <= 30 THEN 'live' ELSE 'stale' END, CASE WHEN s_suppkey % 2 = 0 THEN 'Approach N' ELSE 'Junction-wide state' END, CASE WHEN s_suppkey % 60 <= 30 THEN '' ELSE 'stale_live_sample' END, s_suppkey % 60 <= 30 FROM supplier),
 al AS (SELECT * FROM pub UNION ALL SELECT * FROM his UNION ALL SELECT * FROM liv)
 SELECT junction, id, kind, status, label, tier, round(score, 6) AS score, currency, note, flags, affects, row_number() OVER (PARTITION BY junction ORDER BY list_position(['live', 'published', 'historical'], kind), list_position(['verified', 'pre_validated', 'awaiting_review', 'deactivated', 'not_applicable', 'rejected'], status), coalesce(score, 0) DESC, id)::INT AS rank FROM al""",
+    "claim_documents": _STOOD + f""", o AS (SELECT o_orderkey AS key, o_orderdate::DATE AS d, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m') END AS doc, CASE WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS pub FROM orders),
+src AS (SELECT 's' || (o_custkey % 50) AS source, CASE WHEN min(o_custkey % 50) % 2 = 0 THEN strftime(min(o_orderdate), '%Y-%m-%d') END AS spub FROM orders GROUP BY 1),
+w AS (SELECT l_orderkey AS key, (l_orderkey + l_linenumber) % 4 AS p, l_linenumber AS o, 2 * l_linenumber + 2 AS h, CASE WHEN l_returnflag = 'R' THEN 'blinking' ELSE 'timed' END AS mode, 60 + trunc(l_quantity)::INT AS c, CASE WHEN l_tax > 0.04 THEN trunc(l_quantity)::INT % 9 + 5 END AS ped FROM lineitem),
+ch AS (SELECT key, min(CASE p WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 0 THEN 10 END) AS x FROM w GROUP BY key),
+hit AS (SELECT key, arg_min({{'t': printf('%02d:00', h::INT) || ' ' || printf('%02d:30', (h + 4)::INT) || ' ' || mode || ' ' || c || coalesce(' ' || ped, '')}}, (o, mode, c, coalesce(ped, -1))).t AS t FROM w JOIN ch USING (key) WHERE p = x % 10 AND h * 60 <= 600 AND 600 < h * 60 + 270 GROUP BY key),
+sm AS (SELECT key, count(*) AS n, min(c) FILTER (mode = 'timed') AS c0, max(c) FILTER (mode = 'timed') AS c1, min(ped) FILTER (mode = 'timed') AS p0, max(ped) FILTER (mode = 'timed') AS p1, bool_or(p IN (2, 3)) AS sun FROM w GROUP BY key),
+pub AS (SELECT junction, lk.key::VARCHAR AS id, 'published' AS kind, 'BTP timing sheet — ' || lk.source AS source, coalesce(n, 0)::INT AS windows, coalesce(t, '') AS applicable,
+  CASE WHEN x IS NULL THEN 'No readable plan for this day type' WHEN t IS NULL THEN 'Outside every published window (signals commonly flash overnight)' WHEN x = 10 THEN 'Weekday plan assumed — no Sunday plan published' END AS note, doc AS document_date, coalesce(pub, spub) AS published_at, link, lk.passed,
+  CASE WHEN link = 'verified' THEN rb END AS reviewer, CASE WHEN link IN ('verified', 'deactivated') THEN link WHEN passed THEN 'pre_validated' ELSE 'awaiting_review' END AS verified, CASE WHEN link = 'verified' THEN 'reviewer-linked' ELSE tier END AS tier, CASE WHEN link <> 'verified' THEN score END AS score, flags, link = 'verified' AS affects,
+  concat_ws(' · ', coalesce(n, 0) || CASE WHEN n = 1 THEN ' window' ELSE ' windows' END, CASE WHEN c0 IS NOT NULL THEN 'C ' || CASE WHEN c0 = c1 THEN c0::VARCHAR ELSE c0 || '–' || c1 END || ' s' END, CASE WHEN lk.key % 3 <> 0 AND lk.key % 5 > 0 THEN (lk.key % 5) || ' phase columns' END,
+    CASE WHEN p0 IS NOT NULL THEN 'pedestrian stage ' || CASE WHEN p0 = p1 THEN p0::VARCHAR ELSE p0 || '–' || p1 END || ' s' END, CASE WHEN sun THEN 'separate Sunday plan' END) AS summary, hint, NULL::INT AS page, NULL AS quote, (lk.key % 10) / 10 AS confidence
+  FROM lk JOIN o USING (key) LEFT JOIN src ON src.source = lk.source LEFT JOIN ch USING (key) LEFT JOIN hit USING (key) LEFT JOIN sm USING (key)),
+his AS (SELECT p_partkey % 211, p_partkey::VARCHAR, 'historical', CASE WHEN src.source IS NOT NULL THEN '{claim_rows.LONG_NAME}' || src.source END, NULL, '', 'No timing values — the document mentions the junction without a cycle or phase table', NULL, spub, 'h', FALSE, NULL, 'not_applicable', CASE p_partkey % 3 WHEN 0 THEN 'strong' ELSE 'moderate' END, p_size / 50.0::DOUBLE,
+  CASE p_partkey % 3 WHEN 1 THEN 'possible_mention' ELSE '' END, FALSE, 'planning mention · page ' || (p_partkey % 9), NULL, (p_partkey % 9)::INT, 'q' || p_partkey, NULL FROM part LEFT JOIN src ON src.source = 's' || (p_partkey % 50) WHERE p_partkey % 5 <> 0 AND p_partkey % 3 < 2),
+al AS (SELECT *, coalesce(document_date, published_at) AS effective FROM (SELECT * FROM pub UNION ALL SELECT * FROM his)),
+dt AS (SELECT *, {_AGE.format(d="(CASE WHEN len(effective) = 7 THEN effective || '-01' ELSE effective END)::DATE")}::INT AS a FROM al)
+SELECT junction, id, kind, source, windows, applicable, note, document_date, published_at, CASE WHEN source IS NOT NULL THEN '2024-01-02' END AS retrieved_at, CASE WHEN kind = 'historical' THEN 'historical' ELSE {_STATUS.format(a="age")} END AS currency, effective, age, reviewer, verified, tier, round(score, 6) AS score, flags, affects, summary, hint, page, quote, confidence,
+row_number() OVER (PARTITION BY junction ORDER BY list_position(['live', 'published', 'historical'], kind), list_position(['verified', 'pre_validated', 'awaiting_review', 'deactivated', 'not_applicable', 'rejected'], verified), coalesce(score, 0) DESC, id)::INT AS rank FROM (SELECT *, CASE WHEN effective IS NOT NULL THEN a END AS age FROM dt)""",
     "mention_counts": "SELECT p_partkey % 211 AS junction, count(*) AS mentions FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 3 < 2 GROUP BY 1",
     "stale_sources": f"SELECT * FROM (SELECT o_orderkey AS source, CASE WHEN o_orderkey % 4 > 1 THEN 'undated' WHEN {_AGE.format(d='o_orderdate::DATE')} > 365 THEN 'stale' END AS status FROM orders) WHERE status IS NOT NULL",
     "weak_matches": _STOOD + " SELECT source, count(*) AS n, count(*) FILTER (best IS NULL) AS unmatched FROM blk WHERE tier IN ('weak', 'none') GROUP BY source",
