@@ -1,5 +1,7 @@
 """Claims as documents: windows, the one that holds, dates of block and source, verification, and the three kinds in order."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from wayfare.operators import claims
@@ -14,6 +16,7 @@ SUNDAY = "TIMESTAMP '2024-01-07 04:30:00Z'"  # ten in the morning, local
 NIGHT = "TIMESTAMP '2024-01-08 21:30:00Z'"
 
 
+@functools.cache
 def made(spark, at=SUNDAY):
     links = spark.createDataFrame([
         ("j1", "a#1", 1, "s1", "A", "fixed", "strong", ["duplicate"], True, "verified", 1.0, "rev", "2024-01-01"),
