@@ -28,7 +28,7 @@ def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def angular_difference(a: Column, b: Column) -> Column:
-    d = F.pmod(a - b, F.lit(360.0))
+    d = F.abs(a - b) % F.lit(360.0)  # of one size both ways, so that a limit holds for both alike
     return F.least(d, F.lit(360.0) - d)
 
 
