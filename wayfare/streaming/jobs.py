@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfare.functions import clock
 from wayfare.operators.board import CLIENT_DAY, CLIENT_HOUR, DAY_MS, Limits, admission_of_all
 from wayfare.scratch import write_table
 
@@ -67,7 +68,7 @@ def admission_stream(posts: DataFrame, post_id: str, client: str = "client", per
 
     A day's state goes once the watermark is two days past its last post.
     """
-    rows = posts.withWatermark("ts", "1 day").select("ts", F.col(client).alias("c"), F.date_format("ts", "yyyy-MM-dd").alias("d"), F.unix_millis("ts").alias("ms"), F.col(post_id).alias("id"))
+    rows = posts.withWatermark("ts", "1 day").select("ts", F.col(client).alias("c"), F.date_format("ts", "yyyy-MM-dd").alias("d"), clock.millis(F.col("ts")).alias("ms"), F.col(post_id).alias("id"))
     return rows.groupBy("c", "d").applyInPandasWithState(_admit(per_hour, per_day), "id long, ok boolean", "passed array<long>", "append", "EventTimeTimeout")
 
 
@@ -81,7 +82,7 @@ def submissions(posts: DataFrame, target: str, checkpoint: str, limits: Limits =
 
     def judge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        first = batch.agg(F.min(F.unix_millis(F.col("ts").cast("timestamp"))).alias("t")).first().t
+        first = batch.agg(F.min(clock.millis(F.col("ts"))).alias("t")).first().t
         if first is None:
             return
         names = {f.name: f.dataType.simpleString() for f in batch.schema}
