@@ -51,10 +51,11 @@ def edit_link(node: Column) -> Column:
     return F.concat(F.lit("https://www.openstreetmap.org/edit?node="), node.cast("string"))
 
 
-def size(n: Column) -> Column:
-    """Bytes as MB with one place, or whole KB, one at least."""
+def size(n: Column, even: bool = False) -> Column:
+    """Bytes as MB with one place, or whole KB, one at least. even: halves of the last place of MB go to the even digit."""
     kb = F.greatest(F.lit(1).cast("long"), half_up(n / 1024.0))
-    return F.when(n >= 1048576, F.format_string("%.1f MB", n / 1048576.0)).otherwise(F.format_string("%d KB", kb))
+    mb = F.bround(n / 1048576.0, 1) if even else n / 1048576.0
+    return F.when(n >= 1048576, F.format_string("%.1f MB", mb)).otherwise(F.format_string("%d KB", kb))
 
 
 def age_days(days: Column) -> Column:
