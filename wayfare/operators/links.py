@@ -226,12 +226,12 @@ def live_claims(states: DataFrame, now: Column) -> DataFrame:
 
 
 def claims(*parts: DataFrame) -> DataFrame:
-    """All claims with their rank at their junction: by kind, verification, then score."""
+    """All claims with their rank at their junction: by kind, verification, then score; ties by id, then note."""
     rows = parts[0].select(_CLAIM)
     for p in parts[1:]:
         rows = rows.unionByName(p.select(_CLAIM))
     at = lambda table, c: F.array_position(F.array(*map(F.lit, table)), F.col(c))
-    order = Window.partitionBy("junction").orderBy(at(KIND_ORDER, "kind"), at(VERIFIED_ORDER, "status"), F.desc(F.coalesce("score", F.lit(0.0))), "id")
+    order = Window.partitionBy("junction").orderBy(at(KIND_ORDER, "kind"), at(VERIFIED_ORDER, "status"), F.desc(F.coalesce("score", F.lit(0.0))), "id", "note")
     return rows.withColumn("rank", F.row_number().over(order))
 
 
