@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from wayfare.functions import geo
 from wayfare.operators import spatial
-from wayfare.operators.graph import connected_components
 from wayfare.session import table
 from wayfare.sources import sinks
 
@@ -61,14 +60,14 @@ def nested_clusters(spark, sf_dir):
 def eps_components(spark, sf_dir):
     """Suppliers linked within 3,000 m, closed over links."""
     pts = places(spark, sf_dir, "supplier", "s_suppkey")
-    comp = connected_components(spatial.epsilon_edges(pts, 3000.0, 13.0, "s_suppkey"))
+    comp = spatial.epsilon_components(pts, 3000.0, 13.0, "s_suppkey")
     return pts.join(comp, F.col("s_suppkey") == F.col("node"), "left").select("s_suppkey", F.coalesce("component", "s_suppkey").alias("component"))
 
 
 def clusters(spark, sf_dir):
     """Clusters of suppliers: content id, centroid, size."""
     pts = places(spark, sf_dir, "supplier", "s_suppkey")
-    comp = connected_components(spatial.epsilon_edges(pts, 3000.0, 13.0, "s_suppkey"))
+    comp = spatial.epsilon_components(pts, 3000.0, 13.0, "s_suppkey")
     got = spatial.cluster_members(pts, comp, "s_suppkey")
     return got.select("id", "n", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("spread_m", 2).alias("spread_m"))
 
