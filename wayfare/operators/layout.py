@@ -231,17 +231,23 @@ def placed_numbers(numbers: DataFrame, columns: DataFrame, cycles: DataFrame) ->
 
     numbers: panel, row, x, value; columns: panel, phase, x; cycles: panel, cycle_x. A number belongs to the nearer
     of the cycle and the nearest phase column, within COLUMN_REACH; of two under one phase the left one does.
+
+    All rows are dealt by panel before anything is gathered: a task that reads a table holds none of it, and what any other holds
+    follows its share of the panels.
     """
-    n = numbers.select("panel", "row", F.col("x").alias("nx"), "value")
-    near = n.join(columns, "panel", "left").groupBy("panel", "row", "nx", "value").agg(F.min(F.when(F.col("x").isNotNull(), F.struct(F.abs(F.col("x") - F.col("nx")).alias("d"), "phase"))).alias("m"))
-    near = near.join(cycles, "panel", "left").withColumn("c", F.abs(F.col("cycle_x") - F.col("nx")))
+    across = columns.filter("x IS NOT NULL").repartition("panel").groupBy("panel").agg(F.collect_list(F.struct("x", "phase")).alias("columns"))
+    n = numbers.select("panel", "row", F.col("x").alias("nx"), "value").repartition("panel").join(across, "panel", "left")
+    near = F.array_min(F.transform("columns", lambda c: F.struct(F.abs(c["x"] - F.col("nx")).alias("d"), c["phase"].alias("phase"))))
+    near = n.select("panel", "row", "nx", "value", F.inline(F.array(F.struct(near.alias("m"))))).join(cycles, "panel", "left").withColumn("c", F.abs(F.col("cycle_x") - F.col("nx")))
     by_cycle = F.coalesce((F.col("c") <= COLUMN_REACH) & ((F.col("c") < F.col("m.d")) | F.col("m.d").isNull()), F.lit(False))
     by_phase = ~by_cycle & F.coalesce(F.col("m.d") <= COLUMN_REACH, F.lit(False))
-    got = near.withColumn("phase", F.when(by_phase, F.col("m.phase"))).withColumn("place", F.when(by_cycle, "cycle").when(by_phase, "phase").otherwise("none"))
-    first = F.row_number().over(Window.partitionBy("panel", "row", "phase").orderBy("nx", "value")) == 1
-    taken = F.when((F.col("place") == "phase") & ~first, "none").otherwise(F.col("place"))
-    got = got.withColumn("_p", taken)
-    return got.select("panel", "row", "nx", "value", F.col("_p").alias("place"), F.when(F.col("_p") == "phase", F.col("phase")).alias("phase"))
+    got = near.select("panel", "row", "nx", "value", F.when(by_phase, F.col("m.phase")).alias("phase"), F.when(by_cycle, "cycle").when(by_phase, "phase").otherwise("none").alias("place"))
+    # a number read twice stands beside itself in this order, under one phase or none
+    each = Window.partitionBy("panel", "row", "phase").orderBy("nx", "value")
+    again = F.lag(F.lit(1)).over(each).isNotNull() & F.lag("nx").over(each).eqNullSafe(F.col("nx")) & F.lag("value").over(each).eqNullSafe(F.col("value"))
+    got = got.select("*", (F.row_number().over(each) == 1).alias("_first"), again.alias("_again")).filter("NOT _again")
+    taken = F.when((F.col("place") == "phase") & ~F.col("_first"), "none").otherwise(F.col("place"))
+    return got.select("panel", "row", "nx", "value", taken.alias("place"), F.when(taken == "phase", F.col("phase")).alias("phase"))
 
 
 def timing_rows(placed: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
@@ -250,7 +256,7 @@ def timing_rows(placed: DataFrame, rows: DataFrame, columns: DataFrame) -> DataF
     A row with one phase missing gets it from the cycle, one without a cycle the sum of its phases. Panels without
     phase columns are not read.
     """
-    n = columns.groupBy("panel").agg(F.count("*").cast("int").alias("n"))
+    n = columns.repartition("panel").groupBy("panel").agg(F.count("*").cast("int").alias("n"))
     sums = placed.groupBy("panel", "row").agg(
         F.map_from_entries(F.collect_list(F.when(F.col("place") == "phase", F.struct("phase", "value")))).alias("of"), F.max_by("value", F.when(F.col("place") == "cycle", F.struct("nx", "value"))).alias("stated"),
         F.count_if(F.col("place") == "none").alias("unassigned"),
