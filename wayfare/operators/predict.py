@@ -168,8 +168,10 @@ def predict(queries: DataFrame, encounters: DataFrame, windows: DataFrame, linke
     # residuals of the last hour and a half against the kernel mean at their own time, under the traffic asked for
     recent = encounters.drop("congestion").join(counts.filter("n >= 10").select("junction", F.col("n").alias("_n")), "junction")
     recent = recent.filter(clock.epoch(now) - clock.epoch(F.col("ts")) < 5400)
-    recent = recent.join(points.select("junction", *traffic).distinct(), "junction").withColumn("qid", F.xxhash64("junction", "ts", *traffic))
-    base = stats.kernel_estimates(samples, recent.select("qid", "junction", F.col("ts").alias("t"), "_n", *traffic).distinct(), now, by_level, ()).select("qid", "mean_delay")
+    recent = recent.join(points.select("junction", *traffic).distinct(), "junction").withColumn("qid", F.xxhash64("junction", clock.second_of_week(F.col("ts")), *traffic))
+    # the estimate hangs on the second alone: one is asked for all rows of a second
+    asks = recent.groupBy("qid", "junction", *traffic).agg(F.min("ts").alias("t"), F.min("_n").alias("_n"))
+    base = stats.kernel_estimates(samples, asks, now, by_level, ()).select("qid", "mean_delay")
     rows = recent.join(base, "qid", "left").withColumn("residual", F.col("delay") - F.col("mean_delay"))
     live = stats.recent_residuals(rows.select("junction", "ts", "residual", "quality", *traffic), ["junction", *traffic], now)
     live = live.withColumnsRenamed({c: f"_{c}" for c in ("junction", *traffic)})

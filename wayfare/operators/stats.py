@@ -148,10 +148,15 @@ def kernel_weight(t: Column, s: Column, now: Column, quality: Column, h_day: flo
 
     congestion: that asked for and that of the sample, 0 to 1; where either is null it plays no part.
     """
-    day = clock.circular_distance(clock.second_of_day(t), clock.second_of_day(s), float(clock.DAY_S))
-    week = clock.circular_distance(clock.second_of_week(t), clock.second_of_week(s), float(clock.WEEK_S))
     age = F.greatest(F.lit(0.0), clock.epoch(now) - clock.epoch(s))
-    w = F.exp(-(day * day) / (2 * h_day * h_day)) * F.exp(-(week * week) / (2 * h_week * h_week)) * F.exp(-age / tau) * quality
+    return kernel_nearness(t, clock.second_of_week(s), h_day, h_week, congestion, h_congestion) * F.exp(-age / tau) * quality
+
+
+def kernel_nearness(t: Column, second: Column, h_day: float = 900.0, h_week: float = 259200.0, congestion: tuple[Column, Column] | None = None, h_congestion: float = 0.25) -> Column:
+    """The part of a sample's weight that hangs on the query: its second of the week, and congestion."""
+    day = clock.circular_distance(clock.second_of_day(t), F.pmod(second, F.lit(clock.DAY_S)), float(clock.DAY_S))
+    week = clock.circular_distance(clock.second_of_week(t), second, float(clock.WEEK_S))
+    w = F.exp(-(day * day) / (2 * h_day * h_day)) * F.exp(-(week * week) / (2 * h_week * h_week))
     if congestion is None:
         return w
     apart = clip(congestion[0], 0, 1) - clip(congestion[1], 0, 1)
@@ -159,24 +164,35 @@ def kernel_weight(t: Column, s: Column, now: Column, quality: Column, h_day: flo
     return w * F.when(known, F.exp(-(apart * apart) / (2 * h_congestion * h_congestion))).otherwise(1.0)
 
 
-def kernel_estimates(samples: DataFrame, queries: DataFrame, now: Column, least_n: float | Column = 8.0, quantiles: tuple[int, ...] = (10, 25, 50, 75, 90), **kernel) -> DataFrame:
+def kernel_estimates(samples: DataFrame, queries: DataFrame, now: Column, least_n: float | Column = 8.0, quantiles: tuple[int, ...] = (10, 25, 50, 75, 90), h_day: float = 900.0, h_week: float = 259200.0, tau: float = 3888000.0, h_congestion: float = 0.25) -> DataFrame:
     """One row per query (qid, t) of the same junction with enough effective samples.
 
     samples: junction, ts, delay, stopped, quality, and congestion if they have it; queries
-    may have congestion too. The join is on junction; queries per junction are few beside its samples.
+    may have congestion too. A query sees of a sample's time only its second of the week, so samples are summed by it
+    (and by delay, where quantiles are asked for) before they meet queries: a query meets no second of a junction twice.
     """
     covered = "congestion" in samples.columns and "congestion" in queries.columns
     asked = queries.withColumnRenamed("congestion", "_congestion")
     pair = (F.col("_congestion"), F.col("congestion")) if covered else None
-    w = kernel_weight(F.col("t"), F.col("ts"), now, F.col("quality"), congestion=pair, **kernel)
+    own = F.exp(-F.greatest(F.lit(0.0), clock.epoch(now) - clock.epoch(F.col("ts"))) / tau) * F.col("quality")
+    each = samples.select("junction", clock.second_of_week(F.col("ts")).alias("_second"), *(["congestion"] if covered else []), F.col("delay").cast("double").alias("delay"), "stopped", "quality", own.alias("_own"))
+    keys = ["junction", "_second", *(["congestion"] if covered else []), *(["delay"] if quantiles else [])]
+    kept = F.when(F.col("stopped"), F.col("quality"))
+    pooled = each.groupBy(*keys).agg(
+        F.sum("_own").alias("_w"), F.sum(F.col("_own") * F.col("_own")).alias("_w2"), F.sum(F.col("_own") * F.col("delay")).alias("_wd"), F.sum(F.col("_own") * F.col("stopped").cast("double")).alias("_ws"),
+        F.count("*").alias("_rows"), F.sum(kept).alias("_q"), F.sum(kept * F.col("delay")).alias("_qd"),
+    )
+    near = kernel_nearness(F.col("t"), F.col("_second"), h_day, h_week, pair, h_congestion)
     least = least_n if isinstance(least_n, Column) else F.lit(float(least_n))
-    pairs = samples.join(asked, "junction").select("qid", "delay", "stopped", "quality", w.alias("w"), least.alias("_least"))
+    pairs = pooled.join(asked, "junction").select("qid", *(["delay"] if quantiles else []), near.alias("_f"), "_w", "_w2", "_wd", "_ws", "_rows", "_q", "_qd", least.alias("_least"))
+    pairs = pairs.withColumn("w", F.col("_f") * F.col("_w"))
     if quantiles:  # the narrow pairs stand once for the sums and the quantiles
         pairs = write_table(pairs, "kernel-pairs")
+    f, share = F.col("_f"), lambda a, b: F.sum(a) / F.nullif(F.sum(b), F.lit(0.0))
     base = pairs.groupBy("qid").agg(
-        weighted_mean(F.col("delay"), F.col("w")).alias("mean_delay"), weighted_mean(F.col("stopped").cast("double"), F.col("w")).alias("p_stop"),
-        effective_n(F.col("w")).alias("n_eff"), F.count("*").alias("n"), F.max("_least").alias("_least"),
-        weighted_mean(F.when(F.col("stopped"), F.col("delay")), F.when(F.col("stopped"), F.col("quality"))).alias("mean_stop"),
+        share(f * F.col("_wd"), F.col("w")).alias("mean_delay"), share(f * F.col("_ws"), F.col("w")).alias("p_stop"),
+        F.coalesce(F.pow(F.sum("w"), 2) / F.nullif(F.sum(f * f * F.col("_w2")), F.lit(0.0)), F.lit(0.0)).alias("n_eff"), F.sum("_rows").alias("n"), F.max("_least").alias("_least"),
+        share(F.col("_qd"), F.col("_q")).alias("mean_stop"),
     ).filter(F.col("n_eff") >= F.col("_least")).drop("_least")
     if not quantiles:
         return base
