@@ -48,7 +48,8 @@ def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
 
 def with_currency(rows: DataFrame, document: Column, portal: Column, as_of: Column, historical: bool = False) -> DataFrame:
     """rows with _currency, struct(status, effective_date, effective_date_source, age_days, label, rule) of a dated document."""
-    got = _once(rows, "_c", clock.currency(document, portal, as_of, F.lit(True) if historical else None))
+    got = _once(_once(rows, "_d", clock.partial_date(document)), "_p", clock.partial_date(portal))
+    got = _once(got, "_c", clock.dated_currency(F.col("_d"), F.col("_p"), as_of, F.lit(True) if historical else None))
     c = F.col("_c")
     got = _once(got, "_dated", F.when(c["source"] == "document", document).when(c["source"] == "portal", F.substring(portal, 1, 10)))
     dated = F.col("_dated")
@@ -66,8 +67,8 @@ def window_lists(windows: DataFrame, keys: DataFrame, at: Column) -> DataFrame:
         "day_type", F.col("start").cast("string").alias("start"), F.col("end").cast("string").alias("end"), "mode", F.col("cycle_s").cast("int").alias("cycle_s"), F.col("phases").cast("array<int>").alias("phases"),
         F.col("ped_s").cast("int").alias("pedestrian_phase_s"), "consistent",
     )
-    lists = windows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("plan_ord", "win_ord", shown.alias("w")))).alias("_all"))
-    held = plans.active_windows(keys.select("key").distinct().withColumn("ts", at), windows, "key").select("key", "plan_ord", "win_ord", F.col("mode").alias("_mode"), "assumed")
+    lists = windows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("plan_ord", "win_ord", shown.alias("w")))).alias("_all"))
+    held = plans.active_windows(keys.select("key").distinct().withColumn("ts", at), windows, "key", at=at).select("key", "plan_ord", "win_ord", F.col("mode").alias("_mode"), "assumed")
     got = held.join(lists, "key", "left")
     one = F.get(F.filter("_all", lambda x: (x["plan_ord"] == F.col("plan_ord")) & (x["win_ord"] == F.col("win_ord"))), F.lit(0))
     every = F.coalesce(F.transform("_all", lambda x: x["w"]), F.array().cast(f"array<{_WINDOW}>"))
@@ -84,6 +85,7 @@ def published(rows: DataFrame, blocks: DataFrame, sources: DataFrame, windows: D
     own = blocks.select("key", "label", *[F.col(c).alias(f"b_{c}") for c in ("document_date", "published_at", "retrieved_at")], "phase_labels", "parse_confidence")
     of = sources.select("source", *[F.col(c).alias(f"s_{c}") for c in ("source_name", "publisher", "portal", "url", "license", "document_date", "published_at", "retrieved_at")])
     counts = blocks.select("key", F.col("phase_count").alias("phases"))
+    windows = windows.join(rows.select("key").distinct(), "key", "left_semi")  # blocks without a claim are not read on
     got = rows.join(window_lists(windows, rows, at), "key").join(own, "key", "left").join(of, "source", "left")
     got = got.join(links.plan_summary(windows, counts), "key", "left").join(counts, "key", "left")
     date = lambda c: F.coalesce(f"b_{c}", f"s_{c}")

@@ -16,14 +16,16 @@ from wayfare.functions import clock
 _SERVES = {"sun": ["sunday", "weekend", "all_days", "holiday"], "sat": ["saturday", "weekend", "all_days"], "week": ["weekday_default", "all_days"]}
 
 
-def active_windows(events: DataFrame, windows: DataFrame, key: str = "junction", ts: str = "ts") -> DataFrame:
+def active_windows(events: DataFrame, windows: DataFrame, key: str = "junction", ts: str = "ts", at: Column | None = None) -> DataFrame:
     """events with day_type, assumed, mode, plan_ord, win_ord, cycle_s, phases and ped of the window that holds.
 
     mode is "none" without a plan for the day and "outside_windows" without a window for
     the minute. The day's plan is chosen once for each (junction, kind of day), a small
     table; the interval join is then an equi-join on junction and kind of day.
+    at: the one moment of all events, where they share it: plans of other days are then left out before anything is joined.
     """
-    kinds = F.explode(F.array(*map(F.lit, _SERVES)))
+    kind_of = lambda c: F.when(clock.weekday(c) == 6, "sun").when(clock.weekday(c) == 5, "sat").otherwise("week")
+    kinds = F.explode(F.array(*map(F.lit, _SERVES))) if at is None else kind_of(at)
     plan = windows.select(key, "plan_ord", "day_type").distinct().withColumn("kind", kinds)
     own = F.lit(False)
     for kind, types in _SERVES.items():
@@ -36,10 +38,9 @@ def active_windows(events: DataFrame, windows: DataFrame, key: str = "junction",
         key, "plan_ord", "win_ord", "mode", "cycle_s", "phases", "ped", clock.minutes(F.col("start")).alias("_s"), clock.minutes(F.col("end")).alias("_e")
     )
     day = spans.join(chosen, [key, "plan_ord"]).groupBy(key, "kind", "day_type", "assumed").agg(
-        F.array_sort(F.collect_list(F.struct("win_ord", "plan_ord", "_s", "_e", "mode", "cycle_s", "phases", "ped"))).alias("_w")
+        F.sort_array(F.collect_list(F.struct("win_ord", "plan_ord", "_s", "_e", "mode", "cycle_s", "phases", "ped"))).alias("_w")
     )
-    kind = F.when(clock.weekday(F.col(ts)) == 6, "sun").when(clock.weekday(F.col(ts)) == 5, "sat").otherwise("week")
-    asked = events.withColumn("kind", kind).withColumn("_m", clock.minute_of_day(F.col(ts)))
+    asked = events.withColumn("kind", kind_of(F.col(ts))).withColumn("_m", clock.minute_of_day(F.col(ts)))
     hit = F.get(F.filter("_w", lambda w: (F.col("_m") >= w["_s"]) & (F.col("_m") < w["_e"])), F.lit(0))
     out = asked.join(day, [key, "kind"], "left").withColumn("_hit", hit)
     mode = F.when(F.col("_w").isNull(), "none").when(F.col("_hit").isNull(), "outside_windows").otherwise(F.col("_hit.mode"))
